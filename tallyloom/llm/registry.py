@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), floor=0.95)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.ngram_join import jaccard_components
 
