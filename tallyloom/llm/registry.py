@@ -33,6 +33,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2).drop("source", "copies")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, keep_ids=False)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.line_dedup import drop_shared_lines
 
