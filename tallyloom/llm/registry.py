@@ -33,6 +33,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.order_minhash import fingerprinted
+
+    found = fingerprinted(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.mixing import mixed
 
@@ -45,6 +52,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, keep_ids=False)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"))
+    out = chat.formatted_chats(chat.events_from_turns(turns))
+    out = out.withColumn("turns", chat.parsed(F.col("formatted"))).withColumn("learned", chat.learned(F.col("formatted"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.line_dedup import drop_shared_lines
 
@@ -59,11 +85,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_chat_format": CHAT_SQL,
         "op5_substring_dedup": SUBSTRING_SQL,
         "op10_line_dedup": LINE_SQL,
     }
 
 
+CHAT_SQL = r"""
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&#91;') as safe,
+             replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&#91;') as safe_role from t)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(safe) + length('<|turn|><|end|>') + coalesce(1 + length(safe_role), 0))::bigint as formatted_chars
+from e group by conv_id
+"""
+
 SUBSTRING_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
 p as (select doc_id, unnest(range(1, len(words) - 48)) as pos, words from w where len(words) >= 50),
