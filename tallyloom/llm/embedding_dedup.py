@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.groups import Sets, runs
+from tallyloom.llm.groups import Sets, pieces
 from tallyloom.llm.scratch import written
 
-#: Vectors of a cell that one task compares; larger cells are compared as pairs of such blocks.
+#: Vectors at home in a cell that one task holds; it compares them with all vectors of the cell, a batch at a time.
 BLOCK = 2048
 MAX_CELLS, SAMPLE = 4096, 65_536
 
@@ -70,39 +70,39 @@ def _visits(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.nda
 
 
 def _compare(centres: np.ndarray, dims: int, floor: float, reach: float):
+    """From rows sorted by cell and block, the block's own vectors first, to counts and links."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["cell", "i", "j"]):
-            if group.num_rows < 2:
-                continue
-            cell, i, j = (group.column(c)[0].as_py() for c in ("cell", "i", "j"))
-            ids, own, size = group.column("v").to_numpy(), group.column("own").to_numpy(), group.column("dim").to_numpy()
-            weight = group.column("weight").to_numpy()
-            unit = _unit(group.column("embedding"), dims)
-            home, goes = _visits(unit, centres, reach)
-            here = home == cell
-            order = np.argsort(~here, kind="stable")  # those at home first: every pair has one of them
-            rows = order[own[order] == i]
-            cols = rows if i == j else order[own[order] == j]
-            if not len(rows) or not len(cols):
+        key, held = None, []
+        for part in pieces(batches, ["cell", "block"], BLOCK):
+            cell, block = (part.column(c)[0].as_py() for c in ("cell", "block"))
+            if (cell, block) != key:
+                key, held = (cell, block), []
+            unit = _unit(part.column("embedding"), dims)
+            new = [unit, *(part.column(c).to_numpy() for c in ("v", "weight", "dim", "own")), *_visits(unit, centres, reach)]
+            mine = new[4] == block
+            if mine.any():
+                old = len(held[0]) if held else 0
+                held = [np.concatenate([a, b[mine]]) for a, b in zip(held, new, strict=True)] if held else [a[mine] for a in new]
+            if not held:
                 continue
-            link = unit[rows] @ unit[cols].T >= floor
-            if i == j:
-                link &= np.arange(len(rows))[:, None] < np.arange(len(cols))[None, :]
-            link &= size[rows][:, None] == size[cols][None, :]
+            # pairs of an own vector and one of this batch; among own vectors the earlier one stands first
+            link = held[0] @ unit.T >= floor
+            link &= held[3][:, None] == new[3][None, :]
+            if mine.any():
+                at = np.full(len(unit), np.iinfo(np.int64).max)
+                at[mine] = old + np.arange(int(mine.sum()))
+                link &= np.arange(len(held[0]))[:, None] < at[None, :]
             r, c = np.nonzero(link)
-            r, c = rows[r], cols[c]
-            # a pair that meets in both homes counts in the lower of them
-            met = here[r] | here[c]
-            guest = np.where(here[r], c, r)
-            host = np.where(here[r], r, c)
-            both_here = here[r] & here[c]
-            elsewhere = home[guest]
-            once = both_here | (cell < elsewhere) | ~goes[host, elsewhere]
-            r, c = r[met & once], c[met & once]
+            home, own = new[5][c], new[4][c]
+            # both at home here: in the lower block only; else in the lower of the two homes if they meet in both
+            once = np.where(home == cell, (own >= block), (cell < home) | ~held[6][r, home])
+            r, c = r[once], c[once]
             if not len(r):
                 continue
-            links = np.bincount(r, weight[c], len(ids)) + np.bincount(c, weight[r], len(ids))
-            label = _labels(r, c, ids)
+            ids = np.concatenate([held[1], new[1]])
+            links = np.bincount(r, new[2][c], len(ids)) + np.bincount(c + len(held[1]), held[2][r], len(ids))
+            label = _labels(r, c + len(held[1]), ids)
             some = np.flatnonzero(links > 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(label[some])], ["v", "links", "least"])
 
@@ -137,11 +137,11 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     or non-finite components links with nothing. Rows without an id link with nothing, have a null component and are not
     kept. Other columns are not returned. Empty input: empty output.
 
-    Method: ``cells`` (default: the square root of the rows, at most 4096) unit centroids are fitted by spherical
+    Method: ``cells`` (default: one for 2048 rows, at most 4096) unit centroids are fitted by spherical
     k-means on a sample of at most about ``sample`` vectors; every vector is then assigned. A vector is also sent to
     each cell whose border is near enough for a partner on the other side, so no link is lost whatever the centroids.
-    Equal vectors are compared once, with their number as weight. A cell above ``BLOCK`` vectors is dealt as pairs of
-    blocks. Only counts and one link a vector and block leave a task, never all pairs. The centroids, at most 4096 rows,
+    Equal vectors are compared once, with their number as weight. The vectors at home in a cell are dealt in
+    blocks of about ``BLOCK``, each of which sees all vectors of the cell pass by. Only counts and one link a vector and block leave a task, never all pairs. The centroids, at most 4096 rows,
     are all that is broadcast.
     """
     spark = table.sparkSession
@@ -152,7 +152,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = good.groupBy("h1", "h2").agg(F.min_by("embedding", "v").alias("embedding"), F.min("v").alias("v"), F.count("*").alias("weight"), F.max("dim").alias("dim"))
     classes = written(classes, "vectors")
     n, dims = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    k = cells or max(1, min(MAX_CELLS, int(round(n**0.5))))
+    k = cells or max(1, min(MAX_CELLS, n // BLOCK))
     part = min(1.0, sample / max(n, 1))
     drawn = classes.where((F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)) < part).orderBy("v").select("embedding").toArrow().column(0).combine_chunks()
     drawn = drawn.combine_chunks() if isinstance(drawn, pa.ChunkedArray) else drawn
@@ -166,22 +166,23 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 rows = batch.slice(lo, 1024)
-                _, goes = _visits(_unit(pa.array(rows.column("embedding").to_pylist(), rows.column("embedding").type), dims), held.value, reach)
+                home, goes = _visits(_unit(pa.array(rows.column("embedding").to_pylist(), rows.column("embedding").type), dims), held.value, reach)
                 row, cell = np.nonzero(goes)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *(rows.column(c).take(at) for c in ("v", "weight", "dim", "embedding"))], ["cell", "v", "weight", "dim", "embedding"])
+                own = pa.array(np.zeros(len(cell), np.int64), mask=home[row] != cell)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), own, *(rows.column(c).take(at) for c in ("v", "weight", "dim", "embedding"))], ["cell", "own", "v", "weight", "dim", "embedding"])
 
     kind = table.schema[vector_col].dataType.simpleString()
-    sent = classes.select("v", "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, v long, weight long, dim long, embedding {kind}")
+    sent = classes.select("v", "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, own long, v long, weight long, dim long, embedding {kind}")
     sent = written(sent, "cells")
-    blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("nb"))
+    blocks = sent.where("own is not null").groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("nb"))
     dealt = (
         sent.join(F.broadcast(blocks), "cell")  # one row a cell, 4096 at most
-        .withColumn("own", F.pmod(F.xxhash64("v"), F.col("nb")))
-        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select("cell", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "v", "weight", "dim", "embedding")
-        .repartition("cell", "i", "j")
-        .sortWithinPartitions("cell", "i", "j")
+        .withColumn("own", F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("v"), F.col("nb"))).otherwise(F.lit(-1).cast("long")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        .select("cell", "block", "own", "v", "weight", "dim", "embedding")
+        .repartition("cell", "block")
+        .sortWithinPartitions("cell", "block", (F.col("own") != F.col("block")))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
