@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.bytescan import U64, mix, row_of, signed, slices, window_hashes, word_hashes
 from tallyloom.llm.components import components
-from tallyloom.llm.groups import Sets, repeated, runs
+from tallyloom.llm.groups import Sets, runs
 from tallyloom.llm.prefix_tree import build, matches
 from tallyloom.llm.scratch import written
 
 #: Buckets of the sketch that tells common n-grams, so its broadcast has at most so many entries.
 SKETCH_BITS = 22
-#: Bits of a set's parity map; two sets differ in at least as many items as their maps in bits.
+#: Least bits of a set's parity map; two sets differ in at least as many items as their maps in bits.
 PARITY_BITS = 512
 #: Members of a group that one task compares; larger groups are compared as pairs of such blocks.
 BLOCK = 1024
@@ -73,8 +73,7 @@ def _profiles(given: DataFrame, n: int, t: Fraction, common: dict[int, int]) ->
                     mixed = mix(grams ^ U64(0xA5A5A5A5A5A5A5A5))
                     one.append(mixed.sum(dtype=U64))
                     two.append(mix(mixed + U64(0x1234567)).sum(dtype=U64))
-                    parity = np.bincount((mixed >> U64(55)).astype(np.int64), minlength=PARITY_BITS) & 1
-                    bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
+                    bits.append(_parity(grams))
                     heavy = weight[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                     ordered = grams[np.argsort(heavy, kind="stable")] if heavy.any() else grams
                     prefixes.append(signed(ordered[: size + (-size * t.numerator) // t.denominator + 1] if size else grams))
@@ -95,6 +94,20 @@ def _need(size: int, t: Fraction):
     return lambda other: -((-num * (size + other)) // den)
 
 
+def _parity(grams: np.ndarray) -> bytes:
+    """A bit for each range of hashes, with whether the set has an odd number of items there; more bits for larger sets."""
+    width = max(PARITY_BITS, 1 << max(0, (len(grams) // 2 - 1).bit_length())).bit_length() - 1
+    odd = np.bincount((mix(grams ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(64 - width)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _maps(group: pa.RecordBatch) -> np.ndarray:
+    """The parity maps of a group, all folded to its smallest."""
+    maps = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
+    least = min(map(len, maps))
+    return np.stack([m if len(m) == least else np.packbits(np.unpackbits(m).reshape(least * 8, -1).sum(1, dtype=np.int64).astype(np.uint8) & 1) for m in maps]).view(U64)
+
+
 def _near(bits: np.ndarray, sizes: np.ndarray, probes: np.ndarray, t: Fraction) -> np.ndarray:
     """Which rows may link with each probe, by size and parity map (never leaves out a link)."""
     own, all_sizes = sizes[probes][:, None], sizes[None, :]
@@ -105,11 +118,6 @@ def _near(bits: np.ndarray, sizes: np.ndarray, probes: np.ndarray, t: Fraction)
     return ok
 
 
-def _maps(group: pa.RecordBatch) -> np.ndarray:
-    col = group.column("bits")
-    return np.frombuffer(b"".join(col.to_pylist()), U64).reshape(len(col), PARITY_BITS // 64)
-
-
 def _live(t: Fraction):
     """From groups to the members that may link with another one of the group; equal groups get one id."""
 
@@ -122,7 +130,7 @@ def _live(t: Fraction):
             sizes, bits = group.column("n").to_numpy(), _maps(group)
             alive, probed = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
             while True:
-                todo = np.flatnonzero(~alive & ~probed)[:64]
+                todo = np.flatnonzero(~alive & ~probed)[: max(1, min(64, (1 << 22) // bits.size))]
                 if not len(todo):
                     break
                 ok = _near(bits, sizes, todo, t)
@@ -225,7 +233,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * log(1 / float(t)) or 1.0)) if t < 1 else F.col("n")
     both = F.array(F.lit(0), F.lit(1)) if t < 1 else F.array(F.lit(0))
     candidates = written(posts.join(shared, "token").withColumn("step", F.explode(both)).select("token", (size_class + F.col("step")).cast("long").alias("bucket"), "v", "n"), "candidates")
-    groups = candidates.groupBy("token", "bucket").agg(F.count("*").alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
+    mark = F.xxhash64("v", "n")
+    groups = candidates.groupBy("token", "bucket").agg(F.count("*").alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), mark)).alias("m2")).where("lo < hi")
+    groups = groups.groupBy("bucket", "g", "lo", "hi", "m1", "m2").agg(F.min("token").alias("token"))  # one token for groups of the same members
     blocks = F.ceil(F.col("g") / F.lit(BLOCK)).cast("long")
     dealt = (
         candidates.join(groups.select("token", "bucket", blocks.alias("nb")), ["token", "bucket"])
@@ -240,7 +250,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array(_parity(part, n), pa.binary())], ["v", "items", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
 
     wanted = live.select(F.col("v").alias("doc")).distinct()
     items = written(known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary"), "items")
@@ -256,14 +266,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return profiles.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def _parity(part: pa.RecordBatch, n: int) -> list[bytes]:
-    out = []
-    for grams in _sets(part, n):
-        parity = np.bincount((mix(grams ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(55)).astype(np.int64), minlength=PARITY_BITS) & 1
-        out.append(np.packbits(parity.astype(np.uint8)).tobytes())
-    return out
-
-
 def _walk(members: DataFrame, t: Fraction) -> DataFrame:
     return members.select("gid", "v", "label", "items", "bits").repartition("gid").sortWithinPartitions("gid").mapInArrow(_link(t), "a long, b long")
 
