@@ -19,6 +19,15 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), floor=0.95)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import warc
+    from tallyloom.llm.scratch import shared_path
+
+    folder = shared_path(spark, "warc")
+    warc.write_archives(warc.planned(table(spark, sf_dir, "pages"), least_bytes=1000), folder)
+    return warc.resolved(warc.read_archives(warc.archive_files(spark, folder)))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.ngram_join import jaccard_components
 
@@ -85,12 +94,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": WARC_SQL,
         "op9_chat_format": CHAT_SQL,
         "op5_substring_dedup": SUBSTRING_SQL,
         "op10_line_dedup": LINE_SQL,
     }
 
 
+WARC_SQL = r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select payload_digest, max(page_id) as first from p where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+       case when page_id < first then 'revisit' else 'response' end as record_type,
+       case when page_id < first then first end as refers_to
+from p left join m using (payload_digest)
+"""
+
 CHAT_SQL = r"""
 with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
