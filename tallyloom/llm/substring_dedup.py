@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyloom.llm.bytescan import row_of, run_sum, signed, slices, span_hashes, spans, text_bytes, window_hashes
+from tallyloom.llm.scratch import written
 
 #: A perfect difference set: every non-zero residue modulo 31 is the difference of one pair.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -43,31 +44,71 @@ def _inside(first: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
     return np.arange(n) + length <= first[row[:n] + 1]
 
 
-def anchors(docs: DataFrame, *, window: int) -> DataFrame:
-    """``(doc, anchor)`` for every cover position of every document with ``window`` words or more."""
+#: Hashes that a task looks at together before it sends them on.
+LOCAL = 2_000_000
+
+_SENT = "key long, known boolean, doc long, hash long"
+
+
+def _settled(parts: Iterator[tuple[np.ndarray, np.ndarray]], both: bool) -> Iterator[pa.RecordBatch]:
+    """Of (documents, hashes), what a task can settle and what it has to send.
+
+    For each hash one row is sent by hash, with the least document; however often a hash occurs, a task sends one. The
+    other documents of the hash are ``known`` already; with ``both`` so is the least, if there is another. Known rows
+    are dealt by document.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def close() -> pa.RecordBatch:
+        doc, value = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, value))
+        doc, value = doc[order], value[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = value[1:] != value[:-1]
+        fresh = new.copy()
+        fresh[1:] |= doc[1:] != doc[:-1]
+        doc, value, new = doc[fresh], value[fresh], new[fresh]
+        known = ~new
+        if both:
+            known[:-1] |= ~new[1:]
+        doc, value = np.concatenate([doc[new], doc[known]]), np.concatenate([value[new], value[known]])
+        is_known = np.arange(len(doc)) >= int(new.sum())
+        key = np.where(is_known, doc, value)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(is_known), pa.array(doc), pa.array(np.where(is_known, value, 0))], ["key", "known", "doc", "hash"])
+
+    for doc, value in parts:
+        held.append((doc, value))
+        if sum(len(d) for d, _ in held) > LOCAL:
+            yield close()
+    if held:
+        yield close()
+
+
+def _anchors(window: int):
+    """From texts to the distinct anchors at cover positions of every document with ``window`` words or more."""
     period, cover, length = cover_for(window)
     on = np.zeros(period, bool)
     on[list(cover)] = True
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, _, _, first, words = _scan(part.column("text"))
-                row = row_of(first)
+                hashed, row = window_hashes(words, length), row_of(first)
                 ok = _inside(first, row, length)
                 n = len(ok)
                 ok &= on[(np.arange(n) - first[row[:n]]) % period] & (np.diff(first)[row[:n]] >= window)
-                at = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row[at])), pa.array(signed(window_hashes(words, length)[at]))], ["doc", "anchor"])
+                yield part.column("doc").to_numpy()[row[:n][ok]], signed(hashed[ok])
 
-    return docs.mapInArrow(scan, "doc long, anchor long")
+    return lambda batches: _settled(parts(batches), True)
 
 
 def _extended(window: int):
     """From texts and their shared anchors to the hashes of all whole windows that hold such an anchor."""
     _, _, length = cover_for(window)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, _, _, first, words = _scan(part.column("text"))
@@ -82,12 +123,11 @@ def _extended(window: int):
                     np.cumsum(found, out=seen[1:])
                     k = n - window + 1  # window starts; each holds the anchors that start at most window - length later
                     at = np.flatnonzero(seen[window - length + 1 : window - length + 1 + k] > seen[:k])
-                    values = np.unique(whole[lo + at])
-                    picked.append(values)
-                    rows.append(np.full(len(values), i))
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(picked))], ["doc", "span"])
+                    picked.append(whole[lo + at])
+                    rows.append(np.full(len(at), i))
+                yield part.column("doc").to_numpy()[np.concatenate(rows)], np.concatenate(picked)
 
-    return scan
+    return lambda batches: _settled(parts(batches), False)
 
 
 def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -99,47 +139,61 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Null text: no words, empty text. Rows without an id keep all words and count for nothing; rows that share an id
     count as one document. Texts shorter than a window keep all words. Empty input: empty output.
 
-    Plan: anchors (a fifth of the word positions) are grouped by hash with a map-side combine of the least and the
-    greatest id, so a passage in every document costs a row a task. Only windows around shared anchors are hashed whole;
-    again the least id of each is an aggregate. The joins are on hashes and AQE can split them. Both joins with texts use
-    one shuffle of the texts.
+    Plan: anchors are a fifth of the word positions. A task sends each distinct hash once, with the least id that has
+    it there, and settles all else itself; so a passage in every document costs a row a task, and no hash gathers more
+    rows than there are tasks. Only windows around shared anchors are hashed whole, and settled alike. Equal texts are
+    looked at once: all windows of a later copy start in the first one too. Joins with texts share one shuffle of them.
     """
     names = [n for n in docs.columns if n not in ("n_words", "n_removed")]
-    schema = T.StructType([docs.schema[n] for n in names]).add("n_words", "long").add("n_removed", "long")
-    texts = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string")).withColumn("__id", F.col(id_col).cast("long"))
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    found = anchors(given, window=window)
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
-    hits = found.join(shared, "anchor").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("anchor").alias(_HITS))
-    around = texts.join(hits, F.col("__id") == F.col("__doc")).select(F.col("__id").alias("doc"), F.col(text_col).alias("text"), _HITS)
-    whole = around.mapInArrow(_extended(window), "doc long, span long")
-    least = whole.groupBy("span").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("span", "least")
-    repeats = whole.join(least, "span").where("doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("span").alias(_HITS))
+    others = [n for n in names if n not in (id_col, text_col)]
+    kept = T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([*kept.fields, *([T.StructField("rest", T.StructType([docs.schema[n] for n in others]))] if others else [])]).add("n_words", "long").add("n_removed", "long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if others else []))
+
+    texts = given.where("doc is not null and text is not null").select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    firsts = texts.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    copies = written(texts.join(firsts, ["h1", "h2"]).where("doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias("__copies")), "copies")
+    copied = F.coalesce(F.array_contains("__copies", F.xxhash64("text")), F.lit(False))
+    marked = given.join(copies, F.col("doc") == F.col("__doc"), "left").where(~copied & F.col("doc").isNotNull()).select("doc", "text")
+
+    each = Window.partitionBy("key", "known")
+    value = F.when(F.col("known"), F.col("hash")).otherwise(F.col("key"))
+    found = marked.mapInArrow(_anchors(window), _SENT).withColumn("n", F.count("*").over(each))
+    hits = found.where("known or n > 1").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(value).alias(_HITS))
+    around = given.join(hits, F.col("doc") == F.col("__doc")).select("doc", "text", _HITS)
+    whole = around.mapInArrow(_extended(window), _SENT).withColumn("least", F.min("doc").over(each))
+    repeats = whole.where("known or doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(value).alias(_HITS))
+    gone_from = repeats.select("__doc", _HITS, F.lit(None).cast("array<long>").alias("__copies")).unionByName(copies.select("__doc", F.lit(None).cast("array<long>").alias(_HITS), "__copies"))
+    gone_from = gone_from.groupBy("__doc").agg(F.first(_HITS, ignorenulls=True).alias(_HITS), F.first("__copies", ignorenulls=True).alias("__copies"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                raw, starts, ends, first, words = _scan(part.column(text_col))
-                whole, hits = signed(window_hashes(words, window)), part.column(_HITS)
+            for part in slices(batch, "text"):
+                raw, starts, ends, first, words = _scan(part.column("text"))
+                whole, hits, copied = signed(window_hashes(words, window)), part.column(_HITS), np.asarray(part.column("__copied"))
                 gone = np.zeros(len(words), bool)
-                for i in np.flatnonzero(np.asarray(hits.is_valid())):
+                for i in np.flatnonzero(np.asarray(hits.is_valid()) | copied):
                     lo, n = first[i], first[i + 1] - first[i]
                     if n < window:
                         continue
+                    if copied[i]:
+                        gone[lo : lo + n] = True
+                        continue
                     at = np.flatnonzero(np.isin(whole[lo : lo + n - window + 1], hits[int(i)].values.to_numpy(zero_copy_only=False)))
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + window, -1)
                     gone[lo : lo + n] = np.cumsum(step[:n]) > 0
-                texts = _joined(raw, starts, ends, first, gone)
-                out = [texts if n == text_col else part.column(n) for n in names]
-                if "n_chars" in names and text_col == "text":
-                    at = names.index("n_chars")
-                    out[at] = pa.compute.utf8_length(texts).cast(part.column("n_chars").type)
+                out = [part.column("doc"), _joined(raw, starts, ends, first, gone), *([part.column("rest")] if others else [])]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(first)), pa.array(run_sum(gone, first))], schema.names)
 
-    joined = texts.join(repeats, F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
-    return joined.mapInArrow(rebuild, schema)
+    joined = base.join(gone_from, F.col("doc") == F.col("__doc"), "left").withColumn("__copied", copied).drop("__doc", "__copies")
+    done = joined.mapInArrow(rebuild, schema)
+    back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {n: F.col(f"rest.{n}") for n in others}
+    if "n_chars" in others:
+        back["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(back[n].alias(n) for n in names), "n_words", "n_removed")
 
 
 def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, gone: np.ndarray) -> pa.Array:
