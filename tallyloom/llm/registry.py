@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import quality
+
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = quality.fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=third != 1)
+    out = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("doc_id", (third == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.embedding_dedup import near_vectors
 
