@@ -252,7 +252,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
 
-    wanted = live.select(F.col("v").alias("doc")).distinct()
+    wanted = live.select(F.col("v").alias("doc")).distinct().hint("merge")  # grows with the corpus: never broadcast
     items = written(known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary"), "items")
 
     first = live.groupBy("v").agg(F.max_by("gid", F.struct("size", "gid")).alias("gid"))
