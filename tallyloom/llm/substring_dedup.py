@@ -93,8 +93,8 @@ def _anchors(window: int):
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                _, _, _, first, words = _scan(part.column("text"))
+            for part in slices(batch, "body"):
+                _, _, _, first, words = _scan(part.column("body"))
                 hashed, row = window_hashes(words, length), row_of(first)
                 ok = _inside(first, row, length)
                 n = len(ok)
@@ -110,8 +110,8 @@ def _extended(window: int):
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                _, _, _, first, words = _scan(part.column("text"))
+            for part in slices(batch, "body"):
+                _, _, _, first, words = _scan(part.column("body"))
                 anchor, whole, hits = signed(window_hashes(words, length)), signed(window_hashes(words, window)), part.column(_HITS)
                 picked, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i in range(part.num_rows):
@@ -146,22 +146,22 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     names = [n for n in docs.columns if n not in ("n_words", "n_removed")]
     others = [n for n in names if n not in (id_col, text_col)]
-    kept = T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.StringType())])
+    kept = T.StructType([T.StructField("doc", T.LongType()), T.StructField("body", T.StringType())])
     schema = T.StructType([*kept.fields, *([T.StructField("rest", T.StructType([docs.schema[n] for n in others]))] if others else [])]).add("n_words", "long").add("n_removed", "long")
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if others else []))
+    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"), *([F.struct(*others).alias("rest")] if others else []))
 
-    texts = given.where("doc is not null and text is not null").select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    texts = given.where("doc is not null and body is not null").select("doc", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
     firsts = texts.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     copies = written(texts.join(firsts, ["h1", "h2"]).where("doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias("__copies")), "copies")
-    copied = F.coalesce(F.array_contains("__copies", F.xxhash64("text")), F.lit(False))
-    marked = given.join(copies, F.col("doc") == F.col("__doc"), "left").where(~copied & F.col("doc").isNotNull()).select("doc", "text")
+    copied = F.coalesce(F.array_contains("__copies", F.xxhash64("body")), F.lit(False))
+    marked = given.join(copies, F.col("doc") == F.col("__doc"), "left").where(~copied & F.col("doc").isNotNull()).select("doc", "body")
 
     each = Window.partitionBy("key", "known")
     value = F.when(F.col("known"), F.col("hash")).otherwise(F.col("key"))
     found = marked.mapInArrow(_anchors(window), _SENT).withColumn("n", F.count("*").over(each))
     hits = found.where("known or n > 1").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(value).alias(_HITS))
-    around = given.join(hits, F.col("doc") == F.col("__doc")).select("doc", "text", _HITS)
+    around = given.join(hits, F.col("doc") == F.col("__doc")).select("doc", "body", _HITS)
     whole = around.mapInArrow(_extended(window), _SENT).withColumn("least", F.min("doc").over(each))
     repeats = whole.where("known or doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(value).alias(_HITS))
     gone_from = repeats.select("__doc", _HITS, F.lit(None).cast("array<long>").alias("__copies")).unionByName(copies.select("__doc", F.lit(None).cast("array<long>").alias(_HITS), "__copies"))
@@ -169,8 +169,8 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                raw, starts, ends, first, words = _scan(part.column("text"))
+            for part in slices(batch, "body"):
+                raw, starts, ends, first, words = _scan(part.column("body"))
                 whole, hits, copied = signed(window_hashes(words, window)), part.column(_HITS), np.asarray(part.column("__copied"))
                 gone = np.zeros(len(words), bool)
                 for i in np.flatnonzero(np.asarray(hits.is_valid()) | copied):
@@ -188,11 +188,13 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                 out = [part.column("doc"), _joined(raw, starts, ends, first, gone), *([part.column("rest")] if others else [])]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(first)), pa.array(run_sum(gone, first))], schema.names)
 
-    joined = base.join(gone_from, F.col("doc") == F.col("__doc"), "left").withColumn("__copied", copied).drop("__doc", "__copies")
+    # rows without an id stay outside the join, so that it reads the same shuffle of texts as the join before
+    joined = base.where("doc is not null").join(gone_from, F.col("doc") == F.col("__doc"), "left").withColumn("__copied", copied).drop("__doc", "__copies")
+    joined = joined.unionByName(base.where("doc is null").withColumns({_HITS: F.lit(None).cast("array<long>"), "__copied": F.lit(False)}))
     done = joined.mapInArrow(rebuild, schema)
-    back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {n: F.col(f"rest.{n}") for n in others}
+    back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("body")} | {n: F.col(f"rest.{n}") for n in others}
     if "n_chars" in others:
-        back["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        back["n_chars"] = F.char_length("body").cast(docs.schema["n_chars"].dataType)
     return done.select(*(back[n].alias(n) for n in names), "n_words", "n_removed")
 
 
