@@ -30,11 +30,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import warc
-    from tallyloom.llm.scratch import shared_path
+    from tallyloom.llm.scratch import shared_path, written
 
     folder = shared_path(spark, "warc")
     warc.write_archives(warc.planned(table(spark, sf_dir, "pages"), least_bytes=1000), folder)
-    return warc.resolved(warc.read_archives(warc.archive_files(spark, folder)))
+    records = warc.read_archives(warc.archive_files(spark, folder), keep_payload=False).drop("payload")
+    return warc.resolved(written(records, "records"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of an archive file after which the writer starts the next one; also bounds what a reading task holds.
 ROLL_BYTES = 16 << 20
+#: Bytes given to the decompressor at once.
+STEP = 16 << 10
 VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
 _NAMES = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)\r?\n")
@@ -98,13 +100,16 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         wrong = "neither a member nor a record"
         stop = at
         if data.startswith(_GZIP, at):
-            unpacker = zlib.decompressobj(31)
+            unpacker, got_to, parts = zlib.decompressobj(31), at, []
             try:
-                text = unpacker.decompress(data[at:]) + unpacker.flush()
+                while got_to < len(data) and not unpacker.eof:  # in steps, so that what follows the member is not copied each time
+                    parts.append(unpacker.decompress(data[got_to : got_to + STEP]))
+                    got_to = min(len(data), got_to + STEP)
+                text = b"".join(parts)
                 if not unpacker.eof:
                     wrong = "member is cut short"
                 else:
-                    stop = len(data) - len(unpacker.unused_data)
+                    stop = got_to - len(unpacker.unused_data)
                     inner = list(salvage_plain(text))
                     if any(x[2] is not None for x in inner):
                         found = [(at, stop, fields, block) for _, _, fields, block in inner]
@@ -160,23 +165,28 @@ def planned(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Null payload: empty. Null url: empty. A row without an id is always a response. Of rows that share the largest id
     and the payload all are responses. Payloads are grouped by SHA-1 with a map-side combine; only keys are shuffled for
-    that, and the join back is by digest, which AQE can split.
+    that. Payloads are shuffled once, by page.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
-    joined = rows.join(large, F.col("digest") == F.col("__digest"), "left")
-    return joined.select("page_id", "uri", "payload", "digest", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
-
-
-def write_archives(plan: DataFrame, folder: str, *, partitions: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    keys = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    large = keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = keys.join(large, "digest").where("page_id < first").select("page_id", "digest", "first").distinct()
+    revisits = revisits.groupBy(F.col("page_id").alias("__page")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts"))
+    # one shuffle of payloads, by page, which is also how archives are dealt
+    place = F.coalesce("page_id", F.xxhash64("uri", "digest"))
+    dealt = rows.withColumn("place", place).repartition("place")
+    joined = dealt.join(revisits, F.col("place") == F.col("__page"), "left")
+    first = F.when(F.col("page_id").isNotNull(), F.try_element_at("firsts", F.col("digest")))
+    return joined.select("page_id", "uri", "payload", "digest", first.alias("refers_to"))
+
+
+def write_archives(plan: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes ``planned`` rows as ``.warc.gz`` files into ``folder``; returns (path, records, bytes) of each, evaluated once.
 
     ``folder`` is a URI that all executors share. A task sorts its rows, so a task that runs again, wherever, writes the
     same bytes under the same names; each file appears whole, by a rename. A file ends after ``roll_bytes``.
     """
-    n = partitions or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -211,11 +221,11 @@ def write_archives(plan: DataFrame, folder: str, *, partitions: int | None = Non
 
     from tallyloom.llm.scratch import written
 
-    dealt = plan.repartition(n, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", "uri")
+    dealt = plan.sortWithinPartitions("page_id", "digest", "uri")
     return written(dealt.mapInArrow(write, "path string, records long, bytes long"), "archives")
 
 
-def read_archives(files: DataFrame) -> DataFrame:
+def read_archives(files: DataFrame, *, keep_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps of archives given as ``(path, content)`` rows, as Spark's binaryFile source gives them.
 
     ``kind`` is ``record`` or ``gap``; a gap has its byte span and, as ``note``, the check that failed first. Response
@@ -240,7 +250,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         page = ident.removeprefix("urn:page:")
                         row |= {"kind": "record", "record_type": kind, "record_id": ident, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "uri": fields.get("warc-target-uri"), "digest": base64.b32decode(stated[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None, "page_id": int(page) if re.fullmatch(r"-?\d{1,18}", page) else None}
                         if kind != "revisit":
-                            row |= {"payload": payload, "payload_bytes": len(payload)}
+                            row |= {"payload": payload if keep_payload else None, "payload_bytes": len(payload)}
                             if row["digest"] not in (None, hashlib.sha1(payload).hexdigest()):
                                 row = dict.fromkeys(names) | {"path": path, "start": start, "stop": stop, "kind": "gap", "note": "payload digest differs"}
                             size += len(payload)
