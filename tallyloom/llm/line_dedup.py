@@ -28,15 +28,25 @@ def _lines(col: pa.Array) -> tuple[np.ndarray, ...]:
     tail[first[1:] - 1] = True
     starts[head], starts[~head] = offsets[:-1], breaks + 1
     ends[tail], ends[~tail] = offsets[1:], breaks
-    solid = np.flatnonzero(SOLID[raw]) if len(raw) else np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
-    some = hi > lo
-    key_lo, key_hi = starts.copy(), starts.copy()
-    key_lo[some], key_hi[some] = solid[lo[some]], solid[hi[some] - 1] + 1
-    points = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
+    key_lo, key_hi = starts.copy(), ends.copy()
+    alive = np.flatnonzero(key_lo < key_hi)  # strip by steps, each over the lines that still begin or end with white space
+    while len(alive := alive[~SOLID[raw[key_lo[alive]]]]):
+        key_lo[alive] += 1
+        alive = alive[key_lo[alive] < key_hi[alive]]
+    alive = np.flatnonzero(key_lo < key_hi)
+    while len(alive := alive[~SOLID[raw[key_hi[alive] - 1]]]):
+        key_hi[alive] -= 1
     low = LOWER[raw] if len(raw) else raw
-    return starts, ends, first, span_hashes(low, key_lo, key_hi, 1), span_hashes(low, key_lo, key_hi, 2), points[key_hi] - points[key_lo]
+    return starts, ends, first, span_hashes(low, key_lo, key_hi, 1), span_hashes(low, key_lo, key_hi, 2), _points(raw, key_lo, key_hi)
+
+
+def _points(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Code points of each span."""
+    if not len(lo):
+        return np.zeros(0, np.int64)
+    total = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32, out=total[1:])
+    return (total[hi] - total[lo]).astype(np.int64)
 
 
 def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
