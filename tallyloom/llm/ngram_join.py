@@ -118,12 +118,11 @@ def _near(bits: np.ndarray, sizes: np.ndarray, probes: np.ndarray, t: Fraction)
     return ok
 
 
-def _live(t: Fraction):
-    """From groups to the members that may link with another one of the group; equal groups get one id."""
+def _candidates(t: Fraction):
+    """From groups to links of members that may link with another one of the group: each to the least of these."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
+        left, right, waiting = [], [], 0
         for group in runs(batches, ["token", "bucket", "i", "j"]):
             if group.num_rows < 2:
                 continue
@@ -137,18 +136,16 @@ def _live(t: Fraction):
                 alive |= ok.any(0)
                 alive[todo] |= ok.any(1)
                 probed[todo] = True
-            if alive.any():
-                members = np.unique(group.column("v").to_numpy()[alive])
-                if len(members) > 1:
-                    mixed = mix(members.view(U64))
-                    gid = int(signed(mix(np.array([mixed.sum(dtype=U64) ^ mix(mixed + U64(99)).sum(dtype=U64)], U64)))[0])
-                    out.append((np.full(len(members), gid), members, np.full(len(members), len(members))))
-                    waiting += len(members)
+            members = np.unique(group.column("v").to_numpy()[alive])
+            if len(members) > 1:
+                left.append(members[1:])
+                right.append(np.full(len(members) - 1, members[0]))
+                waiting += len(members)
             if waiting > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["gid", "v", "size"])
-                out, waiting = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["gid", "v", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                left, right, waiting = [], [], 0
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     return scan
 
@@ -158,10 +155,10 @@ def _link(t: Fraction):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for group in runs(batches, ["gid"]):
+        for group in runs(batches, ["family", "i", "j"]):
             if group.num_rows < 2:
                 continue
-            ids, labels = group.column("v").to_numpy(), group.column("label").to_numpy()
+            ids = group.column("v").to_numpy()
             raw = [np.frombuffer(x, np.int64) for x in group.column("items").to_pylist()]
             values, inverse, count = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
             rank = np.empty(len(values), np.int64)
@@ -170,12 +167,12 @@ def _link(t: Fraction):
             members = [np.sort(x).tolist() for x in np.split(rank[inverse], cuts)]
             order = sorted(range(len(members)), key=members.__getitem__)
             members = [members[k] for k in order]
-            ids, labels, bits = ids[order], labels[order], _maps(group)[order]
+            ids, bits = ids[order], _maps(group)[order]
             sizes = np.array([len(m) for m in members])
             sets = Sets(len(ids))
             known: dict[int, int] = {}
-            for k, label in enumerate(labels.tolist()):
-                sets.join(k, known.setdefault(label, k))
+            for k, v in enumerate(ids.tolist()):  # rows of one id are one node
+                sets.join(k, known.setdefault(v, k))
             root = build(members)
             for k in range(len(members)):
                 near = _near(bits, sizes, np.array([k]), t)[0]
@@ -215,9 +212,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Method: all sets follow one global order, rare n-grams first, in which two linked sets share an item of their
     prefixes. Equal sets become one member. Prefix items that two members share, with the size class, make groups; size
-    and parity-map bounds remove members that can link with none. Each group stores its sets in a prefix tree, walked
-    with the items shared so far, leaving branches by what remains. Pairs known to be connected are not compared again,
-    which loses no component. Groups above ``BLOCK`` members are dealt as pairs of blocks.
+    and parity-map bounds remove members that can link with none. What such groups connect is a family, outside of which
+    its members have no links; so each set is sent once, to its family. There the sets are stored in a prefix tree,
+    walked with the items shared so far, leaving branches by what remains. Pairs known to be connected are not compared
+    again, which loses no component. Groups and families above ``BLOCK`` members are dealt as pairs of blocks.
     """
     t = Fraction(*threshold)
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -245,29 +243,27 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     maps = reps.select(F.col("doc").alias("v"), "n", "bits")
     dealt = dealt.join(maps, ["v", "n"]).repartition("token", "bucket", "i", "j").sortWithinPartitions("token", "bucket", "i", "j")
-    live = written(dealt.mapInArrow(_live(t), "gid long, v long, size long").dropDuplicates(["gid", "v"]), "live")
+    families = written(components(dealt.mapInArrow(_candidates(t), "a long, b long")), "families")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
 
-    wanted = live.select(F.col("v").alias("doc")).distinct().hint("merge")  # grows with the corpus: never broadcast
-    items = written(known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary"), "items")
-
-    first = live.groupBy("v").agg(F.max_by("gid", F.struct("size", "gid")).alias("gid"))
-    turn = first.join(items, "v").withColumn("label", F.col("v"))
-    links = written(_walk(turn, t), "found")
-    labels = components(links)
-    rest = live.join(labels.withColumnRenamed("node", "v"), "v", "left").select("gid", "v", F.coalesce("component", "v").alias("label"))
-    open_groups = rest.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gid")
-    more = _walk(rest.join(open_groups, "gid").join(items, "v"), t)
-    joined = components(links.unionByName(more).unionByName(copies))
-    return profiles.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-
+    wanted = families.select(F.col("node").alias("doc")).hint("merge")  # grows with the corpus: never broadcast
+    items = known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary")
 
-def _walk(members: DataFrame, t: Fraction) -> DataFrame:
-    return members.select("gid", "v", "label", "items", "bits").repartition("gid").sortWithinPartitions("gid").mapInArrow(_link(t), "a long, b long")
+    parts = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("nb"))
+    places = (
+        families.join(parts, "component")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
+        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        .select(F.col("node").alias("v"), F.col("component").alias("family"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    )
+    walked = places.join(items, "v").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    links = walked.mapInArrow(_link(t), "a long, b long")
+    joined = components(links.unionByName(copies))
+    return profiles.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
