@@ -37,24 +37,22 @@ def chain_breaks(headers: DataFrame, *, sequence: str = "sequence", hash_: str =
     return marked.where(F.col(sequence) > F.col("__least")).withColumn("why", why).where("why is not null").select(*headers.columns, "why")
 
 
-def as_of_forward(times: DataFrame, *, time: str, value: str, wanted: DataFrame, at: str, buckets: Column | None = None) -> DataFrame:
+def as_of_forward(times: DataFrame, *, time: str, value: str, wanted: DataFrame, at: str, span: int = 1 << 16) -> DataFrame:
     """For each wanted time the first value at or after it; after the last, the last value.
 
-    Both sides are merged by time and the next value is carried back over ranges of time, a range a window partition;
-    what a range lacks comes from the first value of the next range that has one, of which there are few.
+    Both sides are merged by time and the next value is carried back within ranges of ``span``, each a window partition.
+    What a range lacks is the first value of a later range, found over one row a range.
     """
-    span = F.lit(1 << 28)
     a = times.select(F.col(time).alias("t"), F.col(value).alias("v"), F.lit(None).cast("long").alias("w"))
     b = wanted.select(F.col(at).alias("t"), F.lit(None).cast(times.schema[value].dataType).alias("v"), F.lit(1).cast("long").alias("w"))
     rows = a.unionByName(b).withColumn("r", F.floor(F.col("t") / span))
     ahead = Window.partitionBy("r").orderBy(F.col("t").desc(), F.col("w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("found", F.last("v", ignorenulls=True).over(ahead))
-    heads = a.groupBy(F.floor(F.col("t") / span).alias("r0")).agg(F.min_by("v", "t").alias("head"))
-    nexts = heads.withColumn("before", F.lag("r0").over(Window.orderBy("r0"))).select("r0", "before", "head")
+    asked = rows.withColumn("found", F.last("v", ignorenulls=True).over(ahead)).where("w is not null")
+    ranges = rows.groupBy("r").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("t"))).alias("head"))
+    later = ranges.select("r", F.last("head", ignorenulls=True).over(Window.orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     last = a.agg(F.max_by("v", "t").alias("last"))
-    asked = rows.where("w is not null").join(F.broadcast(nexts), (F.col("r") < F.col("r0")) & ((F.col("before") <= F.col("r")) | F.col("before").isNull()), "left")
-    out = asked.crossJoin(F.broadcast(last))
-    return out.select(F.col("t").alias(at), F.coalesce("found", "head", "last").alias(value))
+    out = asked.join(later, "r").crossJoin(F.broadcast(last))  # one row
+    return out.select(F.col("t").alias(at), F.coalesce("found", "later", "last").alias(value))
 
 
 def compare(expected: DataFrame, actual: DataFrame, *, keys: list[str], value: str, exempt: Column | None = None) -> DataFrame:
