@@ -76,14 +76,16 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     rounded by a fixed fraction of each row, from its id, and one shift a source: the copies are the whole part of rate +
     fraction + shift. More shift never means fewer copies, so the shift at which the source's words come nearest to its
     target is found by cutting its range into ``sections`` again and again. What is left is at most half the size of the
-    one document at which the sum steps over the target (of several, if rows share an id). Reruns agree.
+    one document at which the sum steps over the target (of several, if rows share an id); the documents up to the size
+    of what is left are then rounded anew in the same way, and up to three more a source, each taken once more or once
+    less, bring it nearer. Reruns agree.
 
     Null sources are a source of their own, the last. Rows without an id are rounded alike. Empty texts are taken as
     their rate rounds and count no words. Empty input: empty output.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
-    rows = written(rows.withColumn("fraction", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)), "sizes")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("fraction", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)), "sizes")
     sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sources, weights=weights, share=share, cap=cap)
@@ -94,35 +96,76 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     # copy c of a row is taken from shift c - rate - fraction on
     steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda c: c - F.col("rate") - F.col("fraction")))
     rated = _with(rows, state.select("source", "source_size", "target", "mean", "tilt")).withColumn("rate", rate)
-    left = written(rated.where(free & (F.col("size") > 0)).select("source", "size", steps.alias("at")), "steps")
+    moving = rated.where(free & (F.col("size") > 0))
+    left = written(moving.select("source", "size", steps.alias("at")), "steps")
+    goals = state.where(free).select("source", "target")
+    shift = _nearest_shift(left, goals, cap=cap, sections=sections)
+    # A large document at the step can leave much open: the smaller ones are then rounded anew to what the others leave.
+    done = _with(left, shift, "inner").where("at < shift")
+    off = _with(goals, done.groupBy("source").agg(F.sum("size").alias("got"))).select("source", F.abs(F.col("target") - F.coalesce("got", F.lit(0))).alias("open"))
+    fixed = _with(done, off, "inner").where("size > open").groupBy("source").agg(F.sum("size").alias("fixed"))
+    rest = _with(goals, fixed).select("source", (F.col("target") - F.coalesce("fixed", F.lit(0))).alias("target"))
+    off = written(off, "open")
+    small = written(_with(left, off, "inner").where("size <= open").select("source", "size", "at"), "small")
+    again = _nearest_shift(small, written(rest, "rest"), cap=cap, sections=sections).withColumnRenamed("shift", "again")
+    out = _with(_with(rated, shift), _with(off, again)).withColumn("shift", F.when(F.col("size") <= F.col("open"), F.col("again")).otherwise(F.col("shift")))
+    taken = F.when(free & (F.col("size") > 0), F.size(F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda c: (c - F.col("rate") - F.col("fraction")) < F.col("shift")))).otherwise(F.floor(F.col("rate") + F.col("fraction") * F.when(F.col("rate") < cap, F.lit(1.0)).otherwise(F.lit(0.0))))
+    copies = F.least(taken.cast("int"), F.lit(cap))
+    rounded = written(out.withColumn("copies", copies).select("id", "row", "size", "source", "source_size", "target", "copies"), "copies")
+    moves = _last_moves(rounded, cap=cap)
+    changed = rounded.join(moves, rounded["row"] == moves["__row"], "left").withColumn("copies", F.col("copies") + F.coalesce("__by", F.lit(0)))
+    return changed.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: int) -> DataFrame:
+    """For each source the ``shift`` at which the sizes of all ``steps`` (source, size, at) below it come nearest to its target.
+
+    A pass sums sizes by section of the range still open, with a map-side combine; one row a source and section is sorted.
+    """
     low, high = -2.0 - cap, 1.0 + cap
-    found = written(state.where(free).select("source", "target", F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("inside")), "shift")
+    found = written(goals.select("source", "target", F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("inside")), "shift")
     for _ in range(12):
-        bin_ = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * sections).cast("int")
-        within = _with(left, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").withColumn("bin", F.least(bin_, F.lit(sections - 1)))
+        section = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * sections).cast("int")
+        within = _with(steps, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").withColumn("bin", F.least(section, F.lit(sections - 1)))
         sums = within.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        upto = Window.partitionBy("source").orderBy("bin")
-        steps_ = _with(sums, found, "inner").withColumn("total", F.col("base") + F.sum("words").over(upto))
-        cross = steps_.where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
+        total = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+        cross = _with(sums, found, "inner").withColumn("total", total).where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
         width = (F.col("hi") - F.col("lo")) / sections
+        none = F.col("c").isNull()
         nxt = _with(found, cross).select(
             "source",
             "target",
-            F.when(F.col("c").isNull(), F.col("lo")).otherwise(F.col("lo") + width * F.col("c.bin")).alias("lo"),
-            F.when(F.col("c").isNull(), F.col("hi")).when(F.col("c.bin") == sections - 1, F.col("hi")).otherwise(F.col("lo") + width * (F.col("c.bin") + 1)).alias("hi"),
-            F.when(F.col("c").isNull(), F.col("base")).otherwise(F.col("c.total") - F.col("c.words")).alias("base"),
-            F.when(F.col("c").isNull(), F.lit(0)).otherwise(F.col("c.n")).alias("inside"),
+            F.when(none, F.col("lo")).otherwise(F.col("lo") + width * F.col("c.bin")).alias("lo"),
+            F.when(none | (F.col("c.bin") == sections - 1), F.col("hi")).otherwise(F.col("lo") + width * (F.col("c.bin") + 1)).alias("hi"),
+            F.when(none, F.col("base")).otherwise(F.col("c.total") - F.col("c.words")).alias("base"),
+            F.when(none, F.lit(0)).otherwise(F.col("c.n")).alias("inside"),
         )
         found = written(nxt, "shift")
         if (found.agg(F.max("inside")).first()[0] or 0) <= 1:
             break
     # the steps left within [lo, hi) are taken if that comes nearer to the target
-    last = _with(left, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
-    shift = _with(found, last).select("source", F.when(F.coalesce(F.abs(F.col("base") + F.col("words") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.lit(False)), F.col("hi")).otherwise(F.col("lo")).alias("shift"))
-    out = _with(rated, written(shift, "shift"))
-    taken = F.when(free & (F.col("size") > 0), F.size(F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda c: (c - F.col("rate") - F.col("fraction")) < F.col("shift")))).otherwise(F.floor(F.col("rate") + F.col("fraction") * F.when(F.col("rate") < cap, F.lit(1.0)).otherwise(F.lit(0.0))))
-    copies = F.least(taken.cast("int"), F.lit(cap))
-    return out.withColumn("copies", copies).select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    last = _with(steps, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
+    nearer = F.coalesce(F.abs(F.col("base") + F.col("words") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.lit(False))
+    return written(_with(found, last).select("source", F.when(nearer, F.col("hi")).otherwise(F.col("lo")).alias("shift")), "shift")
+
+
+def _last_moves(rounded: DataFrame, *, cap: int, rounds: int = 3) -> DataFrame:
+    """Rows to take once more or once less (``__row``, ``__by``), one a source and round, which close what rounding left open.
+
+    In each round, of the rows not moved yet, the one whose size comes nearest to what a source lacks or has too much.
+    """
+    off = rounded.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"))
+    off = written(off, "off")
+    moves = written(rounded.where("false").select(F.col("row").alias("__row"), F.lit(1).alias("__by")), "moves")
+    for _ in range(rounds):
+        left = _with(rounded.where("size > 0"), off, "inner").join(moves.select(F.col("__row").alias("row")), "row", "left_anti")
+        way = F.when(F.col("off") > 0, 1).otherwise(-1)
+        after = F.abs(F.abs("off") - F.col("size"))
+        fit = left.where(((F.col("off") > 0) & (F.col("copies") < cap)) | ((F.col("off") < 0) & (F.col("copies") > 0))).where(after < F.abs("off"))
+        best = written(fit.groupBy("source").agg(F.min_by(F.struct("row", way.alias("by"), "size"), F.struct(after.alias("after"), F.col("id").cast("string").alias("id"), "row")).alias("m")), "best")
+        moves = written(moves.unionByName(best.select(F.col("m.row").alias("__row"), F.col("m.by").alias("__by"))), "moves")
+        off = written(_with(off, best).select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off")), "off")
+    return moves
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
