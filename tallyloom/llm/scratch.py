@@ -1,35 +1,5 @@
-"""Where intermediate results are written so that a lost executor costs no more than a re-read."""
+"""Where intermediate results are written: the library's own scratch tables, under the names used here."""
 
-from __future__ import annotations
+from tallyloom.sinks.scratch import shared_dir, shared_path, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_fallback: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (single-machine tests), one of our own."""
-    global _fallback
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _fallback is None:
-        _fallback = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    return _fallback
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once and its lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "shared_path", "written"]
