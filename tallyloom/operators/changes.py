@@ -11,10 +11,10 @@ def change_order(df: DataFrame, *, ledger: str = "ledger", stage: str = "stage",
     """``df`` with ``out``: each change's place, from 1, in the order in which a ledger applies its changes.
 
     Fees come first, then the transactions by phase, then what follows them, then upgrades (``stage`` 0 to 3). In a
-    parallel phase the operations' changes wait until every transaction of the phase has had its own (``part`` 0), and
-    what comes after an operation is last. Within a group, changes are in order of their key's bytes, then of arrival.
+    parallel phase, operations' changes and what comes after them (``part`` 1 and 2) wait until every transaction of the
+    phase has had what comes before (``part`` 0). Within a group, changes are in order of their key's bytes, then of arrival.
     """
-    waits = F.when(F.coalesce(F.col(parallel), F.lit(False)) & (F.col(part) > 0), F.col(part)).otherwise(F.lit(0))
+    waits = F.when(F.coalesce(F.col(parallel), F.lit(False)) & (F.col(part) > 0), F.lit(1)).otherwise(F.lit(0))
     order = [F.coalesce(F.col(phase), F.lit(0)), waits, F.coalesce(F.col(tx), F.lit(0)), F.col(part), F.coalesce(F.col(op), F.lit(0)), F.col(key), F.col(ord_)]
     return df.withColumn(out, F.row_number().over(Window.partitionBy(ledger).orderBy(stage, *order)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions import assets, ids, money, timing
-from tallyloom.operators import archives, changes as ch, deltas, event_filters as ev, fees, markets, paging, paths, snapshot, transfers
+from tallyloom.operators import archives, changes as ch, deltas, event_filters as ev, fees, flatten, markets, paging, paths, snapshot, transfers
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES, OP_IDS, POS, TRADES
@@ -129,7 +129,7 @@ def q13(t: Tables) -> DataFrame:
 
 
 @query("q14_change_order", f"""with {TRADES} select ledger, line, row_number() over (partition by ledger order by supp % 4, part % 3,
-  case when supp % 2 = 0 and line % 3 > 0 then line % 3 else 0 end, part, line % 3, line, cast(part as varchar), counter) as place from tr""")
+  case when supp % 2 = 0 and line % 3 > 0 then 1 else 0 end, part, line % 3, line, cast(part as varchar), counter) as place from tr""")
 def q14(t: Tables) -> DataFrame:
     rows = views.trades(t).select("ledger", "line", (F.col("supp") % 4).alias("stage"), (F.col("part") % 3).alias("phase"), (F.col("supp") % 2 == 0).alias("parallel"), F.col("part").alias("tx_index"), F.col("line").alias("op_index"), (F.col("line") % 3).alias("part"), F.col("part").cast("string").alias("key"), F.col("counter").alias("ord"))
     return ch.change_order(rows).select("ledger", "line", "place")
@@ -544,3 +544,39 @@ def q70(t: Tables) -> DataFrame:
     e = t.orders.select(k.alias("k"), h(F.col("o_custkey")))
     a = t.orders.where("o_orderkey % 13 <> 0").select(k.alias("k"), h(F.when(k % 11 == 0, F.lit(-1)).otherwise(F.col("o_custkey"))))
     return archives.compare(e, a, keys=["k"], value="h", exempt=F.col("k") % 26 == 0)
+
+
+def _nested(t: Tables) -> DataFrame:
+    """Orders as ledgers, their lines as transactions of one operation."""
+    hashed = F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), 256)
+    line = t.lineitem.select("l_orderkey", "l_linenumber", hashed.alias("hash"), F.concat(F.lit("s"), "l_suppkey").alias("source"), views.cents("l_extendedprice").alias("amount"), "l_returnflag").dropDuplicates(["hash"])
+    op = F.struct(F.when(F.col("l_linenumber") % 2 == 0, F.lit("own")).alias("source"), F.col("amount"))
+    asked = F.struct("hash", "source", F.array(op).alias("operations"))
+    done = F.struct("l_linenumber", "hash", F.when(F.col("l_returnflag") == "R", F.lit("failed")).otherwise(F.lit("success")).alias("result_code"))
+    return line.groupBy(F.col("l_orderkey").alias("sequence")).agg(F.lit(23).alias("protocol"), F.array_sort(F.collect_list(asked)).alias("envelopes"), F.array_sort(F.collect_list(done)).alias("processing"))
+
+
+@query("q71_flatten_operations", """with h as (select distinct l_orderkey as ledger, l_linenumber, sha256(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity) as hash, 's' || l_suppkey as source, cast(round(l_extendedprice * 100) as bigint) as amount, l_returnflag from lineitem),
+i as (select *, row_number() over (partition by ledger order by l_linenumber, hash) as tx_index from h)
+select ledger, tx_index, 1::bigint as op_index, ledger * 4294967296 + tx_index * 4096 + 1 as position, l_returnflag <> 'R' as tx_successful, case when l_linenumber % 2 = 0 then 'own' else source end as op_source, amount from i""")
+def q71(t: Tables) -> DataFrame:
+    ops = flatten.operations(flatten.transactions(_nested(t)))
+    return ops.select("ledger", "tx_index", "op_index", "position", "tx_successful", "op_source", F.col("op.amount").alias("amount"))
+
+
+@query("q72_paired_changes", f"""with {CHANGES}, o as (select user_id, kind, value, row_number() over (partition by user_id order by ms, event_id) - 1 as k from ch),
+p as (select *, lag(kind) over w as kind0, lag(value) over w as value0 from o window w as (partition by user_id order by k))
+select user_id, row_number() over (partition by user_id order by k) - 1 as ord, kind as type, case when kind0 = 'created' and kind <> 'created' then value0 end as pre, case when kind <> 'removed' then value end as post from p where kind <> 'created'""")
+def q72(t: Tables) -> DataFrame:
+    """Signups stand for states: what follows one has its value as its pre."""
+    kind = F.when(F.col("kind") == "created", F.lit("state")).otherwise(F.col("kind"))
+    entry = F.struct("ms", "event_id", kind.alias("type"), F.col("user_id").alias("key"), F.col("value").alias("entry"))
+    rows = views.changes(t).groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = rows.select("user_id", F.posexplode(flatten.paired_changes(F.col("entries"))).alias("ord", "c"))
+    return rows.select("user_id", F.col("ord").cast("long").alias("ord"), "c.type", "c.pre", "c.post")
+
+
+@query("q73_latest_files", "select max(o_orderkey // 64 * 64 + 63) as latest, min(o_orderkey // 64 * 64) as oldest, max(case when o_orderkey // 64 * 64 <= 3000 then o_orderkey // 64 * 64 + 63 end) as up_to from orders")
+def q73(t: Tables) -> DataFrame:
+    files = lake.ledger_files(_keys(t).select(F.col("key").alias("path")).distinct())
+    return files.agg(F.max("last").alias("latest"), F.min("first").alias("oldest"), F.max(F.when(F.col("first") <= 3000, F.col("last"))).alias("up_to"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import archives, changes, deltas, event_filters as ev, fees, paging, paths, snapshot, transfers
+from tallyloom.operators import archives, changes, deltas, event_filters as ev, fees, flatten, paging, paths, snapshot, transfers
 from tallyloom.sinks import tables
 from tallyloom.sources import lake
 
@@ -54,7 +54,7 @@ def test_newest_wins(spark):
 def test_change_order_waits_in_parallel_phases(spark):
     rows = [(1, 1, 1, True, tx, op, part, b"k", i) for i, (tx, op, part) in enumerate([(1, None, 0), (1, 1, 1), (1, None, 2), (2, None, 0), (2, 1, 1), (2, None, 2)])]
     df = spark.createDataFrame(rows, "ledger long, stage int, phase int, parallel boolean, tx_index int, op_index int, part int, key binary, ord long")
-    assert [r.ord for r in changes.change_order(df).orderBy("place").collect()] == [0, 3, 1, 4, 2, 5]
+    assert [r.ord for r in changes.change_order(df).orderBy("place").collect()] == [0, 3, 1, 2, 4, 5]
     assert [r.ord for r in changes.change_order(df.withColumn("parallel", F.lit(False))).orderBy("place").collect()] == [0, 1, 2, 3, 4, 5]
 
 
@@ -159,3 +159,32 @@ def test_fee_movements_and_pools(spark):
     assert [(r.source, r.target, r.asset, r.amount) for r in transfers.pool_movements(good).collect()] == [("p", "a", "y", 5)]
     with pytest.raises(Exception, match="deposit of nothing"):
         transfers.pool_movements(spark.createDataFrame([(1, 1, 1, True, "pool_deposit", "a", "p", "x", 0, "y", 5)], ops)).collect()
+
+
+def test_nested_ledgers_come_apart(spark):
+    asked = [("h2", "acc2", [(None, 5)]), ("h1", "acc1", [("other", 1), (None, 2)])]
+    done = [("h1", "success", [("state", "k", 1), ("updated", "k", 2), ("created", "n", 3)], [(1, "x"), (None, "y")]), ("h2", "failed", [], [])]
+    ledger = "sequence long, protocol int, envelopes array<struct<hash:string,source:string,operations:array<struct<source:string,amount:long>>>>, processing array<struct<hash:string,result_code:string,changes:array<struct<type:string,key:string,entry:long>>,events:array<struct<op_index:int,body:string>>>>"
+    batch = spark.createDataFrame([(64, 127, [(65, 23, asked, done)])], f"start long, end long, ledgers array<struct<{ledger.replace(' long', ':long').replace(' int', ':int').replace(' array', ':array').replace(', protocol', ',protocol').replace(', envelopes', ',envelopes').replace(', processing', ',processing')}>>")
+    txs = flatten.transactions(flatten.ledgers(batch))
+    ops = flatten.operations(txs).orderBy("position").collect()
+    assert [(r.tx_index, r.op_index, r.op_source, r.tx_successful) for r in ops] == [(1, 1, "other", True), (1, 2, "acc1", True), (2, 1, "acc2", False)]
+    assert [tuple(r) for r in flatten.changes(txs).orderBy("ord").collect()] == [(65, 1, 0, "updated", "k", 1, 2), (65, 1, 1, "created", "n", None, 3)]
+    assert [r.body for r in flatten.events(txs).orderBy("cursor").collect()] == ["y", "x"]
+    with pytest.raises(Exception, match="outside its batch"):
+        flatten.ledgers(batch.withColumn("start", F.lit(66).cast("long"))).collect()
+    lost = flatten.ledgers(batch).withColumn("envelopes", F.slice("envelopes", 1, 1))
+    with pytest.raises(Exception, match="no envelope"):
+        flatten.transactions(lost).collect()
+
+
+def test_transaction_fields(spark):
+    one = spark.range(1)
+    memo = flatten.memo_text(F.lit("id"), F.lit(None), F.lit(7), F.lit(None))
+    assert one.select(memo, flatten.bounds_text(F.lit(5), F.lit(0)), flatten.bounds_text(F.lit(5), F.lit(9)), flatten.close_ms(F.lit(2), F.lit(None).cast("long"))).first()[:] == ("7", "[5,)", "[5,9)", 2000)
+    fee = flatten.fee_charged(F.lit(100), F.lit(30), contract=F.lit(True), fee_bump=F.lit(True), protocol=F.lit(20))
+    assert one.select(fee, flatten.inclusion_fee(F.lit(100), F.lit(0), F.lit(2), contract=F.lit(False), fee_bump=F.lit(True))).first()[:] == (70, 33)
+    atoms = spark.createDataFrame([([("a", 1), ("a", 2), ("b", 4), ("a", 8)],), ([],)], "atoms array<struct<asset_bought:string,amount_bought:long>>")
+    assert [r[0] for r in atoms.select(flatten.receive_source_amount(F.lit(99).cast("long"), F.col("atoms"))).collect()] == [3, 99]
+    who = spark.createDataFrame([([("k", 2)],)], "s array<struct<key:string,weight:int>>")
+    assert who.select(flatten.signer_weights(F.col("s"), F.lit("me"), F.lit(1))).first()[0] == {"k": 2, "me": 1}
