@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 #: Version bytes of the kinds of address. Fixed values of the format.
 VERSIONS = {"account": 6 << 3, "seed": 18 << 3, "muxed": 12 << 3, "pre_auth_tx": 19 << 3, "hash_x": 23 << 3, "signed_payload": 15 << 3, "contract": 2 << 3, "pool": 11 << 3, "claimable": 1 << 3}
@@ -28,6 +29,30 @@ def decode_one(text: str, version: int | None = None) -> bytes | None:
     return raw[1:-2] if encode_one(raw[0], raw[1:-2]) == text else None
 
 
+#: The kind that a first letter stands for. Fixed values of the format.
+KINDS = {"G": "account", "S": "seed", "M": "muxed", "T": "pre_auth_tx", "X": "hash_x", "P": "signed_payload", "C": "contract", "L": "pool", "B": "claimable"}
+
+
+def kind_of(address: Column) -> Column:
+    """The kind of an address by its first letter, null for others; whether it is valid is for ``decoder`` to say."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.substring(address, 1, 1))
+
+
+def muxed_parts(address: Column) -> Column:
+    """The account and the number behind a muxed address; nulls if it is none."""
+
+    @F.pandas_udf("struct<account:string,id:decimal(20,0)>")
+    def parts(addresses: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a in addresses:
+            raw = None if a is None else decode_one(a, VERSIONS["muxed"])
+            fine = raw is not None and len(raw) == 40
+            rows.append((encode_one(VERSIONS["account"], raw[:32]), Decimal(int.from_bytes(raw[32:], "big"))) if fine else (None, None))
+        return pd.DataFrame(rows, columns=["account", "id"])
+
+    return parts(address)
+
+
 def encoder(kind: str):
     version = VERSIONS[kind]
 

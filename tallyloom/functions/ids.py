@@ -102,3 +102,12 @@ def category_path(category: Column, checkpoint: Column, extension: str = "xdr.gz
     """Where an archive keeps a checkpoint's file of a category."""
     h = F.lower(F.lpad(F.hex(checkpoint.cast("long")), 8, "0"))
     return F.concat_ws("/", category, F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2), F.concat(category, F.lit("-"), h, F.lit(f".{extension}")))
+
+
+def path_prefixes(first: Column, last: Column, every: int = 64) -> Column:
+    """The distinct folders (three hex levels) of the checkpoints from ``first`` to ``last``."""
+    def folder(c: Column) -> Column:
+        h = F.lower(F.lpad(F.hex(c), 8, "0"))
+        return F.concat_ws("/", F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2))
+
+    return F.array_distinct(F.transform(F.sequence(next_checkpoint(first, every), next_checkpoint(last, every), F.lit(every).cast("long")), folder))

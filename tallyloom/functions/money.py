@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 UNIT_DIGITS = 7
@@ -112,3 +115,32 @@ def pool_expectation(reserve_in: Column, reserve_out: Column, paid: Column, fee_
     taken = F.floor((top - rest) / bottom).cast("decimal(38,0)") + F.when(rest > 0, 1).otherwise(0)
     fine = (reserve_in > 0) & (reserve_out > 0) & (paid > 0) & (paid < reserve_out) & (fee_bps >= 0) & (fee_bps < 10_000)
     return F.when(fine, F.when(taken <= F.lit(MAX_AMOUNT) - reserve_in, taken.cast("long")))
+
+
+def nearest_price(text: str | None) -> tuple[int, int] | None:
+    """The last continued-fraction approximation n / d of a decimal text whose parts fit 31 bits; null if there is none."""
+    try:
+        left = Fraction(text)
+    except (TypeError, ValueError, ZeroDivisionError):
+        return None
+    top, bottom, best = (0, 1), (1, 0), None
+    while left >= 0:
+        whole = left.numerator // left.denominator
+        top, bottom = (top[1], whole * top[1] + top[0]), (bottom[1], whole * bottom[1] + bottom[0])
+        if max(top[1], bottom[1]) > 2147483647:
+            break
+        best = (top[1], bottom[1])
+        if left == whole:
+            break
+        left = 1 / (left - whole)
+    return best if best and best[0] > 0 and best[1] > 0 else None
+
+
+def parse_price(text: Column) -> Column:
+    """Decimal texts as rational prices."""
+
+    @F.pandas_udf("struct<n:int,d:int>")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([nearest_price(t) or (None, None) for t in texts], columns=["n", "d"]).astype("Int32")
+
+    return parse(text)

@@ -66,3 +66,20 @@ def occupancy(levels: Column) -> Column:
     """A mark for each level (curr, snap, next): ``#`` if any is set, else ``_``."""
     zero = "0" * 64
     return F.array_join(F.transform(levels, lambda x: F.when((F.coalesce(x["curr"], F.lit(zero)) != zero) | (F.coalesce(x["snap"], F.lit(zero)) != zero) | (F.coalesce(x["next"], F.lit(zero)) != zero), F.lit("#")).otherwise(F.lit("_"))), "")
+
+
+def changed_levels(now: Column, before: Column) -> Column:
+    """Two marks a level (curr, snap): ``#`` where the hash is not the one before, else ``_``."""
+    mark = lambda a, b: F.when(a.eqNullSafe(b), F.lit("_")).otherwise(F.lit("#"))
+    return F.array_join(F.zip_with(now, before, lambda a, b: F.concat(mark(a["curr"], b["curr"]), mark(a["snap"], b["snap"]))), "")
+
+
+def checkpoint_log(states: DataFrame, headers: DataFrame, *, checkpoint: str = "checkpoint", every: int = 64) -> DataFrame:
+    """By checkpoint: its last close time, the transactions of its ledgers, and which levels changed since the one before.
+
+    The state before is found by a join on the checkpoint's number, not by sorting all checkpoints in one task.
+    """
+    sums = headers.groupBy((F.ceil((F.col("sequence") + 1) / every).cast("long") * every - 1).alias(checkpoint)).agg(F.max_by("close_time", "sequence").alias("closed"), F.sum("tx_count").alias("txs"))
+    before = states.select((F.col(checkpoint) + every).alias(checkpoint), F.col("levels").alias("__before"))
+    joined = states.join(before, checkpoint, "left").join(sums, checkpoint, "left")
+    return joined.select(checkpoint, "closed", "txs", F.when(F.col("__before").isNotNull(), changed_levels(F.col("levels"), F.col("__before"))).alias("changed"), occupancy(F.col("levels")).alias("occupied"))

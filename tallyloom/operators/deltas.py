@@ -41,3 +41,9 @@ def reconciled(left: DataFrame, right: DataFrame, *, keys: list[str], value: str
     diff = F.coalesce(F.col("left_value"), F.lit(0)) - F.coalesce(F.col("right_value"), F.lit(0))
     rows = mismatches(left, right, keys=keys, value=value).withColumn("diff", diff).where("diff <> 0")
     return rows.select(*keys, F.when(F.col("diff") > 0, F.lit("mint")).otherwise(F.lit("burn")).alias("kind"), F.abs("diff").alias("amount"), F.when(F.col("diff") > 0, F.lit(0)).otherwise(F.lit(2)).alias("place"))
+
+
+def pool_changes(changes: DataFrame, *, keys: list[str], pool: str = "pool_id") -> DataFrame:
+    """How far an operation moved each reserve of a pool: (…, asset, amount), from states before and after (null: nothing)."""
+    side = lambda x: F.struct(F.coalesce(F.col(f"post.asset_{x}"), F.col(f"pre.asset_{x}")).alias("asset"), F.abs(F.coalesce(F.col(f"post.reserve_{x}"), F.lit(0)) - F.coalesce(F.col(f"pre.reserve_{x}"), F.lit(0))).alias("amount"))
+    return changes.select(*keys, pool, F.explode(F.array(side("a"), side("b"))).alias("s")).select(*keys, pool, "s.asset", "s.amount")

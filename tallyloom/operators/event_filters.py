@@ -56,3 +56,19 @@ def fits(filters: list[EventFilter], *, kind: Column, contract: Column, topics:
             one &= reduce(lambda a, b: a | b, [fits_pattern(topics, p) for p in f.topics])
         found.append(one)
     return reduce(lambda a, b: a | b, found) if found else F.lit(True)
+
+
+def check_request(*, filters: list[EventFilter], limit: int, max_limit: int, first: int | None = None, last: int | None = None, after: str | None = None, max_filters: int = MAX_FILTERS, ascending_needs_first: bool = False) -> None:
+    """A request names a range or a cursor, not both; at most ``max_filters`` filters of good form; a limit in 1..max_limit."""
+    if after is not None and (first is not None or last is not None):
+        raise ValueError("a range and a cursor exclude each other")
+    if after is None and first is None and (ascending_needs_first or last is None):
+        raise ValueError("a first ledger is needed")
+    if first is not None and last is not None and first > last:
+        raise ValueError("the range is empty")
+    if not 1 <= limit <= max_limit:
+        raise ValueError(f"limit must be in 1..{max_limit}")
+    if len(filters) > max_filters:
+        raise ValueError("too many filters")
+    for f in filters:
+        f.check()

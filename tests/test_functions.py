@@ -104,3 +104,24 @@ def test_assets(spark):
 def test_time_buckets(spark):
     df = spark.createDataFrame([(0,), (59_999,), (60_000,), (-1,)], "ms long")
     assert [r[:] for r in df.select(timing.round_down(C("ms"), 60_000), timing.round_up(C("ms"), 60_000)).collect()] == [(0, 0), (0, 60_000), (60_000, 60_000), (-60_000, 0)]
+
+
+def test_prices_from_text(spark):
+    df = spark.createDataFrame([("0.5",), ("3.1415926",), ("1000000000.5",), ("0.0000000003",), ("4294967296",), ("x",), ("-1",), (None,)], "t string")
+    got = [tuple(r[0]) for r in df.select(money.parse_price(C("t"))).collect()]
+    assert got[0] == (1, 2) and got[1] == (15707963, 5000000) and got[4:] == [(None, None)] * 4
+    for (n, d), t in zip(got[2:4], ("1000000000.5", "0.0000000003"), strict=True):
+        assert n is None or abs(Fraction(n, d) - Fraction(t)) <= Fraction(t)
+
+
+def test_muxed_addresses(spark):
+    key = bytes(range(32))
+    text = address.encode_one(address.VERSIONS["muxed"], key + (2**63 + 5).to_bytes(8, "big"))
+    df = spark.createDataFrame([(text,), ("M",), (None,)], "a string")
+    rows = df.select(address.kind_of(C("a")), address.muxed_parts(C("a"))).collect()
+    assert rows[0][0] == "muxed" and rows[0][1].account == address.encode_one(address.VERSIONS["account"], key) and int(rows[0][1].id) == 2**63 + 5
+    assert rows[1][1].account is None and rows[2][1].account is None
+
+
+def test_path_prefixes(spark):
+    assert spark.range(1).select(ids.path_prefixes(F.lit(63).cast("long"), F.lit(300).cast("long"))).first()[0] == ["00/00/00", "00/00/01"]

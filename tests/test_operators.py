@@ -188,3 +188,25 @@ def test_transaction_fields(spark):
     assert [r[0] for r in atoms.select(flatten.receive_source_amount(F.lit(99).cast("long"), F.col("atoms"))).collect()] == [3, 99]
     who = spark.createDataFrame([([("k", 2)],)], "s array<struct<key:string,weight:int>>")
     assert who.select(flatten.signer_weights(F.col("s"), F.lit("me"), F.lit(1))).first()[0] == {"k": 2, "me": 1}
+
+
+def test_checkpoint_log(spark):
+    h = lambda c: c * 64
+    states = spark.createDataFrame([(63, [(h("a"), h("b"), h("0"))]), (127, [(h("a"), h("c"), h("0"))])], "checkpoint long, levels array<struct<curr:string,snap:string,next:string>>")
+    headers = spark.createDataFrame([(s, s * 5, 2) for s in range(1, 128)], "sequence long, close_time long, tx_count long")
+    got = [tuple(r) for r in archives.checkpoint_log(states, headers).orderBy("checkpoint").collect()]
+    assert got == [(63, 315, 126, None, "#"), (127, 635, 128, "_#", "#")]
+
+
+def test_pool_changes(spark):
+    kind = "struct<asset_a:string,reserve_a:long,asset_b:string,reserve_b:long>"
+    df = spark.createDataFrame([(1, "p", ("x", 10, "y", 5), ("x", 4, "y", 9)), (2, "q", None, ("x", 7, "y", 1))], f"op long, pool_id string, pre {kind}, post {kind}")
+    assert sorted(tuple(r) for r in deltas.pool_changes(df, keys=["op"]).collect()) == [(1, "p", "x", 6), (1, "p", "y", 4), (2, "q", "x", 7), (2, "q", "y", 1)]
+
+
+@pytest.mark.parametrize("bad", [{"after": "c", "first": 1}, {"first": 5, "last": 4}, {"limit": 0}, {"limit": 101}, {"first": None}, {"filters": [ev.EventFilter()] * 6}])
+def test_requests_are_checked(bad):
+    good = {"filters": [], "limit": 10, "max_limit": 100, "first": 1}
+    ev.check_request(**good)
+    with pytest.raises(ValueError, match="range|limit|first|filters"):
+        ev.check_request(**(good | bad))
