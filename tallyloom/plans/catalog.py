@@ -9,8 +9,9 @@ from tallyloom.operators import archives, changes as ch, deltas, event_filters a
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES, OP_IDS, POS, TRADES
-from tallyloom.sinks import tables
+from tallyloom.sinks import scratch, tables
 from tallyloom.sources import lake
+from tallyloom.streaming import ledger_stream
 
 WEEK, DAY = markets.RESOLUTIONS["1w"], markets.RESOLUTIONS["1d"]
 
@@ -437,6 +438,16 @@ def q54(t: Tables) -> DataFrame:
     return uris.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query("q54b_stream_windows", "select event_type, epoch_us(ts) // 1000 // 86400000 * 86400000 as start, count(*) as n from events group by 1, 2")
+def q54b(t: Tables) -> DataFrame:
+    """The tumbling windows of q50, from a stream that runs until it has read all there is."""
+    stream = ledger_stream.file_stream(t.spark, f"{t.folder}/events.parquet")
+    counts = ledger_stream.windowed_counts(stream, time="ts", keys=["event_type"], length="1 day")
+    sink = scratch.shared_path(t.spark, "stream").rsplit("/", 1)[1].replace("-", "_")
+    ledger_stream.run_now(counts, sink=sink, mode="complete", checkpoint=scratch.shared_path(t.spark, "offsets"))
+    return t.spark.table(sink).select("event_type", F.unix_millis("window.start").alias("start"), "n")
+
+
 @query("q55_trade_legs", f"with {TRADES}, x as (select ledger, line, 's' || supp as seller, 'l' || ledger as taker, 'p' || part as sold, base, counter from tr) select ledger, line, 0 as leg, seller as source, taker as target, sold as asset, base as amount from x union all select ledger, line, 1, taker, seller, 'cents', counter from x")
 def q55(t: Tables) -> DataFrame:
     c = F.col

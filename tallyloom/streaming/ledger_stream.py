@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.functions.timing import epoch_ms
 
-def file_stream(spark: SparkSession, path: str, *, like: DataFrame | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream over the Parquet files of a folder (a single file is taken as its folder, with that name as a glob)."""
-    schema = (like or spark.read.parquet(path)).schema
-    reader = spark.readStream.schema(schema)
+
+def file_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over the Parquet files at a path, with the schema that they have now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    at = PurePosixPath(path.split("://", 1)[-1])
-    if at.suffix == ".parquet":
-        return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
-    return reader.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}")  # as a pattern, so that it may be a single file
 
 
 def windowed_counts(events: DataFrame, *, time: str, keys: list[str], length: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Counts by key and window of event time; events later than the watermark are dropped."""
-    timed = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", watermark)
+    """Counts by key and window of event time, a timestamp without a zone taken as UTC; events later than the watermark are dropped."""
+    timed = events.withColumn("__t", F.timestamp_millis(epoch_ms(F.col(time)))).withWatermark("__t", watermark)
     return timed.groupBy(F.window("__t", length, slide), *keys).agg(F.count("*").alias("n"))
 
 
