@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.bytescan import U64, mix, row_of, signed, slices, window_hashes, word_hashes
 from tallyloom.llm.components import components
-from tallyloom.llm.groups import Sets, runs
+from tallyloom.llm.groups import runs
 from tallyloom.llm.prefix_tree import build, matches
 from tallyloom.llm.scratch import written
 
@@ -20,6 +20,8 @@ from tallyloom.llm.scratch import written
 SKETCH_BITS = 22
 #: Least bits of a set's parity map; two sets differ in at least as many items as their maps in bits.
 PARITY_BITS = 512
+#: Bits an item of the maps that are sent with whole sets.
+FINE = 4
 #: Members of a group that one task compares; larger groups are compared as pairs of such blocks.
 BLOCK = 1024
 
@@ -94,18 +96,59 @@ def _need(size: int, t: Fraction):
     return lambda other: -((-num * (size + other)) // den)
 
 
-def _parity(grams: np.ndarray) -> bytes:
-    """A bit for each range of hashes, with whether the set has an odd number of items there; more bits for larger sets."""
-    width = max(PARITY_BITS, 1 << max(0, (len(grams) // 2 - 1).bit_length())).bit_length() - 1
+def _parity(grams: np.ndarray, grain: int = 1) -> bytes:
+    """A bit for each range of hashes, with whether the set has an odd number of items there: about ``grain`` bits an item."""
+    width = max(PARITY_BITS, 1 << max(0, grain * len(grams) - 1).bit_length()).bit_length() - 1
     odd = np.bincount((mix(grams ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(64 - width)).astype(np.int64), minlength=1 << width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(maps: np.ndarray, least: int) -> np.ndarray:
+    """Parity maps (rows of bytes) as maps of ``least`` bytes: each bit of these is the sum of the bits of its range."""
+    if maps.shape[1] == least:
+        return maps
+    return np.packbits(np.unpackbits(maps, axis=1).reshape(len(maps), least * 8, -1).sum(2, dtype=np.int64).astype(np.uint8) & 1, axis=1)
+
+
 def _maps(group: pa.RecordBatch) -> np.ndarray:
     """The parity maps of a group, all folded to its smallest."""
-    maps = [np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()]
-    least = min(map(len, maps))
-    return np.stack([m if len(m) == least else np.packbits(np.unpackbits(m).reshape(least * 8, -1).sum(1, dtype=np.int64).astype(np.uint8) & 1) for m in maps]).view(U64)
+    maps = [np.frombuffer(x, np.uint8)[None, :] for x in group.column("bits").to_pylist()]
+    least = min(m.shape[1] for m in maps)
+    return np.concatenate([_folded(m, least) for m in maps]).view(U64)
+
+
+class _Classes:
+    """The parity maps of a family by their size; a pair is compared at the size of its smaller one."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray, t: Fraction):
+        widths = np.array([len(m) for m in maps])
+        self.maps, self.sizes, self.t = maps, sizes, t
+        self.rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(self, width: int, least: int) -> np.ndarray:
+        if (width, least) not in self.held:
+            own = np.frombuffer(b"".join(self.maps[k] for k in self.rows[width].tolist()), np.uint8).reshape(-1, width)
+            self.held[width, least] = np.ascontiguousarray(_folded(own, least)).view(U64)
+        return self.held[width, least]
+
+    def near(self, k: int) -> np.ndarray:
+        """Which rows may link with row ``k``, by size and parity map (never leaves out a link)."""
+        out = np.zeros(len(self.sizes), bool)
+        own, mine = int(self.sizes[k]), np.frombuffer(self.maps[k], np.uint8)[None, :]
+        low, high = -((-own * self.t.numerator) // self.t.denominator), own * self.t.denominator // self.t.numerator
+        for width, rows in self.rows.items():
+            other = self.sizes[rows]
+            fit = (other >= low) & (other <= high)
+            if not fit.any():
+                continue
+            least = min(width, mine.shape[1])
+            apart = np.bitwise_count(self.at(width, least)[fit] ^ np.ascontiguousarray(_folded(mine, least)).view(U64)).sum(1, dtype=np.int64)
+            both = own + other[fit]
+            shared = -((-self.t.numerator * both) // (self.t.numerator + self.t.denominator))
+            out[rows[fit]] = apart <= both - 2 * shared
+        out[k] = False
+        return out
 
 
 def _near(bits: np.ndarray, sizes: np.ndarray, probes: np.ndarray, t: Fraction) -> np.ndarray:
@@ -151,51 +194,43 @@ def _candidates(t: Fraction):
 
 
 def _link(t: Fraction):
-    """From groups of sets to enough links that all links of the group are within components."""
+    """From families of sets to enough links that all links of the family are within components."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for group in runs(batches, ["family", "i", "j"]):
             if group.num_rows < 2:
                 continue
-            ids = group.column("v").to_numpy()
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             raw = [np.frombuffer(x, np.int64) for x in group.column("items").to_pylist()]
             values, inverse, count = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
             rank = np.empty(len(values), np.int64)
-            rank[np.lexsort((values, -count))] = np.arange(len(values))  # one order for all: the group's commonest items first
+            rank[np.lexsort((values, -count))] = np.arange(len(values))  # one order for all: the family's commonest items first
             cuts = np.cumsum([len(x) for x in raw])[:-1]
             members = [np.sort(x).tolist() for x in np.split(rank[inverse], cuts)]
             order = sorted(range(len(members)), key=members.__getitem__)
             members = [members[k] for k in order]
-            ids, bits = ids[order], _maps(group)[order]
-            sizes = np.array([len(m) for m in members])
-            sets = Sets(len(ids))
-            known: dict[int, int] = {}
-            for k, v in enumerate(ids.tolist()):  # rows of one id are one node
-                sets.join(k, known.setdefault(v, k))
+            ids, own = group.column("v").to_numpy()[order], group.column("own").to_numpy()[order]
+            bits = group.column("bits").to_pylist()
+            classes = _Classes([bits[k] for k in order], np.array([len(m) for m in members]), t)
+            label = np.unique(ids, return_inverse=True)[1]  # rows of one id are one node
             root = build(members)
-            for k in range(len(members)):
-                near = _near(bits, sizes, np.array([k]), t)[0]
-                near[: k + 1] = False
-                if not near.any():
-                    continue
-                mine = sets.find(k)
-                for other in np.flatnonzero(near).tolist():
-                    if sets.find(other) == mine:
-                        near[other] = False
+            for k in np.flatnonzero(own == i).tolist():
+                near = classes.near(k) & (label != label[k])
+                if i == j:
+                    near[: k + 1] = False
+                else:  # pairs within a block meet in a group of its own
+                    near &= own == j
                 while near.any():
                     allowed = np.zeros(len(near) + 1, np.int64)
                     np.cumsum(near, out=allowed[1:])
                     found = next(iter(matches(root, members[k], allowed, _need(len(members[k]), t))), None)
                     if found is None:
                         break
-                    sets.join(k, found[0])
                     left.append(ids[k])
                     right.append(ids[found[0]])
-                    mine = sets.find(k)
-                    for other in np.flatnonzero(near).tolist():
-                        if sets.find(other) == mine:
-                            near[other] = False
+                    label[label == label[found[0]]] = label[k]
+                    near &= label != label[k]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int64)), pa.array(np.array(right, np.int64))], ["a", "b"])
 
     return scan
@@ -248,7 +283,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s, FINE) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
 
     wanted = families.select(F.col("node").alias("doc")).hint("merge")  # grows with the corpus: never broadcast
     items = known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary")
@@ -258,7 +293,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         families.join(parts, "component")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
         .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select(F.col("node").alias("v"), F.col("component").alias("family"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+        .select(F.col("node").alias("v"), F.col("component").alias("family"), "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
     )
     walked = places.join(items, "v").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = walked.mapInArrow(_link(t), "a long, b long")
