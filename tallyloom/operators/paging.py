@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def page(df: DataFrame, *, key: Column, after: object = None, limit: int = 10, descending: bool = False, max_limit: int = 200) -> DataFrame:
-    """The next ``limit`` rows after ``after`` in order of ``key``. The bound is a filter on the key, which scans can use."""
+def page(df: DataFrame, *, key: Column, after: object = None, limit: int = 10, descending: bool = False, max_limit: int = 200, implied: Column | None = None) -> DataFrame:
+    """The next ``limit`` rows after ``after`` in order of ``key``.
+
+    The bound is a filter on the key. Where the key is computed, scans cannot use that: ``implied`` is a condition on
+    stored columns that every row of the page fulfils, which they can.
+    """
     if not 0 < limit <= max_limit:
         raise ValueError(f"limit must be in 1..{max_limit}")
+    if implied is not None:
+        df = df.where(implied)
     if after is not None:
         df = df.where(key < F.lit(after) if descending else key > F.lit(after))
     return df.orderBy(key.desc() if descending else key.asc()).limit(limit)

@@ -49,14 +49,14 @@ def q04(t: Tables) -> DataFrame:
 
 @query("q05_page", f"with {OP_IDS} select {POS} as position, supp from oi where {POS} > 500 * 4294967296 order by position limit 50")
 def q05(t: Tables) -> DataFrame:
-    rows = views.op_ids(t).select(ids.position(F.col("ledger"), F.col("tx"), F.col("op")).alias("position"), "supp")
-    return paging.page(rows, key=F.col("position"), after=500 << 32, limit=50)
+    rows = views.op_ids(t).withColumn("position", ids.position(F.col("ledger"), F.col("tx"), F.col("op")))
+    return paging.page(rows, key=F.col("position"), after=500 << 32, limit=50, implied=F.col("ledger") >= 500).select("position", "supp")
 
 
 @query("q06_page_back", f"with {OP_IDS} select {POS} as position, supp from oi where {POS} < 500 * 4294967296 order by position desc limit 50")
 def q06(t: Tables) -> DataFrame:
-    rows = views.op_ids(t).select(ids.position(F.col("ledger"), F.col("tx"), F.col("op")).alias("position"), "supp")
-    return paging.page(rows, key=F.col("position"), after=500 << 32, limit=50, descending=True)
+    rows = views.op_ids(t).withColumn("position", ids.position(F.col("ledger"), F.col("tx"), F.col("op")))
+    return paging.page(rows, key=F.col("position"), after=500 << 32, limit=50, descending=True, implied=F.col("ledger") < 500).select("position", "supp")
 
 
 KEYS_SQL = """k as (select o_orderkey as sequence,
