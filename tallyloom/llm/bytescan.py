@@ -6,6 +6,7 @@ White space is the ASCII set ``[\\x20\\x09-\\x0D]``; lower-casing, where asked f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def release() -> None:
+    """Gives memory that is free in this process back, as workers live on beside the JVM and the workers of other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose ``column`` has about ``limit`` bytes; a longer text makes a run of its own."""
     n = batch.num_rows
@@ -44,6 +54,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         hi = min(n, max(lo + 1, hi))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,10 @@ from tallyloom.llm.bytescan import U64, row_of, slices, span_hashes, spans, text
 from tallyloom.llm.scratch import written
 
 #: Words share this many vectors by hash; looks (see ``_looks``) have one each.
-WORDS, LOOKS, DIMS, NONZERO, REACH = 1 << 15, 1 << 12, 64, 8, 2
+WORDS, LOOKS, DIMS, NONZERO, REACH = 1 << 14, 1 << 12, 64, 8, 2
+
+#: Bytes of text whose word vectors are held at once, some 40 times as large.
+STEP = 512 << 10
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -167,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("__doc", F.lit("quality")), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
     rows = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__doc")  # at most about ``sample`` rows
-    rows = written(rows.select("__doc", "text", "__y").repartition(8, "__doc").sortWithinPartitions("__doc", "text"), "sample")
+    rows = written(rows.select("__doc", "text", "__y").repartition(6, "__doc").sortWithinPartitions("__doc", "text"), "sample")
     word_index, look_index = index_vectors(WORDS, 11), index_vectors(LOOKS, 12)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([word_sum.tobytes()], pa.binary()), pa.array([look_sum.tobytes()], pa.binary())], ["least", "words", "looks"])
 
     word_sum, look_sum = np.zeros((WORDS, DIMS)), np.zeros((LOOKS, DIMS))
-    for r in sorted(rows.mapInArrow(contexts, "least long, words binary, looks binary").toLocalIterator(), key=lambda r: r.least):  # 8 rows
+    for r in sorted(rows.mapInArrow(contexts, "least long, words binary, looks binary").toLocalIterator(), key=lambda r: r.least):  # 6 rows
         word_sum += np.frombuffer(r.words, np.float32).reshape(WORDS, DIMS)
         look_sum += np.frombuffer(r.looks, np.float32).reshape(LOOKS, DIMS)
     words, looks = _vectors(word_sum, word_index), _vectors(look_sum, look_index)
@@ -191,7 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 pooled = _pooled(part.column("text"), *held.value)
                 yield pa.RecordBatch.from_arrays([part.column("__doc"), part.column("__y"), pa.array([x.tobytes() for x in pooled], pa.binary())], ["doc", "y", "x"])
 
@@ -213,9 +216,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
 
 def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col``, the probability of label 1 from the whole text alone (replaced if there).
+    """``docs`` with ``score_col``, the probability of label 1 from the whole text (a string column) alone (replaced if there).
 
-    Null and empty texts are scored as texts of no words. A pass over the rows without a shuffle; the model, some 9 MB
+    Null and empty texts are scored as texts of no words. A pass over the rows without a shuffle; the model, some 5 MB
     whatever the corpus, is broadcast.
     """
     keep = [n for n in docs.columns if n != score_col]
@@ -224,10 +227,9 @@ def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", scor
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = held.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                scores = _scores(_pooled(part.column("__text"), parts[0], parts[1]), parts)
+            for part in slices(batch, text_col, STEP):
+                scores = _scores(_pooled(part.column(text_col), parts[0], parts[1]), parts)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(scores.astype(np.float64))], [*keep, score_col])
 
-    given = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add(score_col, "double")
-    return given.mapInArrow(score, schema)
+    return docs.select(*keep).mapInArrow(score, schema)
