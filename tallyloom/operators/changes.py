@@ -16,7 +16,7 @@ def change_order(df: DataFrame, *, ledger: str = "ledger", stage: str = "stage",
     """
     waits = F.when(F.coalesce(F.col(parallel), F.lit(False)) & (F.col(part) > 0), F.lit(1)).otherwise(F.lit(0))
     order = [F.coalesce(F.col(phase), F.lit(0)), waits, F.coalesce(F.col(tx), F.lit(0)), F.col(part), F.coalesce(F.col(op), F.lit(0)), F.col(key), F.col(ord_)]
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(ledger).orderBy(stage, *order)))
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(ledger).orderBy(stage, *order)).cast("long"))
 
 
 def paired(states: DataFrame, *, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -38,7 +38,7 @@ def order_book(offers: DataFrame, *, side: str, n: str, d: str, amount: str, key
     levels = offers.groupBy(*keys, side, n, d).agg(F.sum(amount).alias("amount"))
     price = F.col(n).cast("decimal(19,0)") / F.col(d).cast("decimal(19,0)")
     w = Window.partitionBy(*keys, side).orderBy(F.when(F.col(side) == "ask", price).otherwise(-price), F.col(n), F.col(d))
-    return levels.withColumn("level", F.row_number().over(w)).where(F.col("level") <= depth)
+    return levels.withColumn("level", F.row_number().over(w).cast("long")).where(F.col("level") <= depth)
 
 
 def asset_stats(holdings: DataFrame, *, keys: list[str], balance: str, status: str, statuses: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ def newest(entries: DataFrame, *, keys: list[str], newest_first: list[Column], d
 
 def newest_ranked(entries: DataFrame, *, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """All entries with ``age``, 1 for the newest of a key."""
-    return entries.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first)))
+    return entries.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first)).cast("long"))
 
 
 def archived(entries: DataFrame, *, keys: list[str], newest_first: list[Column], is_archived: Column) -> DataFrame:

@@ -65,4 +65,4 @@ def event_order(events: DataFrame, *, ledger: str = "ledger", step: str = "step"
     """``events`` with their place in the ledger: all fees first; then, by protocol, refunds after all operations (23 on) or after their own transaction."""
     late = F.when(F.col(protocol) >= 23, F.when(F.col(step) == "refund", 2).when(F.col(step) == "fee", 0).otherwise(1)).otherwise(F.when(F.col(step) == "fee", 0).otherwise(1))
     w = Window.partitionBy(ledger).orderBy(late, tx, F.when(F.col(step) == "refund", 1).otherwise(0), *order)
-    return events.withColumn(out, F.row_number().over(w))
+    return events.withColumn(out, F.row_number().over(w).cast("long"))

@@ -251,7 +251,7 @@ def q29(t: Tables) -> DataFrame:
 def q30(t: Tables) -> DataFrame:
     envelopes = t.orders.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"), (F.col("o_totalprice") > 1000).alias("large"))
     processed = t.lineitem.select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("hash"), "l_orderkey", "l_linenumber")
-    return processed.join(envelopes, "hash").select("l_orderkey", "l_linenumber", "large", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("apply_index"))
+    return processed.join(envelopes, "hash").select("l_orderkey", "l_linenumber", "large", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).cast("long").alias("apply_index"))
 
 
 @query("q31_wanted", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size = 7)")
@@ -506,7 +506,7 @@ def q63(t: Tables) -> DataFrame:
 @query("q64_ranks", "select c_custkey, ntile(4) over (partition by c_nationkey order by c_acctbal, c_custkey) as quarter, dense_rank() over (partition by c_nationkey order by c_mktsegment) as segment from customer")
 def q64(t: Tables) -> DataFrame:
     w = Window.partitionBy("c_nationkey")
-    return t.customer.select("c_custkey", F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).alias("quarter"), F.dense_rank().over(w.orderBy("c_mktsegment")).alias("segment"))
+    return t.customer.select("c_custkey", F.ntile(4).over(w.orderBy("c_acctbal", "c_custkey")).cast("long").alias("quarter"), F.dense_rank().over(w.orderBy("c_mktsegment")).cast("long").alias("segment"))
 
 
 @query("q65_range_frame", "with e as (select event_id, user_id, (epoch_us(ts) // 1000) as ms from events) select event_id, count(*) over (partition by user_id order by ms range between 86400000 preceding and current row) as within_day from e")
