@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.llm.bytescan import U64, row_of, slices, span_hashes, spans, text_bytes
+from tallyloom.llm.bytescan import U64, release, row_of, slices, span_hashes, spans, text_bytes
 from tallyloom.llm.scratch import written
 
 #: Words share this many vectors by hash; looks (see ``_looks``) have one each.
@@ -183,12 +183,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 _contexts(word, row, own_words, word_sum)
                 _contexts(look, row, own_looks, look_sum)
                 least = min(least, *part.column("__doc").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([word_sum.tobytes()], pa.binary()), pa.array([look_sum.tobytes()], pa.binary())], ["least", "words", "looks"])
+        if least < 1 << 62:  # a task without rows adds nothing
+            yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([word_sum.tobytes()], pa.binary()), pa.array([look_sum.tobytes()], pa.binary())], ["least", "words", "looks"])
 
-    word_sum, look_sum = np.zeros((WORDS, DIMS)), np.zeros((LOOKS, DIMS))
-    for r in sorted(rows.mapInArrow(contexts, "least long, words binary, looks binary").toLocalIterator(), key=lambda r: r.least):  # 6 rows
-        word_sum += np.frombuffer(r.words, np.float32).reshape(WORDS, DIMS)
-        look_sum += np.frombuffer(r.looks, np.float32).reshape(LOOKS, DIMS)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_sum, look_sum = np.zeros((WORDS, DIMS)), np.zeros((LOOKS, DIMS))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                word_sum += np.frombuffer(batch.column("words")[k].as_buffer(), np.float32).reshape(WORDS, DIMS)
+                look_sum += np.frombuffer(batch.column("looks")[k].as_buffer(), np.float32).reshape(LOOKS, DIMS)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (word_sum, look_sum)], ["words", "looks"])
+
+    # sums of a fixed size, one a task over the bounded sample, are added up in one task: the driver gets a single row
+    parts = rows.mapInArrow(contexts, "least long, words binary, looks binary")
+    total = parts.repartition(1).sortWithinPartitions("least").mapInArrow(add, "words binary, looks binary").first()
+    word_sum = np.frombuffer(total.words, np.float32).reshape(WORDS, DIMS).astype(np.float64) if total else np.zeros((WORDS, DIMS))
+    look_sum = np.frombuffer(total.looks, np.float32).reshape(LOOKS, DIMS).astype(np.float64) if total else np.zeros((LOOKS, DIMS))
+    del total
     words, looks = _vectors(word_sum, word_index), _vectors(look_sum, look_index)
     held = spark.sparkContext.broadcast((words, looks))
 
@@ -222,6 +233,7 @@ def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", scor
     whatever the corpus, is broadcast.
     """
     keep = [n for n in docs.columns if n != score_col]
+    release()  # what fitting held on the driver
     held = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
