@@ -44,19 +44,21 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
     for _ in range(rounds):
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
-        sums = _with(sizes, state.where("tilt is not null").select("source", "mean", "tilt"), "inner").groupBy("source").agg(
+        # every source is in ``sizes``, so its state rides along as keys: one shuffle a round, after a map-side combine
+        sums = _with(sizes, state.drop("off"), "inner").groupBy("source", "source_size", "target", "mean", "tilt", "lo", "hi").agg(
             F.sum(F.col("n") * F.col("size") * F.least(rate, F.lit(cap))).alias("got"),
             F.sum(F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
         )
-        over = F.col("got") - F.col("target")
-        state = _with(state, sums).withColumn("off", F.abs(over) / F.col("target"))
+        free = F.col("tilt").isNotNull()
+        over = F.when(free, F.col("got") - F.col("target"))
+        state = sums.withColumn("off", F.abs(over) / F.col("target"))
         state = state.withColumn("lo", F.when(over < 0, F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(over > 0, F.col("tilt")).otherwise(F.col("hi")))
         step = F.col("tilt") - F.try_divide(over, F.col("slope"))
         inside = (step > F.col("lo")) & (step < F.col("hi"))
         middle = F.when(F.col("lo") < -1e4, F.least(F.col("hi"), F.lit(0.0)) * 2 - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         moved = F.when(F.col("off") <= near, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), step).otherwise(middle)
         state = written(state.withColumn("tilt", F.when(F.col("tilt").isNotNull(), moved)).drop("got", "slope"), "tilt")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= near:
+        if state.where(F.col("off") > near).isEmpty():
             break
     return state.select("source", "source_size", "target", "mean", "tilt")
 
@@ -68,7 +70,7 @@ def _with(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     return left.join(other, keys, how).drop("__source")
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, sections: int = 64) -> DataFrame:
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, sections: int = 1024) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``size``, ``source``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
     ``size`` is the number of words (runs without ASCII white space; null text: 0); ``taken`` is ``size`` times
@@ -141,7 +143,7 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
             F.when(none, F.lit(0)).otherwise(F.col("c.n")).alias("inside"),
         )
         found = written(nxt, "shift")
-        if (found.agg(F.max("inside")).first()[0] or 0) <= 1:
+        if found.where("inside > 1").isEmpty():
             break
     # the steps left within [lo, hi) are taken if that comes nearer to the target
     last = _with(steps, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
