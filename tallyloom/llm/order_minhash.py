@@ -3,7 +3,8 @@
 A k-mer here is ``k`` consecutive words. Each occurrence of a k-mer is an item of its own, (k-mer, number), so repeats
 count. Items fall into bins by the high bits of their hash; in each bin the ``pick`` items with the least hash are put
 into text order and hashed as one tuple. Tuples therefore change when items move past each other, not only when they
-come or go, which makes the share of equal tuples follow edit distance.
+come or go, which makes the share of equal tuples follow edit distance. With ``filled``, a bin with fewer than ``pick``
+items takes those that follow in the circle of hashes, so that this holds for short texts too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Low bits of a packed item that hold its place in the text.
 PLACE_BITS = 21
 PLACE = (1 << PLACE_BITS) - 1
+#: The same for filled signatures: more places than an array of longs can have.
+WIDE_BITS = 28
+#: Runs without white space that are no words but text: of 25 characters, or with 3 of a script that is written without spaces.
+UNSPACED = r"[^\x20\x09-\x0D]{25}|[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]{3}"
 
 
 def _fresh(packed: Column, part) -> Column:
@@ -22,37 +27,67 @@ def _fresh(packed: Column, part) -> Column:
     return F.filter(marked, lambda i: i >= 0)
 
 
-def with_signature(df: DataFrame, text_col: str, out_col: str, *, bits: int = 6) -> DataFrame:
+def _words(text: Column, unspaced: bool) -> Column:
+    """The words of a trimmed text; with ``unspaced``, for each run like ``UNSPACED`` its three-character pieces, one a place."""
+    words = F.split(text, r"[\x20\x09-\x0D]+")
+    if not unspaced:
+        return words
+
+    def pieces(w: Column) -> Column:
+        n = F.char_length(w) - 2
+        at = lambda k: F.slice(F.split(w, ""), F.lit(k), n)
+        both = lambda a, b: F.concat(a, b)
+        return F.when(w.rlike(UNSPACED), F.zip_with(F.zip_with(at(1), at(2), both), at(3), both)).otherwise(F.array(w))
+
+    return F.when(text.rlike(UNSPACED), F.flatten(F.transform(words, pieces))).otherwise(words)
+
+
+def with_signature(df: DataFrame, text_col: str, out_col: str, *, bits: int = 6, filled: bool = False) -> DataFrame:
     """``df`` with the signature of ``text_col`` (not null): longs, ``bin << 32 | tuple hash``, for the bins that have items.
 
     k is 2 and so is the number of items a tuple; there are ``2 ** bits`` bins. A text of one word has that word as its
     only item; one without words has an empty signature. Every step is linear in the text but for two sorts of longs.
     Intermediate arrays are columns that the next step reads more than once, so none is computed twice.
+
+    With ``filled`` the tuple of each bin is the first two items at or after its start in the circle of hashes: the two
+    least in an order that starts there. So all bins have a value, every tuple has two items if the text has, and runs
+    without white space count by characters. Bins that hold two items are as without.
     """
     c = F.col
+    place_bits = WIDE_BITS if filled else PLACE_BITS
+    places = F.lit((1 << place_bits) - 1)
     top = 64 - bits
     out = df.withColumn("__t", F.btrim(c(text_col), F.lit(WHITE)))
-    out = out.withColumn("__w", F.when(c("__t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("__t", r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))).drop("__t")
+    out = out.withColumn("__w", F.when(c("__t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(_words(c("__t"), filled), lambda w: F.xxhash64(w)))).drop("__t")
     # word pairs by zipping the hashes with themselves one on; the last word has no partner and goes, unless it is alone
     pairs = F.zip_with(c("__w"), F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     out = out.withColumn("__g", F.slice(pairs, F.lit(1), F.greatest(F.size("__w") - 1, F.least(F.size("__w"), F.lit(1))))).drop("__w")
-    keep = F.lit(~PLACE)
-    out = out.withColumn("__s", F.sort_array(F.transform("__g", lambda x, i: x.bitwiseAND(keep).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))))).drop("__g")
-    out = out.withColumn("__r", _fresh(c("__s"), lambda x: F.shiftright(x, PLACE_BITS)))
+    keep = F.lit(~((1 << place_bits) - 1))
+    out = out.withColumn("__s", F.sort_array(F.transform("__g", lambda x, i: x.bitwiseAND(keep).bitwiseOR(i.cast("long").bitwiseAND(places))))).drop("__g")
+    out = out.withColumn("__r", _fresh(c("__s"), lambda x: F.shiftright(x, place_bits)))
     # runs of one k-mer: number its occurrences, hash (k-mer, number), keep the place
-    numbered = F.flatten(F.transform("__r", lambda first, r: F.transform(F.slice("__s", first + 1, F.coalesce(F.get(c("__r"), r + 1), F.size("__s")) - first), lambda x, o: F.xxhash64(F.shiftright(x, PLACE_BITS), o).bitwiseAND(keep).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))))
+    numbered = F.flatten(F.transform("__r", lambda first, r: F.transform(F.slice("__s", first + 1, F.coalesce(F.get(c("__r"), r + 1), F.size("__s")) - first), lambda x, o: F.xxhash64(F.shiftright(x, place_bits), o).bitwiseAND(keep).bitwiseOR(x.bitwiseAND(places)))))
     out = out.withColumn("__e", F.sort_array(numbered)).drop("__s", "__r")
     out = out.withColumn("__b", _fresh(c("__e"), lambda x: F.shiftrightunsigned(x, top)))
 
-    def tuple_at(i: Column) -> Column:
-        x, y = F.get(c("__e"), i), F.get(c("__e"), i + 1)
-        place = lambda v: v.bitwiseAND(F.lit(PLACE))
-        item = lambda v: F.shiftright(v, PLACE_BITS)
-        alone = F.coalesce(F.shiftrightunsigned(x, top) != F.shiftrightunsigned(y, top), F.lit(True))
+    def value_at(i: Column) -> Column:
+        x, y = F.get(c("__e"), i), F.get(c("__e"), F.pmod(i + 1, F.size("__e")) if filled else i + 1)
+        place = lambda v: v.bitwiseAND(places)
+        item = lambda v: F.shiftright(v, place_bits)
+        alone = F.size("__e") == 1 if filled else F.coalesce(F.shiftrightunsigned(x, top) != F.shiftrightunsigned(y, top), F.lit(True))
         value = F.when(alone, F.xxhash64(item(x))).when(place(x) <= place(y), F.xxhash64(item(x), item(y))).otherwise(F.xxhash64(item(y), item(x)))
-        return F.shiftleft(F.shiftrightunsigned(x, top), 32).bitwiseOR(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+        return value.bitwiseAND(F.lit(0xFFFFFFFF))
 
-    return out.withColumn(out_col, F.transform("__b", tuple_at)).drop("__e", "__b")
+    if not filled:
+        return out.withColumn(out_col, F.transform("__b", lambda i: F.shiftleft(F.shiftrightunsigned(F.get(c("__e"), i), top), 32).bitwiseOR(value_at(i)))).drop("__e", "__b")
+    # a held bin's value also goes to the empty bins before it, the first one's to those after the last
+    most = 1 << bits - 1
+    out = out.withColumn("__v", F.transform("__b", lambda i: F.struct(F.shiftright(F.get(c("__e"), i), top).cast("int").alias("bin"), value_at(i).alias("value")))).drop("__e", "__b")
+    after = lambda k: F.coalesce(F.get(c("__v"), k)["bin"], F.lit(-most - 1))
+    copies = F.flatten(F.transform("__v", lambda v, k: F.array_repeat(v["value"], v["bin"] - after(k - 1))))
+    copies = F.concat(copies, F.array_repeat(F.get(c("__v"), F.lit(0))["value"], most - 1 - after(F.size("__v") - 1)))
+    signed_bins = F.transform(copies, lambda v, k: F.shiftleft(F.pmod(k + most, F.lit(2 * most)).cast("long"), 32).bitwiseOR(v))
+    return out.withColumn(out_col, F.when(F.size("__v") > 0, signed_bins).otherwise(F.array().cast("array<bigint>"))).drop("__v")
 
 
 def as_text(signature: Column) -> Column:
@@ -90,20 +125,20 @@ def with_next(df: DataFrame, *, id_col: str, columns: dict[str, str], prepare=la
     return joined.where(~F.col("__guest")).drop("__bucket", "__guest", "__lane")
 
 
-def fingerprinted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 6) -> DataFrame:
+def fingerprinted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 6, filled: bool = False) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_chars``, ``text``, ``edited``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     ``edited`` is the text whose last floor(n_chars / 2) code points are replaced by the first as many (or all) of the
     next document's, in descending order of ids; after the last comes the first. Null text: empty. Rows without an id
     are edited with nothing and have a ``near_next`` to an empty text. Other columns are not returned. Empty input:
-    empty output. Texts are shuffled once, by ranges of the id.
+    empty output. Texts are shuffled once, by ranges of the id. ``filled`` is as in ``with_signature``.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = with_next(base, id_col="doc", columns={"next_text": "text", "next_sig": "sig"}, prepare=lambda df: with_signature(df, "text", "sig", bits=bits))
+    base = with_next(base, id_col="doc", columns={"next_text": "text", "next_sig": "sig"}, prepare=lambda df: with_signature(df, "text", "sig", bits=bits, filled=filled))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     base = base.withColumn("edited", edited).drop("next_text")
-    base = with_signature(base, "edited", "edited_sig", bits=bits)
+    base = with_signature(base, "edited", "edited_sig", bits=bits, filled=filled)
     return base.select(
         F.col("doc").alias(id_col),
         F.char_length("text").cast("long").alias("n_chars"),

@@ -55,7 +55,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.order_minhash import fingerprinted
 
-    found = fingerprinted(table(spark, sf_dir, "documents"))
+    found = fingerprinted(table(spark, sf_dir, "documents"), filled=True)
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
