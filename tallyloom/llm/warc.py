@@ -90,13 +90,15 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 
     At each place a gzip member or a plain record is tried. When a check fails, the next places that look like the start
     of a member or of a version line are tried one by one until one holds a valid record; all before it is one gap. A
-    member with more than one record yields all that are sound. Every byte is in exactly one record's or gap's span but
-    for members of many records, whose records share the member's span. Work is linear in the number of starts tried.
+    member with more than one record yields all that are sound. A member that is cut short or damaged yields the records
+    before that which are whole (and, if damaged, hold their block digest, but for the last of them); it counts as a gap too. Every byte is in exactly one record's or gap's span but
+    for members of many records, whose records share the member's span, and for records of failed members. Work is linear in the number of starts tried.
     """
     at, bad_from, reason = 0, None, ""
     starts = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
     while at < len(data):
         found: list[tuple[int, int, dict[str, str] | None, bytes | str]] = []
+        part: list[tuple[int, int, dict[str, str] | None, bytes | str]] = []
         wrong = "neither a member nor a record"
         stop = at
         if data.startswith(_GZIP, at):
@@ -108,6 +110,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                 text = b"".join(parts)
                 if not unpacker.eof:
                     wrong = "member is cut short"
+                    inner = list(salvage_plain(text))
+                    part = [x for x in inner if x[2] is not None and len(inner) > 1]  # a lone record stands or falls with its member
                 else:
                     stop = got_to - len(unpacker.unused_data)
                     inner = list(salvage_plain(text))
@@ -117,6 +121,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                         wrong = inner[0][3] if inner else "empty member"
             except zlib.error as e:
                 wrong = f"gzip: {str(e)[:60]}"
+                text = _before_damage(data, at, got_to)
+                part = [x for x in salvage_plain(text) if x[2] is not None and x[2].get("warc-block-digest", "").startswith("sha1:")][:-1]  # the last one may be what is damaged: its header has no digest
         elif data.startswith(b"WARC/", at):
             got = _parse(data, at)
             if isinstance(got, str):
@@ -134,11 +140,31 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         if bad_from is None:
             bad_from, reason = at, str(wrong)
         after = starts.search(data, at + 1)
-        at = after.start() if after else len(data)
+        next_at = after.start() if after else len(data)
+        yield from ((at, next_at, fields, block) for _, _, fields, block in part)
+        at = next_at
     if bad_from is not None:
         yield bad_from, len(data), None, reason
 
 
+def _before_damage(data: bytes, at: int, good: int) -> bytes:
+    """What the member at ``at``, known to be readable up to ``good``, holds before the byte that fails."""
+    unpacker = zlib.decompressobj(31)
+    parts = [unpacker.decompress(data[at:good])]
+    try:
+        for k in range(good, len(data)):
+            parts.append(unpacker.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def _page(ident: str) -> int | None:
+    """The page id in a record id, if it is a long."""
+    found = re.fullmatch(r"-?[0-9]{1,19}", ident.removeprefix("urn:page:"))
+    return int(found[0]) if found and -(1 << 63) <= int(found[0]) < 1 << 63 else None
+
+
 def salvage_plain(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
     """``salvage`` of uncompressed records."""
     at, bad_from, reason = 0, None, ""
@@ -247,8 +273,7 @@ def read_archives(files: DataFrame, *, keep_payload: bool = True) -> DataFrame:
                         kind, ident = fields.get("warc-type"), fields.get("warc-record-id", "").strip("<>")
                         head, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
                         stated = fields.get("warc-payload-digest", "")
-                        page = ident.removeprefix("urn:page:")
-                        row |= {"kind": "record", "record_type": kind, "record_id": ident, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "uri": fields.get("warc-target-uri"), "digest": base64.b32decode(stated[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None, "page_id": int(page) if re.fullmatch(r"-?\d{1,18}", page) else None}
+                        row |= {"kind": "record", "record_type": kind, "record_id": ident, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "uri": fields.get("warc-target-uri"), "digest": base64.b32decode(stated[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None, "page_id": _page(ident)}
                         if kind != "revisit":
                             row |= {"payload": payload if keep_payload else None, "payload_bytes": len(payload)}
                             if row["digest"] not in (None, hashlib.sha1(payload).hexdigest()):
