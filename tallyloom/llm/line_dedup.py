@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyloom.llm.bytescan import LOWER, SOLID, run_sum, signed, slices, span_hashes, text_bytes
+from tallyloom.llm.columns import named
+from tallyloom.llm.scratch import written
 
-_DROPS = "__shared_lines"
+#: White space that is stripped from lines by steps of one byte; longer runs are looked up.
+STEPS = 16
 
 
 def _lines(col: pa.Array) -> tuple[np.ndarray, ...]:
@@ -28,18 +31,32 @@ def _lines(col: pa.Array) -> tuple[np.ndarray, ...]:
     tail[first[1:] - 1] = True
     starts[head], starts[~head] = offsets[:-1], breaks + 1
     ends[tail], ends[~tail] = offsets[1:], breaks
-    key_lo, key_hi = starts.copy(), ends.copy()
-    alive = np.flatnonzero(key_lo < key_hi)  # strip by steps, each over the lines that still begin or end with white space
-    while len(alive := alive[~SOLID[raw[key_lo[alive]]]]):
-        key_lo[alive] += 1
-        alive = alive[key_lo[alive] < key_hi[alive]]
-    alive = np.flatnonzero(key_lo < key_hi)
-    while len(alive := alive[~SOLID[raw[key_hi[alive] - 1]]]):
-        key_hi[alive] -= 1
+    key_lo, key_hi = _stripped(raw, starts, ends)
     low = LOWER[raw] if len(raw) else raw
     return starts, ends, first, span_hashes(low, key_lo, key_hi, 1), span_hashes(low, key_lo, key_hi, 2), _points(raw, key_lo, key_hi)
 
 
+def _stripped(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the white space at both ends; linear in the text, however long a run of white space is."""
+    lo, hi = starts.copy(), ends.copy()
+    alive = np.flatnonzero(lo < hi)  # by steps, each over the lines that still begin or end with white space
+    for _ in range(STEPS):
+        alive = alive[~SOLID[raw[lo[alive]]]]
+        lo[alive] += 1
+        alive = alive[lo[alive] < hi[alive]]
+    long_head, alive = alive, np.flatnonzero(lo < hi)
+    for _ in range(STEPS):
+        alive = alive[~SOLID[raw[hi[alive] - 1]]]
+        hi[alive] -= 1
+        alive = alive[lo[alive] < hi[alive]]
+    if len(long_head) or len(alive):
+        solid = np.concatenate([np.flatnonzero(SOLID[raw]), [len(raw)]])
+        lo[long_head] = np.minimum(solid[np.searchsorted(solid, lo[long_head])], ends[long_head])
+        hi[alive] = np.maximum(np.concatenate([[-1], solid])[np.searchsorted(solid, hi[alive])] + 1, lo[alive])
+        hi = np.maximum(hi, lo)
+    return lo, hi
+
+
 def _points(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Code points of each span."""
     if not len(lo):
@@ -60,7 +77,7 @@ def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 use = chars >= min_chars
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row[use])), pa.array(signed(h1[use])), pa.array(signed(h2[use]))], ["doc", "h1", "h2"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
+    given = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text")).where("doc is not null")
     return given.mapInArrow(scan, "doc long, h1 long, h2 long")
 
 
@@ -72,30 +89,33 @@ def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ``n_dropped`` (columns of these names are replaced). A column ``n_chars``, if there, follows the new text.
 
     Null or empty text: one empty line, kept (the text becomes empty). Rows without an id keep all lines and count for
-    nothing. Rows that share an id count as one document. Empty input: empty output. Other columns pass through.
+    nothing. Rows that share an id count as one document. Empty input: empty output. Other columns, of any names, pass
+    through.
 
-    Plan: keys travel as 128-bit hashes; a hash's documents are counted with a map-side combine, so a line that is in
-    every document adds one row a task; the join back is on hashes and can be split by AQE; texts are shuffled once.
+    Plan: keys travel as 128-bit hashes and are written once; a hash's documents are counted with a map-side combine, so
+    a line that is in every document adds one row a task; the join back is on hashes and can be split by AQE; texts are
+    shuffled once.
     """
-    keys = line_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
+    keys = written(line_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "keys")
     if min_docs == 2:
         shared = keys.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     else:
         shared = keys.distinct().groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    drops = keys.join(shared.select("h1", "h2", "least"), ["h1", "h2"]).where("doc > least").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h1").alias(_DROPS))
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped") or not counts])
-    names = list(schema.names)
-    if counts:
-        schema = schema.add("n_lines", "long").add("n_dropped", "long")
+    drops = keys.join(shared.select("h1", "h2", "least"), ["h1", "h2"]).where("doc > least").groupBy(F.col("doc").alias("dropped_from")).agg(F.collect_set("h1").alias("drops"))
+    names = [n for n in docs.columns if n not in ("n_lines", "n_dropped") or not counts]
+    others = [n for n in names if n != text_col]
+    rest = F.struct(*[named(n).alias(n) for n in others])  # all other columns in one, so that no name of theirs matters here
+    base = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("body"), rest.alias("rest"))
+    schema = T.StructType([base.schema["body"], base.schema["rest"]]).add("n_lines", "long").add("n_dropped", "long")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                text = part.column(text_col)
+            for part in slices(batch, "body"):
+                text = part.column("body")
                 raw, _ = text_bytes(text)
                 starts, ends, first, h1, _, chars = _lines(text)
                 keep = np.ones(len(starts), bool)
-                h1, long_enough, hit = signed(h1), chars >= min_chars, part.column(_DROPS)
+                h1, long_enough, hit = signed(h1), chars >= min_chars, part.column("drops")
                 for i in np.flatnonzero(np.asarray(hit.is_valid())):
                     own = slice(first[i], first[i + 1])
                     keep[own] = ~(np.isin(h1[own], hit[int(i)].values.to_numpy(zero_copy_only=False)) & long_enough[own])
@@ -105,13 +125,10 @@ def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     whole = keep[first[i] : first[i + 1]]
                     kept.append(data[starts[own[0]] : ends[own[-1]]] if whole.all() else b"\n".join(data[starts[j] : ends[j]] for j in own if keep[j]))
                 texts = pa.array(kept, pa.binary()).cast(pa.string())
-                out = [texts if n == text_col else part.column(n) for n in names]
-                if "n_chars" in names and text_col == "text":
-                    at = names.index("n_chars")
-                    out[at] = pa.compute.utf8_length(texts).cast(part.column("n_chars").type)
-                if counts:
-                    out += [pa.array(np.diff(first)), pa.array(run_sum(~keep, first))]
-                yield pa.RecordBatch.from_arrays(out, [*names, *["n_lines", "n_dropped"] * counts][: len(out)])
-
-    joined = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string")).join(drops, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
-    return joined.mapInArrow(rebuild, schema)
+                yield pa.RecordBatch.from_arrays([texts, part.column("rest"), pa.array(np.diff(first)), pa.array(run_sum(~keep, first))], schema.names)
+
+    joined = base.join(drops, F.col("doc") == F.col("dropped_from"), "left").select("body", "rest", "drops")
+    back = {text_col: F.col("body")} | {n: F.col("rest").getField(n) for n in others}
+    if "n_chars" in others:
+        back["n_chars"] = F.char_length("body").cast(docs.schema["n_chars"].dataType)
+    return joined.mapInArrow(rebuild, schema).select(*[back[n].alias(n) for n in names], *["n_lines", "n_dropped"] * counts)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyloom.llm.bytescan import row_of, run_sum, signed, slices, span_hashes, spans, text_bytes, window_hashes
+from tallyloom.llm.columns import named
 from tallyloom.llm.scratch import written
 
 #: A perfect difference set: every non-zero residue modulo 31 is the difference of one pair.
@@ -137,7 +138,8 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     space. Adds ``n_words`` and ``n_removed`` (columns of these names are replaced); ``n_chars``, if there, follows.
 
     Null text: no words, empty text. Rows without an id keep all words and count for nothing; rows that share an id
-    count as one document. Texts shorter than a window keep all words. Empty input: empty output.
+    count as one document. Texts shorter than a window keep all words. Empty input: empty output. Other columns, of any
+    names, pass through.
 
     Plan: anchors are a fifth of the word positions. A task sends each distinct hash once, with the least id that has
     it there, and settles all else itself; so a passage in every document costs a row a task, and no hash gathers more
@@ -148,8 +150,8 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     others = [n for n in names if n not in (id_col, text_col)]
     kept = T.StructType([T.StructField("doc", T.LongType()), T.StructField("body", T.StringType())])
     schema = T.StructType([*kept.fields, *([T.StructField("rest", T.StructType([docs.schema[n] for n in others]))] if others else [])]).add("n_words", "long").add("n_removed", "long")
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body"), *([F.struct(*others).alias("rest")] if others else []))
+    given = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("body"))
+    base = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("body"), *([F.struct(*[named(n).alias(n) for n in others]).alias("rest")] if others else []))
 
     texts = given.where("doc is not null and body is not null").select("doc", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
     firsts = texts.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
@@ -192,7 +194,7 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     joined = base.where("doc is not null").join(gone_from, F.col("doc") == F.col("__doc"), "left").withColumn("__copied", copied).drop("__doc", "__copies")
     joined = joined.unionByName(base.where("doc is null").withColumns({_HITS: F.lit(None).cast("array<long>"), "__copied": F.lit(False)}))
     done = joined.mapInArrow(rebuild, schema)
-    back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("body")} | {n: F.col(f"rest.{n}") for n in others}
+    back = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("body")} | {n: F.col("rest").getField(n) for n in others}
     if "n_chars" in others:
         back["n_chars"] = F.char_length("body").cast(docs.schema["n_chars"].dataType)
     return done.select(*(back[n].alias(n) for n in names), "n_words", "n_removed")

@@ -103,3 +103,36 @@ def test_passages_keep_other_columns(spark):
     assert out.columns == ["doc_id", "text", "n_chars", "rest", "n_words", "n_removed"]
     assert sorted((r.rest, r.n_chars, r.n_words, r.n_removed) for r in out.collect()) == [("a", len(text), 60, 0), ("b", 4, 61, 60), ("c", len(text), 60, 0)]
     assert drop_repeated_passages(df.where("false")).count() == 0
+
+
+def test_lines_with_clashing_names(spark):
+    names = ["doc_id", "text", "doc", "__doc", "__shared_lines", "drops", "dropped_from", "rest", "body", "a.b", "h1", "we`ird", "least"]
+    rows = [(1, SHARED[0], *range(11)), (2, SHARED[0] + "\nmore", *range(11)), (None, None, *[None] * 11)]
+    out = drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in names[2:])))
+    assert out.columns == [*names, "n_lines", "n_dropped"]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, SHARED[0], *range(11), 1, 0), (2, "more", *range(11), 2, 1), (None, "", *[None] * 11, 1, 0)], key=str)
+
+
+def test_long_blanks_are_stripped_in_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    from tallyloom.llm.line_dedup import _lines
+
+    blank = " " * 2_000_000
+    rows = [blank, blank + "The same line here." + blank, "\t" * 40 + "\n" + " " * 40 + "x" * 12 + " " * 40 + "\n" + " " * 16 + "y" + " " * 16, None, ""]
+    began = time.perf_counter()
+    starts, ends, first, h1, _, chars = _lines(pa.array(rows))
+    assert time.perf_counter() - began < 5
+    assert chars.tolist() == [0, 19, 0, 12, 1, 0, 0] and first.tolist() == [0, 1, 2, 5, 6, 7]
+    assert h1[1] == _lines(pa.array(["the same line HERE."]))[3][0]
+
+
+def test_passages_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["doc", "body", "rest", "__hits", "__copied", "__doc", "a.b", "key", "known", "hash"]
+    df = spark.createDataFrame([(1, text, *range(10)), (2, text + " more", *range(10))], "doc_id int, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = drop_repeated_passages(df)
+    assert out.columns == [*df.columns, "n_words", "n_removed"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, text, *range(10), 60, 0), (2, "more", *range(10), 61, 60)]
