@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.bytescan import U64, mix, row_of, signed, slices, window_hashes, word_hashes
+from tallyloom.llm.columns import named, unused
 from tallyloom.llm.components import components
 from tallyloom.llm.groups import runs
 from tallyloom.llm.prefix_tree import build, matches
@@ -24,6 +25,8 @@ PARITY_BITS = 512
 FINE = 4
 #: Members of a group that one task compares; larger groups are compared as pairs of such blocks.
 BLOCK = 1024
+#: The same for families, by the items of all sets together: some 40 bytes of memory each, in both blocks.
+ITEMS = 4 << 20
 
 
 def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -203,13 +206,16 @@ def _link(t: Fraction):
                 continue
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             raw = [np.frombuffer(x, np.int64) for x in group.column("items").to_pylist()]
+            cuts = np.cumsum([len(x) for x in raw])[:-1]
             values, inverse, count = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
-            rank = np.empty(len(values), np.int64)
+            rank = np.empty(len(values), ">u4")
             rank[np.lexsort((values, -count))] = np.arange(len(values))  # one order for all: the family's commonest items first
-            cuts = np.cumsum([len(x) for x in raw])[:-1]
-            members = [np.sort(x).tolist() for x in np.split(rank[inverse], cuts)]
-            order = sorted(range(len(members)), key=members.__getitem__)
-            members = [members[k] for k in order]
+            del raw, values, count
+            members = [np.sort(x) for x in np.split(rank[inverse], cuts)]
+            del inverse
+            order = sorted(range(len(members)), key=lambda k: members[k].tobytes())  # big-endian, so bytes sort as the lists do
+            members = [members[k].astype(np.int32) for k in order]
+            present = np.zeros(len(rank), bool)
             ids, own = group.column("v").to_numpy()[order], group.column("own").to_numpy()[order]
             bits = group.column("bits").to_pylist()
             classes = _Classes([bits[k] for k in order], np.array([len(m) for m in members]), t)
@@ -221,16 +227,20 @@ def _link(t: Fraction):
                     near[: k + 1] = False
                 else:  # pairs within a block meet in a group of its own
                     near &= own == j
+                if not near.any():
+                    continue
+                present[members[k]] = True
                 while near.any():
                     allowed = np.zeros(len(near) + 1, np.int64)
                     np.cumsum(near, out=allowed[1:])
-                    found = next(iter(matches(root, members[k], allowed, _need(len(members[k]), t))), None)
+                    found = next(iter(matches(root, members[k], present, allowed, _need(len(members[k]), t))), None)
                     if found is None:
                         break
                     left.append(ids[k])
                     right.append(ids[found[0]])
                     label[label == label[found[0]]] = label[k]
                     near &= label != label[k]
+                present[members[k]] = False
         yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int64)), pa.array(np.array(right, np.int64))], ["a", "b"])
 
     return scan
@@ -250,10 +260,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     and parity-map bounds remove members that can link with none. What such groups connect is a family, outside of which
     its members have no links; so each set is sent once, to its family. There the sets are stored in a prefix tree,
     walked with the items shared so far, leaving branches by what remains. Pairs known to be connected are not compared
-    again, which loses no component. Groups and families above ``BLOCK`` members are dealt as pairs of blocks.
+    again, which loses no component. Groups above ``BLOCK`` members, and families above as many or above ``ITEMS`` items,
+    are dealt as pairs of blocks; a text longer than that is a block of its own.
     """
     t = Fraction(*threshold)
-    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text"))
     known = given.where("doc is not null")
     profiles = written(_profiles(given, n, t, _common(known, n)), "profiles")
     sets = profiles.where("n > 0 and doc is not null")
@@ -288,7 +299,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     wanted = families.select(F.col("node").alias("doc")).hint("merge")  # grows with the corpus: never broadcast
     items = known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary")
 
-    parts = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("nb"))
+    weight = reps.groupBy("doc").agg(F.sum("n").alias("items"))
+    parts = families.join(weight, F.col("node") == F.col("doc")).groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("items") / F.lit(ITEMS))).cast("long").alias("nb"))
     places = (
         families.join(parts, "component")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
@@ -304,8 +316,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` with one row of each component: the rows whose id is their component's least, and rows without words or id.
 
-    Rows that share an id stay or go together.
+    Rows that share an id stay or go together. Columns of any names pass through. Empty input: empty output.
     """
+    gone = unused(docs, "gone")
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, n=n, threshold=threshold)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    later = found.where(F.col("component_id") < named(id_col)).select(named(id_col).cast("long").alias(gone)).distinct()
+    return docs.join(later, named(id_col).cast("long") == F.col(gone), "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 
 
@@ -12,15 +10,18 @@ class Node:
 
     __slots__ = ("below", "depth", "end", "hi", "items", "largest", "lo", "smallest")
 
-    def __init__(self, lo: int, hi: int, items: list[int], depth: int, smallest: int, largest: int, end: int):
+    def __init__(self, lo: int, hi: int, items: np.ndarray, depth: int, smallest: int, largest: int, end: int):
         self.lo, self.hi, self.items, self.depth, self.smallest, self.largest, self.end = lo, hi, items, depth, smallest, largest, end
         self.below: list[Node] = []
 
 
-def build(members: list[list[int]]) -> Node:
-    """The tree of ``members``, ascending lists of ranks in ascending order; a node with one branch is merged with it."""
+def build(members: list[np.ndarray]) -> Node:
+    """The tree of ``members``, ascending arrays of ranks in ascending order; a node with one branch is merged with it.
+
+    Nodes hold views of their members' arrays, so the tree adds little to these.
+    """
     sizes = [len(m) for m in members]
-    root = Node(0, len(members), [], 0, min(sizes), max(sizes), 0)
+    root = Node(0, len(members), np.zeros(0, np.int32), 0, min(sizes), max(sizes), 0)
     todo = [root]
     while todo:
         node = todo.pop()
@@ -42,8 +43,8 @@ def build(members: list[list[int]]) -> Node:
             if hi - lo == 1:
                 k = len(first)
             else:
-                while k < most and first[k] == last[k]:
-                    k += 1
+                apart = first[k:most] != last[k:most]
+                k += int(apart.argmax()) if apart.any() else most - k
             child = Node(lo, hi, first[depth:k], k, min(sizes[lo:hi]), max(sizes[lo:hi]), lo)
             node.below.append(child)
             todo.append(child)
@@ -51,23 +52,23 @@ def build(members: list[list[int]]) -> Node:
     return root
 
 
-def matches(root: Node, probe: list[int], allowed: np.ndarray, need):
+def matches(root: Node, probe: np.ndarray, present: np.ndarray, allowed: np.ndarray, need):
     """Members that share ``need(size)`` items or more with ``probe``: pairs (member, items shared), as found.
 
-    ``allowed`` has, for each place in the member list, how many allowed members stand before it. The items shared with
-    a common beginning are counted once for all members below it; a branch is left when even all that remains of the
-    probe and of its largest member cannot reach what its smallest member needs.
+    ``present`` says of each rank whether ``probe`` holds it; ``allowed`` has, for each place in the member list, how many
+    allowed members stand before it. The items shared with a common beginning are counted once for all members below it;
+    a branch is left when even all that remains of the probe and of its largest member cannot reach what its smallest
+    member needs.
     """
-    items = set(probe)
     total = len(probe)
     todo = [(root, 0)]
     while todo:
         node, shared = todo.pop()
         if allowed[node.hi] == allowed[node.lo]:
             continue
-        if node.items:
-            shared += len(items.intersection(node.items))
-            left = total - bisect_right(probe, node.items[-1])
+        if len(node.items):
+            shared += int(np.count_nonzero(present[node.items]))
+            left = total - int(probe.searchsorted(node.items[-1], "right"))
             if shared + min(left, node.largest - node.depth) < need(node.smallest):
                 continue
         for i in range(node.lo, node.end):

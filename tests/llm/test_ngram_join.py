@@ -84,9 +84,25 @@ def test_tree_finds_all_matches():
 
     rng = random.Random(1)
     members = sorted(sorted(rng.sample(range(40), rng.randrange(1, 25))) for _ in range(80))
-    root = build(members)
+    root = build([np.array(m, np.int32) for m in members])
     for probe in members:
         need = lambda size, p=probe: max(1, (len(p) + size) // 3)
-        got = {i: s for i, s in matches(root, probe, np.arange(len(members) + 1), need)}
+        got = {i: s for i, s in matches(root, np.array(probe, np.int32), np.isin(np.arange(40), probe), np.arange(len(members) + 1), need)}
         want = {i: len(set(m) & set(probe)) for i, m in enumerate(members) if len(set(m) & set(probe)) >= need(len(m))}
         assert got == want
+
+
+@pytest.mark.parametrize("items", [50, 2000])
+def test_blocks_by_items(spark, monkeypatch, items):
+    monkeypatch.setattr(ngram_join, "ITEMS", items)
+    given = rows()
+    got = ngram_join.jaccard_components(spark.createDataFrame(given, "doc_id long, text string"), n=3, threshold=(1, 2))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(given, 3, 1, 2)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    names = ["gone", "__gone", "component_id", "a.b", "doc", "n_shingles"]
+    df = spark.createDataFrame([(3, text, *range(6)), (5, text + " x", *range(6)), (None, None, *[None] * 6)], "doc_id int, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = ngram_join.drop_near_copies(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 3]
