@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.bytescan import U64, mix, row_of, signed, slices, window_hashes, word_hashes
 from tallyloom.llm.columns import named, unused
@@ -27,6 +27,8 @@ FINE = 4
 BLOCK = 1024
 #: The same for families, by the items of all sets together: some 40 bytes of memory each, in both blocks.
 ITEMS = 4 << 20
+#: Members that stand for a connected part of a large family when parts are compared with each other.
+STAND_INS = 4
 
 
 def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -197,7 +199,7 @@ def _candidates(t: Fraction):
 
 
 def _link(t: Fraction):
-    """From families of sets to enough links that all links of the family are within components."""
+    """From families of sets to enough links that all links of the family are within components; links within a ``part`` are known."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -219,7 +221,7 @@ def _link(t: Fraction):
             ids, own = group.column("v").to_numpy()[order], group.column("own").to_numpy()[order]
             bits = group.column("bits").to_pylist()
             classes = _Classes([bits[k] for k in order], np.array([len(m) for m in members]), t)
-            label = np.unique(ids, return_inverse=True)[1]  # rows of one id are one node
+            label = np.unique(group.column("part").to_numpy()[order], return_inverse=True)[1]  # rows of one id are in one part
             root = build(members)
             for k in np.flatnonzero(own == i).tolist():
                 near = classes.near(k) & (label != label[k])
@@ -246,6 +248,38 @@ def _link(t: Fraction):
     return scan
 
 
+def _blocks(members: Column, items: Column) -> Column:
+    """The blocks that so many members with so many items make."""
+    return F.ceil(F.greatest(members / F.lit(BLOCK), items / F.lit(ITEMS))).cast("long")
+
+
+def _across(members: DataFrame, links: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` within the blocks of large families, and those found across blocks that connect more.
+
+    What the links connect so far are parts. First a few stand-ins of each part of a family meet in one task, which most
+    often leaves one part. In families that still have several, all members outside the largest part meet each other and
+    the largest part, in pairs of blocks; members of the largest part do not meet again.
+    """
+
+    def parted() -> DataFrame:
+        found = components(links).select(F.col("node").alias("v"), F.col("component").alias("part"))
+        return written(members.join(found, "v", "left").select("v", "family", "items", F.coalesce("part", "v").alias("part")), "parts")
+
+    parts = parted()
+    few = parts.groupBy("family", "part", F.pmod(F.xxhash64("v"), F.lit(STAND_INS))).agg(F.min(F.struct("v", "items")).alias("m")).select("family", "part", "m.v", "m.items")
+    meet = few.groupBy("family").agg(F.count("*").alias("n"), F.sum("items").alias("items"), F.min("part").alias("lo"), F.max("part").alias("hi")).where((F.col("n") <= BLOCK) & (F.col("items") <= ITEMS)).where("lo < hi")
+    zero = F.lit(0).cast("long")
+    links = written(links.unionByName(compared(few.join(meet.select("family"), "family").select("v", "part", "family", zero.alias("own"), zero.alias("i"), zero.alias("j")))), "links")
+    parts = parted()
+    largest = parts.groupBy("family", "part").agg(F.sum("items").alias("items")).groupBy("family").agg(F.max_by("part", F.struct("items", "part")).alias("largest"), F.count("*").alias("n")).where("n > 1")
+    sides = parts.join(largest.select("family", "largest"), "family").withColumn("rest", F.col("part") != F.col("largest"))
+    one = lambda side: F.when(side, 1)
+    counts = sides.groupBy("family").agg(_blocks(F.count(one(F.col("rest"))), F.sum(F.when(F.col("rest"), F.col("items")))).alias("nr"), _blocks(F.count(one(~F.col("rest"))), F.sum(F.when(~F.col("rest"), F.col("items")))).alias("ng"))
+    dealt = sides.join(counts, "family").withColumn("own", F.when(F.col("rest"), F.pmod(F.xxhash64("v"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("v"), F.col("ng"))))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(zero, F.when(F.col("rest"), F.col("nr") + F.col("ng")).otherwise(F.col("nr")) - 1)))
+    return links.unionByName(compared(dealt.select("v", "part", "family", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles`` and ``component_id``.
 
@@ -261,7 +295,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     its members have no links; so each set is sent once, to its family. There the sets are stored in a prefix tree,
     walked with the items shared so far, leaving branches by what remains. Pairs known to be connected are not compared
     again, which loses no component. Groups above ``BLOCK`` members, and families above as many or above ``ITEMS`` items,
-    are dealt as pairs of blocks; a text longer than that is a block of its own.
+    are dealt in blocks, a text longer than that in one of its own: groups as pairs of blocks, families first each block
+    by itself, then a few members for all that is connected, and only what is still apart as pairs of blocks.
     """
     t = Fraction(*threshold)
     given = docs.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("string").alias("text"))
@@ -296,19 +331,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([signed(s).tobytes() for s in _sets(part, n)], pa.binary()), pa.array([_parity(s, FINE) for s in _sets(part, n)], pa.binary())], ["v", "items", "bits"])
 
-    wanted = families.select(F.col("node").alias("doc")).hint("merge")  # grows with the corpus: never broadcast
-    items = known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary")
-
-    weight = reps.groupBy("doc").agg(F.sum("n").alias("items"))
-    parts = families.join(weight, F.col("node") == F.col("doc")).groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("items") / F.lit(ITEMS))).cast("long").alias("nb"))
-    places = (
-        families.join(parts, "component")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
-        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select(F.col("node").alias("v"), F.col("component").alias("family"), "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    )
-    walked = places.join(items, "v").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    links = walked.mapInArrow(_link(t), "a long, b long")
+    def compared(places: DataFrame) -> DataFrame:
+        """Links found between the sets at ``places``: (v, part, family, own, i, j)."""
+        wanted = places.select(F.col("v").alias("doc")).distinct().hint("merge")  # grows with the corpus: never broadcast
+        items = known.join(wanted, "doc").mapInArrow(shingle, "v long, items binary, bits binary")
+        walked = places.join(items, "v").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        return walked.mapInArrow(_link(t), "a long, b long")
+
+    weight = reps.groupBy(F.col("doc").alias("v")).agg(F.sum("n").alias("items"))
+    sized = families.select(F.col("node").alias("v"), F.col("component").alias("family")).join(weight, "v")
+    blocks = written(sized.groupBy("family").agg(_blocks(F.count("*"), F.sum("items")).alias("nb")), "blocks")
+    placed = sized.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("v"), F.col("nb")))
+    links = compared(placed.select("v", F.col("v").alias("part"), "family", "own", F.col("own").alias("i"), F.col("own").alias("j")))
+    if not blocks.where("nb > 1").isEmpty():
+        links = written(links, "links")
+        links = _across(placed.where("nb > 1").select("v", "family", "items"), links, compared)
     joined = components(links.unionByName(copies))
     return profiles.select("doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
