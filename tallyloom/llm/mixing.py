@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.llm.columns import named, renamed, unused
 from tallyloom.llm.scratch import written
 
+#: Sources up to which tables of one row a source, some 100 bytes each, are broadcast; with more, rows are dealt by source and ``SALTS``.
+FEW_SOURCES, SALTS = 100_000, 32
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,7 +32,7 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...], share: flo
     return leveled.select("source", "source_size", F.when(F.col("stops"), F.col("source_size") * cap).otherwise(F.col("weight") * F.col("height")).cast("double").alias("target"))
 
 
-def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60, near: float = 1e-7) -> DataFrame:
+def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60, near: float = 1e-7, many: bool = False) -> DataFrame:
     """``targets`` with ``tilt``: a document of size x in the source has the rate min(cap, exp(tilt * x / mean size)).
 
     These rates are the nearest to 1 in relative entropy whose tokens add up to the target. ``tilt`` is the dual
@@ -37,7 +41,7 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
     far is replaced by its middle. Sources that cannot move (no words, or target at the cap) have a null tilt.
     """
     mean = sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"), F.greatest(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(1)).alias("least"))
-    state = _with(targets, mean)
+    state = _with(targets, mean, many=many)
     free = (F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap * (1 - 1e-12))
     state = state.withColumn("tilt", F.when(free, F.lit(0.0))).withColumn("lo", F.lit(-1e5)).withColumn("hi", F.col("mean") / F.col("least") * log(cap)).withColumn("off", F.when(free, F.lit(1.0)))
     state = written(state, "tilt")
@@ -45,7 +49,7 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         # every source is in ``sizes``, so its state rides along as keys: one shuffle a round, after a map-side combine
-        sums = _with(sizes, state.drop("off"), "inner").groupBy("source", "source_size", "target", "mean", "tilt", "lo", "hi").agg(
+        sums = _with(sizes, state.drop("off"), "inner", many=many).groupBy("source", "source_size", "target", "mean", "tilt", "lo", "hi").agg(
             F.sum(F.col("n") * F.col("size") * F.least(rate, F.lit(cap))).alias("got"),
             F.sum(F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
         )
@@ -63,11 +67,33 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
-def _with(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """``left`` with the columns of ``right`` by source, null sources included. AQE broadcasts ``right`` only while it is small."""
+def _with(left: DataFrame, right: DataFrame, how: str = "left", *, many: bool = False) -> DataFrame:
+    """``left`` with the columns of ``right``, a row a source, null sources included.
+
+    ``right`` is broadcast, its rows having been counted; with ``many`` sources it is sent ``SALTS`` times instead, and
+    the rows of ``left`` are dealt by source and salt, so that no source's rows meet in one task.
+    """
     other = right.withColumnRenamed("source", "__source")
     keys = (F.coalesce(F.col("source"), F.lit("")) == F.coalesce(F.col("__source"), F.lit(""))) & (F.col("source").isNull() == F.col("__source").isNull())
-    return left.join(other, keys, how).drop("__source")
+    if not many:
+        return left.join(F.broadcast(other), keys, how).drop("__source")
+    salted = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    other = other.withColumn("__salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(other, keys & (F.col("__salt") == F.col("__salts")), how).drop("__source", "__salt", "__salts")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, source, size, row) with ``nth``, from 0, among the rows that agree in id, source and size.
+
+    Which of these gets which number makes no difference to what is mixed. However many they are, a window holds those
+    of one task of the scan only; what the tasks before had is added.
+    """
+    rows = rows.withColumns({"like": F.xxhash64("id", "source", "size"), "unit": F.shiftright("row", 33)})
+    within = F.row_number().over(Window.partitionBy("like", "unit").orderBy("row")) - 1
+    many = rows.groupBy("like").agg(F.min("unit").alias("a"), F.max("unit").alias("z")).where("a < z").select("like")
+    counts = rows.join(many, "like", "left_semi").groupBy("like", "unit").agg(F.count("*").alias("n"))
+    before = counts.select("like", "unit", F.coalesce(F.sum("n").over(Window.partitionBy("like").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.withColumn("within", within).join(before, ["like", "unit"], "left").select("id", "source", "size", "row", (F.col("within") + F.coalesce("before", F.lit(0))).alias("nth"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, sections: int = 1024) -> DataFrame:
@@ -75,51 +101,65 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
     ``size`` is the number of words (runs without ASCII white space; null text: 0); ``taken`` is ``size`` times
     ``copies``, which is at most ``cap``. Targets are those of ``source_targets``, rates those of ``tilt``. Rates are
-    rounded by a fixed fraction of each row, from its id, and one shift a source: the copies are the whole part of rate +
-    fraction + shift. More shift never means fewer copies, so the shift at which the source's words come nearest to its
-    target is found by cutting its range into ``sections`` again and again. What is left is at most half the size of the
-    one document at which the sum steps over the target (of several, if rows share an id); the documents up to the size
-    of what is left are then rounded anew in the same way, and up to three more a source, each taken once more or once
-    less, bring it nearer. Reruns agree.
-
-    Null sources are a source of their own, the last. Rows without an id are rounded alike. Empty texts are taken as
-    their rate rounds and count no words. Empty input: empty output.
+    rounded by a fraction of each row and one shift a source: the copies are the whole part of rate + fraction + shift.
+    More shift never means fewer copies, so the shift at which the source's words come nearest to its target is found by
+    cutting its range into ``sections`` again and again. What is left is at most half the size of the one document at
+    which the sum steps over the target; the documents up to the size of what is left are then rounded anew in the same
+    way, and up to three more a source, each taken once more or once less, bring it nearer. Reruns agree.
+
+    The fraction follows from id, source and size, and for rows that share these from their number among them, so rows
+    of one id, or without an id, spread over all fractions. Null sources are a source of their own, the last. Empty
+    texts are taken as their rate rounds and count no words. Empty input: empty output. Columns of any names are taken.
     """
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("fraction", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)), "sizes")
+    rows = _rows(docs, id_col=id_col, text_col=text_col, source_col=source_col, row=F.monotonically_increasing_id())
+    out = _copies(rows, weights=weights, share=share, cap=cap, sections=sections)
+    return renamed(out.select("id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")), "id", id_col)
+
+
+def _rows(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+    words = F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return written(docs.select(named(id_col).alias("id"), named(source_col).cast("string").alias("source"), words.alias("size"), row.alias("row")), "sizes")
+
+
+def _copies(rows: DataFrame, *, weights: tuple[float, ...], share: float, cap: int, sections: int = 1024) -> DataFrame:
+    """``rows`` (id, source, size, row) with ``source_size``, ``target`` and ``copies``."""
+    spread = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    golden = 0.6180339887498949  # multiples of it fill the circle evenly
+    rows = written(_numbered(rows).withColumn("fraction", F.pmod(spread + F.col("nth") * golden, F.lit(1.0))).drop("nth"), "rows")
     sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
-    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = written(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
+    many = sources.count() > FEW_SOURCES
     targets = source_targets(sources, weights=weights, share=share, cap=cap)
-    state = tilt(sizes, written(targets, "targets"), cap=cap)
+    state = written(tilt(sizes, written(targets, "targets"), cap=cap, many=many), "state")
 
     free = F.col("tilt").isNotNull()
     rate = F.when(free, F.least(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(cap)))).when(F.col("source_size") > 0, F.lit(float(cap))).otherwise(F.lit(1.0))
     # copy c of a row is taken from shift c - rate - fraction on
     steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda c: c - F.col("rate") - F.col("fraction")))
-    rated = _with(rows, state.select("source", "source_size", "target", "mean", "tilt")).withColumn("rate", rate)
+    rated = _with(rows, state, many=many).withColumn("rate", rate)
     moving = rated.where(free & (F.col("size") > 0))
     left = written(moving.select("source", "size", steps.alias("at")), "steps")
     goals = state.where(free).select("source", "target")
-    shift = _nearest_shift(left, goals, cap=cap, sections=sections)
+    shift = _nearest_shift(left, goals, cap=cap, sections=sections, many=many)
     # A large document at the step can leave much open: the smaller ones are then rounded anew to what the others leave.
-    done = _with(left, shift, "inner").where("at < shift")
-    off = _with(goals, done.groupBy("source").agg(F.sum("size").alias("got"))).select("source", F.abs(F.col("target") - F.coalesce("got", F.lit(0))).alias("open"))
-    fixed = _with(done, off, "inner").where("size > open").groupBy("source").agg(F.sum("size").alias("fixed"))
-    rest = _with(goals, fixed).select("source", (F.col("target") - F.coalesce("fixed", F.lit(0))).alias("target"))
+    done = _with(left, shift, "inner", many=many).where("at < shift")
+    off = _with(goals, done.groupBy("source").agg(F.sum("size").alias("got")), many=many).select("source", F.abs(F.col("target") - F.coalesce("got", F.lit(0))).alias("open"))
+    fixed = _with(done, off, "inner", many=many).where("size > open").groupBy("source").agg(F.sum("size").alias("fixed"))
+    rest = _with(goals, fixed, many=many).select("source", (F.col("target") - F.coalesce("fixed", F.lit(0))).alias("target"))
     off = written(off, "open")
-    small = written(_with(left, off, "inner").where("size <= open").select("source", "size", "at"), "small")
-    again = _nearest_shift(small, written(rest, "rest"), cap=cap, sections=sections).withColumnRenamed("shift", "again")
-    out = _with(_with(rated, shift), _with(off, again)).withColumn("shift", F.when(F.col("size") <= F.col("open"), F.col("again")).otherwise(F.col("shift")))
+    small = written(_with(left, off, "inner", many=many).where("size <= open").select("source", "size", "at"), "small")
+    again = _nearest_shift(small, written(rest, "rest"), cap=cap, sections=sections, many=many).withColumnRenamed("shift", "again")
+    out = _with(_with(rated, shift, many=many), _with(off, again, many=many), many=many).withColumn("shift", F.when(F.col("size") <= F.col("open"), F.col("again")).otherwise(F.col("shift")))
     taken = F.when(free & (F.col("size") > 0), F.size(F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda c: (c - F.col("rate") - F.col("fraction")) < F.col("shift")))).otherwise(F.floor(F.col("rate") + F.col("fraction") * F.when(F.col("rate") < cap, F.lit(1.0)).otherwise(F.lit(0.0))))
     copies = F.least(taken.cast("int"), F.lit(cap))
     rounded = written(out.withColumn("copies", copies).select("id", "row", "size", "source", "source_size", "target", "copies"), "copies")
-    moves = _last_moves(rounded, cap=cap)
-    changed = rounded.join(moves, rounded["row"] == moves["__row"], "left").withColumn("copies", F.col("copies") + F.coalesce("__by", F.lit(0)))
-    return changed.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    moves = _last_moves(rounded, cap=cap, many=many)  # three a source at most
+    if not many:
+        moves = F.broadcast(moves)
+    return rounded.join(moves, rounded["row"] == moves["__row"], "left").withColumn("copies", F.col("copies") + F.coalesce("__by", F.lit(0))).drop("__row", "__by")
 
 
-def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: int) -> DataFrame:
+def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: int, many: bool) -> DataFrame:
     """For each source the ``shift`` at which the sizes of all ``steps`` (source, size, at) below it come nearest to its target.
 
     A pass sums sizes by section of the range still open, with a map-side combine; one row a source and section is sorted.
@@ -128,13 +168,13 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
     found = written(goals.select("source", "target", F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("inside")), "shift")
     for _ in range(12):
         section = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * sections).cast("int")
-        within = _with(steps, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").withColumn("bin", F.least(section, F.lit(sections - 1)))
+        within = _with(steps, found.select("source", "lo", "hi"), "inner", many=many).where("at >= lo and at < hi").withColumn("bin", F.least(section, F.lit(sections - 1)))
         sums = within.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         total = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-        cross = _with(sums, found, "inner").withColumn("total", total).where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
+        cross = _with(sums, found, "inner", many=many).withColumn("total", total).where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
         width = (F.col("hi") - F.col("lo")) / sections
         none = F.col("c").isNull()
-        nxt = _with(found, cross).select(
+        nxt = _with(found, cross, many=many).select(
             "source",
             "target",
             F.when(none, F.col("lo")).otherwise(F.col("lo") + width * F.col("c.bin")).alias("lo"),
@@ -146,12 +186,12 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
         if found.where("inside > 1").isEmpty():
             break
     # the steps left within [lo, hi) are taken if that comes nearer to the target
-    last = _with(steps, found.select("source", "lo", "hi"), "inner").where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
+    last = _with(steps, found.select("source", "lo", "hi"), "inner", many=many).where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
     nearer = F.coalesce(F.abs(F.col("base") + F.col("words") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.lit(False))
-    return written(_with(found, last).select("source", F.when(nearer, F.col("hi")).otherwise(F.col("lo")).alias("shift")), "shift")
+    return written(_with(found, last, many=many).select("source", F.when(nearer, F.col("hi")).otherwise(F.col("lo")).alias("shift")), "shift")
 
 
-def _last_moves(rounded: DataFrame, *, cap: int, rounds: int = 3) -> DataFrame:
+def _last_moves(rounded: DataFrame, *, cap: int, many: bool, rounds: int = 3) -> DataFrame:
     """Rows to take once more or once less (``__row``, ``__by``), one a source and round, which close what rounding left open.
 
     In each round, of the rows not moved yet, the one whose size comes nearest to what a source lacks or has too much.
@@ -160,19 +200,25 @@ def _last_moves(rounded: DataFrame, *, cap: int, rounds: int = 3) -> DataFrame:
     off = written(off, "off")
     moves = written(rounded.where("false").select(F.col("row").alias("__row"), F.lit(1).alias("__by")), "moves")
     for _ in range(rounds):
-        left = _with(rounded.where("size > 0"), off, "inner").join(moves.select(F.col("__row").alias("row")), "row", "left_anti")
+        used = moves.select(F.col("__row").alias("row"))
+        left = _with(rounded.where("size > 0"), off, "inner", many=many).join(used if many else F.broadcast(used), "row", "left_anti")
         way = F.when(F.col("off") > 0, 1).otherwise(-1)
         after = F.abs(F.abs("off") - F.col("size"))
         fit = left.where(((F.col("off") > 0) & (F.col("copies") < cap)) | ((F.col("off") < 0) & (F.col("copies") > 0))).where(after < F.abs("off"))
         best = written(fit.groupBy("source").agg(F.min_by(F.struct("row", way.alias("by"), "size"), F.struct(after.alias("after"), F.col("id").cast("string").alias("id"), "row")).alias("m")), "best")
         moves = written(moves.unionByName(best.select(F.col("m.row").alias("__row"), F.col("m.by").alias("__by"))), "moves")
-        off = written(_with(off, best).select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off")), "off")
+        off = written(_with(off, best, many=many).select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off")), "off")
     return moves
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """``docs`` with every row as often as ``mixed`` takes it. Rows that share an id are taken alike, as often as the first of them."""
-    found = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, share=share, cap=cap)
-    often = found.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__from")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(often, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__from")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies")))).where("__copy > 0").select(*docs.columns)
+    """``docs`` with every row as often as ``mixed`` takes it, row by row, whatever ids rows share or lack.
+
+    ``docs`` is written once with a number for each row. Columns of any names pass through. Empty input: empty output.
+    """
+    row = unused(docs, "row")
+    base = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = _rows(base, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col(row))
+    often = _copies(rows, weights=weights, share=share, cap=cap).where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(unused(base, "copies")))
+    joined = base.join(often, row)
+    return joined.select(*[named(n) for n in docs.columns], F.explode(F.col(often.columns[1])).alias(unused(base, "copy"))).select(*[named(n) for n in docs.columns])
