@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 import zlib
@@ -11,7 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tallyloom.llm.columns import named, renamed
+from tallyloom.llm.scratch import written
+
+
+#: Runs of white space from which on a text is left to the ``tokenizers`` library, as the faster one's pattern search runs out of stack.
+_LONG_RUN = 100_000
+_RUNS = re.compile(r"\s{%d}" % _LONG_RUN)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -22,8 +31,9 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _encoder(vocabulary: str, pattern: str):
-    """A byte-pair encoder of the vocabulary file's text, made once a worker process."""
+    """From a text to its ids under the vocabulary file's text; made once a worker process."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     cache = sys.modules.setdefault("_tallyloom_encoders", types.ModuleType("_tallyloom_encoders")).__dict__
     key = f"{zlib.crc32(vocabulary.encode())}-{len(vocabulary)}"
@@ -31,7 +41,16 @@ def _encoder(vocabulary: str, pattern: str):
         spec, letters = json.loads(vocabulary), _byte_letters()
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        cache[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+        def encode(text: str) -> list[int]:
+            if len(text) >= _LONG_RUN and _RUNS.search(text):
+                if f"{key}-slow" not in cache:
+                    cache[f"{key}-slow"] = Tokenizer.from_str(vocabulary)
+                return cache[f"{key}-slow"].encode(text, add_special_tokens=False).ids
+            return fast.encode(text, allowed_special="all")
+
+        cache[key] = encode
     return cache[key]
 
 
@@ -41,7 +60,8 @@ def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     A document is its byte-pair ids under the vocabulary file (a tokenizers JSON file of byte-level kind), then
     ``end_id``. Strings of special tokens in a text count as these tokens. Only longer documents are cut, into full
     pieces after a first one that may be shorter. Null text: empty. ``ids_crc32`` is of little-endian unsigned 32-bit
-    ids. The encoder is the BPE library with the faster core of the two; the vocabulary and so the ids are the same.
+    ids. The encoder is the BPE library with the faster core of the two, but for texts with very long runs of white space,
+    which the other one takes; the vocabulary and so the ids are the same. Empty input: empty output.
     """
     import public_tokenizers
 
@@ -50,14 +70,14 @@ def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     pattern = public_tokenizers.PATTERN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary.value, pattern).encode
+        encode = _encoder(vocabulary.value, pattern)
         unit, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows: list[tuple] = []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.array([*encode(text or "", allowed_special="all"), end_id], "<u4")
+                    ids = np.array([*encode(text or ""), end_id], "<u4")
                     cut, piece = 0, 0
                     while cut < len(ids):
                         size = (len(ids) - cut) % capacity or capacity
@@ -69,7 +89,7 @@ def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 out = [part.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array([unit] * len(at), pa.int64()), pa.array(rank, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(data, pa.binary())] if keep_ids else [])], ["id", "piece", "start", "length", "ids_crc32", "unit", "rank", *["ids"] * keep_ids])
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return given.mapInArrow(scan, f"id {kind}, piece int, start long, length long, ids_crc32 long, unit long, rank long" + ", ids binary" * keep_ids)
 
@@ -151,8 +171,6 @@ def packed(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = 1024) -
     rows = plan_bins(counts, capacity)
     by_size: dict[int, np.ndarray] = {s: np.array([r for r in rows if r[0] == s], np.int64) for s in counts}
     held = pieces.sparkSession.sparkContext.broadcast(by_size)
-    from pyspark.sql import Window
-
     before = units.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = pieces.join(before.select("length", "unit", F.coalesce("before", F.lit(0)).alias("before")), ["length", "unit"])
     names = [n for n in pieces.columns if n not in ("unit", "rank")]
@@ -172,7 +190,7 @@ def packed(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = 1024) -
 
     types_ = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     out = ranked.select(*names, "rank", "before").mapInArrow(place, ", ".join([f"{'doc' if n == 'id' else n} {types_[n]}" for n in names] + ["sequence_id long", "offset long"]))
-    return out.withColumnRenamed("doc", id_col)
+    return renamed(out, "doc", id_col)
 
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = 2, capacity: int = 1024, keep_ids: bool = True) -> DataFrame:
@@ -181,7 +199,5 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Rows without an id are packed like others. Rows that share an id are packed each (their pieces are told apart by
     sequence and offset). Other columns are not returned.
     """
-    from tallyloom.llm.scratch import written
-
     pieces = written(tokenised(docs, id_col=id_col, text_col=text_col, vocabulary_path=vocabulary_path, end_id=end_id, capacity=capacity, keep_ids=keep_ids), "pieces")
     return packed(pieces, id_col=id_col, capacity=capacity)

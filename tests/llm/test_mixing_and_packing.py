@@ -121,3 +121,22 @@ def test_pieces_are_those_of_the_tokenizer(spark):
             at += n
         assert at <= 1024
     assert packing.pack_documents(df.where("false")).count() == 0
+
+
+def test_very_long_runs_are_encoded_like_the_tokenizer():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    encode, tokenizer = packing._encoder(vocabulary, public_tokenizers.PATTERN), Tokenizer.from_str(vocabulary)
+    rng = random.Random(5)
+    letters = "aé日🙂 \n\t\u3000\u00a01,.'<|>"
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 600_000 + "b", "x" * 300_000, "1" * 200_000, "日本語" * 70_000, "\u3000" * 150_000, "<|endoftext|>" + " " * 120_000 + "it's", " " * (packing._LONG_RUN - 1)]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 50, 3000, 150_000)]
+    for t in texts:
+        assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_of_blanks_and_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000, 1), (None, None, 2)], "`doc.id` long, text string, unit int")
+    got = packing.pack_documents(df, id_col="doc.id")
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(" " * 1_000_000, add_special_tokens=False).ids
+    assert got.columns[0] == "doc.id" and sum(r.length for r in got.collect()) == len(ids) + 2  # and an end for each
