@@ -12,10 +12,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyloom.llm.columns import named
+from tallyloom.llm.scratch import written
+
 #: Bytes of an archive file after which the writer starts the next one; also bounds what a reading task holds.
 ROLL_BYTES = 16 << 20
-#: Bytes given to the decompressor at once.
-STEP = 16 << 10
+#: Bytes given to the decompressor at once, and taken from it.
+STEP, GIVEN = 16 << 10, 1 << 20
+#: Bytes that one member may inflate to; what it holds beyond them is quarantined, so that a small file cannot fill an executor.
+MEMBER_BYTES = 256 << 20
 VERSION = b"WARC/1.1"
 _GZIP = b"\x1f\x8b\x08"
 _NAMES = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)\r?\n")
@@ -91,8 +96,10 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     At each place a gzip member or a plain record is tried. When a check fails, the next places that look like the start
     of a member or of a version line are tried one by one until one holds a valid record; all before it is one gap. A
     member with more than one record yields all that are sound. A member that is cut short or damaged yields the records
-    before that which are whole (and, if damaged, hold their block digest, but for the last of them); it counts as a gap too. Every byte is in exactly one record's or gap's span but
-    for members of many records, whose records share the member's span, and for records of failed members. Work is linear in the number of starts tried.
+    before that which are whole (and, if damaged, hold their block digest, but for the last of them); it counts as a gap
+    too. So does a member that inflates to more than ``MEMBER_BYTES``, after the records within these. Every byte is in
+    exactly one record's or gap's span but for members of many records, whose records share the member's span, and for
+    records of failed members. Work is linear in the number of starts tried. No bytes: nothing.
     """
     at, bad_from, reason = 0, None, ""
     starts = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
@@ -102,27 +109,20 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         wrong = "neither a member nor a record"
         stop = at
         if data.startswith(_GZIP, at):
-            unpacker, got_to, parts = zlib.decompressobj(31), at, []
-            try:
-                while got_to < len(data) and not unpacker.eof:  # in steps, so that what follows the member is not copied each time
-                    parts.append(unpacker.decompress(data[got_to : got_to + STEP]))
-                    got_to = min(len(data), got_to + STEP)
-                text = b"".join(parts)
-                if not unpacker.eof:
-                    wrong = "member is cut short"
-                    inner = list(salvage_plain(text))
-                    part = [x for x in inner if x[2] is not None and len(inner) > 1]  # a lone record stands or falls with its member
+            text, end, why = _inflated(data, at)
+            inner = list(salvage_plain(text))
+            if end is not None:
+                stop = end
+                if any(x[2] is not None for x in inner):
+                    found = [(at, stop, fields, block) for _, _, fields, block in inner]
                 else:
-                    stop = got_to - len(unpacker.unused_data)
-                    inner = list(salvage_plain(text))
-                    if any(x[2] is not None for x in inner):
-                        found = [(at, stop, fields, block) for _, _, fields, block in inner]
-                    else:
-                        wrong = inner[0][3] if inner else "empty member"
-            except zlib.error as e:
-                wrong = f"gzip: {str(e)[:60]}"
-                text = _before_damage(data, at, got_to)
-                part = [x for x in salvage_plain(text) if x[2] is not None and x[2].get("warc-block-digest", "").startswith("sha1:")][:-1]  # the last one may be what is damaged: its header has no digest
+                    wrong = inner[0][3] if inner else "empty member"
+            else:
+                wrong = why
+                if why.startswith("gzip"):  # the last one may be what is damaged, and a header has no digest
+                    part = [x for x in inner if x[2] is not None and x[2].get("warc-block-digest", "").startswith("sha1:")][:-1]
+                elif len(inner) > 1:  # a lone record stands or falls with its member
+                    part = [x for x in inner if x[2] is not None]
         elif data.startswith(b"WARC/", at):
             got = _parse(data, at)
             if isinstance(got, str):
@@ -147,16 +147,34 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         yield bad_from, len(data), None, reason
 
 
-def _before_damage(data: bytes, at: int, good: int) -> bytes:
-    """What the member at ``at``, known to be readable up to ``good``, holds before the byte that fails."""
-    unpacker = zlib.decompressobj(31)
-    parts = [unpacker.decompress(data[at:good])]
-    try:
-        for k in range(good, len(data)):
-            parts.append(unpacker.decompress(data[k : k + 1]))
-    except zlib.error:
-        pass
-    return b"".join(parts)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the member at ``at`` holds, where it ends, and if it does not end soundly (no end), why.
+
+    Of a damaged member this is all before the byte that fails, of one that is cut short or inflates to more than
+    ``MEMBER_BYTES`` all that is there or within these.
+    """
+    unpacker, got_to, parts, size = zlib.decompressobj(31), at, [], 0
+    fed = b""
+    while not unpacker.eof:
+        if not fed:
+            if got_to >= len(data):
+                return b"".join(parts), None, "member is cut short"
+            fed, got_to = data[got_to : got_to + STEP], min(len(data), got_to + STEP)
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(fed, GIVEN))
+        except zlib.error as e:
+            try:  # the step once more, byte by byte
+                for k in range(len(fed)):
+                    parts.append(before.decompress(fed[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), None, f"gzip: {str(e)[:60]}"
+        fed = unpacker.unconsumed_tail
+        size += len(parts[-1])
+        if size > MEMBER_BYTES:
+            return b"".join(parts), None, f"member inflates to more than {MEMBER_BYTES} bytes"
+    return b"".join(parts), got_to - len(unpacker.unused_data), ""
 
 
 def _page(ident: str) -> int | None:
@@ -193,7 +211,7 @@ def planned(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     and the payload all are responses. Payloads are grouped by SHA-1 with a map-side combine; only keys are shuffled for
     that. Payloads are shuffled once, by page.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(named(id_col).cast("long").alias("page_id"), F.coalesce(named(url_col).cast("string"), F.lit("")).alias("uri"), F.encode(F.coalesce(named(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     keys = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     large = keys.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -211,8 +229,13 @@ def write_archives(plan: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES
     """Writes ``planned`` rows as ``.warc.gz`` files into ``folder``; returns (path, records, bytes) of each, evaluated once.
 
     ``folder`` is a URI that all executors share. A task sorts its rows, so a task that runs again, wherever, writes the
-    same bytes under the same names; each file appears whole, by a rename. A file ends after ``roll_bytes``.
+    same bytes under the same names; each file appears whole, by a rename. A file ends after ``roll_bytes``. The folder is
+    made first, so a plan without rows leaves an empty one.
     """
+    spark = plan.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -245,8 +268,6 @@ def write_archives(plan: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES
         names, counts, sizes = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
-    from tallyloom.llm.scratch import written
-
     dealt = plan.sortWithinPartitions("page_id", "digest", "uri")
     return written(dealt.mapInArrow(write, "path string, records long, bytes long"), "archives")
 
@@ -289,11 +310,17 @@ def read_archives(files: DataFrame, *, keep_payload: bool = True) -> DataFrame:
 
 
 def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives of a folder as ``(path, content)`` rows; none if it holds none."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
 
 
 def resolved(records: DataFrame, *, keep_payload: bool = False) -> DataFrame:
-    """Records by page: a revisit gets the size and digest (with ``keep_payload`` the payload) of the response it refers to."""
+    """Records by page: a revisit gets the size and digest (with ``keep_payload`` the payload) of the response it refers to.
+
+    Of responses that share a record id any stands for it, as revisits say only the id. A revisit whose response is not
+    among ``records`` keeps its own digest and has a null size and ``refers_to``. Gaps give no row; a record without a
+    page id has a null one. Empty input: empty output.
+    """
     own = ["page_id", "record_type", "record_id", "refers_to", "payload_bytes", "digest", *["payload"] * keep_payload]
     found = records.where("kind = 'record'").select(*own)
     first = found.where("record_type = 'response'").join(found.where("record_type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")

@@ -1,9 +1,6 @@
-import zlib
-
-from pyspark.sql import functions as F
 from test_warc import BIG, pages, records
 
-from tallyloom.llm import warc
+from tallyloom.llm import registry, warc
 
 
 def test_ids_of_nineteen_digits(spark, tmp_path):
@@ -32,3 +29,26 @@ def test_sound_records_of_failed_members():
     found = uris(bytes(broken) + last)
     assert 10 < len(found) < 41 and found[:10] == [f"http://h/{i}" for i in range(10)] and found[-1] == "http://h/50"
     assert gaps(bytes(broken) + last)[0][0] == 0
+
+
+def test_the_query_takes_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = registry.op3_warc(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def test_a_flipped_byte_near_the_end_leaves_the_records_before():
+    packed = bytearray(warc.member(b"".join(records(20))))
+    packed[-30] ^= 0x10
+    got = list(warc.salvage(bytes(packed)))
+    assert sum(x[2] is not None for x in got) >= 10 and sum(x[2] is None for x in got) == 1
+
+
+def test_members_that_inflate_without_end(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 4 << 20)
+    few = records(3)
+    bomb = warc.member(b"".join(few) + b"\0" * (64 << 20))
+    assert len(bomb) < 100_000
+    got = list(warc.salvage(bomb + warc.member(few[0])))
+    assert [x[2]["warc-target-uri"] for x in got if x[2]] == ["http://h/0", "http://h/1", "http://h/2", "http://h/0"]
+    assert [x for x in got if x[2] is None][0][3].startswith("member inflates to more")
