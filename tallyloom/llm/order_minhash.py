@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.llm.columns import named
+
 WHITE = " \t\n\x0b\x0c\r"
 #: Low bits of a packed item that hold its place in the text.
 PLACE_BITS = 21
@@ -102,24 +104,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(df: DataFrame, *, id_col: str, columns: dict[str, str], prepare=lambda df: df, rows_a_bucket: int = 256, max_buckets: int = 1 << 16) -> DataFrame:
+def _longs(values: list[int]) -> Column:
+    """A constant array of longs."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _place_in(value: Column, borders: list[int]) -> Column:
+    """How many of the ascending ``borders`` are at most ``value``, by halving."""
+    steps, held = [1 << k for k in reversed(range(len(borders).bit_length()))], _longs(borders)
+    if not borders:
+        return F.lit(0).cast("long")
+    inside = lambda at, step: (at + step <= len(borders)) & (F.get(held, at + step - 1) <= value)
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: at + F.when(inside(at, step), step).otherwise(F.lit(0))).cast("long")
+
+
+def with_next(df: DataFrame, *, id_col: str, columns: dict[str, str], prepare=lambda df: df, rows_a_bucket: int = 256, max_buckets: int = 1 << 14) -> DataFrame:
     """``df`` with, under the names of ``columns``, values of the row with the next smaller id; after the least comes the greatest.
 
-    Rows are dealt by ranges of the id, at most ``max_buckets`` of one width each. The first row of a range is also sent
-    to the range above it, as a guest that only answers; the list of first rows, one a range, is all that is broadcast.
-    Rows that share an id follow each other, by their other columns. Rows without an id have no next one (nulls).
-    ``prepare`` may add columns to the rows, guests included, before they are dealt.
+    Rows are dealt by ranges of the id with about the same number of rows each, whatever the ids, at most ``max_buckets``
+    of them; their borders are quantiles of the ids (a scan of this column). The first row of a range is also sent to
+    the range above it, as a guest that only answers; borders and first rows, one a range, are all that goes through the
+    driver. Rows that share an id follow each other, by their other columns, so these are in one range however many.
+    Rows without an id have no next one (nulls). ``prepare`` may add columns to the rows, guests included, before they
+    are dealt.
     """
-    spark = df.sparkSession
-    n, low, high = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
-    buckets = max(1, min(max_buckets, (n or 0) // rows_a_bucket))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.expr(f"cast(`{id_col}` as bigint) div {width}L") if width < 1 << 63 else F.lit(0).cast("long")
-    heads = sorted((r.b, r.head) for r in df.where(F.col(id_col).isNotNull()).groupBy(bucket.alias("b")).agg(F.max(id_col).alias("head")).collect())
-    guests = [(int(head), int(heads[(k + 1) % len(heads)][0])) for k, (_, head) in enumerate(heads)]
-    goes = spark.createDataFrame(guests, "__head long, __to long")
+    n = df.agg(F.count(id_col)).first()[0]
+    buckets = max(1, min(max_buckets, n // rows_a_bucket))
+    borders: list[int] = []
+    if buckets > 1:
+        shares = [k / buckets for k in range(1, buckets)]
+        borders = sorted(set(df.agg(F.percentile_approx(id_col, shares, 10 * buckets)).first()[0]))
+    bucket = F.when(F.col(id_col).isNotNull(), _place_in(F.col(id_col), borders))
+    found = df.where(F.col(id_col).isNotNull()).select(id_col).groupBy(bucket.alias("b")).agg(F.max(id_col).alias("head"))
+    heads = sorted((r.b, r.head) for r in found.collect())
+    guests = sorted((int(head), int(heads[(k + 1) % len(heads)][0])) for k, (_, head) in enumerate(heads))
     home = df.withColumns({"__bucket": bucket, "__guest": F.lit(False), "__lane": F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))})
-    visit = df.join(F.broadcast(goes), F.col(id_col) == F.col("__head")).withColumns({"__bucket": F.col("__to"), "__guest": F.lit(True), "__lane": F.lit(0).cast("long")}).drop("__head", "__to")
+    heads_, goes = _longs([h for h, _ in guests]), _longs([g for _, g in guests])
+    at = _place_in(F.col(id_col), [h for h, _ in guests]).cast("int")
+    visit = df.where(F.get(heads_, at - 1) == F.col(id_col)) if guests else df.where("false")
+    visit = visit.withColumns({"__bucket": F.get(goes, at - 1) if guests else F.lit(0).cast("long"), "__guest": F.lit(True), "__lane": F.lit(0).cast("long")})
     order = Window.partitionBy("__bucket", "__lane").orderBy("__guest", F.col(id_col).desc(), *[F.col(c) for c in dict.fromkeys(columns.values())])
     joined = prepare(home.unionByName(visit)).withColumns({new: F.lead(old).over(order) for new, old in columns.items()})
     return joined.where(~F.col("__guest")).drop("__bucket", "__guest", "__lane")
@@ -130,10 +153,10 @@ def fingerprinted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     ``edited`` is the text whose last floor(n_chars / 2) code points are replaced by the first as many (or all) of the
     next document's, in descending order of ids; after the last comes the first. Null text: empty. Rows without an id
-    are edited with nothing and have a ``near_next`` to an empty text. Other columns are not returned. Empty input:
-    empty output. Texts are shuffled once, by ranges of the id. ``filled`` is as in ``with_signature``.
+    are edited with nothing and have a ``near_next`` to an empty text. Other columns, of any names, are not returned.
+    Empty input: empty output. Texts are shuffled once, by ranges of the id. ``filled`` is as in ``with_signature``.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(named(id_col).cast("long").alias("doc"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     base = with_next(base, id_col="doc", columns={"next_text": "text", "next_sig": "sig"}, prepare=lambda df: with_signature(df, "text", "sig", bits=bits, filled=filled))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))

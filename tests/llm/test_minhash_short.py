@@ -68,3 +68,13 @@ def test_texts_without_white_space(spark):
     url = "http://example.org/a/long/path"
     got = likenesses(spark, [(f"see {url} now", "日本語のテキスト ok")])[0]
     assert set(got.sa) == signature(["see", *pieces(url), "now"]) and set(got.sb) == signature([*pieces("日本語のテキスト"), "ok"])
+
+
+def test_ranges_hold_as_many_rows_each_beside_far_ids(spark):
+    ids = [-(2**63), *range(3000), 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "id long, t string")
+    order = sorted(ids, reverse=True)
+    got = m.with_next(df, id_col="id", columns={"n": "t"}, rows_a_bucket=100)
+    assert {r.id: r.n for r in got.collect()} == {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)}
+    at = df.select(m._place_in(F.col("id"), [0, 10, 20]).alias("b")).groupBy("b").count().collect()
+    assert {r.b: r["count"] for r in at} == {0: 1, 1: 10, 2: 10, 3: 2982}
