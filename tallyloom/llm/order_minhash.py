@@ -29,19 +29,21 @@ def _fresh(packed: Column, part) -> Column:
     return F.filter(marked, lambda i: i >= 0)
 
 
-def _words(text: Column, unspaced: bool) -> Column:
-    """The words of a trimmed text; with ``unspaced``, for each run like ``UNSPACED`` its three-character pieces, one a place."""
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    if not unspaced:
-        return words
+def _may_be_unspaced(w: Column) -> Column:
+    """False for most words, and never for a run like ``UNSPACED``, by lengths alone: the scripts there take 3 bytes a character or more."""
+    return (F.octet_length(w) >= 25) | ((F.octet_length(w) >= 9) & (F.octet_length(w) > F.char_length(w)))
+
+
+def _by_characters(words: str) -> Column:
+    """The words of a column of words, with the three-character pieces, one a place, of each run like ``UNSPACED``."""
 
     def pieces(w: Column) -> Column:
         n = F.char_length(w) - 2
         at = lambda k: F.slice(F.split(w, ""), F.lit(k), n)
         both = lambda a, b: F.concat(a, b)
-        return F.when(w.rlike(UNSPACED), F.zip_with(F.zip_with(at(1), at(2), both), at(3), both)).otherwise(F.array(w))
+        return F.when(_may_be_unspaced(w) & w.rlike(UNSPACED), F.zip_with(F.zip_with(at(1), at(2), both), at(3), both)).otherwise(F.array(w))
 
-    return F.when(text.rlike(UNSPACED), F.flatten(F.transform(words, pieces))).otherwise(words)
+    return F.when(F.exists(words, _may_be_unspaced), F.flatten(F.transform(words, pieces))).otherwise(F.col(words))
 
 
 def with_signature(df: DataFrame, text_col: str, out_col: str, *, bits: int = 6, filled: bool = False) -> DataFrame:
@@ -60,7 +62,8 @@ def with_signature(df: DataFrame, text_col: str, out_col: str, *, bits: int = 6,
     places = F.lit((1 << place_bits) - 1)
     top = 64 - bits
     out = df.withColumn("__t", F.btrim(c(text_col), F.lit(WHITE)))
-    out = out.withColumn("__w", F.when(c("__t") == "", F.array().cast("array<bigint>")).otherwise(F.transform(_words(c("__t"), filled), lambda w: F.xxhash64(w)))).drop("__t")
+    out = out.withColumn("__w", F.when(c("__t") == "", F.array().cast("array<string>")).otherwise(F.split(c("__t"), r"[\x20\x09-\x0D]+"))).drop("__t")
+    out = out.withColumn("__w", F.transform(_by_characters("__w") if filled else c("__w"), lambda w: F.xxhash64(w)))
     # word pairs by zipping the hashes with themselves one on; the last word has no partner and goes, unless it is alone
     pairs = F.zip_with(c("__w"), F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     out = out.withColumn("__g", F.slice(pairs, F.lit(1), F.greatest(F.size("__w") - 1, F.least(F.size("__w"), F.lit(1))))).drop("__w")
