@@ -8,13 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyloom.llm.columns import named, renamed
 from tallyloom.llm.components import components
 from tallyloom.llm.groups import Sets, pieces
 from tallyloom.llm.scratch import written
 
-#: Vectors at home in a cell that one task holds; it compares them with all vectors of the cell, a batch at a time.
+#: Vectors that one product takes from each side, and that a cell is meant for; a task holds as many at least.
 BLOCK = 2048
-MAX_CELLS, SAMPLE = 4096, 65_536
+#: Bytes of doubles that a task holds of a cell's own vectors at most (if that is more than ``BLOCK`` of them).
+HELD_BYTES = 32 << 20
+MAX_CELLS, SAMPLE, SAMPLE_BYTES = 4096, 65_536, 64 << 20
 
 
 def fit_cells(sample: np.ndarray, k: int, *, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -40,19 +43,34 @@ def fit_cells(sample: np.ndarray, k: int, *, rounds: int = 8, seed: int = 7) ->
     return centres
 
 
+def pick_cells(sample: np.ndarray, k: int, reach: float) -> np.ndarray:
+    """Centroids for ``k`` cells, or a fourth of them and so on, while vectors then visit about as small a share of the cells.
+
+    A share of s means s times the products of all pairs, however many cells there are; fewer cells mean fewer copies sent.
+    """
+    found = []
+    while True:
+        centres = fit_cells(sample, k)
+        found.append((_visits(sample[:: max(1, len(sample) // 4096)], centres, reach)[1].mean() if len(sample) else 1.0, centres))
+        if k == 1 or not len(sample):
+            break
+        k = max(1, k // 4)
+    least = min(share for share, _ in found)
+    return [centres for share, centres in found if share <= 1.25 * least][-1]
+
+
 def _unit(col: pa.Array, dims: int) -> np.ndarray:
-    """Rows of doubles of length 1, with zeros up to ``dims``."""
-    sizes = np.diff(col.offsets.to_numpy())
-    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    """The first ``dims`` components, or zeros beyond its own, of each row as a vector of length 1 in doubles."""
+    start, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(start)
     out = np.zeros((len(col), dims))
-    start = col.offsets.to_numpy()
-    if len(sizes) and (sizes == dims).all():
-        out[:] = flat[start[0] : start[-1]].reshape(len(col), dims)
-    else:
-        for i, (lo, n) in enumerate(zip(start[:-1].tolist(), sizes.tolist(), strict=True)):
-            out[i, :n] = flat[lo : lo + n]
-    out /= np.abs(out).max(1, keepdims=True)  # so that squares neither overflow nor vanish
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        own = flat[start[rows][:, None] + np.arange(size)].astype(np.float64)
+        own /= np.abs(own).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
+        out[rows, : min(size, dims)] = own[:, :dims]
+    return out
 
 
 def _visits(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +78,8 @@ def _visits(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.nda
 
     Let x be at home in a and y in b, |x - y| <= reach. As x.(a - b) >= 0 and y.(b - a) >= 0 add up to
     (x - y).(a - b) <= reach |a - b|, one of the two is at most half of that: a vector that goes to every cell within
-    this margin meets, there or at home, all vectors that are so near. No pair is lost.
+    this margin meets, there or at home, all vectors that are so near. No pair is lost. That holds as well if x and y are
+    parts of longer vectors, as parts are no farther from each other.
     """
     score = unit @ centres.T
     home = score.argmax(1)
@@ -69,42 +88,48 @@ def _visits(unit: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.nda
     return home, gap <= 0.5 * reach * apart[home] + 1e-9
 
 
-def _compare(centres: np.ndarray, dims: int, floor: float, reach: float):
-    """From rows sorted by cell and block, the block's own vectors first, to counts and links."""
+def _compare(cells: int, floor: float):
+    """From rows sorted by cell, block and length, the block's own vectors first, to counts and links.
+
+    Which cells a vector was sent to comes with it, as found when it was assigned, so that both sides decide alike which
+    of them counts a pair.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for part in pieces(batches, ["cell", "block"], BLOCK):
-            cell, block = (part.column(c)[0].as_py() for c in ("cell", "block"))
-            if (cell, block) != key:
-                key, held = (cell, block), []
-            unit = _unit(part.column("embedding"), dims)
-            new = [unit, *(part.column(c).to_numpy() for c in ("v", "weight", "dim", "own")), *_visits(unit, centres, reach)]
-            mine = new[4] == block
+        key, held, sent = None, [], np.zeros(0, np.int64)
+        for part in pieces(batches, ["cell", "block", "dim"], BLOCK):
+            cell, block, dim = (part.column(c)[0].as_py() for c in ("cell", "block", "dim"))
+            if (cell, block, dim) != key:
+                key, held, sent = (cell, block, dim), [], np.zeros(0, np.int64)
+            new = [_unit(part.column("embedding"), dim), *(part.column(c).to_numpy() for c in ("v", "weight", "home", "own"))]
+            unit, v, weight, home, own = new
+            mine = (own == block) & (home == cell)
+            old = len(held[0]) if held else 0
             if mine.any():
-                old = len(held[0]) if held else 0
                 held = [np.concatenate([a, b[mine]]) for a, b in zip(held, new, strict=True)] if held else [a[mine] for a in new]
+                goes = [np.frombuffer(x, np.uint16).astype(np.int64) + (old + k) * cells for k, x in enumerate(part.column("goes").filter(pa.array(mine)).to_pylist())]
+                sent = np.concatenate([sent, *goes])
             if not held:
                 continue
-            # pairs of an own vector and one of this batch; among own vectors the earlier one stands first
-            link = held[0] @ unit.T >= floor
-            link &= held[3][:, None] == new[3][None, :]
-            if mine.any():
-                at = np.full(len(unit), np.iinfo(np.int64).max)
-                at[mine] = old + np.arange(int(mine.sum()))
-                link &= np.arange(len(held[0]))[:, None] < at[None, :]
-            r, c = np.nonzero(link)
-            home, own = new[5][c], new[4][c]
-            # both at home here: in the lower block only; else in the lower of the two homes if they meet in both
-            once = np.where(home == cell, (own >= block), (cell < home) | ~held[6][r, home])
-            r, c = r[once], c[once]
-            if not len(r):
-                continue
-            ids = np.concatenate([held[1], new[1]])
-            links = np.bincount(r, new[2][c], len(ids)) + np.bincount(c + len(held[1]), held[2][r], len(ids))
-            label = _labels(r, c + len(held[1]), ids)
-            some = np.flatnonzero(links > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(label[some])], ["v", "links", "least"])
+            at = np.full(len(unit), np.iinfo(np.int64).max)  # among own vectors the earlier one stands first
+            at[mine] = old + np.arange(int(mine.sum()))
+            for lo in range(0, len(held[0]), BLOCK):
+                link = held[0][lo : lo + BLOCK] @ unit.T >= floor
+                link &= (lo + np.arange(len(link)))[:, None] < at[None, :]
+                r, c = np.nonzero(link)
+                # both at home here: in the lower block only; else in the lower of the two homes if they meet in both
+                wanted = (lo + r) * cells + home[c]
+                there = sent[np.minimum(np.searchsorted(sent, wanted), len(sent) - 1)] == wanted
+                once = np.where(home[c] == cell, own[c] >= block, (cell < home[c]) | ~there)
+                r, c = r[once], c[once]
+                if not len(r):
+                    continue
+                ids = np.concatenate([held[1][lo : lo + BLOCK], v])
+                width = len(link)
+                links = np.bincount(r, weight[c], len(ids)) + np.bincount(c + width, held[2][lo + r], len(ids))
+                label = _labels(r, c + width, ids)
+                some = np.flatnonzero(links > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(label[some])], ["v", "links", "least"])
 
     return scan
 
@@ -137,29 +162,35 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     or non-finite components links with nothing. Rows without an id link with nothing, have a null component and are not
     kept. Other columns are not returned. Empty input: empty output.
 
-    Method: ``cells`` (default: one for 2048 rows, at most 4096) unit centroids are fitted by spherical
-    k-means on a sample of at most about ``sample`` vectors; every vector is then assigned. A vector is also sent to
-    each cell whose border is near enough for a partner on the other side, so no link is lost whatever the centroids.
-    Equal vectors are compared once, with their number as weight. The vectors at home in a cell are dealt in
-    blocks of about ``BLOCK``, each of which sees all vectors of the cell pass by. Only counts and one link a vector and block leave a task, never all pairs. The centroids, at most 4096 rows,
-    are all that is broadcast.
+    Method: ``cells`` (default: one for 2048 rows, at most 4096, or fewer if these part the vectors as well) unit
+    centroids are fitted by spherical k-means on a sample of at most about ``sample`` vectors and ``SAMPLE_BYTES``; every
+    vector is then assigned, by its first components if it is longer than most. A vector is also sent to each cell whose
+    border is near enough for a partner on the other side, so no link is lost whatever the centroids. Equal vectors are
+    compared once, with their number as weight. The vectors at home in a cell are dealt in blocks, one for each task that
+    the session has but not above ``HELD_BYTES``, each of which sees all vectors of the cell pass by. So a vector that
+    visits a share s of c cells of n vectors is sent s * max(c, n / block) times. Only counts and one link a vector and
+    product leave a task, never all pairs. The centroids are all that is broadcast.
     """
     spark = table.sparkSession
-    raw = F.col(vector_col).cast("array<double>")
-    fine = F.col(id_col).isNotNull() & F.coalesce(F.size(raw) > 0, F.lit(False)) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(raw, lambda x: x != 0)
-    given = table.select(F.col(id_col).cast("long").alias("v"), F.col(vector_col).alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    vector = named(vector_col)
+    raw = vector.cast("array<double>")
+    fine = named(id_col).isNotNull() & F.coalesce(F.size(raw) > 0, F.lit(False)) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(raw, lambda x: x != 0)
+    given = table.select(named(id_col).cast("long").alias("v"), vector.alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
     good = given.where("fine").select("v", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), F.size("embedding").alias("dim"))
     classes = good.groupBy("h1", "h2").agg(F.min_by("embedding", "v").alias("embedding"), F.min("v").alias("v"), F.count("*").alias("weight"), F.max("dim").alias("dim"))
     classes = written(classes, "vectors")
-    n, dims = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    k = cells or max(1, min(MAX_CELLS, n // BLOCK))
-    part = min(1.0, sample / max(n, 1))
-    drawn = classes.where((F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)) < part).orderBy("v").select("embedding").toArrow().column(0).combine_chunks()
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    n, dims, longest = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max_by("dim", F.struct("n", -F.col("dim"))), F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    rows = min(sample, SAMPLE_BYTES // (8 * dims) + 1)
+    part = min(1.0, rows / max(n, 1))
+    drawn = classes.where(F.col("dim") == dims).where((F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)) < part).orderBy("v").select("embedding").toArrow().column(0).combine_chunks()
     drawn = drawn.combine_chunks() if isinstance(drawn, pa.ChunkedArray) else drawn
-    centres = fit_cells(_unit(drawn, dims) if len(drawn) else np.zeros((0, dims)), k)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * floor))) * (1 + 1e-12)
+    unit = _unit(drawn, dims) if len(drawn) else np.zeros((0, dims))
+    centres = fit_cells(unit, cells) if cells else pick_cells(unit, max(1, min(MAX_CELLS, n // BLOCK)), reach)
     if not len(centres):
         centres = np.eye(1, dims)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * floor))) * (1 + 1e-12)
+    k = len(centres)
     held = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,24 +200,25 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                 home, goes = _visits(_unit(pa.array(rows.column("embedding").to_pylist(), rows.column("embedding").type), dims), held.value, reach)
                 row, cell = np.nonzero(goes)
                 at = pa.array(row)
-                own = pa.array(np.zeros(len(cell), np.int64), mask=home[row] != cell)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), own, *(rows.column(c).take(at) for c in ("v", "weight", "dim", "embedding"))], ["cell", "own", "v", "weight", "dim", "embedding"])
+                own = home[row] == cell
+                lists = [np.flatnonzero(goes[r]).astype(np.uint16).tobytes() if mine else None for r, mine in zip(row.tolist(), own.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(home[row].astype(np.int64)), pa.array(lists, pa.binary()), *(rows.column(c).take(at) for c in ("v", "weight", "dim", "embedding"))], ["cell", "home", "goes", "v", "weight", "dim", "embedding"])
 
     kind = table.schema[vector_col].dataType.simpleString()
-    sent = classes.select("v", "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, own long, v long, weight long, dim long, embedding {kind}")
+    sent = classes.select("v", "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, home long, goes binary, v long, weight long, dim long, embedding {kind}")
     sent = written(sent, "cells")
-    blocks = sent.where("own is not null").groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("nb"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = max(BLOCK, min(HELD_BYTES // (8 * longest), n // max(tasks, 1)))
+    blocks = sent.where("home = cell").groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("nb"))
     dealt = (
         sent.join(F.broadcast(blocks), "cell")  # one row a cell, 4096 at most
-        .withColumn("own", F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("v"), F.col("nb"))).otherwise(F.lit(-1).cast("long")))
+        .withColumn("own", F.when(F.col("home") == F.col("cell"), F.pmod(F.xxhash64("v"), F.col("nb"))).otherwise(F.lit(-1).cast("long")))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select("cell", "block", "own", "v", "weight", "dim", "embedding")
-        .repartition("cell", "block")
-        .sortWithinPartitions("cell", "block", (F.col("own") != F.col("block")))
+        .select("cell", "block", "own", "home", F.when(F.col("own") == F.col("block"), F.col("goes")).alias("goes"), "v", "weight", "dim", "embedding")
+        .repartition("cell", "block", "dim")
+        .sortWithinPartitions("cell", "block", "dim", (F.col("own") != F.col("block")))
     )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _compare(held.value, dims, floor, reach)(batches)
+    compare = _compare(k, floor)
 
     found = written(dealt.mapInArrow(compare, "v long, links long, least long"), "near")
     counts = found.groupBy("v").agg(F.sum("links").alias("links"))
@@ -200,4 +232,4 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     linked = good.select("v", "h1", "h2").join(whole, ["h1", "h2"]).select("v", "n_links", "component_id")
     alone = given.where("not fine").select("v", F.lit(0).cast("long").alias("n_links"), F.col("v").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("v").alias(id_col), "n_links", "component_id", F.coalesce(F.col("v") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return renamed(out.select("v", "n_links", "component_id", F.coalesce(F.col("v") == F.col("component_id"), F.lit(False)).alias("kept")), "v", id_col)

@@ -64,3 +64,27 @@ def test_cells_are_unit_vectors():
     centres = e.fit_cells(sample, 12)
     assert centres.shape == (12, 8) and np.allclose(np.linalg.norm(centres, axis=1), 1)
     assert (sample @ centres.T).max(1).mean() > (sample @ sample[:12].T).max(1).mean() - 0.2
+
+
+def test_vectors_of_other_lengths(spark, monkeypatch):
+    """Cells are of the commonest length; a longer vector is assigned by its first components."""
+    monkeypatch.setattr(e, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    given = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(80)]
+    for n in (3, 30):
+        base = rng.normal(size=n)
+        given += [(1000 * n + k, [float(x) for x in base + rng.normal(size=n) * 0.02]) for k in range(12)]
+    given += [(5000, [0.0] * 10 + [1.0] * 20), (5001, [0.0] * 10 + [1.0] * 20)]
+    df = spark.createDataFrame(given, "`vec.id` long, `a.b` array<double>")
+    out = e.near_vectors(df, id_col="vec.id", vector_col="a.b")
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(given, 0.95)
+
+
+def test_fewer_cells_where_more_part_nothing():
+    rng = np.random.default_rng(1)
+    noise = rng.normal(size=(4000, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    groups = np.repeat(rng.normal(size=(40, 64)), 100, axis=0) + rng.normal(size=(4000, 64)) * 0.05
+    groups /= np.linalg.norm(groups, axis=1, keepdims=True)
+    few, many = (len(e.pick_cells(x, 64, 0.31)) for x in (noise, groups))
+    assert few <= many and many >= 16
