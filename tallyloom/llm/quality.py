@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyloom.llm.bytescan import U64, release, row_of, slices, span_hashes, spans, text_bytes
+from tallyloom.llm.columns import named
 from tallyloom.llm.scratch import written
 
 #: Words share this many vectors by hash; looks (see ``_looks``) have one each.
@@ -159,17 +160,17 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, sample: int = 12_000) -> QualityModel:
     """A model from labelled rows, on a sample of about ``sample`` of them at most, drawn by a hash of the id.
 
-    ``usable`` says which rows of ``labels`` may be learned from. Null ids and labels are left out. With one class or
-    none, all scores are that class (or 1). The sample is all that is joined, read twice (contexts, then pooled vectors)
+    ``usable`` says which rows of ``labels`` may be learned from. Null ids and labels are left out; of several labels of
+    an id the larger counts. With one class or none, all scores are that class (or 1). The sample is all that is joined, read twice (contexts, then pooled vectors)
     and of which pooled vectors, a few hundred bytes a row, go to the driver; its bound does not depend on the corpus.
     Word vectors: each word's sum of its neighbours' random index vectors over the sample, beside its own.
     """
     spark = docs.sparkSession
-    known = labels.where(usable if usable is not None else F.lit(True)).select(F.col(id_col).cast("long").alias("__doc"), F.col(label_col).cast("int").alias("__y")).where("__doc is not null and __y in (0, 1)")
+    known = labels.where(usable if usable is not None else F.lit(True)).select(named(id_col).cast("long").alias("__doc"), named(label_col).cast("int").alias("__y")).where("__doc is not null and __y in (0, 1)")
     known = known.groupBy("__doc").agg(F.max("__y").alias("__y"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("__doc", F.lit("quality")), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30))))
-    rows = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__doc")  # at most about ``sample`` rows
+    rows = docs.select(named(id_col).cast("long").alias("__doc"), named(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__doc")  # at most about ``sample`` rows
     rows = written(rows.select("__doc", "text", "__y").repartition(6, "__doc").sortWithinPartitions("__doc", "text"), "sample")
     word_index, look_index = index_vectors(WORDS, 11), index_vectors(LOOKS, 12)
 
@@ -233,15 +234,18 @@ def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", scor
     whatever the corpus, is broadcast.
     """
     keep = [n for n in docs.columns if n != score_col]
+    inner = [f"c{i}" for i in range(len(keep))]  # names that cannot clash with each other
     release()  # what fitting held on the driver
     held = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = held.value
         for batch in batches:
-            for part in slices(batch, text_col, STEP):
-                scores = _scores(_pooled(part.column(text_col), parts[0], parts[1]), parts)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(scores.astype(np.float64))], [*keep, score_col])
-
-    schema = docs.select(*keep).schema.add(score_col, "double")
-    return docs.select(*keep).mapInArrow(score, schema)
+            for part in slices(batch, body, STEP):
+                scores = _scores(_pooled(part.column(body), parts[0], parts[1]), parts)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in inner), pa.array(scores.astype(np.float64))], [*inner, "score"])
+
+    body = inner[keep.index(text_col)]
+    given = docs.select(*[named(n).alias(i) for n, i in zip(keep, inner, strict=True)])
+    done = given.mapInArrow(score, T.StructType(list(given.schema.fields)).add("score", "double"))
+    return done.select(*[F.col(i).alias(n) for n, i in zip(keep, inner, strict=True)], F.col("score").alias(score_col))

@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document, whole text, fitted on labels outside the held-out third. Null texts score as empty; ties of 0.5 predict 1."""
     from tallyloom.llm import quality
 
     third = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -23,12 +24,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Vectors that are null, zero or not finite link with nothing."""
     from tallyloom.llm.embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), floor=0.95)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back. Null html: empty; rows without an id are responses; an empty table gives no row."""
     from tallyloom.llm import warc
     from tallyloom.llm.scratch import shared_path, written
 
@@ -39,6 +42,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all documents. Null texts have the empty set and link with nothing."""
     from tallyloom.llm.ngram_join import jaccard_components
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +50,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages. Null texts have no words."""
     from tallyloom.llm.substring_dedup import drop_repeated_passages
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +58,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. Null texts are empty; rows of one id follow each other by text."""
     from tallyloom.llm.order_minhash import fingerprinted
 
     found = fingerprinted(table(spark, sf_dir, "documents"), filled=True)
@@ -60,18 +66,21 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. Null texts have size 0; null sources are one source, the last."""
     from tallyloom.llm.mixing import mixed
 
     return mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2).drop("source", "copies")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces. Null texts are an end token alone."""
     from tallyloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2, keep_ids=False)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from what was rendered. Null text: empty; a null role stays null."""
     from tallyloom.llm import chat
 
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -91,15 +100,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that a smaller id holds. Null texts are one empty line."""
     from tallyloom.llm.line_dedup import drop_shared_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_shared_lines(docs, min_chars=10, min_docs=2).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that do not depend on how fingerprints are made."""
+    return op6_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that do not depend on how rates are rounded; targets in hundredths of a word."""
+    return op7_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round(F.col("target") * 100).cast("long").alias("target_cents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"edited_texts": edited_texts, "mixing_targets": mixing_targets}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -108,6 +128,10 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_format": CHAT_SQL,
         "op5_substring_dedup": SUBSTRING_SQL,
         "op10_line_dedup": LINE_SQL,
+        "op2_embedding_dedup": VECTOR_SQL,
+        "op4_ngram_join": JACCARD_SQL,
+        "edited_texts": EDITED_SQL,
+        "mixing_targets": TARGET_SQL,
     }
 
 
@@ -158,3 +182,52 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from f group by doc_id
 """
+
+_REACH = """
+reach(node, component) as (select node, node from nodes union select l.b, r.component from reach r join links l on l.a = r.node)"""
+
+VECTOR_SQL = f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+good as (select * from v where vec_id is not null and len(e) > 0 and len([x for x in e if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+links as (select x.vec_id as a, y.vec_id as b from good x join good y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.95),
+nodes as (select distinct a as node from links), {_REACH},
+least as (select node, min(component) as component from reach group by node),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n.n, 0) as n_links, coalesce(least.component, vec_id) as component_id, vec_id is not null and vec_id = coalesce(least.component, vec_id) as kept
+from v left join n on n.a = v.vec_id left join least on least.node = v.vec_id
+"""
+
+JACCARD_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+g as (select distinct doc_id, md5(array_to_string(g, ' ')) as h from (
+  select doc_id, words[i:i + 2] as g from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3)
+  union all select doc_id, words from w where len(words) between 1 and 2)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as common from g x join g y on x.h = y.h and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * common >= 90 * (p.n + q.n - common)),
+nodes as (select distinct a as node from links), {_REACH},
+least as (select node, min(component) as component from reach group by node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least.component, w.doc_id) as component_id
+from w left join n using (doc_id) left join least on least.node = w.doc_id
+"""
+
+EDITED_SQL = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+o as (select doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as after from d)
+select doc_id, length(t) as n_chars, sha256(left(t, length(t) - length(t) // 2) || left(after, length(t) // 2)) as edited_sha256 from o
+"""
+
+TARGET_SQL = r"""
+with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from s),
+f(round, source, source_size, weight, stopped) as (
+  select 0, source, source_size, weight, false from w
+  union all
+  select round + 1, source, source_size, weight,
+    stopped or (sum(source_size) over () * 1.5 - coalesce(sum(2.0 * source_size) filter (where stopped) over (), 0)) * weight / sum(weight) filter (where not stopped) over () >= 2 * source_size
+  from f where round < 20 and not stopped or round < 20 and stopped),
+z as (select * from f where round = 20),
+t as (select source, source_size, case when stopped then 2.0 * source_size else (sum(source_size) over () * 1.5 - coalesce(sum(2.0 * source_size) filter (where stopped) over (), 0)) * weight / sum(weight) filter (where not stopped) over () end as target from z)
+select doc_id, size, source_size, round(target * 100)::bigint as target_cents from d join t on t.source is not distinct from d.source
+"""
