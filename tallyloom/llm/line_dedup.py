@@ -14,6 +14,8 @@ from tallyloom.llm.scratch import written
 
 #: White space that is stripped from lines by steps of one byte; longer runs are looked up.
 STEPS = 16
+#: Keys with more than this part of all lines do not meet in one task when lines look up what is shared.
+FREQUENT = 1000
 
 
 def _lines(col: pa.Array) -> tuple[np.ndarray, ...]:
@@ -93,15 +95,21 @@ def drop_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     through.
 
     Plan: keys travel as 128-bit hashes and are written once; a hash's documents are counted with a map-side combine, so
-    a line that is in every document adds one row a task; the join back is on hashes and can be split by AQE; texts are
-    shuffled once.
+    a line that is in every document adds one row a task. The join back is on hashes, but for those that have more than
+    1 / ``FREQUENT`` of all lines, which are broadcast: fewer than ``FREQUENT`` can. Texts are shuffled once.
     """
     keys = written(line_keys(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "keys")
     if min_docs == 2:
-        shared = keys.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+        shared = keys.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows")).where("least < most").drop("most")
     else:
-        shared = keys.distinct().groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    drops = keys.join(shared.select("h1", "h2", "least"), ["h1", "h2"]).where("doc > least").groupBy(F.col("doc").alias("dropped_from")).agg(F.collect_set("h1").alias("drops"))
+        seen = keys.groupBy("h1", "h2", "doc").agg(F.count("*").alias("rows"))
+        shared = seen.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("rows").alias("rows")).where(F.col("n") >= min_docs).drop("n")
+    shared = written(shared, "shared")
+    frequent = F.col("rows") > keys.count() / FREQUENT
+    hot = F.broadcast(shared.where(frequent).select("h1", "h2", "least"))  # at most ``FREQUENT`` rows, whatever the table
+    rare = keys.join(hot, ["h1", "h2"], "left_anti").join(shared.where(~frequent).select("h1", "h2", "least"), ["h1", "h2"])
+    later = keys.join(hot, ["h1", "h2"]).unionByName(rare).where("doc > least")
+    drops = later.groupBy(F.col("doc").alias("dropped_from")).agg(F.collect_set("h1").alias("drops"))
     names = [n for n in docs.columns if n not in ("n_lines", "n_dropped") or not counts]
     others = [n for n in names if n != text_col]
     rest = F.struct(*[named(n).alias(n) for n in others])  # all other columns in one, so that no name of theirs matters here
