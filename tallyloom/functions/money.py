@@ -57,6 +57,25 @@ def price_cheaper(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
     return n1.cast("long") * d2.cast("long") < n2.cast("long") * d1.cast("long")
 
 
+def floor_div(top: Column, bottom: Column) -> Column:
+    """floor(top / bottom) of decimals without a fraction, bottom above 0, as decimal(38,0); exact where 38 digits hold ``top``."""
+    return F.floor((top - F.pmod(top, bottom)) / bottom).cast("decimal(38,0)")
+
+
+def price_order(n: Column, d: Column) -> Column:
+    """A key by which fractions of 63-bit numbers sort exactly: the whole part and 38 digits after it, as two fractions differ by more."""
+    n, d, step = n.cast("decimal(38,0)"), d.cast("decimal(19,0)"), F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    rest = F.pmod(n, d).cast("decimal(19,0)")
+    more = (rest * step).cast("decimal(38,0)")
+    last = (F.pmod(more, d).cast("decimal(19,0)") * step).cast("decimal(38,0)")
+    return F.struct(floor_div(n, d).alias("whole"), floor_div(more, d).alias("near"), floor_div(last, d).alias("far"))
+
+
+def float_text(x: Column) -> Column:
+    """A double with seven decimals."""
+    return F.format_string("%.7f", x)
+
+
 def gcd(a: Column, b: Column) -> Column:
     """By Euclid's steps; 94 are enough for 64-bit numbers."""
     pair = F.aggregate(F.sequence(F.lit(1), F.lit(94)), F.struct(a.cast("long").alias("x"), b.cast("long").alias("y")), lambda acc, _: F.when(acc["y"] == 0, acc).otherwise(F.struct(acc["y"].alias("x"), F.pmod(acc["x"], acc["y"]).alias("y"))))

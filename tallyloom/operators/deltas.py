@@ -18,14 +18,14 @@ def legs(events: DataFrame, *, kind: str = "kind", source: str = "source", targe
 
 
 def summed(legs_: DataFrame, *, keys: list[str], is_contract: Column | None = None) -> DataFrame:
-    """Deltas by ``keys``, zero sums left out; holders that are contracts are not followed."""
+    """Deltas by ``keys`` as decimals of 38 digits, zero sums left out; holders that are contracts are not followed."""
     rows = legs_ if is_contract is None else legs_.where(~is_contract)
-    return rows.groupBy(*keys).agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    return rows.groupBy(*keys).agg(F.sum(F.col("delta").cast("decimal(28,0)")).alias("delta")).where("delta <> 0")
 
 
 def state_deltas(changes: DataFrame, *, keys: list[str], pre: str = "pre", post: str = "post") -> DataFrame:
     """Deltas of balances from states before and after, null states counting as 0."""
-    rows = changes.select(*keys, (F.coalesce(F.col(post), F.lit(0)) - F.coalesce(F.col(pre), F.lit(0))).cast("long").alias("delta"))
+    rows = changes.select(*keys, (F.coalesce(F.col(post), F.lit(0)).cast("decimal(27,0)") - F.coalesce(F.col(pre), F.lit(0)).cast("decimal(27,0)")).alias("delta"))
     return summed(rows, keys=keys)
 
 

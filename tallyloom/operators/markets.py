@@ -4,35 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.functions.money import floor_div, gcd, price_order
 from tallyloom.functions.timing import round_down
 
 #: Lengths of a candle in milliseconds that are offered. Fixed values.
 RESOLUTIONS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "1d": 86_400_000, "1w": 604_800_000}
 
 
-def candles(trades: DataFrame, *, keys: list[str], ms: Column, base: str, counter: str, order: list[str], resolution: int, offset: int = 0) -> DataFrame:
+def candles(trades: DataFrame, *, keys: list[str], ms: Column, base: str, counter: str, order: list[str], resolution: int, offset: int = 0, rationals: bool = False) -> DataFrame:
     """Trades by ``keys`` and time bucket: count, volumes, average, and first, last, greatest and least price.
 
-    A price is counter by base, compared as that fraction in whole 10**-7 parts, rounded down; of equal times ``order``
-    decides which trade is first. The average is of volumes. Everything is an aggregate with a map-side combine.
+    A price is counter by base, in whole 10**-7 parts, rounded down; of equal times ``order`` decides which trade is
+    first. The average is of volumes. With ``rationals`` the four prices also come as exact fractions ``high_r`` (n, d)
+    and so on, reduced. Amounts are 64-bit numbers; sums and what follows from them have 38 digits. Everything is an
+    aggregate with a map-side combine.
     """
-    rows = trades.where(F.col(base) > 0).select(*keys, round_down(ms, resolution, offset).alias("timestamp"), F.col(base).alias("__b"), F.col(counter).alias("__c"), F.struct(ms.alias("ms"), *order).alias("__o")).withColumn("__p", F.expr("(__c * 10000000) div __b"))
-    out = rows.groupBy(*keys, "timestamp").agg(
-        F.count("*").alias("trade_count"),
-        F.sum("__b").alias("base_volume"),
-        F.sum("__c").alias("counter_volume"),
-        F.max("__p").alias("high"),
-        F.min("__p").alias("low"),
-        F.min_by("__p", "__o").alias("open"),
-        F.max_by("__p", "__o").alias("close"),
-    )
-    return out.withColumn("average", F.expr("(counter_volume * 10000000) div base_volume"))
+    wide, ten = lambda c: c.cast("decimal(19,0)"), F.lit(10_000_000).cast("decimal(8,0)")
+    rows = trades.where(F.col(base) > 0).select(*keys, round_down(ms, resolution, offset).alias("timestamp"), wide(F.col(base)).alias("__b"), wide(F.col(counter)).alias("__c"), F.struct(ms.alias("ms"), *order).alias("__o"))
+    rows = rows.withColumn("__p", floor_div((F.col("__c") * ten).cast("decimal(38,0)"), F.col("__b")))
+    four = [F.max("__p").alias("high"), F.min("__p").alias("low"), F.min_by("__p", "__o").alias("open"), F.max_by("__p", "__o").alias("close")]
+    if rationals:
+        rows = rows.withColumns({"__k": price_order(F.col("__c"), F.col("__b")), "__r": F.struct(F.col("__c").cast("long").alias("n"), F.col("__b").cast("long").alias("d"))})
+        four += [F.max_by("__r", "__k").alias("high_r"), F.min_by("__r", "__k").alias("low_r"), F.min_by("__r", "__o").alias("open_r"), F.max_by("__r", "__o").alias("close_r")]
+    out = rows.groupBy(*keys, "timestamp").agg(F.count("*").alias("trade_count"), F.sum("__b").alias("base_volume"), F.sum("__c").alias("counter_volume"), *four)
+    out = out.withColumn("average", floor_div((F.col("counter_volume") * ten).cast("decimal(38,0)"), F.col("base_volume")))
+    for name in ("high_r", "low_r", "open_r", "close_r") if rationals else ():
+        shared = gcd(F.col(f"{name}.n"), F.col(f"{name}.d"))
+        out = out.withColumn(name, F.transform(F.array(F.struct(F.col(f"{name}.n").alias("n"), F.col(f"{name}.d").alias("d"), shared.alias("g"))), lambda x: F.struct(_whole(x["n"], x["g"]).alias("n"), _whole(x["d"], x["g"]).alias("d")))[0])
+    return out
+
+
+def _whole(a: Column, b: Column) -> Column:
+    """a / b of longs where b divides a."""
+    return floor_div(a.cast("decimal(38,0)"), b.cast("decimal(19,0)")).cast("long")
 
 
 def order_book(offers: DataFrame, *, side: str, n: str, d: str, amount: str, keys: list[str] | None = None, depth: int = 20) -> DataFrame:
     """Amounts by price level, the best ``depth`` levels of each side: asks from the least price, bids from the greatest.
 
-    Levels are sorted by exact cross-multiplied price: numerators over one common denominator would not do for all.
+    A level is a price as written: 1/2 and 2/4 are two levels, one after the other. Prices are compared as decimals, which
+    is exact for numerators and denominators of 31 bits, as prices have.
     """
     keys = keys or []
     levels = offers.groupBy(*keys, side, n, d).agg(F.sum(amount).alias("amount"))

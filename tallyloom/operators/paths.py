@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.functions import money
 from tallyloom.sinks.scratch import written
 
 
@@ -26,7 +27,7 @@ def _product(a: Column, b: Column) -> Column:
 def cost_of(book: Column, need: Column) -> Column:
     """What it costs to buy ``need`` from a book, each offer rounded up; null if the book does not hold that much.
 
-    The rounding of each offer makes this a fold: sums over prefixes would not give it.
+    A fold over one array; ``levels`` and ``bought`` do the same over rows, for books of any length.
     """
     start = F.struct(need.cast("long").alias("left"), F.lit(0).cast("long").alias("paid"))
 
@@ -52,23 +53,82 @@ def proceeds_of(book: Column, have: Column) -> Column:
     return F.when((done["left"] == 0) & (done["got"] > 0), done["got"])
 
 
-def find_paths(book: DataFrame, starts: DataFrame, *, receive: bool, max_hops: int = 5, per_asset: int | None = None) -> DataFrame:
-    """Paths from ``starts`` (request, asset, amount) as (request, asset, amount, hops, path).
+def levels(offers: DataFrame, *, selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d", offer_id: str = "offer_id") -> DataFrame:
+    """The offers of each pair as rows (selling, buying, amount, n, d, amount_before, cost, cost_before), running sums from the best price on.
+
+    An offer taken whole costs its amount at its price, rounded up, whatever was taken before; so the sums before an
+    offer say at once which one a wanted or a given amount ends in, and no book is ever one row. Offers of one price are
+    in order of their id.
+    """
+    w = Window.partitionBy("selling", "buying").orderBy("price", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = offers.select(F.col(selling).alias("selling"), F.col(buying).alias("buying"), F.col(amount).cast("long").alias("amount"), F.col(n).cast("long").alias("n"), F.col(d).cast("long").alias("d"), F.col(offer_id).alias("id"))
+    rows = rows.where("amount > 0").withColumn("price", F.col("n").cast("decimal(19,0)") / F.col("d").cast("decimal(19,0)")).withColumn("cost", _div(_product(F.col("amount"), F.col("n")), F.col("d"), True))
+    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"{c}_before")
+    return rows.select("selling", "buying", "amount", "n", "d", before("amount"), "cost", before("cost"))
+
+
+def _levels_of(book: DataFrame) -> DataFrame:
+    """``levels`` of what ``books`` returns."""
+    rows = book.select("selling", "buying", F.explode("book").alias("o"))
+    return levels(rows.select("selling", "buying", F.col("o.amount").alias("amount"), F.col("o.n").alias("n"), F.col("o.d").alias("d"), F.col("o.id").alias("offer_id")))
 
-    With ``receive``, amounts are what must arrive and paths go backward, each hop to what the least pays for it; else
-    they are what is sent and paths go forward to the most. In each hop only the best amount of each asset goes on, and
-    only if it is better than any before; no path meets an asset twice. Every improvement is returned; ``per_asset``
-    keeps the best of each. Ties go to the first path in order of its assets.
 
-    One join and one aggregate a hop; each hop is written, so the plan does not grow.
+def bought(rows: DataFrame, level: DataFrame, *, need: str = "amount", asset: str = "asset") -> DataFrame:
+    """What it costs to buy ``need`` of ``asset`` in each pair that sells it: ``rows`` with ``there`` and ``next``.
+
+    Each pair gives at most one row, by the offer in which the wanted amount ends; pairs that do not hold it give none.
     """
+    want = F.col(need)
+    ends = (F.col(asset) == F.col("selling")) & (want > F.col("amount_before")) & (want <= F.col("amount_before") + F.col("__amount"))
+    cost = F.col("cost_before") + _div(_product(want - F.col("amount_before"), F.col("n")), F.col("d"), True)
+    return rows.join(level.withColumnRenamed("amount", "__amount"), ends).select(*rows.columns, F.col("buying").alias("there"), cost.alias("next"))
+
+
+def sold(rows: DataFrame, level: DataFrame, *, have: str = "amount", asset: str = "asset") -> DataFrame:
+    """What ``have`` of ``asset`` buys in each pair that takes it, like ``bought``; pairs that cannot take all of it give none."""
+    own = F.col(have)
+    ends = (F.col(asset) == F.col("buying")) & (own > F.col("cost_before")) & (own <= F.col("cost_before") + F.col("cost"))
+    got = F.col("amount_before") + F.least(F.col("__amount"), _div(_product(own - F.col("cost_before"), F.col("d")), F.col("n"), False))
+    return rows.join(level.withColumnRenamed("amount", "__amount"), ends).select(*rows.columns, F.col("selling").alias("there"), got.alias("next")).where("next > 0")
+
+
+def pool_sides(pools: DataFrame) -> DataFrame:
+    """``pools`` (asset_a, asset_b, reserve_a, reserve_b, fee_bps) in both directions: (selling, buying, reserve_out, reserve_in, fee_bps)."""
+    c = F.col
+    side = lambda x, y: F.struct(c(f"asset_{x}").alias("selling"), c(f"asset_{y}").alias("buying"), c(f"reserve_{x}").cast("long").alias("reserve_out"), c(f"reserve_{y}").cast("long").alias("reserve_in"), c("fee_bps").alias("fee_bps"))
+    return pools.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("s.*")
+
+
+def pool_trade(rows: DataFrame, sides: DataFrame, *, receive: bool, amount: str = "amount", asset: str = "asset") -> DataFrame:
+    """What pools ask (``receive``) or pay for ``amount`` of ``asset``: ``rows`` with ``there`` and ``next``; pools that cannot give none."""
     here, there = ("selling", "buying") if receive else ("buying", "selling")
+    trade = (money.pool_expectation if receive else money.pool_payout)(F.col("reserve_in"), F.col("reserve_out"), F.col(amount), F.col("fee_bps"))
+    return rows.join(sides, F.col(asset) == F.col(here)).select(*rows.columns, F.col(there).alias("there"), trade.alias("next")).where("next is not null")
+
+
+def find_paths(book: DataFrame, starts: DataFrame, *, receive: bool, max_hops: int = 5, per_asset: int | None = None, pools: DataFrame | None = None) -> DataFrame:
+    """Paths from ``starts`` (request, asset, amount) over the offers of ``book``, as (request, asset, amount, hops, path).
+
+    ``book`` is what ``levels`` or ``books`` returns. With ``receive``, amounts are what must arrive and paths go
+    backward, each hop to what the least pays for it; else they are what is sent and paths go forward to the most. Where
+    ``pools`` (see ``pool_sides``) trade a pair too, the better of pool and offers is taken; a hop fails only if both
+    do. In each hop only the best amount of each asset goes on, and only if it is better than any before; no path meets
+    an asset twice. Every improvement is returned; ``per_asset`` keeps the best of each. Ties go to the first path in
+    order of its assets.
+
+    A hop is a join of the open ends with the one offer in which their amount ends, and one aggregate; each hop is
+    written, so the plan does not grow. No start: no path.
+    """
+    level = written(_levels_of(book) if "book" in book.columns else book, "levels")
+    sides = None if pools is None else pool_sides(pools)
     front = written(starts.select("request", F.col("asset"), F.col("amount").cast("long").alias("amount"), F.lit(0).alias("hops"), F.array("asset").alias("path")), "front")
     best, found = front.select("request", "asset", "amount"), front
     for _ in range(max_hops):
-        step = front.join(book, F.col("asset") == F.col(here)).where(~F.array_contains("path", F.col(there)))
-        amount = cost_of(F.col("book"), F.col("amount")) if receive else proceeds_of(F.col("book"), F.col("amount"))
-        step = step.select("request", F.col(there).alias("asset"), amount.alias("amount"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array(there)).alias("path")).where("amount is not null")
+        step = (bought if receive else sold)(front, level)
+        if sides is not None:
+            step = step.unionByName(pool_trade(front, sides, receive=receive))
+        step = step.where(~F.array_contains("path", F.col("there")))
+        step = step.select("request", F.col("there").alias("asset"), F.col("next").alias("amount"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("there")).alias("path"))
         w = Window.partitionBy("request", "asset").orderBy(F.col("amount").asc() if receive else F.col("amount").desc(), F.array_join("path", ">"))
         step = step.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
         known = best.select("request", "asset", F.col("amount").alias("before"))

@@ -39,6 +39,53 @@ def operation_movements(ops: DataFrame) -> DataFrame:
     return rows.select("ledger", "tx_index", "op_index", kind.alias("kind"), "source", "target", "asset", "amount")
 
 
+#: Operations whose trades move tokens. Fixed values.
+TRADING = ("manage_buy_offer", "manage_sell_offer", "create_passive_sell_offer", "path_payment_strict_send", "path_payment_strict_receive")
+
+
+def issuer_of(asset: Column) -> Column:
+    """The issuer in ``code:issuer``; null for native."""
+    return F.when(F.instr(asset, ":") > 0, F.substring_index(asset, ":", -1))
+
+
+def all_movements(ops: DataFrame) -> DataFrame:
+    """Movements of every kind of operation of successful transactions, in one pass: (ledger, tx_index, op_index, leg, kind, source, target, asset, amount).
+
+    ``ops`` has what ``operation_movements`` takes but for the issuer, which is read from the asset (``native`` or
+    ``code:issuer``), and ``atoms``, an array of trades (seller, sold, sold_amount, bought, bought_amount), and
+    ``payouts``, an array of (destination, amount). Trades give two movements each; a path payment then one more, from
+    the operation's source to its destination, of ``asset`` and ``amount`` (for a strict send what arrived). Inflation mints a
+    payout each; a clawback of a claimable balance takes its amount from the balance. Movements of nothing are none.
+    """
+    c = F.col
+    kind = F.lit(None).cast("string")
+    one = lambda source, target, asset, amount, kind=kind: F.struct(source.alias("source"), target.alias("target"), asset.alias("asset"), amount.cast("long").alias("amount"), kind.alias("kind"))
+    none, native = F.lit(None).cast("string"), F.lit("native")
+    trades = F.flatten(F.transform(F.coalesce(c("atoms"), F.array().cast(ops.schema["atoms"].dataType)), lambda a: F.array(one(a["seller"], c("op_source"), a["sold"], a["sold_amount"]), one(c("op_source"), a["seller"], a["bought"], a["bought_amount"]))))
+    paid = one(c("op_source"), c("destination"), c("asset"), c("amount"))
+    legs = (
+        F.when(c("type") == "payment", F.array(paid))
+        .when(c("type").isin("create_account", "account_merge"), F.array(one(c("op_source"), c("destination"), native, c("amount"))))
+        .when(c("type") == "create_claimable_balance", F.array(one(c("op_source"), c("balance_id"), c("asset"), c("amount"))))
+        .when(c("type") == "claim_claimable_balance", F.array(one(c("balance_id"), c("op_source"), c("asset"), c("amount"))))
+        .when(c("type") == "clawback", F.array(one(c("destination"), none, c("asset"), c("amount"), F.lit("clawback"))))
+        .when(c("type") == "clawback_claimable_balance", F.array(one(c("balance_id"), none, c("asset"), c("amount"), F.lit("clawback"))))
+        .when(c("type") == "inflation", F.transform("payouts", lambda p: one(none, p["destination"], native, p["amount"], F.lit("mint"))))
+        .when(c("type").startswith("path_payment"), F.concat(trades, F.array(paid)))
+        .when(c("type").isin(*TRADING), trades)
+    )
+    rows = ops.where("tx_successful").select("ledger", "tx_index", "op_index", F.posexplode(F.filter(legs, lambda m: m["amount"].isNotNull())).alias("leg", "m"))
+    found = F.coalesce(c("m.kind"), movement_kind(asset_issuer=issuer_of(c("m.asset")), source=c("m.source"), target=c("m.target")))
+    return rows.select("ledger", "tx_index", "op_index", "leg", found.alias("kind"), "m.source", "m.target", "m.asset", "m.amount")
+
+
+def muxed_info(memo_kind: Column, text: Column, number: Column, binary: Column, *, muxed_id: Column | None = None) -> Column:
+    """What marks the payee of a movement: the number in a muxed destination, else the memo, as (kind, value); null without either."""
+    mark = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    memo = F.when(memo_kind == "id", mark("id", number.cast("string"))).when(memo_kind == "text", mark("text", text)).when(memo_kind.isin("hash", "return"), mark("hash", F.base64(binary)))
+    return memo if muxed_id is None else F.when(muxed_id.isNotNull(), mark("id", muxed_id.cast("string"))).otherwise(memo)
+
+
 def pool_movements(ops: DataFrame) -> DataFrame:
     """Deposits into and withdrawals from pools, one movement for each of the two assets.
 

@@ -16,6 +16,11 @@ from tallyloom.streaming import ledger_stream
 WEEK, DAY = markets.RESOLUTIONS["1w"], markets.RESOLUTIONS["1d"]
 
 
+def _longs(df: DataFrame) -> DataFrame:
+    """Decimals as longs, where the tables' values allow it."""
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString().startswith("decimal") else F.col(f.name) for f in df.schema.fields])
+
+
 def _candle_sql(resolution: int, offset: int) -> str:
     return f"""with {TRADES}, p as (select *, (counter * 10000000) // base as price, ((ms - {offset}) // {resolution}) * {resolution} + {offset} as bucket from tr where base > 0)
 select part, bucket as "timestamp", count(*) as trade_count, sum(base)::bigint as base_volume, sum(counter)::bigint as counter_volume, max(price) as high, min(price) as low,
@@ -25,12 +30,12 @@ from p group by part, bucket"""
 
 @query("q01_candles", _candle_sql(WEEK, 0))
 def q01(t: Tables) -> DataFrame:
-    return markets.candles(views.trades(t), keys=["part"], ms=F.col("ms"), base="base", counter="counter", order=["ledger", "line"], resolution=WEEK)
+    return _longs(markets.candles(views.trades(t), keys=["part"], ms=F.col("ms"), base="base", counter="counter", order=["ledger", "line"], resolution=WEEK))
 
 
 @query("q02_candles_offset", _candle_sql(WEEK, DAY))
 def q02(t: Tables) -> DataFrame:
-    return markets.candles(views.trades(t), keys=["part"], ms=F.col("ms"), base="base", counter="counter", order=["ledger", "line"], resolution=WEEK, offset=DAY)
+    return _longs(markets.candles(views.trades(t), keys=["part"], ms=F.col("ms"), base="base", counter="counter", order=["ledger", "line"], resolution=WEEK, offset=DAY))
 
 
 @query("q03_positions", f"with {OP_IDS} select {POS} as position, ledger, tx, op, ledger * 4294967296 + 4294967295 as after_ledger, case when op = 4095 then (ledger + 1) * 4294967296 else {POS} + 1 end as next_op from oi")
@@ -147,21 +152,21 @@ LEGS = "lg as (select ledger, source as holder, asset, -amount as delta from mv
 
 @query("q15_event_deltas", f"with {MOVES}, {LEGS} select holder, asset, sum(delta)::bigint as delta from lg group by holder, asset having sum(delta) <> 0")
 def q15(t: Tables) -> DataFrame:
-    return deltas.summed(deltas.legs(_moves(t)), keys=["holder", "asset"])
+    return _longs(deltas.summed(deltas.legs(_moves(t)), keys=["holder", "asset"]))
 
 
 @query("q16_delta_mismatch", f"with {MOVES}, {LEGS}, a as (select holder, asset, sum(delta)::bigint as delta from lg group by 1, 2 having sum(delta) <> 0), b as (select holder, asset, sum(delta)::bigint as delta from lg where ledger % 97 <> 0 group by 1, 2 having sum(delta) <> 0) select holder, asset, a.delta as left_value, b.delta as right_value from a full join b using (holder, asset) where a.delta is distinct from b.delta")
 def q16(t: Tables) -> DataFrame:
     moves = _moves(t)
     keys = ["holder", "asset"]
-    return deltas.mismatches(deltas.summed(deltas.legs(moves), keys=keys), deltas.summed(deltas.legs(moves.where("ledger % 97 <> 0")), keys=keys), keys=keys)
+    return _longs(deltas.mismatches(deltas.summed(deltas.legs(moves), keys=keys), deltas.summed(deltas.legs(moves.where("ledger % 97 <> 0")), keys=keys), keys=keys))
 
 
 @query("q17_reconciliation", f"with {MOVES}, {LEGS}, a as (select holder, asset, sum(delta)::bigint as delta from lg group by 1, 2 having sum(delta) <> 0), b as (select holder, asset, sum(delta)::bigint as delta from lg where ledger % 97 <> 0 group by 1, 2 having sum(delta) <> 0), d as (select holder, asset, coalesce(a.delta, 0) - coalesce(b.delta, 0) as diff from a full join b using (holder, asset)) select holder, asset, case when diff > 0 then 'mint' else 'burn' end as kind, abs(diff) as amount, case when diff > 0 then 0 else 2 end as place from d where diff <> 0")
 def q17(t: Tables) -> DataFrame:
     moves = _moves(t)
     keys = ["holder", "asset"]
-    return deltas.reconciled(deltas.summed(deltas.legs(moves), keys=keys), deltas.summed(deltas.legs(moves.where("ledger % 97 <> 0")), keys=keys), keys=keys)
+    return _longs(deltas.reconciled(deltas.summed(deltas.legs(moves), keys=keys), deltas.summed(deltas.legs(moves.where("ledger % 97 <> 0")), keys=keys), keys=keys))
 
 
 @query("q18_ledger_counts", "with o as (select l_orderkey, count(*) as ops from lineitem group by 1) select cast(o_orderdate as date) as day, count(*) filter (where o_orderstatus = 'F') as good_txs, count(*) as all_txs, coalesce(sum(ops) filter (where o_orderstatus = 'F'), 0)::bigint as good_ops, sum(ops)::bigint as all_ops from orders join o on l_orderkey = o_orderkey group by 1")
@@ -406,23 +411,6 @@ def q48(t: Tables) -> DataFrame:
     return paths.books(_offers(t).where("offer_id % 10 < 3")).select("selling", "buying", paths.cost_of(F.col("book"), F.lit(40)).alias("cost"))
 
 
-@query("q48b_greedy_fill_all")
-def q48b(t: Tables) -> DataFrame:
-    return paths.books(_offers(t)).select("selling", "buying", paths.cost_of(F.col("book"), F.lit(40)).alias("cost"))
-
-
-@query("q49_paths_receive")
-def q49(t: Tables) -> DataFrame:
-    starts = t.spark.createDataFrame([(1, "a1", 20), (2, "a7", 45)], "request long, asset string, amount long")
-    return paths.find_paths(paths.books(_offers(t)), starts, receive=True, max_hops=3, per_asset=5).select("request", "asset", "amount", "hops", F.array_join("path", ">").alias("path"))
-
-
-@query("q49b_paths_send")
-def q49b(t: Tables) -> DataFrame:
-    starts = t.spark.createDataFrame([(1, "a1", 20), (2, "a7", 45)], "request long, asset string, amount long")
-    return paths.find_paths(paths.books(_offers(t)), starts, receive=False, max_hops=3, per_asset=5).select("request", "asset", "amount", "hops", F.array_join("path", ">").alias("path"))
-
-
 @query("q50_tumbling", "select event_type, (epoch_us(ts) // 1000) // 86400000 * 86400000 as start, count(*) as n from events group by 1, 2")
 def q50(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type", timing.round_down(timing.epoch_ms(F.col("ts")), DAY).alias("start")).agg(F.count("*").alias("n"))
@@ -561,7 +549,7 @@ def q68(t: Tables) -> DataFrame:
 def q69(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ms", "event_id")
     rows = views.changes(t).select("user_id", "day", F.lag("value").over(w).alias("pre"), F.when(F.col("kind") != "removed", F.col("value")).alias("post"))
-    return deltas.state_deltas(rows, keys=["user_id", "day"])
+    return _longs(deltas.state_deltas(rows, keys=["user_id", "day"]))
 
 
 @query("q70_compare_hashes", "with e as (select o_orderkey as k, sha256(cast(o_custkey as varchar)) as h from orders), a as (select o_orderkey as k, sha256(cast(case when o_orderkey % 11 = 0 then -1 else o_custkey end as varchar)) as h from orders where o_orderkey % 13 <> 0) select k, e.h as expected, a.h as actual from e left join a using (k) where e.h is distinct from a.h and not (a.h is null and k % 26 = 0)")
