@@ -53,6 +53,33 @@ def muxed_parts(address: Column) -> Column:
     return parts(address)
 
 
+def signed_payload(key: Column, payload: Column) -> Column:
+    """A signer's key (32 bytes) and a payload of 1 to 64 bytes as an address: key, length, payload filled up to four bytes; else null."""
+
+    @F.pandas_udf("string")
+    def encode(keys: pd.Series, payloads: pd.Series) -> pd.Series:
+        fine = lambda k, p: k is not None and p is not None and len(k) == 32 and 1 <= len(p) <= 64
+        return pd.Series([encode_one(VERSIONS["signed_payload"], bytes(k) + len(p).to_bytes(4, "big") + bytes(p) + b"\0" * (-len(p) % 4)) if fine(k, p) else None for k, p in zip(keys, payloads, strict=True)], dtype=object)
+
+    return encode(key, payload)
+
+
+def signed_payload_parts(address: Column) -> Column:
+    """Key and payload of such an address; nulls if it is none, or not filled up with zeros."""
+
+    @F.pandas_udf("struct<key:binary,payload:binary>")
+    def parts(addresses: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a in addresses:
+            raw = None if a is None else decode_one(a, VERSIONS["signed_payload"])
+            n = int.from_bytes(raw[32:36], "big") if raw is not None and len(raw) >= 36 else 0
+            fine = 1 <= n <= 64 and len(raw) == 36 + n + -n % 4 and not any(raw[36 + n :])
+            rows.append((raw[:32], raw[36 : 36 + n]) if fine else (None, None))
+        return pd.DataFrame(rows, columns=["key", "payload"], dtype=object)
+
+    return parts(address)
+
+
 def encoder(kind: str):
     version = VERSIONS[kind]
 

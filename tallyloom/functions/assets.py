@@ -25,6 +25,11 @@ def parse_list(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), one)
 
 
+def parse_one(text: Column) -> Column:
+    """A single ``native`` or ``code:issuer`` as a struct; null parts for other text, also for lists."""
+    return F.when(~F.contains(text, F.lit(",")), F.get(parse_list(text), F.lit(0)))
+
+
 def has_flag(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(F.lit(bit)) != 0
 

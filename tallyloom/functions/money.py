@@ -111,6 +111,27 @@ def from_halves(high: Column, low: Column) -> Column:
     return F.try_add(F.try_multiply(high.cast("decimal(19,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(38,0)"), low.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
+def text_from_halves(high: Column, low: Column) -> Column:
+    """A signed 128-bit number from its signed high and unsigned low 64 bits (low as a decimal), as text, exact over the whole range.
+
+    2**64 is 10**19 and some, so the number is a * 10**19 + b with b from products that 38 digits hold.
+    """
+    step = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    rest = (high.cast("decimal(19,0)") * F.lit("8446744073709551616").cast("decimal(19,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
+    down = F.pmod(rest, step).cast("decimal(20,0)")
+    up = (high.cast("decimal(19,0)") + floor_div(rest, step)).cast("decimal(21,0)")
+    below = high < 0
+    a = F.when(below, F.when(down > 0, -up - 1).otherwise(-up)).otherwise(up).cast("decimal(21,0)")
+    b = F.when(below & (down > 0), step - down).otherwise(down).cast("decimal(20,0)")
+    digits = F.when(a > 0, F.concat(a.cast("string"), F.lpad(b.cast("string"), 19, "0"))).otherwise(b.cast("string"))
+    return F.concat(F.when(below, F.lit("-")).otherwise(F.lit("")), digits)
+
+
+def parse_raw(text: Column) -> Column:
+    """An integer text of up to 38 digits as a decimal; null for other text."""
+    return F.when(text.rlike(r"^-?\d{1,38}$"), text.try_cast("decimal(38,0)"))
+
+
 def pool_payout(reserve_in: Column, reserve_out: Column, received: Column, fee_bps: Column) -> Column:
     """What a constant-product pool pays for ``received``: floor((1 - F) * Y * x / (X + x - F * x)).
 

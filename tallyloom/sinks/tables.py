@@ -30,3 +30,8 @@ def packed_batches(ledgers: DataFrame, *, sequence: str, per_file: int) -> DataF
     out = ledgers.groupBy(file_start(F.col(sequence), per_file).alias("start")).agg(F.array_sort(F.collect_set(sequence)).alias("sequences"))
     whole = F.element_at("sequences", -1) - F.element_at("sequences", 1) + 1 == F.size("sequences")
     return out.withColumn("sequences", F.when(whole, F.col("sequences")).otherwise(F.raise_error(F.lit("ledgers are not contiguous")).cast(out.schema["sequences"].dataType)))
+
+
+def split_by_type(state: DataFrame, types: list[str], *, column: str = "type") -> list[DataFrame]:
+    """A state's rows of each type, as dumps that are written apart; other types are in none."""
+    return [state.where(F.col(column) == kind) for kind in types]
