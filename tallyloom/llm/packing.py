@@ -54,19 +54,33 @@ def _encoder(vocabulary: str, pattern: str):
     return cache[key]
 
 
-def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = 2, capacity: int = 1024, keep_ids: bool = True) -> DataFrame:
+def _fits_two_bytes(vocabulary: str) -> bool:
+    spec = json.loads(vocabulary)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) < 1 << 16
+
+
+def wide(col: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """Binary ids of two bytes each as four bytes each; those that have four already (by ``lengths``) as they are."""
+    values = col.to_pylist()
+    return pa.array([x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(values, lengths.tolist(), strict=True)], pa.binary())
+
+
+def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = 2, capacity: int = 1024, keep_ids: bool = True, narrow: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, with ``keep_ids`` also ``ids``.
 
     A document is its byte-pair ids under the vocabulary file (a tokenizers JSON file of byte-level kind), then
     ``end_id``. Strings of special tokens in a text count as these tokens. Only longer documents are cut, into full
     pieces after a first one that may be shorter. Null text: empty. ``ids_crc32`` is of little-endian unsigned 32-bit
     ids. The encoder is the BPE library with the faster core of the two, but for texts with very long runs of white space,
-    which the other one takes; the vocabulary and so the ids are the same. Empty input: empty output.
+    which the other one takes; the vocabulary and so the ids are the same. Empty input: empty output. ``ids`` hold four
+    bytes an id, or with ``narrow`` two if the vocabulary allows it (``wide`` undoes that).
     """
     import public_tokenizers
 
     with open(vocabulary_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # of a fixed size, whatever the corpus
+        text = f.read()
+    narrow = narrow and _fits_two_bytes(text)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(text)  # of a fixed size, whatever the corpus
     pattern = public_tokenizers.PATTERN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +96,7 @@ def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     while cut < len(ids):
                         size = (len(ids) - cut) % capacity or capacity
                         data = ids[cut : cut + size].tobytes()
-                        rows.append((i, piece, cut, size, zlib.crc32(data), int(seen[size]), data))
+                        rows.append((i, piece, cut, size, zlib.crc32(data), int(seen[size]), ids[cut : cut + size].astype("<u2").tobytes() if narrow else data))
                         seen[size] += 1
                         cut, piece = cut + size, piece + 1
                 at, piece, start, size, crc, rank, data = zip(*rows, strict=True) if rows else [()] * 7
@@ -186,7 +200,7 @@ def packed(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = 1024) -
                 step = rank[at] - plan[k, 1]
                 sequence[at] = plan[k, 3] + step // plan[k, 4]
                 offset[at] = plan[k, 5] + s * (step % plan[k, 4])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], ["doc" if n == "id" else n for n in names] + ["sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(wide(batch.column(n), size) if n == "ids" else batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], ["doc" if n == "id" else n for n in names] + ["sequence_id", "offset"])
 
     types_ = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     out = ranked.select(*names, "rank", "before").mapInArrow(place, ", ".join([f"{'doc' if n == 'id' else n} {types_[n]}" for n in names] + ["sequence_id long", "offset long"]))
@@ -197,7 +211,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``docs`` tokenised, cut and packed: a row a piece with its sequence and its offset there, offsets gapless from 0.
 
     Rows without an id are packed like others. Rows that share an id are packed each (their pieces are told apart by
-    sequence and offset). Other columns are not returned.
+    sequence and offset). Other columns are not returned. Between the two steps ids take two bytes each if they can.
     """
-    pieces = written(tokenised(docs, id_col=id_col, text_col=text_col, vocabulary_path=vocabulary_path, end_id=end_id, capacity=capacity, keep_ids=keep_ids), "pieces")
+    pieces = written(tokenised(docs, id_col=id_col, text_col=text_col, vocabulary_path=vocabulary_path, end_id=end_id, capacity=capacity, keep_ids=keep_ids, narrow=True), "pieces")
     return packed(pieces, id_col=id_col, capacity=capacity)
