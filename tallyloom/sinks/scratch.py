@@ -36,6 +36,15 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver forget frames that nobody holds any more, and with them their shuffles and broadcasts, on executors too.
+
+    Spark drops these when the driver's JVM collects garbage, by itself every half hour; loops of many small jobs call
+    this when they are done.
+    """
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once and its lineage ends there."""
     spark = df.sparkSession
