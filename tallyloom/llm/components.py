@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.scratch import written
+from tallyloom.llm.scratch import tidy, written
 
 
 def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -33,5 +33,6 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
+    tidy(edges.sparkSession)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -7,7 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.llm.columns import named, renamed, unused
-from tallyloom.llm.scratch import written
+from tallyloom.llm.scratch import tidy, written
 
 #: Sources up to which tables of one row a source, some 100 bytes each, are broadcast; with more, rows are dealt by source and ``SALTS``.
 FEW_SOURCES, SALTS = 100_000, 32
@@ -64,6 +64,7 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
         state = written(state.withColumn("tilt", F.when(F.col("tilt").isNotNull(), moved)).drop("got", "slope"), "tilt")
         if state.where(F.col("off") > near).isEmpty():
             break
+    tidy(state.sparkSession)
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
@@ -185,6 +186,7 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
         found = written(nxt, "shift")
         if found.where("inside > 1").isEmpty():
             break
+    tidy(found.sparkSession)
     # the steps left within [lo, hi) are taken if that comes nearer to the target
     last = _with(steps, found.select("source", "lo", "hi"), "inner", many=many).where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
     nearer = F.coalesce(F.abs(F.col("base") + F.col("words") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.lit(False))
@@ -208,6 +210,7 @@ def _last_moves(rounded: DataFrame, *, cap: int, many: bool, rounds: int = 3) ->
         best = written(fit.groupBy("source").agg(F.min_by(F.struct("row", way.alias("by"), "size"), F.struct(after.alias("after"), F.col("id").cast("string").alias("id"), "row")).alias("m")), "best")
         moves = written(moves.unionByName(best.select(F.col("m.row").alias("__row"), F.col("m.by").alias("__by"))), "moves")
         off = written(_with(off, best, many=many).select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off")), "off")
+    tidy(moves.sparkSession)
     return moves
 
 

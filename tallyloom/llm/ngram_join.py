@@ -44,8 +44,8 @@ def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U64)
 
 
-def _common(given: DataFrame, n: int) -> dict[int, int]:
-    """Sketch buckets that hold common n-grams, with their counts over all documents."""
+def _common(given: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch buckets that hold common n-grams, ascending, with their counts over all documents: 64 MB at most."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -59,13 +59,15 @@ def _common(given: DataFrame, n: int) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
 
     found = given.select("text").mapInArrow(scan, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return {r.bucket: r.n for r in found.toLocalIterator()}
+    got = found.toArrow()
+    bucket, count = got.column("bucket").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(bucket)
+    return bucket[order], count[order]
 
 
-def _profiles(given: DataFrame, n: int, t: Fraction, common: dict[int, int]) -> DataFrame:
+def _profiles(given: DataFrame, n: int, t: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """For each row: set size, a 128-bit set hash, the parity map and the prefix in global order (rare n-grams first)."""
-    at = np.array(sorted(common), np.int64)
-    held = given.sparkSession.sparkContext.broadcast((at, np.array([common[k] for k in at.tolist()], np.int64)))
+    held = given.sparkSession.sparkContext.broadcast(common)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, count = held.value

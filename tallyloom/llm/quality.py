@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyloom.llm.bytescan import U64, release, row_of, slices, span_hashes, spans, text_bytes
 from tallyloom.llm.columns import named
-from tallyloom.llm.scratch import written
+from tallyloom.llm.scratch import tidy, written
 
 #: Words share this many vectors by hash; looks (see ``_looks``) have one each.
 WORDS, LOOKS, DIMS, NONZERO, REACH = 1 << 14, 1 << 12, 64, 8, 2
@@ -223,6 +223,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         back = np.zeros(len(z), bool)
     model = QualityModel(words, looks, shift, scale, train_network(z[~back], y[~back]), 1.0)
     use = back if back.any() else ~back
+    tidy(spark)
     model.temperature = fit_temperature(_logits(x[use], shift, scale, model.layers), y[use])
     return model
 
