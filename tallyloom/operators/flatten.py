@@ -20,17 +20,36 @@ def ledgers(batches: DataFrame, *, array: str = "ledgers") -> DataFrame:
     return rows.select(F.when(bad, F.raise_error(F.lit("ledger outside its batch")).cast(rows.schema["l"].dataType)).otherwise(F.col("l")).alias("l")).select("l.*")
 
 
+def envelopes(tx_set: Column) -> Column:
+    """All envelopes of a ledger's set in order: the ``txs`` of old sets, else phase by phase those of its ``components`` or those of the clusters of its parallel ``stages``.
+
+    What is missing counts as empty; only envelopes themselves may be null.
+    """
+    there = lambda a: F.filter(a, lambda x: x.isNotNull())
+
+    def of_phase(p: Column) -> Column:
+        return F.coalesce(F.flatten(there(F.transform(p["components"], lambda x: x["txs"]))), F.flatten(there(F.flatten(there(p["stages"])))))
+
+    return F.coalesce(tx_set["txs"], F.flatten(there(F.transform(tx_set["phases"], of_phase))))
+
+
 def transactions(nested: DataFrame, *, envelopes: str = "envelopes", processing: str = "processing") -> DataFrame:
     """One row a transaction: ledger, protocol, ``tx_index`` from 1 in order of application, ``done`` and ``asked``.
 
-    Envelopes are matched by hash within their ledger, an equi-join on (ledger, hash); a transaction without one is an
-    error.
+    Envelopes are matched by hash inside the ledger's row, without a shuffle; a transaction without one is an error, as
+    are two envelopes of one hash in a ledger.
     """
-    done = nested.select(F.col("sequence").alias("ledger"), "protocol", F.posexplode(processing).alias("at", "done")).select("ledger", "protocol", (F.col("at") + 1).cast("long").alias("tx_index"), "done", F.col("done.hash").alias("hash"))
-    asked = nested.select(F.col("sequence").alias("ledger"), F.explode(envelopes).alias("asked")).select("ledger", F.col("asked.hash").alias("hash"), "asked")
-    joined = done.join(asked, ["ledger", "hash"], "left")
-    lost = F.raise_error(F.concat(F.lit("no envelope for transaction "), F.col("hash"))).cast(asked.schema["asked"].dataType)
-    return joined.withColumn("asked", F.when(F.col("asked").isNull(), lost).otherwise(F.col("asked")))
+    by_hash = F.map_from_entries(F.transform(envelopes, lambda e: F.struct(e["hash"].alias("key"), e.alias("value"))))
+
+    def matched(found: Column) -> Column:
+        return F.transform(processing, lambda d: F.struct(d.alias("done"), F.try_element_at(found, d["hash"]).alias("asked")))
+
+    # The array of one binds the map to a name, so that it is built once a ledger.
+    pairs = F.get(F.transform(F.array(by_hash), matched), F.lit(0))
+    rows = nested.select(F.col("sequence").alias("ledger"), "protocol", F.posexplode(pairs).alias("at", "t"))
+    lost = F.raise_error(F.concat(F.lit("no envelope for transaction "), F.col("t.done.hash"))).cast(nested.schema[envelopes].dataType.elementType)
+    asked = F.when(F.col("t.asked").isNull(), lost).otherwise(F.col("t.asked"))
+    return rows.select("ledger", F.col("t.done.hash").alias("hash"), "protocol", (F.col("at") + 1).cast("long").alias("tx_index"), F.col("t.done").alias("done"), asked.alias("asked"))
 
 
 def operations(txs: DataFrame, *, array: str = "asked.operations", source: str = "source") -> DataFrame:

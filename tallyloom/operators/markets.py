@@ -63,3 +63,13 @@ def asset_stats(holdings: DataFrame, *, keys: list[str], balance: str, status: s
 def ledger_counts(txs: DataFrame, *, keys: list[str], success: Column, operations: Column) -> DataFrame:
     """Transactions and operations, all and successful."""
     return txs.groupBy(*keys).agg(F.count_if(success).alias("good_txs"), F.count("*").alias("all_txs"), F.coalesce(F.sum(F.when(success, operations)), F.lit(0)).cast("long").alias("good_ops"), F.sum(operations).cast("long").alias("all_ops"))
+
+
+def book_faults(offers: DataFrame, *, offer: str = "offer_id", selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d") -> DataFrame:
+    """What no order book may hold, one row a fault (offer, fault): an id that stands for several offers, an amount or a price that is not above 0 or missing, and an asset offered for itself. A sound book gives no rows."""
+    above = lambda x: F.coalesce(F.col(x) > 0, F.lit(False))
+    checks = {"amount": ~above(amount), "price": ~(above(n) & above(d)), "same asset": F.col(selling).eqNullSafe(F.col(buying))}
+    faults = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+    single = offers.select(F.col(offer).alias("offer_id"), F.explode(faults).alias("fault")).distinct()
+    twice = offers.groupBy(F.col(offer).alias("offer_id")).agg(F.count("*").alias("k")).where("k > 1").select("offer_id", F.lit("several offers").alias("fault"))
+    return single.unionByName(twice)

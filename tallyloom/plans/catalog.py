@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions import assets, ids, money, timing
@@ -198,6 +200,15 @@ def q21(t: Tables) -> DataFrame:
     return markets.order_book(rows, keys=["market"], side="side", n="n", d="d", amount="amount")
 
 
+@query("q21b_book_faults", """with o as (select l_orderkey // 2 as offer_id, l_partkey % 7 as selling, l_suppkey % 7 as buying, cast(round(l_quantity) as bigint) % 10 as amount, l_linenumber % 5 as n from lineitem)
+select distinct offer_id, unnest(list_filter([case when amount <= 0 then 'amount' end, case when n <= 0 then 'price' end, case when selling = buying then 'same asset' end], lambda x : x is not null)) as fault from o
+union all select offer_id, 'several offers' from o group by 1 having count(*) > 1""")
+def q21b(t: Tables) -> DataFrame:
+    """Lines as offers, some of them such as no book may hold."""
+    rows = t.lineitem.select(F.floor(F.col("l_orderkey") / 2).alias("offer_id"), (F.col("l_partkey") % 7).alias("selling"), (F.col("l_suppkey") % 7).alias("buying"), (F.round("l_quantity").cast("long") % 10).alias("amount"), (F.col("l_linenumber") % 5).alias("n"), F.lit(3).alias("d"))
+    return markets.book_faults(rows)
+
+
 @query("q22_asset_stats", "select c_nationkey as asset, " + ", ".join(f"count(*) filter (where c_mktsegment = '{s}') as holders_{s}, coalesce(sum(cast(round(c_acctbal * 100) as bigint)) filter (where c_mktsegment = '{s}'), 0)::bigint as balance_{s}" for s in ("AUTOMOBILE", "BUILDING", "MACHINERY")) + ", count(*) as holders from customer group by 1")
 def q22(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_nationkey").alias("asset"), views.cents("c_acctbal").alias("balance"), "c_mktsegment")
@@ -447,9 +458,37 @@ def q54b(t: Tables) -> DataFrame:
     """The tumbling windows of q50, from a stream that runs until it has read all there is."""
     stream = ledger_stream.file_stream(t.spark, f"{t.folder}/events.parquet")
     counts = ledger_stream.windowed_counts(stream, time="ts", keys=["event_type"], length="1 day")
-    sink = scratch.shared_path(t.spark, "stream").rsplit("/", 1)[1].replace("-", "_")
-    ledger_stream.run_now(counts, sink=sink, mode="complete", checkpoint=scratch.shared_path(t.spark, "offsets"))
-    return t.spark.table(sink).select("event_type", F.unix_millis("window.start").alias("start"), "n")
+    sink = scratch.shared_path(t.spark, "stream")
+    ledger_stream.run_into(counts, ledger_stream.replaced_table(sink), mode="complete", checkpoint=scratch.shared_path(t.spark, "offsets"))
+    return ledger_stream.last_version(t.spark, sink).select("event_type", F.unix_millis("window.start").alias("start"), "n")
+
+
+def _streamed_changes(t: Tables, shape=None) -> DataFrame:
+    """Changes of users as they come out of a stream into an ordered table, a ledger being a day."""
+    events = ledger_stream.file_stream(t.spark, f"{t.folder}/events.parquet")
+    rows = views.changes(SimpleNamespace(events=events)).withColumn("ledger", F.unix_date("day"))
+    sink = scratch.shared_path(t.spark, "stream")
+    ledger_stream.run_into(rows, ledger_stream.ordered_table(sink, sequence="ledger", shape=shape), mode="append", checkpoint=scratch.shared_path(t.spark, "offsets"))
+    return ledger_stream.ordered_rows(t.spark, sink)
+
+
+@query("q54c_stream_book", f"with {CHANGES}, r as (select *, row_number() over (partition by user_id order by ms desc, event_id desc) as k from ch) select user_id, event_id, value from r where k = 1 and kind <> 'removed'")
+def q54c(t: Tables) -> DataFrame:
+    """What is live after all ledgers of a stream, as an order book is kept: the newest change of each key that is no removal."""
+    live = snapshot.newest(_streamed_changes(t), keys=["user_id"], newest_first=[-F.col("ledger"), -F.col("ms"), -F.col("event_id")], dead=F.col("kind") == "removed")
+    return live.select("user_id", "event_id", "value")
+
+
+@query("q54d_stream_compaction", COMPACT_SQL)
+def q54d(t: Tables) -> DataFrame:
+    """The compaction of q12, ledger by ledger, of a stream."""
+    value = F.col("value")
+
+    def compact(df: DataFrame) -> DataFrame:
+        sides = df.withColumns({"pre": F.when(F.col("kind") != "created", value), "post": F.when(F.col("kind") != "removed", value)})
+        return ch.compacted(sides, keys=["user_id", "day"], order=["ms", "event_id"], on_error="mark")
+
+    return _streamed_changes(t, compact).drop("batch")
 
 
 @query("q55_trade_legs", f"with {TRADES}, x as (select ledger, line, 's' || supp as seller, 'l' || ledger as taker, 'p' || part as sold, base, counter from tr) select ledger, line, 0 as leg, seller as source, taker as target, sold as asset, base as amount from x union all select ledger, line, 1, taker, seller, 'cents', counter from x")

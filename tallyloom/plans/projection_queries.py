@@ -10,6 +10,7 @@ from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES
 from tallyloom.sinks import tables
+from tallyloom.sources import lake
 
 c = F.col
 
@@ -60,6 +61,31 @@ def q81e(t: Tables) -> DataFrame:
     return out.select("start", F.element_at("sequences", 1).alias("first"), F.element_at("sequences", -1).alias("last"), F.size("sequences").cast("long").alias("n"))
 
 
+@query("q81f_object_metadata", "select o_orderkey, case when o_orderkey % 3 > 0 then o_orderkey end as start_ledger, o_orderkey + 63 as end_ledger, -o_custkey as end_ledger_close_time, 'zstd' as compression_type from orders")
+def q81f(t: Tables) -> DataFrame:
+    """What object metadata, a map of texts, says of a file of ledgers."""
+    k = c("o_orderkey")
+    start = F.when(k % 3 > 0, F.create_map(F.lit("start-ledger"), k.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    rest = F.create_map(F.lit("end-ledger"), (k + 63).cast("string"), F.lit("end-ledger-close-time"), (-c("o_custkey")).cast("string"), F.lit("compression-type"), F.lit("zstd"))
+    return t.orders.select(k, lake.object_metadata(F.map_concat(start, rest)).alias("m")).select("o_orderkey", "m.start_ledger", "m.end_ledger", "m.end_ledger_close_time", "m.compression_type")
+
+
+@query("q81g_envelopes", "with l as (select o_orderkey as k from orders) select k as sequence, 0 as place, 'v' || k as hash from l where k % 3 = 0 union all select k, i, 'p' || k || '-' || i from l, range(3) r(i) where k % 3 = 1 union all select k, i, 's' || k || '-' || i from l, range(5) r(i) where k % 3 = 2 union all select k, 5, 'c' || k from l where k % 3 = 2")
+def q81g(t: Tables) -> DataFrame:
+    """Sets of all forms flattened: old ones; a phase of two components; parallel stages of clusters, then a phase of one component."""
+    k = c("o_orderkey")
+    one = lambda prefix, i=None: F.struct(F.concat(F.lit(prefix), k.cast("string"), F.lit("" if i is None else f"-{i}")).alias("hash"))
+    component = lambda *txs: F.struct(F.array(*txs).alias("txs"))
+    components, stages = "array<struct<txs:array<struct<hash:string>>>>", "array<array<array<struct<hash:string>>>>"
+    phase = lambda x, y: F.struct((_null(components) if x is None else x).alias("components"), (_null(stages) if y is None else y).alias("stages"))
+    parts = F.array(phase(F.array(component(one("p", 0)), component(one("p", 1), one("p", 2))), None))
+    parallel = F.array(F.array(F.array(one("s", 0), one("s", 1)), F.array(one("s", 2))), F.array(F.array(one("s", 3), one("s", 4))))
+    both = F.array(phase(None, parallel), phase(F.array(component(one("c"))), None))
+    tx_set = F.struct(F.when(k % 3 == 0, F.array(one("v"))).alias("txs"), F.when(k % 3 == 1, parts).when(k % 3 == 2, both).alias("phases"))
+    rows = t.orders.select(k.alias("sequence"), flatten.envelopes(tx_set).alias("e"))
+    return rows.select("sequence", F.posexplode("e").alias("place", "e")).select("sequence", "place", "e.hash")
+
+
 # ---- transactions
 
 
