@@ -10,7 +10,7 @@ from tallyloom.functions import assets, ids, money, timing
 from tallyloom.operators import archives, changes as ch, deltas, event_filters as ev, fees, flatten, markets, paging, paths, snapshot, transfers
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
-from tallyloom.plans.views import CHANGES, OP_IDS, POS, TRADES
+from tallyloom.plans.views import CHANGES, LEVELS, OP_IDS, POS, TRADES
 from tallyloom.sinks import scratch, tables
 from tallyloom.sources import lake
 from tallyloom.streaming import ledger_stream
@@ -405,8 +405,7 @@ def q47(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k")).withColumn("even", F.col("k") % 2 == 0)
 
 
-def _offers(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_partkey % 40 <> l_suppkey % 40").select(F.concat(F.lit("a"), F.col("l_partkey") % 40).alias("selling"), F.concat(F.lit("a"), F.col("l_suppkey") % 40).alias("buying"), F.col("l_quantity").cast("long").alias("amount"), (1 + F.col("l_linenumber")).cast("long").alias("n"), (1 + F.col("l_orderkey") % 5).alias("d"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id"))
+_offers = views.offers
 
 
 FILL_SQL = """with recursive o as (select 'a' || (l_partkey % 40) as selling, 'a' || (l_suppkey % 40) as buying, cast(l_quantity as bigint) as amount, cast(1 + l_linenumber as bigint) as n, 1 + l_orderkey % 5 as d, l_orderkey * 10 + l_linenumber as offer_id from lineitem where l_partkey % 40 <> l_suppkey % 40),
@@ -422,6 +421,15 @@ def q48(t: Tables) -> DataFrame:
     return paths.books(_offers(t).where("offer_id % 10 < 3")).select("selling", "buying", paths.cost_of(F.col("book"), F.lit(40)).alias("cost"))
 
 
+@query("q48b_greedy_fill_all", f"with {LEVELS}, p as (select distinct selling, buying from o) select p.selling, p.buying, cb + ((40 - ab) * n + d - 1) // d as cost from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 40 > ab and 40 <= ab + amount")
+def q48b(t: Tables) -> DataFrame:
+    """What 40 units cost in each pair, over all offers; null where a pair has fewer."""
+    level = paths.levels(_offers(t))
+    pairs = level.select("selling", "buying").distinct()
+    cost = paths.bought(pairs.select(F.col("selling").alias("asset"), F.lit(40).cast("long").alias("amount")).distinct(), level)
+    return pairs.join(cost.select(F.col("asset").alias("selling"), F.col("there").alias("buying"), F.col("next").alias("cost")), ["selling", "buying"], "left")
+
+
 @query("q50_tumbling", "select event_type, (epoch_us(ts) // 1000) // 86400000 * 86400000 as start, count(*) as n from events group by 1, 2")
 def q50(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type", timing.round_down(timing.epoch_ms(F.col("ts")), DAY).alias("start")).agg(F.count("*").alias("n"))

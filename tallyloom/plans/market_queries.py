@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.operators import deltas, markets, paths, transfers
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
-from tallyloom.plans.views import TRADES
+from tallyloom.plans.views import LEVELS, TRADES
 
 WEEK = markets.RESOLUTIONS["1w"]
 BIG = 500_000_000_000
@@ -41,10 +41,6 @@ def q15b(t: Tables) -> DataFrame:
     return deltas.summed(deltas.legs(rows), keys=["holder", "asset"]).select("holder", "asset", c("delta").cast("decimal(38,0)").alias("delta"))
 
 
-def _offers(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_partkey % 40 <> l_suppkey % 40").select(F.concat(F.lit("a"), F.col("l_partkey") % 40).alias("selling"), F.concat(F.lit("a"), F.col("l_suppkey") % 40).alias("buying"), F.col("l_quantity").cast("long").alias("amount"), (1 + F.col("l_linenumber")).cast("long").alias("n"), (1 + F.col("l_orderkey") % 5).alias("d"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offer_id"))
-
-
 def _starts(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").cast("long").alias("request"), F.concat(F.lit("a"), F.col("n_nationkey")).alias("asset"), (5 + F.col("n_nationkey") * 7).cast("long").alias("amount"))
 
@@ -56,9 +52,6 @@ def _pools(t: Tables) -> DataFrame:
     return rows.select(F.concat(F.lit("a"), c("p_partkey") % 40).alias("asset_a"), F.concat(F.lit("a"), (c("p_partkey") + 2) % 40).alias("asset_b"), (200 + c("p_size") * 10).cast("long").alias("reserve_a"), (100 + c("p_partkey") * 30).cast("long").alias("reserve_b"), F.lit(30).alias("fee_bps"))
 
 
-LEVELS = """o as (select 'a' || (l_partkey % 40) as selling, 'a' || (l_suppkey % 40) as buying, cast(l_quantity as bigint) as amount, cast(1 + l_linenumber as bigint) as n, 1 + l_orderkey % 5 as d, l_orderkey * 10 + l_linenumber as offer_id from lineitem where l_partkey % 40 <> l_suppkey % 40 and cast(l_quantity as bigint) > 0),
-k as (select *, (amount * n + d - 1) // d as cost from o),
-lv as (select *, coalesce(sum(amount) over w, 0)::bigint as ab, coalesce(sum(cost) over w, 0)::bigint as cb from k window w as (partition by selling, buying order by cast(n as decimal(38, 18)) / d, offer_id rows between unbounded preceding and 1 preceding))"""
 POOLS = """po as (select 'a' || (p_partkey % 40) as a, 'a' || ((p_partkey + 2) % 40) as b, (200 + p_size * 10)::bigint as ra, (100 + p_partkey * 30)::bigint as rb from part where p_partkey between 1 and 40),
 ps as (select a as selling, b as buying, ra as rout, rb as rin from po union all select b, a, rb, ra from po)"""
 
@@ -86,7 +79,7 @@ def _path_sql(receive: bool, pools: bool, hops: int = 3, per_asset: int = 5) ->
 
 
 def _paths(t: Tables, *, receive: bool, pools: bool) -> DataFrame:
-    found = paths.find_paths(paths.levels(_offers(t)), _starts(t), receive=receive, max_hops=3, per_asset=5, pools=_pools(t) if pools else None)
+    found = paths.find_paths(paths.levels(views.offers(t)), _starts(t), receive=receive, max_hops=3, per_asset=5, pools=_pools(t) if pools else None)
     return found.select("request", "asset", "amount", "hops", F.array_join("path", ">").alias("path"))
 
 
@@ -118,26 +111,17 @@ def q49e(t: Tables) -> DataFrame:
     """For every pool and three amounts, whether the pool or the offers of its pair ask less."""
     sides = paths.pool_sides(_pools(t))
     wants = sides.select("selling", "buying", F.explode(F.array(*[F.lit(n).cast("long") for n in (5, 40, 90)])).alias("need")).select(F.col("selling").alias("asset"), F.col("buying").alias("pair"), "need")
-    book = paths.bought(wants, paths.levels(_offers(t)), need="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("book"))
+    book = paths.bought(wants, paths.levels(views.offers(t)), need="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("book"))
     pool = paths.pool_trade(wants, sides, receive=True, amount="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("pool"))
     both = pool.join(book, ["asset", "pair", "need"], "left")
     return both.select(F.col("asset").alias("selling"), F.col("pair").alias("buying"), F.col("need").cast("int").alias("need"), "book", "pool", F.when(F.col("book").isNull() | (F.col("pool") < F.col("book")), F.lit("pool")).otherwise(F.lit("book")).alias("venue"))
 
 
-@query("q48b_greedy_fill_all", f"with {LEVELS}, p as (select distinct selling, buying from o) select p.selling, p.buying, cb + ((40 - ab) * n + d - 1) // d as cost from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 40 > ab and 40 <= ab + amount")
-def q48b(t: Tables) -> DataFrame:
-    """What 40 units cost in each pair, over all offers; null where a pair has fewer."""
-    level = paths.levels(_offers(t))
-    pairs = level.select("selling", "buying").distinct()
-    cost = paths.bought(pairs.select(F.col("selling").alias("asset"), F.lit(40).cast("long").alias("amount")).distinct(), level)
-    return pairs.join(cost.select(F.col("asset").alias("selling"), F.col("there").alias("buying"), F.col("next").alias("cost")), ["selling", "buying"], "left")
-
-
 @query("q48c_proceeds", f"with {LEVELS}, p as (select distinct selling, buying from o), x as (select p.selling, p.buying, ab + least(amount, ((60 - cb) * d) // n) as got from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 60 > cb and 60 <= cb + cost) select selling, buying, case when got > 0 then got end as got from x")
 def q48c(t: Tables) -> DataFrame:
     """What 60 units buy in each pair, by the fold over a book and by running sums; both have to say the same."""
-    level = paths.levels(_offers(t))
-    folded = paths.books(_offers(t).where("amount > 0")).select("selling", "buying", paths.proceeds_of(F.col("book"), F.lit(60)).alias("folded"))
+    level = paths.levels(views.offers(t))
+    folded = paths.books(views.offers(t).where("amount > 0")).select("selling", "buying", paths.proceeds_of(F.col("book"), F.lit(60)).alias("folded"))
     got = paths.sold(level.select("buying", F.lit(60).cast("long").alias("amount")).distinct().withColumnRenamed("buying", "given"), level, asset="given").select(F.col("given").alias("buying"), F.col("there").alias("selling"), F.col("next").alias("summed"))
     both = folded.join(got, ["selling", "buying"], "left")
     same = F.when(F.col("folded").eqNullSafe(F.col("summed")), F.col("summed")).otherwise(F.raise_error(F.lit("fold and sums differ")).cast("long"))
