@@ -107,6 +107,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(docs, min_chars=10, min_docs=2).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 finite components; others are left out. Rows without an id are assigned too, as the last to be seeds."""
+    from tallyloom.llm.ball_tree import cluster_vectors
+
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5, scale=256, seed="2:")
+    said = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(said, 256).alias("centroid_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents. Null texts are empty; of rows without an id one stays if no row of the group has an id."""
+    from tallyloom.llm.exact_dedup import copy_groups
+
+    return copy_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one of three forms, and what is read back from it. Null texts are empty and plain."""
+    from tallyloom.llm.fill_middle import fill_middle, restored
+
+    out = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm_rate=80)
+    sizes = [F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return out.select("doc_id", "n", "form", *sizes, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that do not depend on how fingerprints are made."""
     return op6_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -130,6 +155,9 @@ def oracle_sql() -> dict[str, str]:
         "op10_line_dedup": LINE_SQL,
         "op2_embedding_dedup": VECTOR_SQL,
         "op4_ngram_join": JACCARD_SQL,
+        "op11_centroid_clustering": cluster_sql(),
+        "op12_exact_dedup": COPIES_SQL,
+        "op13_fill_in_middle": MIDDLE_SQL,
         "edited_texts": EDITED_SQL,
         "mixing_targets": TARGET_SQL,
     }
@@ -231,3 +259,45 @@ z as (select * from f where round = 20),
 t as (select source, source_size, case when stopped then 2.0 * source_size else (sum(source_size) over () * 1.5 - coalesce(sum(2.0 * source_size) filter (where stopped) over (), 0)) * weight / sum(weight) filter (where not stopped) over () end as target from z)
 select doc_id, size, source_size, round(target * 100)::bigint as target_cents from d join t on t.source is not distinct from d.source
 """
+
+COPIES_SQL = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from d window same as (partition by t)
+"""
+
+MIDDLE_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as x from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+             [('0x' || substr(x, 1 + 8 * i, 8))::bigint for i in range(4)] as h from d),
+c as (select *, len(u) as n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as lo, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as hi,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(u[1:lo], '') as prefix, array_to_string(u[lo + 1:hi], '') as middle, array_to_string(u[hi + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+"""
+
+
+def cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """All rounds, one after the other: centroids as rows, distances from sums of products of whole numbers."""
+    text = f"""
+with v as materialized (select row_number() over () as r, vec_id, [floor(256 * y::double) for y in embedding] as x from embeddings
+      where len(embedding) = 64 and len([y for y in embedding if y is null or isnan(y) or isinf(y)]) = 0),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id) nulls last, x) - 1 as j, x as c from v order by j limit {k})"""
+    near = "select r, min_by(j, (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * {k} + j) as j from v cross join c{n} group by r"
+    for n in range(rounds):
+        text += f""",
+a{n} as materialized ({near.format(k=k, n=n)}),
+s{n} as (select j, i, sum(x[i]::bigint) as total, count(*) as n from a{n} join v using (r) cross join range(1, 65) t(i) group by j, i),
+m{n} as (select j, list(floor_div order by i) as c from (select j, i, ((total - ((total % n) + n) % n) // n)::double as floor_div from s{n}) group by j),
+c{n + 1} as materialized (select j, coalesce(m{n}.c, c{n}.c) as c from c{n} left join m{n} using (j))"""
+    return text + f""",
+a as materialized ({near.format(k=k, n=rounds)}),
+f as (select vec_id, j, c, (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::bigint as distance from a join v using (r) join c{rounds} using (j))
+select vec_id, j::int as cluster, distance, (sum(distance) over (partition by j))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+       sha256(array_to_string([y::bigint for y in c], ',')) as centroid_sha256
+from f
+"""

@@ -9,8 +9,8 @@ from tallyloom.llm import registry
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_all_ten_are_there():
-    assert [n.split("_")[0] for n in registry.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+def test_all_are_there():
+    assert [n.split("_")[0] for n in registry.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries() and set(registry.oracle_sql()) <= set(registry.queries())
 
 
