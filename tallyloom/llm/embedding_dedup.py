@@ -160,7 +160,8 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     length. ``n_links`` counts the other rows linked directly, ``component_id`` is the least id reachable, the row's own
     included, and ``kept`` marks the row that stands for its component. A vector that is null, empty, zero or holds null
     or non-finite components links with nothing. Rows without an id link with nothing, have a null component and are not
-    kept. Other columns are not returned. Empty input: empty output.
+    kept. Rows that share an id are vectors of their own: each has its own links and the component of its own vector; of
+    those whose vector's component has their id, each is kept. Other columns are not returned. Empty input: empty output.
 
     Method: ``cells`` (default: one for 2048 rows, at most 4096, or fewer if these part the vectors as well) unit
     centroids are fitted by spherical k-means on a sample of at most about ``sample`` vectors and ``SAMPLE_BYTES``; every
@@ -178,12 +179,12 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     given = table.select(named(id_col).cast("long").alias("v"), vector.alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
     good = given.where("fine").select("v", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), F.size("embedding").alias("dim"))
     classes = good.groupBy("h1", "h2").agg(F.min_by("embedding", "v").alias("embedding"), F.min("v").alias("v"), F.count("*").alias("weight"), F.max("dim").alias("dim"))
-    classes = written(classes, "vectors")
+    classes = written(classes.withColumn("number", F.monotonically_increasing_id()), "vectors")
     lengths = classes.groupBy("dim").agg(F.count("*").alias("n"))
     n, dims, longest = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max_by("dim", F.struct("n", -F.col("dim"))), F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
     rows = min(sample, SAMPLE_BYTES // (8 * dims) + 1)
     part = min(1.0, rows / max(n, 1))
-    drawn = classes.where(F.col("dim") == dims).where((F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)) < part).orderBy("v").select("embedding").toArrow().column(0).combine_chunks()
+    drawn = classes.where(F.col("dim") == dims).where((F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)) < part).orderBy("v", "h1", "h2").select("embedding").toArrow().column(0).combine_chunks()
     drawn = drawn.combine_chunks() if isinstance(drawn, pa.ChunkedArray) else drawn
     reach = float(np.sqrt(max(0.0, 2 - 2 * floor))) * (1 + 1e-12)
     unit = _unit(drawn, dims) if len(drawn) else np.zeros((0, dims))
@@ -205,7 +206,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(home[row].astype(np.int64)), pa.array(lists, pa.binary()), *(rows.column(c).take(at) for c in ("v", "weight", "dim", "embedding"))], ["cell", "home", "goes", "v", "weight", "dim", "embedding"])
 
     kind = table.schema[vector_col].dataType.simpleString()
-    sent = classes.select("v", "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, home long, goes binary, v long, weight long, dim long, embedding {kind}")
+    sent = classes.select(F.col("number").alias("v"), "weight", F.col("dim").cast("long").alias("dim"), "embedding").mapInArrow(assign, f"cell long, home long, goes binary, v long, weight long, dim long, embedding {kind}")
     sent = written(sent, "cells")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = max(BLOCK, min(HELD_BYTES // (8 * longest), n // max(tasks, 1)))
@@ -224,11 +225,13 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     counts = found.groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("v").alias("a"), F.col("least").alias("b")))
     whole = (
-        classes.select("h1", "h2", "v", "weight")
-        .join(counts, "v", "left")
-        .join(joined.withColumnRenamed("node", "v"), "v", "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "v").alias("component_id"))
+        classes.select("h1", "h2", "v", "weight", "number")
+        .join(counts.withColumnRenamed("v", "number"), "number", "left")
+        .join(joined.withColumnRenamed("node", "number"), "number", "left")
+        .select("h1", "h2", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "number").alias("component"))
     )
+    ids = whole.groupBy("component").agg(F.min("v").alias("component_id"))
+    whole = whole.join(ids, "component").select("h1", "h2", "n_links", "component_id")
     linked = good.select("v", "h1", "h2").join(whole, ["h1", "h2"]).select("v", "n_links", "component_id")
     alone = given.where("not fine").select("v", F.lit(0).cast("long").alias("n_links"), F.col("v").alias("component_id"))
     out = linked.unionByName(alone)

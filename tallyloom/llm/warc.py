@@ -95,11 +95,12 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 
     At each place a gzip member or a plain record is tried. When a check fails, the next places that look like the start
     of a member or of a version line are tried one by one until one holds a valid record; all before it is one gap. A
-    member with more than one record yields all that are sound. A member that is cut short or damaged yields the records
-    before that which are whole (and, if damaged, hold their block digest, but for the last of them); it counts as a gap
-    too. So does a member that inflates to more than ``MEMBER_BYTES``, after the records within these. Every byte is in
-    exactly one record's or gap's span but for members of many records, whose records share the member's span, and for
-    records of failed members. Work is linear in the number of starts tried. No bytes: nothing.
+    member with more than one record yields all that are sound. A member that is cut short yields the records before the
+    cut, one that is damaged (be it in its trailer alone) those whose block digest verifies; they have a field ``salvaged``
+    that says what is wrong with the member, which counts as a gap too. So does a member that inflates to more than
+    ``MEMBER_BYTES``, after the records within these. Every byte is in exactly one record's or gap's span but for members
+    of many records, whose records share the member's span, and for records of failed members. Work is linear in the
+    number of starts tried. No bytes: nothing.
     """
     at, bad_from, reason = 0, None, ""
     starts = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
@@ -119,10 +120,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                     wrong = inner[0][3] if inner else "empty member"
             else:
                 wrong = why
-                if why.startswith("gzip"):  # the last one may be what is damaged, and a header has no digest
-                    part = [x for x in inner if x[2] is not None and x[2].get("warc-block-digest", "").startswith("sha1:")][:-1]
-                elif len(inner) > 1:  # a lone record stands or falls with its member
-                    part = [x for x in inner if x[2] is not None]
+                # what came out before damage may be wrong unless a digest says otherwise; what came out before a cut is not
+                part = [x for x in inner if x[2] is not None and (not why.startswith("gzip") or x[2].get("warc-block-digest", "").startswith("sha1:"))]
         elif data.startswith(b"WARC/", at):
             got = _parse(data, at)
             if isinstance(got, str):
@@ -141,7 +140,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             bad_from, reason = at, str(wrong)
         after = starts.search(data, at + 1)
         next_at = after.start() if after else len(data)
-        yield from ((at, next_at, fields, block) for _, _, fields, block in part)
+        yield from ((at, next_at, fields | {"salvaged": str(wrong)}, block) for _, _, fields, block in part)
         at = next_at
     if bad_from is not None:
         yield bad_from, len(data), None, reason
@@ -275,7 +274,8 @@ def write_archives(plan: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES
 def read_archives(files: DataFrame, *, keep_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps of archives given as ``(path, content)`` rows, as Spark's binaryFile source gives them.
 
-    ``kind`` is ``record`` or ``gap``; a gap has its byte span and, as ``note``, the check that failed first. Response
+    ``kind`` is ``record`` or ``gap``; a gap has its byte span and, as ``note``, the check that failed first; a record has a
+    note if it was salvaged from a member that failed. Response
     payloads are held against their payload digest; one that differs is a gap. Rows of empty files are none.
     """
 
@@ -294,7 +294,7 @@ def read_archives(files: DataFrame, *, keep_payload: bool = True) -> DataFrame:
                         kind, ident = fields.get("warc-type"), fields.get("warc-record-id", "").strip("<>")
                         head, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
                         stated = fields.get("warc-payload-digest", "")
-                        row |= {"kind": "record", "record_type": kind, "record_id": ident, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "uri": fields.get("warc-target-uri"), "digest": base64.b32decode(stated[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None, "page_id": _page(ident)}
+                        row |= {"kind": "record", "note": fields.get("salvaged"), "record_type": kind, "record_id": ident, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "uri": fields.get("warc-target-uri"), "digest": base64.b32decode(stated[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", stated) else None, "page_id": _page(ident)}
                         if kind != "revisit":
                             row |= {"payload": payload if keep_payload else None, "payload_bytes": len(payload)}
                             if row["digest"] not in (None, hashlib.sha1(payload).hexdigest()):
@@ -317,15 +317,21 @@ def archive_files(spark: SparkSession, folder: str) -> DataFrame:
 def resolved(records: DataFrame, *, keep_payload: bool = False) -> DataFrame:
     """Records by page: a revisit gets the size and digest (with ``keep_payload`` the payload) of the response it refers to.
 
-    Of responses that share a record id any stands for it, as revisits say only the id. A revisit whose response is not
-    among ``records`` keeps its own digest and has a null size and ``refers_to``. Gaps give no row; a record without a
-    page id has a null one. Empty input: empty output.
+    A revisit refers to the response with its record id and its payload digest, so responses that share an id stay apart;
+    a revisit that states no digest refers to the response of the least digest. A revisit whose response is not among
+    ``records`` keeps its own digest and has a null size and ``refers_to``. Gaps give no row; a record without a page id
+    has a null one. Empty input: empty output.
     """
     own = ["page_id", "record_type", "record_id", "refers_to", "payload_bytes", "digest", *["payload"] * keep_payload]
     found = records.where("kind = 'record'").select(*own)
-    first = found.where("record_type = 'response'").join(found.where("record_type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
-    first = first.select(F.col("record_id").alias("__id"), F.col("page_id").alias("__page"), F.col("payload_bytes").alias("__bytes"), F.col("digest").alias("__digest"), *([F.col("payload").alias("__payload")] if keep_payload else [])).dropDuplicates(["__id"])
-    joined = found.join(first, F.col("refers_to") == F.col("__id"), "left")
+    stated = F.coalesce("digest", F.lit(""))
+    asked = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("record_id"), stated.alias("__asked")).distinct()
+    same = (F.col("__asked") == stated) | (F.col("__asked") == "")
+    first = found.where("record_type = 'response'").join(asked, "record_id").where(same)
+    columns = {"__page": "page_id", "__bytes": "payload_bytes", "__digest": "digest"} | ({"__payload": "payload"} if keep_payload else {})
+    first = first.groupBy(F.col("record_id").alias("__id"), "__asked").agg(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), stated).alias("__first"))
+    first = first.select("__id", "__asked", "__first.*")
+    joined = found.join(first, (F.col("refers_to") == F.col("__id")) & (stated == F.col("__asked")), "left")
     return joined.select(
         "page_id",
         F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"),

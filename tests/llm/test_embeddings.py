@@ -88,3 +88,13 @@ def test_fewer_cells_where_more_part_nothing():
     groups /= np.linalg.norm(groups, axis=1, keepdims=True)
     few, many = (len(e.pick_cells(x, 64, 0.31)) for x in (noise, groups))
     assert few <= many and many >= 16
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    from tallyloom.llm import registry
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-9]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (0, [0.0, -1.0]), (7, [0.0, -1.0]), (7, None), (None, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.op2_embedding_dedup(spark, str(tmp_path)).collect()
+    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (2, 0, 2, True), (0, 1, 0, True), (7, 1, 0, False), (7, 0, 7, True), (None, 0, None, False)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

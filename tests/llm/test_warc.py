@@ -48,6 +48,23 @@ def test_round_trip(spark, tmp_path):
     assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in out)
 
 
+def test_revisits_of_an_id_that_two_payloads_share(spark, tmp_path):
+    from tallyloom.llm import registry
+
+    other = BIG.replace("p>", "b>")
+    given = [(5, "u", BIG, None), (5, "u", other, None), (2, "v", other, None), (3, "w", BIG, None), (5, "u", BIG, None)]
+    pages(spark, given).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.op3_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == brute(given)
+
+
+def test_a_revisit_without_a_digest_refers_by_id(spark):
+    columns = "kind string, page_id long, record_type string, record_id string, refers_to string, payload_bytes long, digest string"
+    rows = [("record", 1, "response", "a", None, 3, "ff"), ("record", 1, "response", "a", None, 4, "ee"), ("record", 2, "revisit", "b", "a", None, None), ("record", 3, "revisit", "c", "a", None, "ff"), ("record", 4, "revisit", "d", "a", None, "dd")]
+    got = {r.page_id: tuple(r)[1:] for r in warc.resolved(spark.createDataFrame(rows, columns)).where("record_type = 'revisit'").collect()}
+    assert got == {2: (4, "ee", "revisit", 1), 3: (3, "ff", "revisit", 1), 4: (None, "dd", "revisit", None)}
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     assert warc.write_archives(warc.planned(pages(spark, [])), folder).count() == 0
@@ -82,7 +99,7 @@ def test_damage_costs_the_damaged_record_alone(packed):
         broken = bytearray(whole)
         broken[at] ^= 1 << rng.randrange(8)
         got = list(warc.salvage(bytes(broken)))
-        names = [x[2]["warc-record-id"] for x in got if x[2]]
+        names = [x[2]["warc-record-id"] for x in got if x[2] and "salvaged" not in x[2]]
         lost = [i for i in range(12) if f"<urn:page:{i}>" not in names]
         assert set(lost) <= {hit}
         gaps = [(a, z) for a, z, f, _ in got if f is None]
@@ -94,7 +111,9 @@ def test_cuts_garbage_and_joined_members():
     parts = [warc.member(r) for r in records(4)]
     whole = b"".join(parts)
     got = list(warc.salvage(whole[:-5]))
-    assert [x[2] is not None for x in got] == [True, True, True, False] and got[-1][3] == "member is cut short"
+    assert [x[2] is not None for x in got] == [True] * 4 + [False] and got[-1][3] == "member is cut short"
+    assert ["salvaged" in x[2] for x in got[:4]] == [False, False, False, True]  # its trailer alone is cut
+    assert [x[2] is not None for x in warc.salvage(whole[:-40])] == [True, True, True, False]
     got = list(warc.salvage(b"junk\x1f\x8b\x08junk" + whole))
     assert got[0][:2] == (0, 11) and got[0][2] is None and sum(x[2] is not None for x in got) == 4
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"only junk"))[0][:3] == (0, 9, None)

@@ -52,3 +52,19 @@ def test_members_that_inflate_without_end(monkeypatch):
     got = list(warc.salvage(bomb + warc.member(few[0])))
     assert [x[2]["warc-target-uri"] for x in got if x[2]] == ["http://h/0", "http://h/1", "http://h/2", "http://h/0"]
     assert [x for x in got if x[2] is None][0][3].startswith("member inflates to more")
+
+
+def test_a_sound_record_of_a_member_with_a_bad_trailer_is_given_and_marked():
+    parts = [bytearray(warc.member(r)) for r in records(3)]
+    parts[1][-6] ^= 1
+    data = b"".join(map(bytes, parts))
+    got = list(warc.salvage(data))
+    assert [(x[2]["warc-record-id"], x[2].get("salvaged", "")[:5]) for x in got if x[2]] == [("<urn:page:0>", ""), ("<urn:page:1>", "gzip:"), ("<urn:page:2>", "")]
+    assert [x[:2] for x in got if x[2] is None] == [(len(parts[0]), len(parts[0]) + len(parts[1]))]
+
+
+def test_marks_reach_the_reader(spark):
+    damaged = bytearray(warc.member(records(1)[0]))
+    damaged[-6] ^= 1
+    out = warc.read_archives(spark.createDataFrame([("f", damaged)], "path string, content binary")).collect()
+    assert [(r.kind, (r.note or "")[:5]) for r in out] == [("record", "gzip:"), ("gap", "gzip:")]
