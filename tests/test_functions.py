@@ -2,6 +2,8 @@ from fractions import Fraction
 from math import ceil, floor, gcd
 
 import pytest
+from hypothesis import given, settings, strategies as st
+from plain_address import decode_one, encode_one
 from pyspark.sql import functions as F
 
 from tallyloom.functions import address, assets, ids, money, timing
@@ -92,7 +94,39 @@ def test_addresses(spark):
     rows = df.select("k", "a", address.decoder("account")(C("a")), address.decoder("contract")(C("a"))).collect()
     assert rows[0].a.startswith("G") and len(rows[0].a) == 56 and bytes(rows[0][2]) == key and rows[0][3] is None
     assert rows[1].a is None and rows[1][2] is None
-    assert address.decode_one(rows[0].a[:-1] + "A") is None and address.decode_one("?") is None
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(sorted(address.VERSIONS)), st.binary(min_size=0, max_size=70), st.integers(0, 120), st.sampled_from("A7BZ1a?=")), min_size=20, max_size=20))
+def test_addresses_like_the_standard_library(spark, cases):
+    """Any key of any kind, there and back, and with a character changed."""
+    rows = []
+    for kind, key, place, char in cases:
+        text = encode_one(address.VERSIONS[kind], key)
+        at = place % len(text)
+        rows.append((kind, bytearray(key), text, text[:at] + char + text[at + 1 :]))
+    df = spark.createDataFrame([*rows, ("account", None, None, ""), ("account", bytearray(b"x"), "A", "AAAAAAAA")], "kind string, key binary, text string, other string")
+    made = F.coalesce(*[F.when(C("kind") == k, address.encode(k, C("key"))) for k in address.VERSIONS])
+    for r in df.select("kind", "key", "text", "other", made.alias("made"), address.decode(C("text")).alias("back"), address.decode(C("other")).alias("told")).collect():
+        if r.key is None:
+            assert r.made is None and r.back.key is None
+        elif r.text != "A":
+            assert r.made == r.text and bytes(r.back.key) == bytes(r.key) and r.back.kind == r.kind
+        want = decode_one(r.other)
+        assert (r.told.key is not None and (r.told.version, bytes(r.told.key)) or None) == want
+
+
+def test_signed_payloads(spark):
+    key = bytes(range(32))
+    sizes = [0, 1, 3, 4, 63, 64, 65]
+    df = spark.createDataFrame([(bytearray(key), bytearray(b"\xff" * n)) for n in sizes] + [(bytearray(b"short"), bytearray(b"x")), (None, bytearray(b"x"))], "k binary, p binary")
+    rows = df.select("p", address.signed_payload(C("k"), C("p")).alias("a")).select("p", "a", address.signed_payload_parts(C("a")).alias("b")).collect()
+    for n, r in zip(sizes, rows, strict=False):
+        want = encode_one(address.VERSIONS["signed_payload"], key + n.to_bytes(4, "big") + b"\xff" * n + b"\0" * (-n % 4)) if 1 <= n <= 64 else None
+        assert r.a == want and (want is None or (bytes(r.b.key), bytes(r.b.payload)) == (key, b"\xff" * n))
+    assert rows[-1].a is None and rows[-2].a is None
+    bad = encode_one(address.VERSIONS["signed_payload"], key + (1).to_bytes(4, "big") + b"ab\0\0")  # not filled with zeros
+    assert tuple(spark.range(1).select(address.signed_payload_parts(F.lit(bad))).first()[0]) == (None, None)
 
 
 def test_assets(spark):
@@ -116,10 +150,10 @@ def test_prices_from_text(spark):
 
 def test_muxed_addresses(spark):
     key = bytes(range(32))
-    text = address.encode_one(address.VERSIONS["muxed"], key + (2**63 + 5).to_bytes(8, "big"))
+    text = encode_one(address.VERSIONS["muxed"], key + (2**63 + 5).to_bytes(8, "big"))
     df = spark.createDataFrame([(text,), ("M",), (None,)], "a string")
     rows = df.select(address.kind_of(C("a")), address.muxed_parts(C("a"))).collect()
-    assert rows[0][0] == "muxed" and rows[0][1].account == address.encode_one(address.VERSIONS["account"], key) and int(rows[0][1].id) == 2**63 + 5
+    assert rows[0][0] == "muxed" and rows[0][1].account == encode_one(address.VERSIONS["account"], key) and int(rows[0][1].id) == 2**63 + 5
     assert rows[1][1].account is None and rows[2][1].account is None
 
 
