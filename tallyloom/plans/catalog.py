@@ -635,12 +635,8 @@ def q71(t: Tables) -> DataFrame:
 p as (select *, lag(kind) over w as kind0, lag(value) over w as value0 from o window w as (partition by user_id order by k))
 select user_id, row_number() over (partition by user_id order by k) - 1 as ord, kind as type, case when kind0 = 'created' and kind <> 'created' then value0 end as pre, case when kind <> 'removed' then value end as post from p where kind <> 'created'""")
 def q72(t: Tables) -> DataFrame:
-    """Signups stand for states: what follows one has its value as its pre."""
-    kind = F.when(F.col("kind") == "created", F.lit("state")).otherwise(F.col("kind"))
-    entry = F.struct("ms", "event_id", kind.alias("type"), F.col("user_id").alias("key"), F.col("value").alias("entry"))
-    rows = views.changes(t).groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    rows = rows.select("user_id", F.posexplode(flatten.paired_changes(F.col("entries"))).alias("ord", "c"))
-    return rows.select("user_id", F.col("ord").cast("long").alias("ord"), "c.type", "c.pre", "c.post")
+    """Signups stand for states: what follows one has its value as its pre. A row looks at the row before it, and no user's rows are gathered."""
+    return ch.state_pairs(views.changes(t), keys=["user_id"], order=["ms", "event_id"], kind="kind", value="value", state="created").select("user_id", F.col("place").alias("ord"), F.col("kind").alias("type"), "pre", "post")
 
 
 @query("q73_latest_files", "select max(o_orderkey // 64 * 64 + 63) as latest, min(o_orderkey // 64 * 64) as oldest, max(case when o_orderkey // 64 * 64 <= 3000 then o_orderkey // 64 * 64 + 63 end) as up_to from orders")
