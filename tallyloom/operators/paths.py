@@ -2,94 +2,85 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import money
+from tallyloom.operators import running
+from tallyloom.operators.running import before
 from tallyloom.sinks.scratch import written
 
 
-def books(offers: DataFrame, *, selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d", offer_id: str = "offer_id") -> DataFrame:
-    """The offers of each pair (selling, buying) as one array from the best price on, earlier offers first among equals."""
-    level = F.struct((F.col(n).cast("decimal(19,0)") / F.col(d).cast("decimal(19,0)")).alias("price"), F.col(offer_id).alias("id"), F.col(amount).alias("amount"), F.col(n).cast("long").alias("n"), F.col(d).cast("long").alias("d"))
-    return offers.groupBy(F.col(selling).alias("selling"), F.col(buying).alias("buying")).agg(F.array_sort(F.collect_list(level)).alias("book"))
+#: What an amount can be at most. Amounts are 63 bits wide, prices two numbers of 31 bits. Fixed values of the format.
+MOST = (1 << 63) - 1
 
 
 def _div(a: Column, b: Column, up: bool) -> Column:
     a, b = a.cast("decimal(38,0)"), b.cast("decimal(19,0)")
     rest = F.pmod(a, b)
-    return (F.floor((a - rest) / b) + (F.when(rest > 0, 1).otherwise(0) if up else F.lit(0))).cast("long")
+    return (F.floor((a - rest) / b) + (F.when(rest > 0, 1).otherwise(0) if up else F.lit(0))).cast("decimal(38,0)")
 
 
 def _product(a: Column, b: Column) -> Column:
-    return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
-def cost_of(book: Column, need: Column) -> Column:
-    """What it costs to buy ``need`` from a book, each offer rounded up; null if the book does not hold that much.
-
-    A fold over one array; ``levels`` and ``bought`` do the same over rows, for books of any length.
-    """
-    start = F.struct(need.cast("long").alias("left"), F.lit(0).cast("long").alias("paid"))
-
-    def step(acc: Column, o: Column) -> Column:
-        take = F.least(acc["left"], o["amount"])
-        return F.struct((acc["left"] - take).alias("left"), (acc["paid"] + _div(_product(take, o["n"]), o["d"], True)).alias("paid"))
-
-    done = F.aggregate(book, start, step)
-    return F.when(done["left"] == 0, done["paid"])
-
-
-def proceeds_of(book: Column, have: Column) -> Column:
-    """What ``have`` buys from a book, each offer rounded down; null if nothing, or if the book cannot take all of it."""
-    start = F.struct(have.cast("long").alias("left"), F.lit(0).cast("long").alias("got"))
-
-    def step(acc: Column, o: Column) -> Column:
-        take = F.least(o["amount"], _div(_product(acc["left"], o["d"]), o["n"], False))
-        whole = take < o["amount"]
-        paid = F.when(whole, acc["left"]).otherwise(_div(_product(take, o["n"]), o["d"], True))
-        return F.when(acc["left"] <= 0, acc).otherwise(F.struct((acc["left"] - F.least(paid, acc["left"])).alias("left"), (acc["got"] + take).alias("got")))
+    return (a.cast("decimal(20,0)") * b.cast("decimal(17,0)")).cast("decimal(38,0)")
 
-    done = F.aggregate(book, start, step)
-    return F.when((done["left"] == 0) & (done["got"] > 0), done["got"])
 
-
-def levels(offers: DataFrame, *, selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d", offer_id: str = "offer_id") -> DataFrame:
+def levels(offers: DataFrame, *, selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d", offer_id: str = "offer_id", hot_rows: int | None = None) -> DataFrame:
     """The offers of each pair as rows (selling, buying, amount, n, d, amount_before, cost, cost_before), running sums from the best price on.
 
     An offer taken whole costs its amount at its price, rounded up, whatever was taken before; so the sums before an
     offer say at once which one a wanted or a given amount ends in, and no book is ever one row. Offers of one price are
-    in order of their id.
+    in order of their id. Costs and sums are ``decimal(38,0)``, so they hold however large a book is; a cost beyond what can be paid
+    counts as 2^64 in the sums, and offers that neither an amount to buy nor one to pay can reach are left out. Offers of
+    nothing, and with nulls, are left out. The sums of a pair that holds a large part of all offers (``hot_rows``) are made by many tasks.
     """
-    w = Window.partitionBy("selling", "buying").orderBy("price", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = offers.select(F.col(selling).alias("selling"), F.col(buying).alias("buying"), F.col(amount).cast("long").alias("amount"), F.col(n).cast("long").alias("n"), F.col(d).cast("long").alias("d"), F.col(offer_id).alias("id"))
-    rows = rows.where("amount > 0").withColumn("price", F.col("n").cast("decimal(19,0)") / F.col("d").cast("decimal(19,0)")).withColumn("cost", _div(_product(F.col("amount"), F.col("n")), F.col("d"), True))
-    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"{c}_before")
-    return rows.select("selling", "buying", "amount", "n", "d", before("amount"), "cost", before("cost"))
-
+    c = F.col
+    rows = offers.select(c(selling).alias("selling"), c(buying).alias("buying"), c(amount).cast("long").alias("amount"), c(n).cast("long").alias("n"), c(d).cast("long").alias("d"), c(offer_id).alias("id"))
+    rows = rows.where("amount > 0").withColumn("price", c("n").cast("decimal(19,0)") / c("d").cast("decimal(19,0)")).withColumn("cost", _div(_product(c("amount"), c("n")), c("d"), True))
+    whole = lambda x: x.cast("decimal(38,0)")
+    rows = before(rows, keys=["selling", "buying"], order=["price", "id"], sums={"amount_before": c("amount").cast("decimal(20,0)"), "cost_before": F.least(c("cost"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))}, hot_rows=hot_rows)
+    reached = (c("amount_before") < MOST) | (c("cost_before") < MOST)
+    return rows.where(reached).select("selling", "buying", "amount", "n", "d", whole(c("amount_before")).alias("amount_before"), "cost", whole(c("cost_before")).alias("cost_before"))
 
-def _levels_of(book: DataFrame) -> DataFrame:
-    """``levels`` of what ``books`` returns."""
-    rows = book.select("selling", "buying", F.explode("book").alias("o"))
-    return levels(rows.select("selling", "buying", F.col("o.amount").alias("amount"), F.col("o.n").alias("n"), F.col("o.d").alias("d"), F.col("o.id").alias("offer_id")))
 
+def _ended(rows: DataFrame, level: DataFrame, *, here: str, there: str, start: str, size: str, want: str, asset: str, hot_rows: float | None) -> DataFrame:
+    """``rows`` for each pair whose ``here`` is their ``asset``, with ``there`` and the level in which ``want`` ends, as ``__l``.
 
-def bought(rows: DataFrame, level: DataFrame, *, need: str = "amount", asset: str = "asset") -> DataFrame:
+    Wanted amounts and the sums at which levels start are put in one order by pair, and each amount looks at the last
+    start before it: a merge of two sorted runs, however many of either there are, in place of a join that tests all.
+    """
+    c = F.col
+    held = F.struct(*[c(n) for n in rows.columns])
+    level = level.join(rows.select(c(asset).alias("__asset")).distinct(), c(here) == c("__asset"), "left_semi")
+    pairs = level.select("selling", "buying").distinct()
+    wants = rows.select(held.alias("__row"), c(asset).alias("__asset"), c(want).cast("decimal(38,0)").alias("__at")).join(pairs, c("__asset") == c(here))
+    starts = level.select("selling", "buying", c(start).alias("__at"), F.struct(*level.columns).alias("__level"))
+    both = starts.withColumn("__wants", F.lit(False)).unionByName(wants.drop("__asset").withColumn("__wants", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("__turn", F.when(c("__wants"), 0).otherwise(1))  # a level that starts at the amount is not begun
+    found = before(both, keys=["selling", "buying"], order=["__at", "__turn"], lasts={"__l": c("__level")}, hot_rows=hot_rows)
+    found = found.where(c("__wants") & (c("__at") <= c("__l")[start] + c("__l")[size]))
+    return found.select(*[c("__row")[n].alias(n) for n in rows.columns], c(there).alias("there"), "__l")
+
+
+def bought(rows: DataFrame, level: DataFrame, *, need: str = "amount", asset: str = "asset", hot_rows: float | None = None) -> DataFrame:
     """What it costs to buy ``need`` of ``asset`` in each pair that sells it: ``rows`` with ``there`` and ``next``.
 
-    Each pair gives at most one row, by the offer in which the wanted amount ends; pairs that do not hold it give none.
+    Each pair gives at most one row, by the offer in which the wanted amount ends; pairs that do not hold it give none, nor
+    do costs beyond ``MOST``. Rows that want nothing give none.
     """
-    want = F.col(need)
-    ends = (F.col(asset) == F.col("selling")) & (want > F.col("amount_before")) & (want <= F.col("amount_before") + F.col("__amount"))
-    cost = F.col("cost_before") + _div(_product(want - F.col("amount_before"), F.col("n")), F.col("d"), True)
-    return rows.join(level.withColumnRenamed("amount", "__amount"), ends).select(*rows.columns, F.col("buying").alias("there"), cost.alias("next"))
+    c = F.col
+    ends = _ended(rows.where(c(need) > 0), level, here="selling", there="buying", start="amount_before", size="amount", want=need, asset=asset, hot_rows=hot_rows)
+    cost = c("__l.cost_before") + _div(_product(c(need).cast("decimal(20,0)") - c("__l.amount_before"), c("__l.n")), c("__l.d"), True)
+    return ends.withColumn("next", cost).where(c("next") <= MOST).withColumn("next", c("next").cast("long")).drop("__l")
 
 
-def sold(rows: DataFrame, level: DataFrame, *, have: str = "amount", asset: str = "asset") -> DataFrame:
+def sold(rows: DataFrame, level: DataFrame, *, have: str = "amount", asset: str = "asset", hot_rows: float | None = None) -> DataFrame:
     """What ``have`` of ``asset`` buys in each pair that takes it, like ``bought``; pairs that cannot take all of it give none."""
-    own = F.col(have)
-    ends = (F.col(asset) == F.col("buying")) & (own > F.col("cost_before")) & (own <= F.col("cost_before") + F.col("cost"))
-    got = F.col("amount_before") + F.least(F.col("__amount"), _div(_product(own - F.col("cost_before"), F.col("d")), F.col("n"), False))
-    return rows.join(level.withColumnRenamed("amount", "__amount"), ends).select(*rows.columns, F.col("selling").alias("there"), got.alias("next")).where("next > 0")
+    c = F.col
+    ends = _ended(rows.where(c(have) > 0), level, here="buying", there="selling", start="cost_before", size="cost", want=have, asset=asset, hot_rows=hot_rows)
+    got = c("__l.amount_before") + F.least(c("__l.amount").cast("decimal(38,0)"), _div(_product(c(have).cast("decimal(20,0)") - c("__l.cost_before"), c("__l.d")), c("__l.n"), False))
+    return ends.withColumn("next", got).where((c("next") > 0) & (c("next") <= MOST)).withColumn("next", c("next").cast("long")).drop("__l")
 
 
 def pool_sides(pools: DataFrame) -> DataFrame:
@@ -106,40 +97,55 @@ def pool_trade(rows: DataFrame, sides: DataFrame, *, receive: bool, amount: str
     return rows.join(sides, F.col(asset) == F.col(here)).select(*rows.columns, F.col(there).alias("there"), trade.alias("next")).where("next is not null")
 
 
-def find_paths(book: DataFrame, starts: DataFrame, *, receive: bool, max_hops: int = 5, per_asset: int | None = None, pools: DataFrame | None = None) -> DataFrame:
-    """Paths from ``starts`` (request, asset, amount) over the offers of ``book``, as (request, asset, amount, hops, path).
+def find_paths(level: DataFrame, starts: DataFrame, *, receive: bool, max_hops: int = 5, per_asset: int | None = None, pools: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Paths from ``starts`` (request, asset, amount) over ``levels``, as (request, asset, amount, hops, path).
 
-    ``book`` is what ``levels`` or ``books`` returns. With ``receive``, amounts are what must arrive and paths go
-    backward, each hop to what the least pays for it; else they are what is sent and paths go forward to the most. Where
-    ``pools`` (see ``pool_sides``) trade a pair too, the better of pool and offers is taken; a hop fails only if both
-    do. In each hop only the best amount of each asset goes on, and only if it is better than any before; no path meets
-    an asset twice. Every improvement is returned; ``per_asset`` keeps the best of each. Ties go to the first path in
-    order of its assets.
+    With ``receive``, amounts are what must arrive and paths go backward, each hop to what the least pays for it; else they
+    are what is sent and paths go forward to the most. Where ``pools`` (see ``pool_sides``) trade a pair too, the better of pool
+    and offers is taken; a hop fails only if both do. No path meets an asset twice.
 
-    A hop is a join of the open ends with the one offer in which their amount ends, and one aggregate; each hop is
-    written, so the plan does not grow. No start: no path.
+    Each hop goes on from the best path to every asset that the hop before improved. What arrives at an asset is looked
+    at in order of the assets that it comes from: each path that is better than all before, of this hop and of earlier
+    ones, is returned, the last of them goes on. ``per_asset`` keeps the best of each asset. ``targets`` (request, asset and
+    perhaps ``limit``, null for none) says where paths may end: only these are returned, with ``receive`` only up to the limit,
+    and the last hop goes nowhere else.
+
+    A hop merges the open ends with the sums of the books of their assets (see ``_ended``), then takes running extrema of
+    what arrived, one row for each asset that it comes from; each hop is written, so the plan does not grow. No start: no path.
     """
-    level = written(_levels_of(book) if "book" in book.columns else book, "levels")
+    c = F.col
+    level = written(level, "levels")
+    most = level.groupBy("selling", "buying").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    hot = None if most >= running.HOT_ROWS // 2 else float("inf")  # without a large pair, hops need not look for one
     sides = None if pools is None else pool_sides(pools)
-    front = written(starts.select("request", F.col("asset"), F.col("amount").cast("long").alias("amount"), F.lit(0).alias("hops"), F.array("asset").alias("path")), "front")
+    front = written(starts.select("request", "asset", c("amount").cast("long").alias("amount"), F.lit(0).alias("hops"), F.array("asset").alias("path")), "front")
     best, found = front.select("request", "asset", "amount"), front
-    for _ in range(max_hops):
-        step = (bought if receive else sold)(front, level)
+    pick, better = (F.min, lambda a, b: a < b) if receive else (F.max, lambda a, b: a > b)
+    ends = None if targets is None else targets.select("request", "asset", *(["limit"] if "limit" in targets.columns else [F.lit(None).cast("long").alias("limit")])).distinct()
+    for hop in range(max_hops):
+        step = (bought if receive else sold)(front, level, hot_rows=hot)
         if sides is not None:
             step = step.unionByName(pool_trade(front, sides, receive=receive))
-        step = step.where(~F.array_contains("path", F.col("there")))
-        step = step.select("request", F.col("there").alias("asset"), F.col("next").alias("amount"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("there")).alias("path"))
-        w = Window.partitionBy("request", "asset").orderBy(F.col("amount").asc() if receive else F.col("amount").desc(), F.array_join("path", ">"))
-        step = step.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-        known = best.select("request", "asset", F.col("amount").alias("before"))
-        better = F.col("before").isNull() | ((F.col("amount") < F.col("before")) if receive else (F.col("amount") > F.col("before")))
-        front = written(step.join(known, ["request", "asset"], "left").where(better).drop("before"), "front")
-        if front.isEmpty():
+        step = step.where(~F.array_contains("path", c("there")))
+        if ends is not None and hop == max_hops - 1:
+            step = step.join(ends.select("request", c("asset").alias("there")).distinct(), ["request", "there"], "left_semi")
+        step = step.groupBy("request", "asset", "there").agg(pick("next").alias("amount"), F.first("path").alias("path"))  # one path leads to an asset
+        w = Window.partitionBy("request", "there").orderBy("asset").rowsBetween(Window.unboundedPreceding, -1)
+        known = best.select("request", c("asset").alias("there"), c("amount").alias("known"))
+        step = step.withColumn("so_far", pick("amount").over(w)).join(known, ["request", "there"], "left")
+        improves = lambda x: c(x).isNull() | better(c("amount"), c(x))
+        step = step.where(improves("known") & improves("so_far"))
+        news = written(step.select("request", c("there").alias("asset"), "amount", F.lit(hop + 1).alias("hops"), F.concat("path", F.array("there")).alias("path")), "news")
+        if news.isEmpty():
             break
-        pick = F.min("amount") if receive else F.max("amount")
-        best = best.unionByName(front.select("request", "asset", "amount")).groupBy("request", "asset").agg(pick.alias("amount"))
-        found = found.unionByName(front)
+        found = found.unionByName(news)
+        last = F.min_by if receive else F.max_by
+        front = written(news.groupBy("request", "asset").agg(pick("amount").alias("amount"), F.first("hops").alias("hops"), last("path", "amount").alias("path")), "front")
+        best = best.unionByName(front.select("request", "asset", "amount")).groupBy("request", "asset").agg(pick("amount").alias("amount"))
+    if ends is not None:
+        found = found.join(ends, ["request", "asset"])
+        found = (found.where(c("limit").isNull() | (c("amount") <= c("limit"))) if receive else found).drop("limit")
     if per_asset is None:
         return found
-    w = Window.partitionBy("request", "asset").orderBy(F.col("amount").asc() if receive else F.col("amount").desc(), "hops", F.array_join("path", ">"))
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_asset).drop("r")
+    w = Window.partitionBy("request", "asset").orderBy(c("amount").asc() if receive else c("amount").desc(), "hops", F.array_join("path", ">"))
+    return found.withColumn("r", F.row_number().over(w)).where(c("r") <= per_asset).drop("r")

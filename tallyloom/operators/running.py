@@ -28,20 +28,20 @@ def _plain(df: DataFrame, keys: list[Column], order: list[str], sums: dict[str,
     return df.withColumns(found)
 
 
-def before(df: DataFrame, *, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, hot_rows: int | None = None) -> DataFrame:
+def before(df: DataFrame, *, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, hot_rows: float | None = None) -> DataFrame:
     """``df`` with, for each row, the sum (``sums``) and the last value that is not null (``lasts``) over the rows of its key before it.
 
     Before the first row of a key sums are 0 and last values null. Nulls count as 0 in sums. ``order`` must tell the rows of
     a key apart; null keys are keys. Sums have the type that Spark gives them and fail rather than wrap.
 
-    Plan: rows are counted by key (combined map-side). Without a key of ``hot_rows`` (default ``HOT_ROWS``) it is one window by key,
+    Plan: rows are counted by key (combined map-side), unless ``hot_rows`` is infinite. Without a key of ``hot_rows`` (default ``HOT_ROWS``) it is one window by key,
     which keeps one row at a time. The rows of keys that have more than 1 / ``FREQUENT`` of all rows besides, fewer than ``FREQUENT`` keys, go by ranges of the order to
     all tasks and are written with their range; sums run inside ranges, then over the totals of ranges, and are added up.
     """
     sums, lasts = sums or {}, lasts or {}
     least = HOT_ROWS if hot_rows is None else hot_rows
     hot = []
-    if keys:
+    if keys and least != float("inf"):
         counts = df.groupBy(*[_quoted(k) for k in keys]).agg(F.count("*").alias("__rows"))
         total, most = counts.agg(F.sum("__rows"), F.max("__rows")).first()
         if total and most >= least and most * FREQUENT > total:

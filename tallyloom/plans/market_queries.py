@@ -46,13 +46,14 @@ def _starts(t: Tables) -> DataFrame:
 
 
 def _pools(t: Tables) -> DataFrame:
-    """Pools between an asset and the second next, with reserves that make some better than the offers and some worse."""
+    """A pool between each asset and the second next, whose reserves are gathered from all its parts; some are better than the offers and some worse."""
     c = F.col
-    rows = t.part.where("p_partkey between 1 and 40")
-    return rows.select(F.concat(F.lit("a"), c("p_partkey") % 40).alias("asset_a"), F.concat(F.lit("a"), (c("p_partkey") + 2) % 40).alias("asset_b"), (200 + c("p_size") * 10).cast("long").alias("reserve_a"), (100 + c("p_partkey") * 30).cast("long").alias("reserve_b"), F.lit(30).alias("fee_bps"))
+    k = c("p_partkey")
+    rows = t.part.groupBy((k % 40).alias("k")).agg(F.sum(200 + c("p_size") * 10).cast("long").alias("reserve_a"), F.sum(100 + k % 50 * 30).cast("long").alias("reserve_b"))
+    return rows.select(F.concat(F.lit("a"), c("k")).alias("asset_a"), F.concat(F.lit("a"), (c("k") + 2) % 40).alias("asset_b"), "reserve_a", "reserve_b", F.lit(30).alias("fee_bps"))
 
 
-POOLS = """po as (select 'a' || (p_partkey % 40) as a, 'a' || ((p_partkey + 2) % 40) as b, (200 + p_size * 10)::bigint as ra, (100 + p_partkey * 30)::bigint as rb from part where p_partkey between 1 and 40),
+POOLS = """po as (select 'a' || k as a, 'a' || ((k + 2) % 40) as b, ra, rb from (select p_partkey % 40 as k, sum(200 + p_size * 10)::bigint as ra, sum(100 + p_partkey % 50 * 30)::bigint as rb from part group by 1)),
 ps as (select a as selling, b as buying, ra as rout, rb as rin from po union all select b, a, rb, ra from po)"""
 
 
@@ -68,13 +69,16 @@ def _path_sql(receive: bool, pools: bool, hops: int = 3, per_asset: int = 5) ->
             book = f"select f.*, lv.selling as there, ab + least(lv.amount, ((f.amount - cb) * d) // n) as next from f{h - 1} f join lv on f.asset = lv.buying and f.amount > cb and f.amount <= cb + cost"
             pool = f"select f.*, selling as there, (9970 * f.amount * rout) // (rin * 10000 + 9970 * f.amount) as next from f{h - 1} f join ps on f.asset = ps.buying"
         known = " union all ".join(f"select request, asset, amount from f{i}" for i in range(h))
+        pick = "min" if receive else "max"
         parts += [
             f"s{h} as ({book}{' union all ' + pool if pools else ''})",
-            f"r{h} as (select request, there as asset, next as amount, {h} as hops, list_append(path, there) as path, row_number() over (partition by request, there order by next {way}, array_to_string(list_append(path, there), '>')) as r from s{h} where not list_contains(path, there) and next > 0)",
-            f"b{h} as (select request, asset, {'min' if receive else 'max'}(amount) as before from ({known}) group by 1, 2)",
-            f"f{h} as (select request, asset, amount, hops, path from r{h} left join b{h} using (request, asset) where r = 1 and (before is null or amount {better} before))",
+            f"c{h} as (select request, asset as src, there, {pick}(next) as next, any_value(path) as path from s{h} where not list_contains(path, there) and next > 0 group by request, asset, there)",
+            f"b{h} as (select request, asset as there, {pick}(amount) as before from ({known}) group by 1, 2)",
+            f"i{h} as (select c{h}.*, before, {pick}(next) over (partition by request, there order by src rows between unbounded preceding and 1 preceding) as so_far from c{h} left join b{h} using (request, there))",
+            f"e{h} as (select request, there as asset, next as amount, {h} as hops, list_append(path, there) as path from i{h} where (before is null or next {better} before) and (so_far is null or next {better} so_far))",
+            f"f{h} as (select * from e{h} qualify row_number() over (partition by request, asset order by amount {way}) = 1)",
         ]
-    every = " union all ".join(f"select * from f{i}" for i in range(hops + 1))
+    every = " union all ".join(["select * from f0", *(f"select * from e{i}" for i in range(1, hops + 1))])
     return f"with {', '.join(parts)}, z as (select *, row_number() over (partition by request, asset order by amount {way}, hops, array_to_string(path, '>')) as k from ({every})) select request, asset, amount, hops, array_to_string(path, '>') as path from z where k <= {per_asset}"
 
 
@@ -119,13 +123,10 @@ def q49e(t: Tables) -> DataFrame:
 
 @query("q48c_proceeds", f"with {LEVELS}, p as (select distinct selling, buying from o), x as (select p.selling, p.buying, ab + least(amount, ((60 - cb) * d) // n) as got from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 60 > cb and 60 <= cb + cost) select selling, buying, case when got > 0 then got end as got from x")
 def q48c(t: Tables) -> DataFrame:
-    """What 60 units buy in each pair, by the fold over a book and by running sums; both have to say the same."""
+    """What 60 units buy in each pair; null where its offers cannot take them all."""
     level = paths.levels(views.offers(t))
-    folded = paths.books(views.offers(t).where("amount > 0")).select("selling", "buying", paths.proceeds_of(F.col("book"), F.lit(60)).alias("folded"))
     got = paths.sold(level.select("buying", F.lit(60).cast("long").alias("amount")).distinct().withColumnRenamed("buying", "given"), level, asset="given").select(F.col("given").alias("buying"), F.col("there").alias("selling"), F.col("next").alias("summed"))
-    both = folded.join(got, ["selling", "buying"], "left")
-    same = F.when(F.col("folded").eqNullSafe(F.col("summed")), F.col("summed")).otherwise(F.raise_error(F.lit("fold and sums differ")).cast("long"))
-    return both.select("selling", "buying", same.alias("got"))
+    return level.select("selling", "buying").distinct().join(got.withColumnRenamed("summed", "got"), ["selling", "buying"], "left")
 
 
 TYPES = ["payment", "create_account", "account_merge", "create_claimable_balance", "claim_claimable_balance", "clawback", "clawback_claimable_balance", "inflation", "manage_buy_offer", "manage_sell_offer", "create_passive_sell_offer", "path_payment_strict_send", "path_payment_strict_receive", "set_options"]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import archives, changes, deltas, event_filters as ev, fees, flatten, paging, paths, snapshot, transfers
+from tallyloom.operators import archives, changes, deltas, event_filters as ev, fees, flatten, paging, snapshot, transfers
 from tallyloom.sinks import tables
 from tallyloom.sources import lake
 
@@ -115,21 +115,6 @@ def test_archives(spark):
     assert [tuple(r) for r in lake.archive_files(paths_).collect()] == [("ledger", 63)]
 
 
-OFFERS = [(1, "native", "usd", 500, 1, 2), (2, "native", "usd", 500, 1, 4), (3, "native", "usd", 500, 1, 1), (4, "native", "eur", 500, 1, 1), (5, "native", "eur", 500, 2, 1), (6, "eur", "usd", 500, 1, 10)]
-
-
-def test_paths(spark):
-    book = paths.books(spark.createDataFrame(OFFERS, "offer_id long, selling string, buying string, amount long, n long, d long"))
-    starts = spark.createDataFrame([(1, "native", 600)], "request long, asset string, amount long")
-    got = {r.asset: (r.amount, r.hops) for r in paths.find_paths(book, starts, receive=True, max_hops=3, per_asset=1).collect()}
-    # 500 at 1/4 and 100 at 1/2: 175 usd; 500 at 1 and 100 at 2: 700 eur, which no one sells for usd in full
-    assert got == {"native": (600, 0), "usd": (175, 1), "eur": (700, 1)}
-    sent = spark.createDataFrame([(1, "usd", 20)], "request long, asset string, amount long")
-    got = {r.asset: (r.amount, r.path) for r in paths.find_paths(book, sent, receive=False, max_hops=2, per_asset=1).collect()}
-    assert got["eur"][0] == 200 and got["native"] == (200, ["usd", "eur", "native"])
-    assert paths.find_paths(book, starts.where("false"), receive=True).count() == 0
-
-
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
