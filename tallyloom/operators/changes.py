@@ -104,3 +104,21 @@ def compacted(changes: DataFrame, *, keys: list[str], order: list[str], kind: st
 def changed_except(df: DataFrame, pre: list[str], post: list[str]) -> Column:
     """Do the two states differ in any of the paired columns? A missing state differs from one that is there."""
     return ~F.struct(*[F.col(c) for c in pre]).eqNullSafe(F.struct(*[F.col(c) for c in post]))
+
+
+def unknown_keys(changes: DataFrame, snapshot: DataFrame, *, key: str, order: list[str], pre: str = "pre", post: str = "post", hot_rows: int | None = None) -> DataFrame:
+    """The changes whose state before is not accounted for: they have a ``pre``, but their key is not there by then.
+
+    A log is replayed from a ``snapshot`` of keys: a key is there if the snapshot has it and it was not removed since, or if a
+    change before gave it a ``post``. ``order`` must tell the changes of a key apart. A change that is at fault makes its key
+    known by its own ``post`` from then on, as a replay would. Keys that are null are keys. Empty input: empty output.
+
+    The last change before says whether the key is there, a running last value by key; the snapshot answers only for
+    first changes, so it is joined with one row a key.
+    """
+    c = F.col
+    rows = before(changes, keys=[key], order=order, lasts={"__there": F.when(c(post).isNotNull(), F.lit(True)).otherwise(F.lit(False))}, hot_rows=hot_rows)
+    rows = rows.where(c(pre).isNotNull() & ~F.coalesce("__there", F.lit(False)))
+    had = snapshot.select(c(key).alias("__key")).distinct()
+    first = rows.where(c("__there").isNull()).drop("__there").join(had, c(key).eqNullSafe(c("__key")), "left_anti")
+    return rows.where(~c("__there")).drop("__there").unionByName(first)
