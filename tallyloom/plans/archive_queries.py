@@ -8,6 +8,8 @@ from tallyloom.operators import changes as ch, hash_trees as ht
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES
+from tallyloom.sinks import scratch
+from tallyloom.streaming import book_stream, ledger_stream
 
 c = F.col
 
@@ -103,3 +105,26 @@ def q96(t: Tables) -> DataFrame:
     rows = views.changes(t).select("event_id", "user_id", "ms", F.when(kind != "created", value).alias("pre"), F.when(kind != "removed", value).alias("post"))
     snapshot = t.events.where(c("user_id") % 3 == 0).select("user_id")
     return ch.unknown_keys(rows, snapshot, key="user_id", order=["ms", "event_id"]).select("event_id", "user_id")
+
+
+BOOK_SQL = """with o as (select o_orderkey as ledger, o_custkey as id, 'a' || (o_custkey % 7) as selling, 'a' || (o_custkey % 5 + 7) as buying, o_custkey % 11 = 0 as pool, o_orderkey % 4 = 0 as removed,
+  1 + o_orderkey % 1000 as amount, 1 + o_orderkey % 3 as n, 1 + o_orderkey % 2 as d from orders),
+l as (select *, row_number() over (partition by pool, case when pool then selling || buying else id::varchar end order by ledger desc) as k from o)
+select selling, buying, n // gcd(n, d) as n, d // gcd(n, d) as d, count(*) as offers, sum(amount)::bigint as amount, null::bigint as reserve_a, null::bigint as reserve_b from l where k = 1 and not removed and not pool group by 1, 2, 3, 4
+union all select selling, buying, null, null, null, null, amount, ledger from l where k = 1 and not removed and pool"""
+
+
+@query("q97_book_state", BOOK_SQL)
+def q97(t: Tables) -> DataFrame:
+    """The book that a stream of all orders leaves in its state: what each price holds, and pools; every 4th order removes."""
+    k, cust = c("o_orderkey"), c("o_custkey")
+    stream = ledger_stream.file_stream(t.spark, f"{t.folder}/orders.parquet")
+    is_pool = cust % 11 == 0
+    amount = 1 + k % 1000
+    rows = stream.select(k.alias("ledger"), F.lit(0).alias("place"), F.when(is_pool, "pool").otherwise("offer").alias("what"), (k % 4 == 0).alias("removed"), F.concat(F.lit("a"), cust % 7).alias("selling"), F.concat(F.lit("a"), cust % 5 + 7).alias("buying"), cust.alias("id"), amount.alias("amount"), (1 + k % 3).alias("n"), (1 + k % 2).alias("d"), amount.alias("reserve_a"), k.alias("reserve_b"))
+    checkpoint = scratch.shared_path(t.spark, "book")
+    book_stream.run_book(rows, path=scratch.shared_path(t.spark, "stream"), checkpoint=checkpoint)
+    empty = [F.lit(None).cast("long").alias(n) for n in ("reserve_a", "reserve_b")]
+    levels = book_stream.book_levels(t.spark, checkpoint).select("selling", "buying", "n", "d", "offers", c("amount").cast("long").alias("amount"), *empty)
+    pools = book_stream.book_pools(t.spark, checkpoint)
+    return levels.unionByName(pools, allowMissingColumns=True)

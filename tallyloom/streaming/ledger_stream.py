@@ -1,12 +1,10 @@
-"""Structured Streaming forms: windows over event time, ordered batches, state by key."""
+"""Structured Streaming forms: windows over event time, ordered batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.functions.timing import epoch_ms
 
@@ -26,11 +24,6 @@ def windowed_counts(events: DataFrame, *, time: str, keys: list[str], length: st
     return timed.groupBy(F.window("__t", length, slide), *keys).agg(F.count("*").alias("n"))
 
 
-def run_now(df: DataFrame, *, sink: str, mode: str, checkpoint: str) -> None:
-    """Runs a stream over all that is there now into a memory table."""
-    df.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def run_into(df: DataFrame, handle: Callable[[DataFrame, int], None], *, mode: str, checkpoint: str) -> None:
     """Runs a stream over all that is there now; ``handle`` takes each batch, as ``foreachBatch`` does."""
     df.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -62,19 +55,20 @@ def _done(spark: SparkSession, path: str, before: int | None = None) -> tuple[in
     return None if row is None else (row["batch"], row["high"])
 
 
-def ordered_table(path: str, *, sequence: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def ordered_table(path: str, *, sequence: str, first: str | None = None, shape: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends batches of whole ledgers to a table, and refuses those that do not come after what is there.
 
     ``path`` is a folder that driver and executors share, one a stream. What has come so far is read from it, so a stream
     that stops and goes on from its checkpoint refuses what it would have refused before. A batch that runs again writes
     over its own rows; its mark is written after them, and ``ordered_rows`` reads marked batches alone. Batches without
-    rows leave nothing; rows without a sequence are an error, as they have no place in the order. ``shape`` is applied to
+    rows leave nothing; rows without a sequence are an error, as they have no place in the order. Rows that sum up several
+    ledgers have the earliest of them in ``first``. ``shape`` is applied to
     a batch before it is written, for instance compaction by ledger and key, which is whole as no ledger comes twice.
     """
 
-    def batch(df: DataFrame, batch_id: int) -> None:
+    def put(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        low, high, n, known = df.agg(F.min(sequence).cast("long"), F.max(sequence).cast("long"), F.count("*"), F.count(sequence)).first()
+        low, high, n, known = df.agg(F.min(first or sequence).cast("long"), F.max(sequence).cast("long"), F.count("*"), F.count(sequence)).first()
         if n == 0:
             return
         if known < n:
@@ -85,6 +79,13 @@ def ordered_table(path: str, *, sequence: str, shape: Callable[[DataFrame], Data
         (df if shape is None else shape(df)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         spark.range(1).select(F.lit(high).cast("long").alias("high")).write.mode("overwrite").parquet(f"{path}/done/batch={batch_id}")
 
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()  # it is looked at before it is written, and state is to change once
+        try:
+            put(df, batch_id)
+        finally:
+            df.unpersist()
+
     return batch
 
 
@@ -94,39 +95,3 @@ def ordered_rows(spark: SparkSession, path: str) -> DataFrame:
     if last is None:
         raise ValueError(f"no batch has come to {path}")
     return spark.read.parquet(f"{path}/rows").where(F.col("batch") <= last[0])
-
-
-def in_order(handle: Callable[[DataFrame, int], None], *, sequence: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that refuses batches whose sequences do not come after those before.
-
-    It remembers within one run of the driver; ``ordered_table`` also does so over restarts.
-    """
-    last: dict[str, int | None] = {"sequence": None}
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        low, high = df.agg(F.min(sequence), F.max(sequence)).first()
-        if low is None:
-            return
-        if last["sequence"] is not None and low <= last["sequence"]:
-            raise ValueError(f"batch {batch_id} goes back from {last['sequence']} to {low}")
-        handle(df, batch_id)
-        last["sequence"] = high
-
-    return batch
-
-
-def latest_by_key(events: DataFrame, *, key: str, order: str, value: str) -> DataFrame:
-    """The newest value of each key so far, kept as state; each batch returns the keys that it changed."""
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for f in frames:
-            top = f.sort_values("__o").iloc[-1]
-            if best is None or top["__o"] >= best[0]:
-                best = (int(top["__o"]), top["__v"])
-        state.update(best)
-        yield pd.DataFrame({"key": [k[0]], "at": [best[0]], "value": [best[1]]})
-
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, value)}
-    rows = events.select(F.col(key).alias("key"), F.col(order).cast("long").alias("__o"), F.col(value).alias("__v"))
-    return rows.groupBy("key").applyInPandasWithState(update, f"key {kinds[key]}, at long, value {kinds[value]}", f"at long, value {kinds[value]}", "update", GroupStateTimeout.NoTimeout)

@@ -17,34 +17,11 @@ def test_windows_over_a_stream_equal_the_batch(spark, tmp_path):
     folder = files(spark, tmp_path, [[(1, at(0), 1, "a"), (1, at(1), 2, "b")], [(2, at(30), 3, "c")]])
     batch = spark.read.option("recursiveFileLookup", "true").parquet(folder)
     stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").parquet(folder)
-    ls.run_now(ls.windowed_counts(stream, time="ts", keys=["user"], length="1 day"), sink="win", mode="complete", checkpoint=str(tmp_path / "cp"))
-    got = sorted((r.user, r.n) for r in spark.table("win").collect())
+    ls.run_into(ls.windowed_counts(stream, time="ts", keys=["user"], length="1 day"), ls.replaced_table(str(tmp_path / "win")), mode="complete", checkpoint=str(tmp_path / "cp"))
+    got = sorted((r.user, r.n) for r in ls.last_version(spark, str(tmp_path / "win")).collect())
     assert got == [(1, 2), (2, 1)]
 
 
-def test_latest_by_key_keeps_state(spark, tmp_path):
-    import datetime as d
-
-    now = d.datetime(2024, 1, 1)
-    folder = files(spark, tmp_path, [[(1, now, 1, "a"), (1, now, 3, "c")], [(1, now, 2, "b"), (2, now, 1, "x")]])
-    schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    ls.run_now(ls.latest_by_key(stream, key="user", order="seq", value="v"), sink="latest", mode="update", checkpoint=str(tmp_path / "cp"))
-    best = spark.table("latest").groupBy("key").agg(F.max_by("value", "at").alias("v"))
-    assert sorted((r.key, r.v) for r in best.collect()) == [(1, "c"), (2, "x")]
-
-
-def test_batches_must_go_forward(spark):
-    seen = []
-    handle = ls.in_order(lambda df, i: seen.append(i), sequence="id")
-    handle(spark.range(0, 3), 0)
-    handle(spark.range(0), 1)
-    handle(spark.range(3, 5), 2)
-    assert seen == [0, 2]
-    with pytest.raises(ValueError, match="goes back"):
-        handle(spark.range(4, 6), 3)
-
-
 def changes_stream(spark, folder):
     schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
