@@ -105,9 +105,12 @@ def category_path(category: Column, checkpoint: Column, extension: str = "xdr.gz
 
 
 def path_prefixes(first: Column, last: Column, every: int = 64) -> Column:
-    """The distinct folders (three hex levels) of the checkpoints from ``first`` to ``last``."""
-    def folder(c: Column) -> Column:
-        h = F.lower(F.lpad(F.hex(c), 8, "0"))
+    """The distinct folders (three hex levels) of the checkpoints from ``first`` to ``last``; a folder is what the last two hex digits leave."""
+    if not 1 <= every <= 256:
+        raise ValueError("a folder must hold a checkpoint")
+
+    def folder(n: Column) -> Column:
+        h = F.lower(F.lpad(F.hex(n), 6, "0"))
         return F.concat_ws("/", F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2))
 
-    return F.array_distinct(F.transform(F.sequence(next_checkpoint(first, every), next_checkpoint(last, every), F.lit(every).cast("long")), folder))
+    return F.transform(F.sequence(F.shiftright(next_checkpoint(first, every), 8), F.shiftright(next_checkpoint(last, every), 8)), folder)

@@ -20,7 +20,12 @@ def legs(events: DataFrame, *, kind: str = "kind", source: str = "source", targe
 def summed(legs_: DataFrame, *, keys: list[str], is_contract: Column | None = None) -> DataFrame:
     """Deltas by ``keys`` as decimals of 38 digits, zero sums left out; holders that are contracts are not followed."""
     rows = legs_ if is_contract is None else legs_.where(~is_contract)
-    return rows.groupBy(*keys).agg(F.sum(F.col("delta").cast("decimal(28,0)")).alias("delta")).where("delta <> 0")
+    if rows.schema["delta"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return rows.groupBy(*keys).agg(F.sum(F.col("delta").cast("decimal(28,0)")).alias("delta")).where("delta <> 0")
+    low = F.col("delta").cast("long").bitwiseAND(F.lit((1 << 32) - 1))  # sums of halves stay within longs
+    halves = rows.groupBy(*keys).agg(F.sum(F.shiftright(F.col("delta").cast("long"), 32)).alias("__hi"), F.sum(low).alias("__lo"))
+    whole = F.col("__hi").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("__lo").cast("decimal(19,0)")
+    return halves.select(*keys, whole.cast("decimal(38,0)").alias("delta")).where("delta <> 0")
 
 
 def state_deltas(changes: DataFrame, *, keys: list[str], pre: str = "pre", post: str = "post") -> DataFrame:

@@ -17,17 +17,27 @@ def candles(trades: DataFrame, *, keys: list[str], ms: Column, base: str, counte
     A price is counter by base, in whole 10**-7 parts, rounded down; of equal times ``order`` decides which trade is
     first. The average is of volumes. With ``rationals`` the four prices also come as exact fractions ``high_r`` (n, d)
     and so on, reduced. Amounts are 64-bit numbers; sums and what follows from them have 38 digits. Everything is an
-    aggregate with a map-side combine.
+    aggregate with a map-side combine, over longs: volumes are summed as halves of 32 bits, and only prices of amounts that
+    need it take 38 digits.
     """
-    wide, ten = lambda c: c.cast("decimal(19,0)"), F.lit(10_000_000).cast("decimal(8,0)")
-    rows = trades.where(F.col(base) > 0).select(*keys, round_down(ms, resolution, offset).alias("timestamp"), wide(F.col(base)).alias("__b"), wide(F.col(counter)).alias("__c"), F.struct(ms.alias("ms"), *order).alias("__o"))
-    rows = rows.withColumn("__p", floor_div((F.col("__c") * ten).cast("decimal(38,0)"), F.col("__b")))
-    four = [F.max("__p").alias("high"), F.min("__p").alias("low"), F.min_by("__p", "__o").alias("open"), F.max_by("__p", "__o").alias("close")]
+    c = F.col
+    ten, wide = F.lit(10_000_000).cast("decimal(8,0)"), lambda x: x.cast("decimal(19,0)")
+    rows = trades.where(c(base) > 0).select(*keys, round_down(ms, resolution, offset).alias("timestamp"), c(base).cast("long").alias("__b"), c(counter).cast("long").alias("__c"), F.struct(ms.alias("ms"), *order).alias("__o"))
+    small = c("__c").between(0, ((1 << 63) - 1) // 10_000_000)  # then 63 bits hold the product; others take 38 digits
+    short = F.when(small, F.call_function("div", c("__c") * 10_000_000, c("__b")))
+    long_ = F.when(~small, floor_div((wide(c("__c")) * ten).cast("decimal(38,0)"), wide(c("__b"))))
+    rows = rows.withColumns({"__p": short, "__w": long_})
+    price = lambda p, w: F.coalesce(p.cast("decimal(38,0)"), w)
+    four = [F.max("__p").alias("__hp"), F.max("__w").alias("__hw"), F.min("__p").alias("__lp"), F.min("__w").alias("__lw"), *[f(n, "__o").alias(f"__{side}{n[2:]}") for side, f in (("open", F.min_by), ("close", F.max_by)) for n in ("__p", "__w")]]
     if rationals:
-        rows = rows.withColumns({"__k": price_order(F.col("__c"), F.col("__b")), "__r": F.struct(F.col("__c").cast("long").alias("n"), F.col("__b").cast("long").alias("d"))})
+        rows = rows.withColumns({"__k": price_order(wide(c("__c")), wide(c("__b"))), "__r": F.struct(c("__c").alias("n"), c("__b").alias("d"))})
         four += [F.max_by("__r", "__k").alias("high_r"), F.min_by("__r", "__k").alias("low_r"), F.min_by("__r", "__o").alias("open_r"), F.max_by("__r", "__o").alias("close_r")]
-    out = rows.groupBy(*keys, "timestamp").agg(F.count("*").alias("trade_count"), F.sum("__b").alias("base_volume"), F.sum("__c").alias("counter_volume"), *four)
-    out = out.withColumn("average", floor_div((F.col("counter_volume") * ten).cast("decimal(38,0)"), F.col("base_volume")))
+    halves = [f(n).alias(f"__{k}{n}") for n in ("__b", "__c") for k, f in (("hi", lambda n: F.sum(F.shiftright(n, 32))), ("lo", lambda n: F.sum(F.col(n).bitwiseAND(F.lit((1 << 32) - 1)))))]
+    whole = lambda n: (c(f"__hi{n}").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + c(f"__lo{n}").cast("decimal(19,0)")).cast("decimal(29,0)")
+    out = rows.groupBy(*keys, "timestamp").agg(F.count("*").alias("trade_count"), *halves, *four)
+    made = {"high": F.greatest(c("__hp").cast("decimal(38,0)"), c("__hw")), "low": F.least(c("__lp").cast("decimal(38,0)"), c("__lw")), "open": price(c("__openp"), c("__openw")), "close": price(c("__closep"), c("__closew"))}
+    out = out.select(*keys, "timestamp", "trade_count", whole("__b").alias("base_volume"), whole("__c").alias("counter_volume"), *[v.alias(k) for k, v in made.items()], *(["high_r", "low_r", "open_r", "close_r"] if rationals else []))
+    out = out.withColumn("average", floor_div((c("counter_volume") * ten).cast("decimal(38,0)"), c("base_volume")))
     for name in ("high_r", "low_r", "open_r", "close_r") if rationals else ():
         shared = gcd(F.col(f"{name}.n"), F.col(f"{name}.d"))
         out = out.withColumn(name, F.transform(F.array(F.struct(F.col(f"{name}.n").alias("n"), F.col(f"{name}.d").alias("d"), shared.alias("g"))), lambda x: F.struct(_whole(x["n"], x["g"]).alias("n"), _whole(x["d"], x["g"]).alias("d")))[0])

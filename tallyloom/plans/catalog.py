@@ -464,7 +464,9 @@ def q53(t: Tables) -> DataFrame:
 @query("q54_trade_routes", "select o_orderpriority, count(*) as n from orders group by 1")
 def q54(t: Tables) -> DataFrame:
     lines = t.orders.select(F.concat(F.lit('- - - - - - - - - 200 "GET https://h/'), F.replace("o_orderpriority", F.lit(" "), F.lit("_")), F.lit(' HTTP/1.1"')).alias("value"))
-    uris = lake.requests(lines).select(F.replace(F.regexp_extract("uri", "/([^/]*)$", 1), F.lit("_"), F.lit(" ")).alias("o_orderpriority"))
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    route = lake.route_of(F.col("uri"), [(f"/{n.replace(' ', '_')}$", n) for n in names])
+    uris = lake.requests(lines).select(route.alias("o_orderpriority"))
     return uris.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 

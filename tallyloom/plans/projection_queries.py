@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyloom.functions import address, assets, ids, json_forms as jf, money
-from tallyloom.operators import archives, changes as ch, flatten, projections as pr, snapshot
+from tallyloom.functions import address, assets, ids, json_forms as jf, money, timing
+from tallyloom.operators import archives, changes as ch, deltas, flatten, paging, projections as pr, snapshot
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES
@@ -170,7 +170,7 @@ def q83d(t: Tables) -> DataFrame:
 def q83e(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = t.lineitem.withColumn("k", F.row_number().over(w))
-    return rows.where((c("k") >= 2) & (c("k") < 4)).select("l_orderkey", "l_linenumber", "l_partkey")
+    return paging.slice_from(rows, index="k", start=2, limit=2).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 # ---- changes and entries
@@ -273,7 +273,7 @@ def q85c(t: Tables) -> DataFrame:
     """The newest bucket's entry of each key: level by level, the current one before the snapshot; empty buckets are not read."""
     k = c("event_id")
     rows = t.events.where("event_id % 13 > 0").select("user_id", "event_id", "event_type", (k % 11).cast("int").alias("level"), (k % 2).cast("int").alias("snap"))
-    return snapshot.newest(rows, keys=["user_id"], newest_first=[c("level"), c("snap"), k], dead=c("event_type") == "error").drop("event_type")
+    return snapshot.newest(rows, keys=["user_id"], newest_first=[snapshot.layer_rank(c("level"), F.when(c("snap") == 1, "snap").otherwise("curr")), k], dead=c("event_type") == "error").drop("event_type")
 
 
 @query("q86_checkpoint_log", "with s as (select distinct o_orderkey // 64 * 64 + 63 as checkpoint from orders), h as (select o_orderkey // 64 * 64 + 63 as checkpoint, arg_max(epoch_us(o_orderdate) // 1000, o_orderkey) as closed, sum(o_custkey)::bigint as txs from orders group by 1), m as (select checkpoint, case when checkpoint // 64 % 2 = 0 then 'a' else 'b' end as curr from s) select s.checkpoint, closed, txs, case when p.checkpoint is not null then case when p.curr = m.curr then '_' else '#' end || '_' end as changed, '#' as occupied from s join m using (checkpoint) left join h using (checkpoint) left join m p on p.checkpoint = s.checkpoint - 64")
@@ -389,11 +389,35 @@ def q88d(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "a.code", "a.issuer", "name", c("p.domain").alias("domain"))
 
 
-@query("q88e_prefixes_and_ranges", "select distinct substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || substr(h, 5, 2) as prefix from (select printf('%08x', 63 + 64 * unnest(range(0, (select max(o_orderkey) // 64 + 1 from orders)))) as h)")
+@query(
+    "q88e_prefixes_and_ranges",
+    """with r as (select o_custkey, min(o_orderkey) * 7 as low, max(o_orderkey) * 7 as high from orders group by 1),
+p as (select o_custkey, low, high, [substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || substr(h, 5, 2) for h in [printf('%08x', x) for x in range(((low + 64) // 64 * 64 - 1)::bigint, ((high + 64) // 64 * 64)::bigint, 64)]] as every from r)
+select o_custkey, low * 4294967296 as low, (high + 1) * 4294967296 as high, array_to_string(list_sort(list_distinct(every)), ',') as prefixes from p""",
+)
 def q88e(t: Tables) -> DataFrame:
-    last = t.orders.agg(F.max("o_orderkey")).first()[0] or 0
-    points = t.spark.range(63, last // 64 * 64 + 64, 64)
-    return points.select(F.substring_index(F.substring_index(ids.category_path(F.lit("x"), c("id")), "/", 4), "/", -3).alias("prefix")).distinct()
+    """The folders and positions of the ledgers between each customer's first and last."""
+    rows = t.orders.groupBy("o_custkey").agg((F.min("o_orderkey") * 7).alias("first"), (F.max("o_orderkey") * 7).alias("last"))
+    low, high = ids.position_range(c("first"), c("last"))
+    return rows.select("o_custkey", low.alias("low"), high.alias("high"), F.array_join(F.array_sort(ids.path_prefixes(c("first"), c("last"))), ",").alias("prefixes"))
+
+
+@query("q88f_halves_and_hours", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_partkey - 1000)::hugeint * 18446744073709551616 + l_suppkey::hugeint * 180000000000000000)::decimal(38, 0) as whole, (epoch_us(l_shipdate) // 1000 + l_partkey + 3599999) // 3600000 * 3600000 as hour from lineitem where l_suppkey < 100")
+def q88f(t: Tables) -> DataFrame:
+    """Numbers of 128 bits from their halves, and times rounded up to hours; the low half stays below 2^64 for the suppliers up to 99."""
+    high, low = c("l_partkey") - 1000, c("l_suppkey").cast("decimal(20,0)") * F.lit(180_000_000_000_000_000).cast("decimal(18,0)")
+    rows = t.lineitem.where("l_suppkey < 100")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.from_halves(high, low.cast("decimal(20,0)")).alias("whole"), timing.round_up(views.epoch_ms(c("l_shipdate")) + c("l_partkey"), 3_600_000).alias("hour"))
+
+
+@query("q88g_pool_changes", "select p_partkey, 'A' as asset, case p_partkey % 3 when 0 then p_size when 1 then 10 * p_size else 9 * p_size end as amount from part union all select p_partkey, 'B', case p_partkey % 3 when 0 then 5 when 1 then p_partkey else abs(p_partkey - 5) end from part")
+def q88g(t: Tables) -> DataFrame:
+    """How far each reserve of a pool moved: pools that appear, go and change."""
+    k, size = c("p_partkey"), c("p_size").cast("long")
+    state = lambda a, b: F.struct(F.lit("A").alias("asset_a"), F.lit("B").alias("asset_b"), a.alias("reserve_a"), b.alias("reserve_b"))
+    before, after = state(size, F.lit(5).cast("long")), state(size * 10, k)
+    rows = t.part.select("p_partkey", F.concat(F.lit("L"), k).alias("pool_id"), F.when(k % 3 != 1, before).alias("pre"), F.when(k % 3 != 0, after).alias("post"))
+    return deltas.pool_changes(rows, keys=["p_partkey"]).drop("pool_id")
 
 
 # ---- JSON
