@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.functions.staged import staged
+
 _ASSET = "asset_type string, asset_code string, asset_issuer string"
 _OFFER = "amount string, price string, price_r struct<n:long,d:long>, buying_asset_type string, buying_asset_code string, buying_asset_issuer string, selling_asset_type string, selling_asset_code string, selling_asset_issuer string"
 _PATH = f"{_ASSET}, from string, to string, amount string, path array<struct<asset_type:string,asset_code:string,asset_issuer:string>>, source_amount string, source_asset_type string, source_asset_code string, source_asset_issuer string"
@@ -40,11 +42,40 @@ OPERATIONS = {
 }
 
 
+def typed_operations(rows: DataFrame, json: str) -> DataFrame:
+    """Operations of all types from their JSON, in one pass: what all have, and for each type a struct ``own_<type_i>`` of its own fields.
+
+    A text is parsed once, to a VARIANT, and read by the fields of its type; the structs of other types are null. Text that
+    is no JSON, or that has no known type, gives no row. Written with ``partitionBy("type_i")``, the rows of a type are a folder
+    whose files hold its struct alone, so that types need not be told apart again.
+    """
+    c = F.col
+    parsed = staged(rows.select(F.try_parse_json(json).alias("__v")), {"type_i": F.try_variant_get("__v", "$.type_i", "int"), "__v": c("__v")})
+    parsed = parsed.where(c("type_i").isin(*OPERATIONS))
+    common = [x.strip().split(" ")[0] for x in OPERATION.split(",")]
+    kinds = dict(x.strip().split(" ", 1) for x in OPERATION.split(","))
+    shared = [F.try_variant_get("__v", f"$.{n}", kinds[n]).alias(n) for n in common if n != "type_i"]
+    own = [F.when(c("type_i") == k, F.try_variant_get("__v", "$", "struct<" + ", ".join(_fields(kind)) + ">")).alias(f"own_{k}") for k, kind in OPERATIONS.items() if kind]
+    return parsed.select("type_i", *shared, *own)
+
+
+def _fields(text: str) -> list[str]:
+    """``name kind, ...`` as ``name: kind`` parts; commas inside angle brackets do not part."""
+    out, depth = [""], 0
+    for ch in text:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [f"`{n}`: {kind}" for n, kind in (x.strip().split(" ", 1) for x in out)]
+
+
 def operation_rows(rows: DataFrame, json: str, type_i: int) -> DataFrame:
-    """Operations of one type from their JSON, with the fields that this type has."""
-    own = OPERATIONS[type_i]
-    parsed = rows.where(F.get_json_object(json, "$.type_i").cast("int") == type_i)
-    return parsed.select(F.from_json(json, f"{OPERATION}{', ' + own if own else ''}").alias("o")).select("o.*")
+    """Operations of one type, with the fields that all have and those that this type has."""
+    out = typed_operations(rows, json).where(F.col("type_i") == type_i)
+    shared = [x.strip().split(" ")[0] for x in OPERATION.split(",")]
+    return out.select(*shared, *([f"own_{type_i}.*"] if OPERATIONS[type_i] else []))
 
 
 def effect_rows(rows: DataFrame, json: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.functions import ids
 from tallyloom.operators import changes as ch, hash_trees as ht
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.views import CHANGES
-from tallyloom.sinks import scratch
+from tallyloom.sinks import objects, scratch
+from tallyloom.sources import lake
 from tallyloom.streaming import book_stream, ledger_stream
 
 c = F.col
@@ -128,3 +130,24 @@ def q97(t: Tables) -> DataFrame:
     levels = book_stream.book_levels(t.spark, checkpoint).select("selling", "buying", "n", "d", "offers", c("amount").cast("long").alias("amount"), *empty)
     pools = book_stream.book_pools(t.spark, checkpoint)
     return levels.unionByName(pools, allowMissingColumns=True)
+
+
+@query(
+    "q99_mirror",
+    """with p as (select o_orderkey // 64 * 64 + 63 as chk, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as body from orders group by 1),
+h as (select *, printf('%08x', chk) as x from p)
+select 'ledger/' || x[1:2] || '/' || x[3:4] || '/' || x[5:6] || '/ledger-' || x || '.xdr.gz' as path, chk % 128 = 63 as was_there, sha256(case when chk % 128 = 63 then 'old' else body end) as hash from h""",
+)
+def q99(t: Tables) -> DataFrame:
+    """An archive of all orders and a copy that has every second file, of other content: what is missing is copied, what is there stays."""
+    point = F.floor(c("o_orderkey") / 64).cast("long") * 64 + 63
+    files = t.orders.groupBy(point.alias("chk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",").alias("body"))
+    files = files.select("chk", ids.category_path(F.lit("ledger"), c("chk")).alias("path"), F.encode("body", "UTF-8").alias("content"))
+    source, target = scratch.shared_path(t.spark, "archive"), scratch.shared_path(t.spark, "mirror")
+    objects.put_if_absent(files, source).write.format("noop").mode("overwrite").save()
+    half = files.where("chk % 128 = 63").select("path", F.encode(F.lit("old"), "UTF-8").alias("content"))
+    objects.put_if_absent(half, target).write.format("noop").mode("overwrite").save()
+    copied = scratch.written(objects.mirrored(t.spark, source, target).where("created"), "copied")
+    held = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    there = objects.relative(held.select("path", F.sha2("content", 256).alias("hash")), target).join(objects.relative(lake.listing(t.spark, target), target), "path")
+    return there.join(copied.select("path", F.lit(False).alias("fresh")), "path", "left").select("path", c("fresh").isNull().alias("was_there"), "hash")

@@ -430,9 +430,8 @@ def q89(t: Tables) -> DataFrame:
     claimants = F.when(n == 2, F.array(*[F.struct(F.lit(x).alias("destination")) for x in "ab"]))
     body = F.to_json(F.struct(F.concat(c("l_orderkey"), F.lit("-"), c("l_linenumber")).alias("id"), kind.alias("type"), F.when(n == 1, 1).when(n == 2, 14).otherwise(9).alias("type_i"), F.concat(F.lit("s"), c("l_suppkey")).alias("source_account"), c("l_partkey").cast("string").alias("amount"), claimants.alias("claimants")))
     rows = t.lineitem.select(body.alias("j"))
-    paid, made = jf.operation_rows(rows, "j", 1), jf.operation_rows(rows, "j", 14)
-    both = paid.select("id", "type", "source_account", "amount", _null("int").alias("n_claimants")).unionByName(made.select("id", "type", "source_account", "amount", F.size("claimants").alias("n_claimants")))
-    return both.withColumnRenamed("source_account", "source")
+    out = jf.typed_operations(rows, "j").where(c("type_i").isin(1, 14))
+    return out.select("id", "type", c("source_account").alias("source"), F.coalesce("own_1.amount", "own_14.amount").alias("amount"), F.when(c("own_14").isNotNull(), F.size("own_14.claimants")).alias("n_claimants"))
 
 
 @query("q89b_effects_from_json", "select event_id::varchar as id, event_type as type, 'u' || user_id as account, (event_id % 50)::int as type_i, json_extract_string(props, '$.k') as k from events")

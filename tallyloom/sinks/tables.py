@@ -1,4 +1,4 @@
-"""Writing: upserts, range deletes, put-if-absent and packing of ledgers into files."""
+"""Writing: upserts, range deletes and packing of ledgers into files."""
 
 from __future__ import annotations
 
@@ -17,10 +17,6 @@ def without_range(df: DataFrame, *, column: str, start: int, end: int) -> DataFr
     return df.where(~F.coalesce((F.col(column) >= start) & (F.col(column) < end), F.lit(False)))
 
 
-def put_if_absent(df: DataFrame, path: str) -> None:
-    df.write.mode("ignore").parquet(path)
-
-
 def append(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 

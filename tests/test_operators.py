@@ -120,10 +120,6 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert sorted(tuple(r) for r in tables.upserted(old, new, keys=["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert [r.k for r in tables.without_range(old, column="k", start=1, end=2).collect()] == [2]
-    at = str(tmp_path / "t")
-    tables.put_if_absent(old, at)
-    tables.put_if_absent(new, at)
-    assert spark.read.parquet(at).count() == 2
     good = spark.createDataFrame([(64,), (65,)], "s long")
     assert tables.packed_batches(good, sequence="s", per_file=64).first().sequences == [64, 65]
     with pytest.raises(Exception, match="contiguous"):
