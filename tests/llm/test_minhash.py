@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import order_minhash as m
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-PLACE = (1 << 21) - 1
+PLACE = (1 << 28) - 1
 
 
 def signed(x):
@@ -32,7 +32,7 @@ def signature(text, bits=6):
     grams = [hl(b, hl(a)) for a, b in zip(words[:-1], words[1:], strict=True)] or [hl(w) for w in words]
     seen, items = {}, []
     for place, g in enumerate(grams):
-        k = g >> 21
+        k = g >> 28
         o = seen.get(k, 0)
         seen[k] = o + 1
         items.append(((hi(o, hl(k)) & ~PLACE) | place))
@@ -44,7 +44,7 @@ def signature(text, bits=6):
         xs = sorted(xs[:2], key=lambda x: x & PLACE)
         seed = 42
         for x in xs:
-            seed = hl(x >> 21, seed)
+            seed = hl(x >> 28, seed)
         out.append(b << 32 | (seed & 0xFFFFFFFF))
     return set(out)
 
@@ -66,7 +66,7 @@ def test_like_brute_force(spark):
     texts = {i: t or "" for i, t, _ in given}
     order = sorted(texts, reverse=True)
     df = spark.createDataFrame(given, "doc_id long, text string, fingerprint string")
-    got = m.fingerprinted(df).collect()
+    got = m.fingerprinted(df, filled=False).collect()
     assert len(got) == len(given)
     for r in got:
         t, n = texts[r.doc_id], len(texts[r.doc_id])
@@ -89,10 +89,10 @@ def test_next_crosses_ranges_and_wraps(spark):
 
 def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None), (7, "a b"), (7, "a b"), (7, "c d")], "doc_id long, text string")
-    out = m.fingerprinted(df).collect()
+    out = m.fingerprinted(df, filled=False).collect()
     assert len(out) == 5 and all(r.edited == r.text[: len(r.text) - len(r.text) // 2] for r in out if r.doc_id is None)
-    assert m.fingerprinted(df.where("false")).count() == 0
-    one = m.fingerprinted(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
+    assert m.fingerprinted(df.where("false"), filled=False).count() == 0
+    one = m.fingerprinted(spark.createDataFrame([(1, "abcd")], "doc_id long, text string"), filled=False).first()
     assert one.edited == "abab" and hashlib.sha256(b"abab").hexdigest()
 
 

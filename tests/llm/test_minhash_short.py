@@ -78,3 +78,12 @@ def test_ranges_hold_as_many_rows_each_beside_far_ids(spark):
     assert {r.id: r.n for r in got.collect()} == {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)}
     at = df.select(m._place_in(F.col("id"), [0, 10, 20]).alias("b")).groupBy("b").count().collect()
     assert {r.b: r["count"] for r in at} == {0: 1, 1: 10, 2: 10, 3: 2982}
+
+
+def test_one_very_long_unspaced_run_by_default(spark):
+    rng = random.Random(5)
+    run = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    edited = run[:50_000] + "x" + run[50_000:]
+    df = spark.createDataFrame([(run, edited)], "a string, b string")
+    got = m.with_signature(m.with_signature(df, "a", "sa"), "b", "sb").select("sa", m.likeness(F.col("sa"), F.col("sb")).alias("near")).first()
+    assert len(got.sa) == 64 and got.near > 0.9
