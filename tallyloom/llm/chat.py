@@ -10,6 +10,8 @@ RESETS = ("message", "edit", "regenerate", "delete")
 #: What stands for a character inside texts, so that no control string of this or another template is left there.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("[", "&#91;"))
 END = "<|end|>"
+#: Characters of a turn's first draft in logs made from turns.
+DRAFT = 40
 
 
 def escaped(text: Column) -> Column:
@@ -27,15 +29,17 @@ def unescaped(text: Column) -> Column:
 def events_from_turns(turns: DataFrame) -> DataFrame:
     """An event log that says what ``turns`` (conv_id, turn, role, text) says.
 
-    Turns are numbered by (turn, role, text), so rows that share a turn stay apart. An assistant's text comes as an
-    empty message and two deltas, as a stream would leave it; any other as one message. Null text: empty.
+    Turns are numbered by (turn, role, text), so rows that share a turn stay apart. The log holds what a chat's history
+    would: an assistant's turn is a draft that is streamed, then regenerated and streamed in two deltas; any other is
+    a message that begins like the text, then an edit to it. Null text: empty.
     """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
     rows = turns.select("conv_id", place.cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    event = lambda step, kind, text: F.struct((F.col("turn") * 4 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring("text", F.lit(1), half)), event(2, "delta", F.substring("text", half + 1, F.char_length("text"))))
-    whole = F.array(event(0, "message", F.col("text")))
+    draft, nothing = F.substring("text", 1, DRAFT), F.lit("")
+    events = lambda *steps: F.array(*[F.struct((F.col("turn") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps)])
+    streamed = events(("message", nothing), ("delta", draft), ("regenerate", nothing), ("delta", F.substring("text", F.lit(1), half)), ("delta", F.substring("text", half + 1, F.char_length("text"))))
+    whole = events(("message", draft), ("edit", F.col("text")))
     rows = rows.withColumn("e", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(whole)))
     return rows.select("conv_id", "e.seq", "turn", "e.kind", "role", "e.text")
 

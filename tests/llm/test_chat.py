@@ -78,3 +78,11 @@ def test_reading_back_gives_what_was_written(spark):
 
 def test_empty_log(spark):
     assert chat.formatted_chats(spark.createDataFrame([], EVENT)).count() == 0
+
+
+def test_logs_made_from_turns_hold_drafts_edits_and_regenerations(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hello " * 20), (1, 1, "assistant", "answer " * 20), (1, 2, None, None), (None, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    log = chat.events_from_turns(turns)
+    assert {r.kind for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat.folded(log).collect()), key=str)
+    assert got == sorted([(1, 1, "user", "hello " * 20), (1, 2, "assistant", "answer " * 20), (1, 3, None, ""), (None, 1, "assistant", "")], key=str)
