@@ -83,3 +83,71 @@ def book_faults(offers: DataFrame, *, offer: str = "offer_id", selling: str = "s
     single = offers.select(F.col(offer).alias("offer_id"), F.explode(faults).alias("fault")).distinct()
     twice = offers.groupBy(F.col(offer).alias("offer_id")).agg(F.count("*").alias("k")).where("k > 1").select("offer_id", F.lit("several offers").alias("fault"))
     return single.unionByName(twice)
+
+
+def asset_report(lines: DataFrame, claimables: DataFrame, pools: DataFrame, contracts: DataFrame, *, statuses: tuple[str, ...] = ("authorized", "maintain", "unauthorized")) -> DataFrame:
+    """Who holds an asset, and how much: trust lines by authorisation, claimable balances, pools and contracts, a column pair each.
+
+    ``lines``: (asset, status, balance). ``claimables`` and ``contracts``: (asset, amount). ``pools``: (asset_a, asset_b, reserve_a, reserve_b); a
+    pool holds both of its assets. The native asset and rows without an asset are left out; a trust line of another status
+    counts in none of the pairs. Amounts are added with 38 digits. An asset has a row if anything holds it. All four are one
+    bag of (asset, class, amount), so there is one aggregate with a map-side combine and no join.
+    """
+    c = F.col
+    wide = lambda x: c(x).cast("decimal(38,0)").alias("amount")
+    sides = F.array(*[F.struct(c(f"asset_{s}").alias("asset"), c(f"reserve_{s}").alias("amount")) for s in "ab"])
+    parts = [
+        lines.select("asset", c("status").alias("class"), wide("balance")),
+        claimables.select("asset", F.lit("claimable").alias("class"), wide("amount")),
+        pools.select(F.explode(sides).alias("s")).select("s.asset", F.lit("pool").alias("class"), wide("s.amount")),
+        contracts.select("asset", F.lit("contract").alias("class"), wide("amount")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    classes = [*statuses, "claimable", "pool", "contract"]
+    pairs = [x for k in classes for x in (F.count_if(c("class") == k).alias(f"n_{k}"), F.coalesce(F.sum(F.when(c("class") == k, c("amount"))), F.lit(0)).cast("decimal(38,0)").alias(f"amount_{k}"))]
+    return rows.where((c("asset") != "native") & c("class").isin(*classes)).groupBy("asset").agg(*pairs)
+
+
+def counter_faults(stated: DataFrame, counted: DataFrame, *, keys: list[str], counters: list[str]) -> DataFrame:
+    """Keys whose stated counters are not the counted ones, one row a counter: (…, counter, stated, counted).
+
+    A key that was not counted has counted 0; a key that nobody states has a null ``stated``. One full join by key.
+    """
+    c = F.col
+    rows = stated.select(*keys, F.struct(*counters).alias("__s")).join(counted.select(*keys, F.struct(*counters).alias("__c")), keys, "full")
+    each = F.array(*[F.struct(F.lit(n).alias("counter"), c("__s")[n].cast("long").alias("stated"), F.coalesce(c("__c")[n].cast("long"), F.lit(0)).alias("counted")) for n in counters])
+    return rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*").where(~c("stated").eqNullSafe(c("counted")))
+
+
+def pool_faults(pools: DataFrame, *, fee: int = 30) -> DataFrame:
+    """What no set of pools may hold, one row a fault (pool_id, fault).
+
+    ``pools``: (pool_id, asset_a, asset_b, reserve_a, reserve_b, fee_bps). Assets must differ and stand in order, reserves be there and
+    not negative, the fee be ``fee``; an id stands for one pool and a pair has one pool. A sound set gives no rows.
+    """
+    c = F.col
+    there = lambda x: F.coalesce(c(x) >= 0, F.lit(False))
+    checks = {"order of assets": ~F.coalesce(c("asset_a") < c("asset_b"), F.lit(False)), "reserve": ~(there("reserve_a") & there("reserve_b")), "fee": ~c("fee_bps").eqNullSafe(F.lit(fee))}
+    single = pools.select("pool_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))).alias("fault")).distinct()
+    twice = pools.groupBy("pool_id").agg(F.count("*").alias("n")).where("n > 1").select("pool_id", F.lit("several pools").alias("fault"))
+    pair = pools.groupBy(F.least("asset_a", "asset_b").alias("__a"), F.greatest("asset_a", "asset_b").alias("__b")).agg(F.count_distinct("pool_id").alias("n"), F.min("pool_id").alias("pool_id")).where("n > 1")
+    return single.unionByName(twice).unionByName(pair.select("pool_id", F.lit("several pools of a pair").alias("fault")))
+
+
+def level_faults(offers: DataFrame, levels: DataFrame) -> DataFrame:
+    """Price levels that are not what their offers make, as (selling, buying, n, d, made_offers, made_amount, held_offers, held_amount).
+
+    ``offers``: (selling, buying, amount, n, d); ``levels``: (selling, buying, n, d, offers, amount), prices in lowest terms. Sides that lack a
+    level are null. A sound index gives no rows.
+    """
+    c = F.col
+    shared = gcd(c("n").cast("long"), c("d").cast("long"))
+    lowest = offers.select("selling", "buying", "amount", c("n").cast("long").alias("n"), c("d").cast("long").alias("d"), shared.alias("g"))
+    lowest = lowest.select("selling", "buying", "amount", _whole(c("n"), c("g")).alias("n"), _whole(c("d"), c("g")).alias("d"))
+    keys = ["selling", "buying", "n", "d"]
+    made = lowest.groupBy(*keys).agg(F.count("*").alias("made_offers"), F.sum(c("amount").cast("decimal(38,0)")).cast("decimal(38,0)").alias("made_amount"))
+    held = levels.select(*keys, c("offers").alias("held_offers"), c("amount").cast("decimal(38,0)").alias("held_amount"))
+    rows = made.join(held, keys, "full")
+    return rows.where(~(c("made_offers").eqNullSafe(c("held_offers")) & c("made_amount").eqNullSafe(c("held_amount"))))

@@ -177,3 +177,75 @@ def q80b(t: Tables) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in ("none", "text", "id", "hash")]), (c("o_orderkey") % 4 + 1).cast("int"))
     info = transfers.muxed_info(kind, c("o_orderpriority"), c("o_custkey"), F.encode("o_orderpriority", "UTF-8"), muxed_id=F.when(c("o_custkey") % 7 == 0, c("o_custkey") * 3))
     return t.orders.select("o_orderkey", info.alias("i")).select("o_orderkey", "i.kind", "i.value")
+
+
+@query(
+    "q22b_asset_report",
+    """with r as (select 'A' || (c_custkey % 40) as asset, ['authorized', 'maintain', 'unauthorized', 'other'][c_custkey % 4 + 1] as class, round(c_acctbal * 100)::hugeint as amount from customer
+ union all select 'A' || (o_custkey % 40), 'claimable', round(o_totalprice * 100)::hugeint from orders
+ union all select 'A' || (p_partkey % 40), 'pool', p_size::hugeint from part union all select case when p_partkey % 9 = 0 then 'native' else 'A' || ((p_partkey + 1) % 40) end, 'pool', p_partkey::hugeint from part
+ union all select 'A' || (l_partkey % 50), 'contract', l_partkey::hugeint * 1000000000000000000 from lineitem)
+select asset, """
+    + ", ".join(f"count(*) filter (where class = '{k}') as n_{k}, coalesce(sum(amount) filter (where class = '{k}'), 0)::decimal(38, 0) as amount_{k}" for k in ("authorized", "maintain", "unauthorized", "claimable", "pool", "contract"))
+    + " from r where asset <> 'native' and class <> 'other' group by 1",
+)
+def q22b(t: Tables) -> DataFrame:
+    """Holders of assets of every kind; balances of contracts pass 64 bits."""
+    c = F.col
+    name = lambda k, m=40: F.concat(F.lit("A"), k % m)
+    status = F.element_at(F.array(*[F.lit(x) for x in ("authorized", "maintain", "unauthorized", "other")]), (c("c_custkey") % 4 + 1).cast("int"))
+    lines = t.customer.select(name(c("c_custkey")).alias("asset"), status.alias("status"), views.cents("c_acctbal").alias("balance"))
+    claimables = t.orders.select(name(c("o_custkey")).alias("asset"), views.cents("o_totalprice").alias("amount"))
+    k = c("p_partkey")
+    pools = t.part.select(name(k).alias("asset_a"), F.when(k % 9 == 0, "native").otherwise(name(k + 1)).alias("asset_b"), c("p_size").cast("long").alias("reserve_a"), k.alias("reserve_b"))
+    contracts = t.lineitem.select(name(c("l_partkey"), 50).alias("asset"), (c("l_partkey").cast("decimal(18,0)") * F.lit(10**18).cast("decimal(19,0)")).alias("amount"))
+    return markets.asset_report(lines, claimables, pools, contracts)
+
+
+@query(
+    "q18b_counter_faults",
+    """with n as (select l_orderkey as k, count(*) as ops, count(*) filter (where l_returnflag = 'R') as good from lineitem group by 1),
+s as (select o_orderkey as k, coalesce(ops, 0) + case when o_orderkey % 97 = 0 then 1 else 0 end as ops, coalesce(good, 0) + case when o_orderkey % 89 = 0 then 2 else 0 end as good from orders left join n on k = o_orderkey where o_orderkey % 101 > 0),
+j as (select coalesce(s.k, n.k) as k, s.ops as so, n.ops as no, s.good as sg, n.good as ng from s full join n on s.k = n.k)
+select k, 'ops' as counter, so as stated, coalesce(no, 0) as counted from j where so is distinct from coalesce(no, 0) union all select k, 'good', sg, coalesce(ng, 0) from j where sg is distinct from coalesce(ng, 0)""",
+)
+def q18b(t: Tables) -> DataFrame:
+    """Counters that ledgers state against the operations counted; some are off, some ledgers are not there."""
+    c = F.col
+    counted = t.lineitem.groupBy(c("l_orderkey").alias("k")).agg(F.count("*").alias("ops"), F.count_if(c("l_returnflag") == "R").alias("good"))
+    k = c("o_orderkey")
+    stated = t.orders.where(k % 101 > 0).select(k.alias("k")).join(counted, "k", "left")
+    more = lambda n, m, x: (F.coalesce(n, F.lit(0)) + F.when(c("k") % m == 0, x).otherwise(0)).alias(n)
+    return markets.counter_faults(stated.select("k", more("ops", 97, 1), more("good", 89, 2)), counted, keys=["k"], counters=["ops", "good"])
+
+
+@query(
+    "q21c_pool_faults",
+    """with p as (select 'P' || (case when p_partkey % 31 = 0 then 0 else p_partkey end) as pool_id, case when p_partkey % 11 = 0 then 'Z' else 'A' || (p_partkey % 500) end as a, 'B' || (p_partkey % 700) as b, case when p_partkey % 13 = 0 then -1 else p_size end as ra, case when p_partkey % 17 = 0 then null else 5 end as rb, case when p_partkey % 19 = 0 then 25 else 30 end as fee from part)
+select distinct pool_id, 'order of assets' as fault from p where a >= b union all select distinct pool_id, 'reserve' from p where ra < 0 or rb is null union all select distinct pool_id, 'fee' from p where fee <> 30
+union all select pool_id, 'several pools' from p group by 1 having count(*) > 1 union all select min(pool_id), 'several pools of a pair' from p group by least(a, b), greatest(a, b) having count(distinct pool_id) > 1""",
+)
+def q21c(t: Tables) -> DataFrame:
+    """Pools with planted faults of every kind."""
+    c = F.col
+    k = c("p_partkey")
+    a, b = F.when(k % 11 == 0, "Z").otherwise(F.concat(F.lit("A"), k % 500)), F.concat(F.lit("B"), k % 700)
+    rows = t.part.select(F.concat(F.lit("P"), F.when(k % 31 == 0, 0).otherwise(k)).alias("pool_id"), a.alias("asset_a"), b.alias("asset_b"), F.when(k % 13 == 0, -1).otherwise(c("p_size")).alias("reserve_a"), F.when(k % 17 > 0, 5).alias("reserve_b"), F.when(k % 19 == 0, 25).otherwise(30).alias("fee_bps"))
+    return markets.pool_faults(rows)
+
+
+@query(
+    "q21d_level_faults",
+    f"""with {LEVELS}, m as (select selling, buying, n // gcd(n, d) as n, d // gcd(n, d) as d, count(*) as k, sum(amount)::bigint as s from (select selling, buying, amount, n, d from o) group by 1, 2, 3, 4)
+select selling, buying, n, d, k as made_offers, s as made_amount, case when (k * 7 + s) % 5 > 0 then k end as held_offers, case when (k * 7 + s) % 5 > 0 then s + 1 end as held_amount from m where (k * 7 + s) % 3 = 0 or (k * 7 + s) % 5 = 0""",
+)
+def q21d(t: Tables) -> DataFrame:
+    """An index of price levels held against its offers: every fifth level is missing, every third has another amount."""
+    c = F.col
+    offers = views.offers(t).where("amount > 0")
+    none = offers.limit(0).select("selling", "buying", "n", "d", F.lit(0).alias("offers"), "amount")
+    made = markets.level_faults(offers, none).select("selling", "buying", "n", "d", c("made_offers").alias("offers"), c("made_amount").alias("amount"))
+    code = (c("offers") * 7 + c("amount")) % 15
+    held = made.where(code % 5 > 0).withColumn("amount", F.when(code % 3 == 0, c("amount") + 1).otherwise(c("amount")))
+    out = markets.level_faults(offers, held)
+    return out.select("selling", "buying", "n", "d", "made_offers", c("made_amount").cast("long").alias("made_amount"), "held_offers", c("held_amount").cast("long").alias("held_amount"))
