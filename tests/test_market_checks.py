@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import markets
@@ -7,7 +9,7 @@ def test_asset_report(spark):
     lines = spark.createDataFrame([("A", "authorized", 5), ("A", "maintain", 7), ("A", "other", 9), (None, "authorized", 1), ("native", "authorized", 1), ("A", None, 3)], "asset string, status string, balance long")
     claimables = spark.createDataFrame([("A", 2), ("B", None)], "asset string, amount long")
     pools = spark.createDataFrame([("A", "B", 10, 20), ("native", "B", 1, 2)], "asset_a string, asset_b string, reserve_a long, reserve_b long")
-    contracts = spark.createDataFrame([("C", 10**30), ("C", 10**30)], "asset string, amount decimal(38,0)")
+    contracts = spark.createDataFrame([("C", Decimal(10**30)), ("C", Decimal(10**30))], "asset string, amount decimal(38,0)")
     got = {r.asset: r.asDict() for r in markets.asset_report(lines, claimables, pools, contracts).collect()}
     assert set(got) == {"A", "B", "C"}
     assert (got["A"]["n_authorized"], int(got["A"]["amount_authorized"]), got["A"]["n_claimable"], int(got["A"]["amount_pool"])) == (1, 5, 1, 10)
