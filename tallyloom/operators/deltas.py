@@ -52,3 +52,32 @@ def pool_changes(changes: DataFrame, *, keys: list[str], pool: str = "pool_id")
     """How far an operation moved each reserve of a pool: (…, asset, amount), from states before and after (null: nothing)."""
     side = lambda x: F.struct(F.coalesce(F.col(f"post.asset_{x}"), F.col(f"pre.asset_{x}")).alias("asset"), F.abs(F.coalesce(F.col(f"post.reserve_{x}"), F.lit(0)) - F.coalesce(F.col(f"pre.reserve_{x}"), F.lit(0))).alias("amount"))
     return changes.select(*keys, pool, F.explode(F.array(side("a"), side("b"))).alias("s")).select(*keys, pool, "s.asset", "s.amount")
+
+
+def held(entry: Column) -> Column:
+    """What a ledger entry holds for whom, as an array of (holder, asset, amount); null for no entry and for other types.
+
+    Accounts hold the native asset, trust lines theirs (those of pool shares, without an asset, nothing), claimable balances
+    their amount under their own id, and pools both reserves. ``entry`` has type, account_id, balance, asset, balance_id,
+    amount, pool_id, asset_a, asset_b, reserve_a and reserve_b.
+    """
+    one = lambda holder, asset, amount: F.struct(holder.alias("holder"), asset.alias("asset"), amount.cast("decimal(27,0)").alias("amount"))
+    kind = entry["type"]
+    found = (
+        F.when(kind == "account", F.array(one(entry["account_id"], F.lit("native"), entry["balance"])))
+        .when(kind == "trustline", F.array(one(entry["account_id"], entry["asset"], entry["balance"])))
+        .when(kind == "claimable_balance", F.array(one(entry["balance_id"], entry["asset"], entry["amount"])))
+        .when(kind == "liquidity_pool", F.array(one(entry["pool_id"], entry["asset_a"], entry["reserve_a"]), one(entry["pool_id"], entry["asset_b"], entry["reserve_b"])))
+    )
+    return F.filter(found, lambda x: x["asset"].isNotNull())
+
+
+def entry_deltas(changes: DataFrame, *, keep: list[str] | None = None, pre: str = "pre", post: str = "post") -> DataFrame:
+    """Balance deltas (…, holder, asset, delta) of changes of all kinds of entries: what the states after hold less what those before held.
+
+    Zero sums are left out. Rows before and after are one bag with signs, so there is one aggregate with a map-side combine.
+    """
+    c, keep = F.col, keep or []
+    signed = lambda entry, sign: F.transform(F.coalesce(held(c(entry)), F.array().cast("array<struct<holder:string,asset:string,amount:decimal(27,0)>>")), lambda x: F.struct(x["holder"].alias("holder"), x["asset"].alias("asset"), (x["amount"] * sign).cast("decimal(28,0)").alias("delta")))
+    rows = changes.select(*keep, F.explode(F.concat(signed(pre, -1), signed(post, 1))).alias("x")).select(*keep, "x.*")
+    return summed(rows, keys=[*keep, "holder", "asset"])

@@ -113,3 +113,21 @@ def event_order(events: DataFrame, *, ledger: str = "ledger", step: str = "step"
     late = F.when(F.col(protocol) >= 23, F.when(F.col(step) == "refund", 2).when(F.col(step) == "fee", 0).otherwise(1)).otherwise(F.when(F.col(step) == "fee", 0).otherwise(1))
     w = Window.partitionBy(ledger).orderBy(late, tx, F.when(F.col(step) == "refund", 1).otherwise(0), *order)
     return events.withColumn(out, F.row_number().over(w).cast("long"))
+
+
+def claimed_balances(changes: DataFrame, *, on_error: str = "raise") -> DataFrame:
+    """What operations that claim a balance moved: (ledger, tx_index, op_index, balance_id, asset, amount, wrong).
+
+    ``changes`` of such operations: (ledger, tx_index, op_index, type, kind, balance_id, asset, amount), the last three of the state
+    before. Exactly one claimable balance must be removed by an operation: "raise" fails for none or several, "mark" says
+    so in ``wrong`` with nulls for the rest. One aggregate by operation, combined map-side.
+    """
+    c = F.col
+    gone = (c("type") == "claimable_balance") & (c("kind") == "removed")
+    one = F.struct("balance_id", "asset", "amount")
+    ops = changes.groupBy("ledger", "tx_index", "op_index").agg(F.count_if(F.coalesce(gone, F.lit(False))).alias("n"), F.max(F.when(gone, one)).alias("b"))
+    wrong = F.when(c("n") == 0, "no balance is removed").when(c("n") > 1, "several balances are removed")
+    out = ops.select("ledger", "tx_index", "op_index", *[F.when(c("n") == 1, c(f"b.{f}")).alias(f) for f in ("balance_id", "asset", "amount")], wrong.alias("wrong"))
+    if on_error == "raise":
+        out = out.withColumn("wrong", F.when(c("wrong").isNotNull(), F.raise_error(c("wrong")).cast("string")))
+    return out

@@ -249,3 +249,36 @@ def q21d(t: Tables) -> DataFrame:
     held = made.where(code % 5 > 0).withColumn("amount", F.when(code % 3 == 0, c("amount") + 1).otherwise(c("amount")))
     out = markets.level_faults(offers, held)
     return out.select("selling", "buying", "n", "d", "made_offers", c("made_amount").cast("long").alias("made_amount"), "held_offers", c("held_amount").cast("long").alias("held_amount"))
+
+
+@query(
+    "q69b_entry_deltas",
+    """with o as (select o_orderkey as k, o_custkey as cust, round(o_totalprice * 100)::hugeint as amount, ['account', 'trustline', 'claimable_balance', 'liquidity_pool', 'offer'][o_orderkey % 5 + 1] as type from orders),
+b as (select k, type, 'h' || cust as holder, case type when 'account' then 'native' else 'A' || (cust % 3) end as asset, amount, 1 as f from o where type in ('account', 'trustline', 'claimable_balance') and not (type = 'trustline' and k % 7 = 0)
+ union all select k, type, 'h' || cust, 'A', amount, 1 from o where type = 'liquidity_pool' union all select k, type, 'h' || cust, 'B', amount, 2 from o where type = 'liquidity_pool'),
+d as (select holder, asset, f * case k % 3 when 0 then amount when 1 then -amount else amount - (amount // 2) end as delta from b)
+select holder, asset, sum(delta)::decimal(38, 0) as delta from d group by 1, 2 having sum(delta) <> 0""",
+)
+def q69b(t: Tables) -> DataFrame:
+    """Deltas of accounts, trust lines, claimable balances and pools, from entries that appear, go and change."""
+    c = F.col
+    k, cust, amount = c("o_orderkey"), c("o_custkey"), views.cents("o_totalprice")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("account", "trustline", "claimable_balance", "liquidity_pool", "offer")]), (k % 5 + 1).cast("int"))
+    who, asset = F.concat(F.lit("h"), cust), F.concat(F.lit("A"), cust % 3)
+    entry = lambda x: F.struct(kind.alias("type"), who.alias("account_id"), x.alias("balance"), F.when((kind != "trustline") | (k % 7 > 0), asset).alias("asset"), who.alias("balance_id"), x.alias("amount"), who.alias("pool_id"), F.lit("A").alias("asset_a"), F.lit("B").alias("asset_b"), x.alias("reserve_a"), (x * 2).alias("reserve_b"))
+    half = F.floor(amount / 2).cast("long")
+    rows = t.orders.select(F.when(k % 3 == 1, entry(amount)).when(k % 3 == 2, entry(half)).alias("pre"), F.when(k % 3 != 1, entry(amount)).alias("post"))
+    return deltas.entry_deltas(rows).select("holder", "asset", c("delta").cast("decimal(38,0)").alias("delta"))
+
+
+@query(
+    "q68c_claimed_balances",
+    """with g as (select l_orderkey as ledger, l_linenumber as op_index, count(*) filter (where l_partkey % 3 = 0 and l_suppkey % 2 = 0) as n, max(case when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then l_partkey end) as part from lineitem group by 1, 2)
+select ledger, 1 as tx_index, op_index, case when n = 1 then 'b' || part end as balance_id, case when n = 1 then part * 10 end as amount, case when n = 0 then 'no balance is removed' when n > 1 then 'several balances are removed' end as wrong from g""",
+)
+def q68c(t: Tables) -> DataFrame:
+    """Claims by the balance that each removed; operations that removed none or several are named."""
+    c = F.col
+    part = c("l_partkey")
+    rows = t.lineitem.select(c("l_orderkey").alias("ledger"), F.lit(1).alias("tx_index"), c("l_linenumber").alias("op_index"), F.when(part % 3 == 0, "claimable_balance").otherwise("account").alias("type"), F.when(c("l_suppkey") % 2 == 0, "removed").otherwise("updated").alias("kind"), F.concat(F.lit("b"), part).alias("balance_id"), F.lit("A").alias("asset"), (part * 10).alias("amount"))
+    return transfers.claimed_balances(rows, on_error="mark").drop("asset")
