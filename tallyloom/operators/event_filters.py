@@ -72,3 +72,22 @@ def check_request(*, filters: list[EventFilter], limit: int, max_limit: int, fir
         raise ValueError("too many filters")
     for f in filters:
         f.check()
+
+
+#: The most rows that a query may ask for, whatever a provider allows. Fixed value.
+MAX_LIMIT = 1000
+
+
+def query_fault(*, cursor: Column, first: Column, last: Column, order: Column, n_filters: Column, limit: Column, max_limit: int = MAX_LIMIT, max_filters: int = 256) -> Column:
+    """Why a query for events is refused, null where it is not: one column for logs of many queries.
+
+    A query with a cursor names nothing else but a limit. 0, '' and null say that a ledger, an order or a cursor is not
+    named; ``n_filters`` is null without a list of filters and 0 for an empty one, which is refused.
+    """
+    low, high = F.coalesce(first, F.lit(0)), F.coalesce(last, F.lit(0))
+    way = F.coalesce(order, F.lit(""))
+    resumed = F.coalesce(cursor, F.lit("")) != ""
+    more = (low != 0) | (high != 0) | (way != "") | n_filters.isNotNull()
+    found = F.when(limit.isNotNull() & ~limit.between(1, min(max_limit, MAX_LIMIT)), "limit").when(resumed, F.when(more, "cursor and range"))
+    found = found.when(~way.isin("", "asc", "desc"), "order").when((way != "desc") & (low == 0), "no first ledger")
+    return found.when((low != 0) & (high != 0) & (low > high), "empty range").when(n_filters.isNotNull() & ~n_filters.between(1, max_filters), "filters")

@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 PERCENTILES = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99)
 
 
+def operation_count(code: Column, results: Column, inner_code: Column, inner_results: Column) -> Column:
+    """How many operations a transaction's result lists, a fee bump's the inner one; 0 where codes go without a list."""
+    listing = ("success", "failed")
+    own = F.when(code.isin(*listing), F.size(results))
+    inner = F.when(code.isin(*[f"fee_bump_inner_{c}" for c in listing]) & inner_code.isin(*listing), F.size(inner_results))
+    return F.greatest(F.coalesce(own, inner, F.lit(0)), F.lit(0))
+
+
 def fee_bucket(*, charged: Column, operations: Column, contract: Column, resource: Column) -> Column:
     """(bucket, fee): ``classic`` with the fee an operation, ``inclusion`` with the fee beyond resources, or null.
 

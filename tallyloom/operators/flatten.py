@@ -87,6 +87,37 @@ def events(txs: DataFrame, *, array: str = "done.events") -> DataFrame:
     return rows.select("ledger", "tx_index", ids.cursor(ids.position(F.col("ledger"), F.col("tx_index"), F.coalesce(F.col("e.op_index"), F.lit(0))), F.col("at")).alias("cursor"), "e.*")
 
 
+def meta_events(meta: Column, *, contract: Column | None = None) -> Column:
+    """Events that a transaction's meta holds, by its ``version``: (of_transaction, of_operations, diagnostic), none of them null.
+
+    Versions to 2 have none. Version 3 has those of its ``contract`` part, as the one operation's; where the column
+    ``contract`` is given, only contract calls have them. Version 4 has ``events``, ``operations`` with ``events``, and
+    ``diagnostics``. Other versions are an error.
+    """
+    version, part = meta["version"], meta["contract"]
+    called = part.isNotNull() if contract is None else part.isNotNull() & F.coalesce(contract, F.lit(False))
+    none = F.array()
+    fourth, third = version == 4, (version == 3) & called
+    of_transaction = F.coalesce(F.when(fourth, meta["events"]), none)
+    by_operation = F.transform(meta["operations"], lambda o: F.coalesce(o["events"], none))
+    of_operations = F.coalesce(F.when(fourth, by_operation).when(third, F.array(F.coalesce(part["events"], none))), none)
+    diagnostic = F.coalesce(F.when(fourth, meta["diagnostics"]).when(third, part["diagnostics"]), none)
+    found = F.struct(of_transaction.alias("of_transaction"), of_operations.alias("of_operations"), diagnostic.alias("diagnostic"))
+    return F.when(version.between(0, 4), found).otherwise(F.raise_error(F.concat(F.lit("meta of version "), F.coalesce(version.cast("string"), F.lit("null")))))
+
+
+def event_rows(txs: DataFrame, *, keep: list[str], events: str = "events") -> DataFrame:
+    """One row an event of ``meta_events``: ``part``, ``op_index`` (from 1, of operations' events), ``at`` (from 0) and ``event``."""
+    whole = F.col(events)
+
+    def listed(part: str, found: Column, op: Column) -> Column:
+        return F.transform(found, lambda e, i: F.struct(F.lit(part).alias("part"), op.cast("long").alias("op_index"), i.cast("long").alias("at"), e.alias("event")))
+
+    by_operation = F.flatten(F.transform(whole["of_operations"], lambda es, k: listed("operation", es, k + 1)))
+    no = F.lit(None)
+    return txs.select(*keep, F.inline(F.concat(listed("transaction", whole["of_transaction"], no), by_operation, listed("diagnostic", whole["diagnostic"], no))))
+
+
 def close_ms(seconds: Column, ms: Column) -> Column:
     """When a ledger closed, in milliseconds: as given, else from seconds."""
     return F.coalesce(ms, seconds.cast("long") * 1000)

@@ -26,3 +26,14 @@ def slice_from(df: DataFrame, *, index: str, start: int, limit: int) -> DataFram
         raise ValueError("start and limit must not be negative")
     rows = df.where(F.col(index) >= start)
     return rows.where(F.col(index) < start + limit) if limit else rows
+
+
+def page_fault(*, start: Column, cursor: Column, limit: Column, oldest: Column, latest: Column, max_limit: int) -> Column:
+    """Why a request for a page of ledgers is refused, null where it is not.
+
+    It starts at a known ledger or at a cursor, not at both; null and 0, null and '' say that none is named. A limit, if
+    there is one, is at most ``max_limit``.
+    """
+    first = F.coalesce(start, F.lit(0))
+    named = F.coalesce(cursor, F.lit("")) != ""
+    return F.when(named & (first != 0), "start and cursor").when(~named & ~first.between(oldest, latest), "start not known").when(limit > max_limit, "limit too high")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.operators import flatten
+
 #: What tells entries of a type apart. Fixed values of the format.
 ENTRY_KEYS = {
     "account": ("account",), "trustline": ("account", "asset"), "offer": ("seller", "offer_id"), "data": ("account", "name"), "claimable_balance": ("balance_id",),
@@ -87,6 +89,39 @@ def normal_account(entry: Column, fields: list[str]) -> Column:
     return F.struct(*[(F.coalesce(entry[f], F.lit(ACCOUNT_DEFAULTS[f])) if f in ACCOUNT_DEFAULTS else entry[f]).alias(f) for f in fields])
 
 
+#: What entries of each type count as having where they have no such field yet. Fixed values.
+ENTRY_DEFAULTS = {"account": ACCOUNT_DEFAULTS, "trustline": {"buying_liabilities": 0, "selling_liabilities": 0}, "claimable_balance": {"flags": 0}}
+#: Lists without an order of their own, and what they are sorted by.
+ENTRY_LISTS = {"account": {"signers": "key"}, "claimable_balance": {"claimants": "destination"}}
+#: Fields that no comparison looks at.
+ENTRY_IGNORED = {"trustline": ("pool_use_count",)}
+
+
+def normal_entry(entry: Column, fields: list[str], kind: str) -> Column:
+    """An entry of a type with ``fields`` in the form in which two are compared: defaults filled in, lists sorted, ignored fields left out.
+
+    Signers carry their sponsors with them (``sponsored_signers``). Null entries stay null.
+    """
+    defaults, lists, ignored = ENTRY_DEFAULTS.get(kind, {}), ENTRY_LISTS.get(kind, {}), ENTRY_IGNORED.get(kind, ())
+
+    def one(f: str) -> Column:
+        if f in lists:
+            return flatten.sorted_by(F.coalesce(entry[f], F.array()), lists[f])
+        return F.coalesce(entry[f], F.lit(defaults[f])) if f in defaults else entry[f]
+
+    return F.when(entry.isNotNull(), F.struct(*[one(f).alias(f) for f in fields if f not in ignored]))
+
+
+def sponsored_signers(signers: Column, sponsors: Column) -> Column:
+    """Signers (key, weight), each with its ``sponsor`` from a list of the same order, null where that is shorter."""
+    return F.transform(signers, lambda s, i: F.struct(s["key"].alias("key"), s["weight"].alias("weight"), F.get(sponsors, i).alias("sponsor")))
+
+
+def entry_changed(pre: Column, post: Column, fields: list[str], kind: str) -> Column:
+    """Do two states of an entry differ in more than form? A missing side is a change."""
+    return pre.isNull() | post.isNull() | ~normal_entry(pre, fields, kind).eqNullSafe(normal_entry(post, fields, kind))
+
+
 def account_changed(pre: Column, post: Column, fields: list[str]) -> Column:
     """Did an account change in anything but its signers (which ``fields`` leave out)? A missing side is a change."""
     return pre.isNull() | post.isNull() | ~normal_account(pre, fields).eqNullSafe(normal_account(post, fields))

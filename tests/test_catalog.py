@@ -1,7 +1,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from tallyloom.plans import archive_queries, catalog, contract_queries, market_queries, projection_queries  # noqa: F401
+from tallyloom.plans import archive_queries, catalog, contract_queries, market_queries, projection_queries, scan_queries  # noqa: F401
 from tallyloom.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
