@@ -15,6 +15,9 @@ from tallyloom.sinks.scratch import written
 #: What an amount can be at most. Amounts are 63 bits wide, prices two numbers of 31 bits. Fixed values of the format.
 MOST = (1 << 63) - 1
 
+#: Levels of a pair that make a page: an amount is held against the pages' starts and then the levels of one page.
+PAGE = 256
+
 
 def _div(a: Column, b: Column, up: bool) -> Column:
     a, b = a.cast("decimal(38,0)"), b.cast("decimal(19,0)")
@@ -27,7 +30,7 @@ def _product(a: Column, b: Column) -> Column:
 
 
 def levels(offers: DataFrame, *, selling: str = "selling", buying: str = "buying", amount: str = "amount", n: str = "n", d: str = "d", offer_id: str = "offer_id", hot_rows: int | None = None) -> DataFrame:
-    """The offers of each pair as rows (selling, buying, amount, n, d, amount_before, cost, cost_before), running sums from the best price on.
+    """The offers of each pair as rows (selling, buying, page, amount, n, d, amount_before, cost, cost_before), running sums from the best price on.
 
     An offer taken whole costs its amount at its price, rounded up, whatever was taken before; so the sums before an
     offer say at once which one a wanted or a given amount ends in, and no book is ever one row. Offers of one price are
@@ -37,30 +40,42 @@ def levels(offers: DataFrame, *, selling: str = "selling", buying: str = "buying
     """
     c = F.col
     rows = offers.select(c(selling).alias("selling"), c(buying).alias("buying"), c(amount).cast("long").alias("amount"), c(n).cast("long").alias("n"), c(d).cast("long").alias("d"), c(offer_id).alias("id"))
-    rows = rows.where("amount > 0").withColumn("price", c("n").cast("decimal(19,0)") / c("d").cast("decimal(19,0)")).withColumn("cost", _div(_product(c("amount"), c("n")), c("d"), True))
+    rows = rows.where("amount > 0").withColumn("price", c("n").cast("decimal(19,0)") / c("d").cast("decimal(19,0)"))
+    small = (c("amount") < 1 << 31) & c("n").between(0, (1 << 31) - 1) & c("d").between(1, 1 << 31)  # then 63 bits hold the product
+    rows = rows.withColumn("cost", F.when(small, F.expr("(amount * n + d - 1) div d").cast("decimal(38,0)")).otherwise(_div(_product(c("amount"), c("n")), c("d"), True)))
     whole = lambda x: x.cast("decimal(38,0)")
-    rows = before(rows, keys=["selling", "buying"], order=["price", "id"], sums={"amount_before": c("amount").cast("decimal(20,0)"), "cost_before": F.least(c("cost"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))}, hot_rows=hot_rows)
+    rows = before(rows, keys=["selling", "buying"], order=["price", "id"], sums={"place": F.lit(1).cast("long"), "amount_before": c("amount").cast("decimal(20,0)"), "cost_before": F.least(c("cost"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))}, hot_rows=hot_rows)
     reached = (c("amount_before") < MOST) | (c("cost_before") < MOST)
-    return rows.where(reached).select("selling", "buying", "amount", "n", "d", whole(c("amount_before")).alias("amount_before"), "cost", whole(c("cost_before")).alias("cost_before"))
+    return rows.where(reached).select("selling", "buying", F.floor(c("place") / PAGE).cast("long").alias("page"), "amount", "n", "d", whole(c("amount_before")).alias("amount_before"), "cost", whole(c("cost_before")).alias("cost_before"))
 
 
 def _ended(rows: DataFrame, level: DataFrame, *, here: str, there: str, start: str, size: str, want: str, asset: str, hot_rows: float | None) -> DataFrame:
     """``rows`` for each pair whose ``here`` is their ``asset``, with ``there`` and the level in which ``want`` ends, as ``__l``.
 
-    Wanted amounts and the sums at which levels start are put in one order by pair, and each amount looks at the last
-    start before it: a merge of two sorted runs, however many of either there are, in place of a join that tests all.
+    Wanted amounts and the sums at which pages of levels start are put in one order by pair, and each amount looks at the
+    last start before it: a merge of two sorted runs, in place of a join that tests all. It then meets the levels of that
+    page alone, by equality. So levels are neither sorted nor moved again where few amounts are wanted.
+
+    ``level`` is read twice and should be a table (``written``).
     """
     c = F.col
     held = F.struct(*[c(n) for n in rows.columns])
     level = level.join(rows.select(c(asset).alias("__asset")).distinct(), c(here) == c("__asset"), "left_semi")
-    pairs = level.select("selling", "buying").distinct()
+    pages = level.groupBy("selling", "buying", "page").agg(F.min(start).alias("__at"))
+    pairs = pages.select("selling", "buying").distinct()
     wants = rows.select(held.alias("__row"), c(asset).alias("__asset"), c(want).cast("decimal(38,0)").alias("__at")).join(pairs, c("__asset") == c(here))
-    starts = level.select("selling", "buying", c(start).alias("__at"), F.struct(*level.columns).alias("__level"))
-    both = starts.withColumn("__wants", F.lit(False)).unionByName(wants.drop("__asset").withColumn("__wants", F.lit(True)), allowMissingColumns=True)
-    both = both.withColumn("__turn", F.when(c("__wants"), 0).otherwise(1))  # a level that starts at the amount is not begun
-    found = before(both, keys=["selling", "buying"], order=["__at", "__turn"], lasts={"__l": c("__level")}, hot_rows=hot_rows)
-    found = found.where(c("__wants") & (c("__at") <= c("__l")[start] + c("__l")[size]))
-    return found.select(*[c("__row")[n].alias(n) for n in rows.columns], c(there).alias("there"), "__l")
+    both = pages.withColumn("__wants", F.lit(False)).unionByName(wants.drop("__asset").withColumn("__wants", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("__turn", F.when(c("__wants"), 0).otherwise(1))  # a page that starts at the amount is not begun
+    found = before(both, keys=["selling", "buying"], order=["__at", "__turn", "page"], lasts={"__page": c("page")}, hot_rows=hot_rows)
+    found = found.where(c("__wants") & c("__page").isNotNull()).select("__row", c("selling").alias("__s"), c("buying").alias("__b"), "__page", "__at")
+    inside = (c("__at") > c(start)) & (c("__at") <= c(start) + c(size))
+    met = level.join(found, (c("selling") == c("__s")) & (c("buying") == c("__b")) & (c("page") == c("__page")) & inside)
+    return met.select(*[c("__row")[n].alias(n) for n in rows.columns], c(there).alias("there"), F.struct(*level.columns).alias("__l"))
+
+
+def _priced(ends: DataFrame, value: Column) -> DataFrame:
+    """``ends`` with ``next`` in place of ``__l``. Out of a generator: filters on it would else become part of the join's condition, reckoned for all levels of a page."""
+    return ends.select(*[c for c in ends.columns if c != "__l"], F.explode(F.array(value)).alias("next"))
 
 
 def bought(rows: DataFrame, level: DataFrame, *, need: str = "amount", asset: str = "asset", hot_rows: float | None = None) -> DataFrame:
@@ -72,7 +87,7 @@ def bought(rows: DataFrame, level: DataFrame, *, need: str = "amount", asset: st
     c = F.col
     ends = _ended(rows.where(c(need) > 0), level, here="selling", there="buying", start="amount_before", size="amount", want=need, asset=asset, hot_rows=hot_rows)
     cost = c("__l.cost_before") + _div(_product(c(need).cast("decimal(20,0)") - c("__l.amount_before"), c("__l.n")), c("__l.d"), True)
-    return ends.withColumn("next", cost).where(c("next") <= MOST).withColumn("next", c("next").cast("long")).drop("__l")
+    return _priced(ends, cost).where(c("next") <= MOST).withColumn("next", c("next").cast("long"))
 
 
 def sold(rows: DataFrame, level: DataFrame, *, have: str = "amount", asset: str = "asset", hot_rows: float | None = None) -> DataFrame:
@@ -80,7 +95,7 @@ def sold(rows: DataFrame, level: DataFrame, *, have: str = "amount", asset: str
     c = F.col
     ends = _ended(rows.where(c(have) > 0), level, here="buying", there="selling", start="cost_before", size="cost", want=have, asset=asset, hot_rows=hot_rows)
     got = c("__l.amount_before") + F.least(c("__l.amount").cast("decimal(38,0)"), _div(_product(c(have).cast("decimal(20,0)") - c("__l.cost_before"), c("__l.d")), c("__l.n"), False))
-    return ends.withColumn("next", got).where((c("next") > 0) & (c("next") <= MOST)).withColumn("next", c("next").cast("long")).drop("__l")
+    return _priced(ends, got).where((c("next") > 0) & (c("next") <= MOST)).withColumn("next", c("next").cast("long"))
 
 
 def pool_sides(pools: DataFrame) -> DataFrame:
@@ -110,7 +125,7 @@ def find_paths(level: DataFrame, starts: DataFrame, *, receive: bool, max_hops:
     perhaps ``limit``, null for none) says where paths may end: only these are returned, with ``receive`` only up to the limit,
     and the last hop goes nowhere else.
 
-    A hop merges the open ends with the sums of the books of their assets (see ``_ended``), then takes running extrema of
+    A hop merges the open ends with the pages of the books of their assets (see ``_ended``), then takes running extrema of
     what arrived, one row for each asset that it comes from; each hop is written, so the plan does not grow. No start: no path.
     """
     c = F.col

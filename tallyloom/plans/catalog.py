@@ -424,14 +424,14 @@ select selling, buying, max(case when owed = 0 then paid end)::bigint as cost fr
 def q48(t: Tables) -> DataFrame:
     """What 40 units cost in each pair, offer by offer in SQL, by running sums here; null where a pair has fewer."""
     pairs = _offers(t).select("selling", "buying").distinct()
-    cost = paths.bought(pairs.select(F.col("selling").alias("asset"), F.lit(40).cast("long").alias("amount")).distinct(), paths.levels(_offers(t)))
+    cost = paths.bought(pairs.select(F.col("selling").alias("asset"), F.lit(40).cast("long").alias("amount")).distinct(), scratch.written(paths.levels(_offers(t)), "levels"))
     return pairs.join(cost.select(F.col("asset").alias("selling"), F.col("there").alias("buying"), F.col("next").alias("cost")), ["selling", "buying"], "left")
 
 
 @query("q48b_greedy_fill_all", f"with {LEVELS}, p as (select distinct selling, buying from o) select p.selling, p.buying, cb + ((40 - ab) * n + d - 1) // d as cost from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 40 > ab and 40 <= ab + amount")
 def q48b(t: Tables) -> DataFrame:
     """What 40 units cost in each pair, over all offers; null where a pair has fewer."""
-    level = paths.levels(_offers(t))
+    level = scratch.written(paths.levels(_offers(t)), "levels")
     pairs = level.select("selling", "buying").distinct()
     cost = paths.bought(pairs.select(F.col("selling").alias("asset"), F.lit(40).cast("long").alias("amount")).distinct(), level)
     return pairs.join(cost.select(F.col("asset").alias("selling"), F.col("there").alias("buying"), F.col("next").alias("cost")), ["selling", "buying"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.operators import deltas, markets, paths, transfers
 from tallyloom.plans import views
 from tallyloom.plans.registry import Tables, query
+from tallyloom.sinks import scratch
 from tallyloom.plans.views import LEVELS, TRADES
 
 WEEK = markets.RESOLUTIONS["1w"]
@@ -115,7 +116,7 @@ def q49e(t: Tables) -> DataFrame:
     """For every pool and three amounts, whether the pool or the offers of its pair ask less."""
     sides = paths.pool_sides(_pools(t))
     wants = sides.select("selling", "buying", F.explode(F.array(*[F.lit(n).cast("long") for n in (5, 40, 90)])).alias("need")).select(F.col("selling").alias("asset"), F.col("buying").alias("pair"), "need")
-    book = paths.bought(wants, paths.levels(views.offers(t)), need="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("book"))
+    book = paths.bought(wants, scratch.written(paths.levels(views.offers(t)), "levels"), need="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("book"))
     pool = paths.pool_trade(wants, sides, receive=True, amount="need").where("there = pair").select("asset", "pair", "need", F.col("next").alias("pool"))
     both = pool.join(book, ["asset", "pair", "need"], "left")
     return both.select(F.col("asset").alias("selling"), F.col("pair").alias("buying"), F.col("need").cast("int").alias("need"), "book", "pool", F.when(F.col("book").isNull() | (F.col("pool") < F.col("book")), F.lit("pool")).otherwise(F.lit("book")).alias("venue"))
@@ -124,7 +125,7 @@ def q49e(t: Tables) -> DataFrame:
 @query("q48c_proceeds", f"with {LEVELS}, p as (select distinct selling, buying from o), x as (select p.selling, p.buying, ab + least(amount, ((60 - cb) * d) // n) as got from p left join lv on lv.selling = p.selling and lv.buying = p.buying and 60 > cb and 60 <= cb + cost) select selling, buying, case when got > 0 then got end as got from x")
 def q48c(t: Tables) -> DataFrame:
     """What 60 units buy in each pair; null where its offers cannot take them all."""
-    level = paths.levels(views.offers(t))
+    level = scratch.written(paths.levels(views.offers(t)), "levels")
     got = paths.sold(level.select("buying", F.lit(60).cast("long").alias("amount")).distinct().withColumnRenamed("buying", "given"), level, asset="given").select(F.col("given").alias("buying"), F.col("there").alias("selling"), F.col("next").alias("summed"))
     return level.select("selling", "buying").distinct().join(got.withColumnRenamed("summed", "got"), ["selling", "buying"], "left")
 
