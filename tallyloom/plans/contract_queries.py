@@ -214,8 +214,8 @@ def q94(t: Tables) -> DataFrame:
     pools = lines.select(o.alias("ledger"), F.lit(1).alias("tx_index"), line.alias("op_index"), _key("P", c("l_partkey")).alias("pool"), a.alias("asset_a"), b.alias("asset_b"), (-c("l_partkey")).alias("amount_a"), c("l_suppkey").alias("amount_b"))
     txs = t.orders.select(c("o_orderkey").alias("ledger"), F.lit(1).alias("tx_index"), _key("s", c("o_orderkey")).alias("account"), c("o_orderkey").alias("sequence"))
     arm = (c("ledger") + c("op_index")) % 4
-    made = pools.join(txs, ["ledger", "tx_index"]).withColumn("side", F.explode(F.array_compact(F.array(F.when(arm.isin(1, 3), F.lit("a")), F.when(arm.isin(2, 3), F.lit("b"))))))
+    made = pools.withColumn("side", F.explode(F.array_compact(F.array(F.when(arm.isin(1, 3), F.lit("a")), F.when(arm.isin(2, 3), F.lit("b"))))))
     asset, amount = F.when(c("side") == "a", c("asset_a")).otherwise(c("asset_b")), F.abs(F.when(c("side") == "a", c("amount_a")).otherwise(c("amount_b")))
-    created = made.select("ledger", "tx_index", "op_index", ids.revoked_balance_id(account=c("account"), sequence=c("sequence"), op_index=c("op_index"), pool=c("pool"), asset=asset).alias("balance_id"), asset.alias("asset"), amount.alias("amount"))
+    created = made.select("ledger", "tx_index", "op_index", ids.revoked_balance_id(account=_key("s", c("ledger")), sequence=c("ledger"), op_index=c("op_index"), pool=c("pool"), asset=asset).alias("balance_id"), asset.alias("asset"), amount.alias("amount"))
     out = revocations.revocation_movements(pools, created, txs)
     return out.select("ledger", "tx_index", "op_index", _low(c("pool")).alias("pool"), "leg", "kind", _low(c("target")).alias("target"), _low(c("asset")).alias("asset"), "amount")
