@@ -14,3 +14,14 @@ def test_revocations_move_their_inputs_once(spark):
     created = spark.range(0).selectExpr("id as ledger", "1 as tx_index", "1 as op_index", "cast('p' as binary) as balance_id", "cast('a' as binary) as asset", "id as amount")
     txs = spark.range(0).selectExpr("id as ledger", "1 as tx_index", "cast('p' as binary) as account", "id as sequence")
     assert plan_of(revocation_movements(pools, created, txs)).count("Exchange ") <= 1
+
+
+def test_long_ranges_of_folders_are_whole_texts(spark):
+    from tallyloom.functions import ids
+
+    ranges = [(1, 1), (1, 63), (1, 64), (255, 256), (0, 65535), (16000, 70000), (65000, 200000), (4294960000, 4294967295)]
+    rows = spark.createDataFrame(ranges, "a long, b long")
+    for every in (64, 8, 256):
+        got = rows.select(ids.path_prefix_text(F.col("a"), F.col("b"), every).alias("t"), F.array_join(F.array_sort(ids.path_prefixes(F.col("a"), F.col("b"), every)), ",").alias("u")).collect()
+        assert [r.t for r in got] == [r.u for r in got] and all(r.t for r in got)
+    assert rows.select(ids.path_prefix_text(F.col("b"), F.col("a") - 70000)).first()[0] is None
