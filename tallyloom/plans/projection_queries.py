@@ -329,10 +329,11 @@ def q86e(t: Tables) -> DataFrame:
 
 @query("q87_wide_numbers", "with n as (select l_orderkey, l_linenumber, (case when l_suppkey % 2 = 0 then 1 else -1 end * l_partkey::hugeint * 46116860184273) as hi, (l_extendedprice * 100)::bigint::hugeint * 1000000007 * 1000 % 18446744073709551616::hugeint as lo from lineitem), v as (select *, hi * 18446744073709551616::hugeint + lo as v from n), a as (select *, abs(v)::varchar as digits from v) select l_orderkey, l_linenumber, v::varchar as raw, case when v < 0 then '-' else '' end || left(lpad(digits, greatest(length(digits), 8)::int, '0'), -7) || '.' || right(lpad(digits, greatest(length(digits), 8)::int, '0'), 7) as text from a")
 def q87(t: Tables) -> DataFrame:
-    """128-bit amounts from their halves, as whole numbers and with seven places."""
-    high = F.when(c("l_suppkey") % 2 == 0, c("l_partkey")).otherwise(-c("l_partkey")) * 46116860184273
+    """128-bit amounts from their halves, as whole numbers and with seven places; the parts from 200,001 on make numbers beyond 128 bits, as exact."""
+    part = c("l_partkey").cast("decimal(19,0)")
+    high = F.when(c("l_suppkey") % 2 == 0, part).otherwise(-part) * F.lit("46116860184273").cast("decimal(14,0)")
     low = F.pmod(views.cents("l_extendedprice").cast("decimal(19,0)") * F.lit("1000000007000").cast("decimal(13,0)"), F.lit("18446744073709551616").cast("decimal(20,0)"))
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", money.text_from_halves(high, low).alias("raw"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", money.wide_text_from_halves(high, low).alias("raw"))
     return rows.withColumn("text", money.long_amount_text(c("raw")))
 
 

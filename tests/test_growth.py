@@ -25,3 +25,28 @@ def test_long_ranges_of_folders_are_whole_texts(spark):
         got = rows.select(ids.path_prefix_text(F.col("a"), F.col("b"), every).alias("t"), F.array_join(F.array_sort(ids.path_prefixes(F.col("a"), F.col("b"), every)), ",").alias("u")).collect()
         assert [r.t for r in got] == [r.u for r in got] and all(r.t for r in got)
     assert rows.select(ids.path_prefix_text(F.col("b"), F.col("a") - 70000)).first()[0] is None
+
+
+def test_numbers_beyond_128_bits_are_exact(spark):
+    from tallyloom.functions import money
+    from tallyloom.plans import projection_queries
+
+    pairs = [(h, w) for h in (0, 1, -1, 200_001 * 46116860184273, -7_200_000 * 46116860184273, 10**19, -(10**37) + 1, 2**63, -(2**63)) for w in (0, 1, 10**19, 2**64 - 1)]
+    rows = spark.createDataFrame([(str(h), str(w)) for h, w in pairs], "h string, w string")
+    got = rows.select(money.wide_text_from_halves(F.col("h").cast("decimal(38,0)"), F.col("w").cast("decimal(20,0)"))).collect()
+    assert [r[0] for r in got] == [str(h * 2**64 + w) for h, w in pairs]
+
+    class One:
+        lineitem = spark.sql("select 1L as l_orderkey, 1 as l_linenumber, 1200000L as l_partkey, 3L as l_suppkey, 12.34D as l_extendedprice")
+
+    assert projection_queries.q87(One).first().raw == str(-1_200_000 * 46116860184273 * 2**64 + 1234 * 1000000007000)
+
+
+def test_offers_that_share_an_id_are_in_order_of_their_amount(spark):
+    from tallyloom.operators import paths
+
+    offers = [("a", "b", n, 3, 2, 7) for n in (9, 1, 5, 3, 7)]
+    for rows in (offers, offers[::-1]):
+        frame = spark.createDataFrame(rows, "selling string, buying string, amount long, n long, d long, offer_id long").coalesce(1)
+        got = {r.amount: int(r.amount_before) for r in paths.levels(frame).collect()}
+        assert got == {1: 0, 3: 1, 5: 4, 7: 9, 9: 16}
