@@ -35,13 +35,14 @@ def _is_contract_event() -> Column:
     return (F.col("type") == "contract") & F.col("contract").isNotNull() & (F.col("body_version") == 0)
 
 
-def event_data(data: Column) -> Column:
+def event_data(data: Column, pairs: Column | None = None) -> Column:
     """What newer data say: a struct of ``amount`` (decimal text), ``mark`` (kind and value) and ``wrong``, a reason or null.
 
     Data are a 128-bit amount, or a map of symbols with such an ``amount`` and perhaps a ``to_muxed_id``: a number, bytes (of
-    any length, in hex), a text or nothing. Other keys mean nothing; a key that is no symbol spoils the map.
+    any length, in hex), a text or nothing. Other keys mean nothing; a key that is no symbol spoils the map. ``pairs`` are its
+    ``entries``, if they are a column already.
     """
-    pairs = cv.entries(data)
+    pairs = cv.entries(data) if pairs is None else pairs
     value = lambda name: F.try_element_at(F.filter(pairs, lambda e: cv.text_of(e["key"], "symbol") == name), F.lit(-1))["val"]
     there = lambda name: F.exists(pairs, lambda e: cv.text_of(e["key"], "symbol") == name)
     named = F.forall(pairs, lambda e: cv.has(e["key"], "symbol"))
@@ -62,6 +63,11 @@ def event_data(data: Column) -> Column:
     return F.struct(amount.alias("amount"), F.when(is_map, mark).cast(_MARK).alias("mark"), wrong.alias("wrong"))
 
 
+def plain_data(whole: Column) -> Column:
+    """What data that are no map say, by their number (``whole``)."""
+    return F.struct(whole.alias("amount"), F.lit(None).cast(_MARK).alias("mark"), F.when(whole.isNull(), "amount").alias("wrong"))
+
+
 def claimed_asset(text: Column) -> Column:
     """``native`` (in any case) or ``code:issuer`` as a struct (native, code, issuer: key); null for other text and for addresses that are none."""
     bits = F.split(text, ":")
@@ -90,11 +96,14 @@ def read_events(events: DataFrame, *, network: Column) -> DataFrame:
     rows = events.withColumn("kind", cv.text_of(_topic(0), "symbol"))
     layout = lambda what, default: F.coalesce(*[F.when((version == v) & (c("kind") == k), F.lit(what(places, size))) for (v, k), (places, size) in LAYOUTS.items()], F.lit(default))
     texts = {f"__{who}": F.when(layout(lambda p, _, who=who: p.get(who, 0), 0) > 0, cv.text_of(F.get("topics", layout(lambda p, _, who=who: p.get(who, 0), 0)), "address")) for who in ("source", "target", "admin")}
-    old = F.struct(cv.whole(c("data")).alias("amount"), F.lit(None).cast(_MARK).alias("mark"), F.when(cv.whole(c("data")).isNull(), "amount").alias("wrong"))
-    rows = staged(rows, texts | {"kind": c("kind"), "__data": F.when(version == 4, event_data(c("data"))).otherwise(old)})
-    kinds = {f"__{who}_kind": address.decode(c(f"__{who}"))["kind"] for who in ("source", "target", "admin")}
-    name = cv.text_of(F.try_element_at("topics", F.lit(-1)), "string")
-    rows = staged(rows, kinds | {"__asset": claimed_asset(F.when(n == layout(lambda _, size: size, 0), name))})
+    name = F.when(n == layout(lambda _, size: size, 0), cv.text_of(F.try_element_at("topics", F.lit(-1)), "string"))
+    rows = staged(rows, texts | {"kind": c("kind"), "__name": name, "__whole": cv.whole(c("data")), "__pairs": F.when(version == 4, cv.entries(c("data")))})
+    # Addresses are read in one pass over all of a row, and what else is needed of them comes from there or from the text
+    read = {f"__{who}": F.struct(c(f"__{who}").alias("text"), address.decode(c(f"__{who}")).alias("d")) for who in ("source", "target", "admin")}
+    data = F.when(version == 4, F.when(cv.has(c("data"), "map"), event_data(c("data"), c("__pairs"))).otherwise(plain_data(c("__whole")))).otherwise(plain_data(c("__whole")))
+    rows = staged(rows, read | {"__data": data, "__asset": claimed_asset(c("__name"))})
+    for who in ("source", "target", "admin"):
+        rows = rows.withColumn(f"__{who}_kind", c(f"__{who}.d.kind"))
     least = layout(lambda p, _: 1 + max(p.values()), 99)
     missing = lambda who: (layout(lambda p, _: p.get(who, 0), 0) > 0) & c(f"__{who}_kind").isNull()
     wrong = (
@@ -109,11 +118,12 @@ def read_events(events: DataFrame, *, network: Column) -> DataFrame:
     )
     proven = F.when(wrong.isNull() & c("__asset").isNotNull(), _proven(c("__asset"), network)).otherwise(F.lit(False))
     rows = staged(rows, {"wrong": wrong, "__proven": proven})
-    issuer = F.when(c("__proven") & ~c("__asset.native"), address.encode("account", c("__asset.issuer")))
+    issuer = F.when(c("__proven") & ~c("__asset.native"), F.get(F.split("__name", ":"), F.lit(1)))  # the one text of its key
     asset = F.when(c("__proven"), F.when(c("__asset.native"), "native").otherwise(F.concat(c("__asset.code"), F.lit(":"), c("__issuer"))))
-    rows = staged(rows, {"__issuer": issuer}).withColumn("asset", asset)
-    plain = lambda who: F.when(c("__proven") & (version == 3) & (c("kind") == "transfer") & (c(f"__{who}_kind") == "muxed"), address.muxed_parts(c(f"__{who}"))["account"]).otherwise(c(f"__{who}"))
-    rows = staged(rows, {"source": plain("source"), "target": plain("target")})
+    rows = rows.withColumn("__issuer", issuer).withColumn("asset", asset)
+    behind = lambda who: (c("__proven") & (version == 3) & (c("kind") == "transfer") & (c(f"__{who}_kind") == "muxed"))
+    account = lambda who: address.encode("account", F.when(behind(who) & (F.octet_length(c(f"__{who}.d.key")) == 40), F.substring(c(f"__{who}.d.key"), 1, 32)))
+    rows = staged(rows, {who: F.when(behind(who), account(who)).otherwise(c(f"__{who}.text")) for who in ("source", "target")})
     fixes = c("__proven") & (version == 3) & (c("kind") == "transfer")
     out, into = F.coalesce(c("source") == c("__issuer"), F.lit(False)), F.coalesce(c("target") == c("__issuer"), F.lit(False))
     kind = F.when(fixes & out & ~into, "mint").when(fixes & into & ~out, "burn").otherwise(c("kind"))

@@ -50,3 +50,10 @@ def test_offers_that_share_an_id_are_in_order_of_their_amount(spark):
         frame = spark.createDataFrame(rows, "selling string, buying string, amount long, n long, d long, offer_id long").coalesce(1)
         got = {r.amount: int(r.amount_before) for r in paths.levels(frame).collect()}
         assert got == {1: 0, 3: 1, 5: 4, 7: 9, 9: 16}
+
+
+def test_events_pass_python_twice_at_most(spark):
+    from tallyloom.operators import contract_events as ce
+
+    rows = spark.range(0).selectExpr("id as ledger", "1 as tx_index", "1 as op_index", "4 as meta_version", "'contract' as type", "cast('c' as binary) as contract", "0 as body_version", "array(parse_json('1')) as topics", "parse_json('1') as data")
+    assert plan_of(ce.read_events(rows, network=F.lit(b"n"))).count("ArrowEvalPython") <= 2
