@@ -57,3 +57,14 @@ def test_events_pass_python_twice_at_most(spark):
 
     rows = spark.range(0).selectExpr("id as ledger", "1 as tx_index", "1 as op_index", "4 as meta_version", "'contract' as type", "cast('c' as binary) as contract", "0 as body_version", "array(parse_json('1')) as topics", "parse_json('1') as data")
     assert plan_of(ce.read_events(rows, network=F.lit(b"n"))).count("ArrowEvalPython") <= 2
+
+
+def test_hashes_are_joined_as_bytes(spark):
+    from tallyloom.plans import catalog
+
+    class One:
+        orders = spark.sql("select 1L as o_orderkey, 2000D as o_totalprice union all select 2L, 10D")
+        lineitem = spark.sql("select 1L as l_orderkey, 4 as l_linenumber union all select 1L, 2 union all select 3L, 1")
+
+    assert sorted(map(tuple, catalog.q30(One).collect())) == [(1, 2, True, 1), (1, 4, True, 2)]
+    assert "unhex(sha2(" in catalog.q30(One)._jdf.queryExecution().analyzed().toString()
