@@ -29,7 +29,7 @@ def _headers(t: Tables) -> DataFrame:
     k = c("o_orderkey")
     content = F.concat(F.lit("header "), k.cast("string"))
     previous = _digest("header ", k - 1)
-    lines = t.lineitem.groupBy(c("l_orderkey").alias("__of")).agg(F.array_sort(F.collect_list(F.struct(F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), 256).alias("own"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("body")))).alias("txs"))
+    lines = t.lineitem.groupBy(c("l_orderkey").alias("__of")).agg(F.array_sort(F.collect_list(F.struct(F.unhex(F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), 256)).alias("own"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("body")))).alias("txs"))
     rows = t.orders.join(lines, k == c("__of"), "left")
     joined = F.concat(F.unhex(previous), F.encode(F.coalesce(F.array_join(F.transform("txs", lambda x: x["body"]), ""), F.lit("")), "UTF-8"))
     named_set = F.when(k % 103 == 0, _digest("x", k)).otherwise(F.sha2(joined, 256))

@@ -68,3 +68,13 @@ def test_hashes_are_joined_as_bytes(spark):
 
     assert sorted(map(tuple, catalog.q30(One).collect())) == [(1, 2, True, 1), (1, 4, True, 2)]
     assert "unhex(sha2(" in catalog.q30(One)._jdf.queryExecution().analyzed().toString()
+
+
+def test_envelopes_are_moved_as_bytes(spark):
+    from tallyloom.operators import hash_trees as ht
+
+    envelopes = spark.sql("select 1L as sequence, cast('a' as binary) as body")
+    headers = spark.sql("select 1L as sequence, sha2('x', 256) as prev_hash")
+    made = ht.set_hashes(envelopes, headers)
+    assert "hex(body" not in made._jdf.queryExecution().analyzed().toString()
+    assert made.first().hash == spark.sql("select sha2(concat(unhex(sha2('x', 256)), cast('a' as binary)), 256)").first()[0]
