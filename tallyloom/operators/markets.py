@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.money import floor_div, gcd, price_order
+from tallyloom.functions.staged import staged
 from tallyloom.functions.timing import round_down
 
 #: Lengths of a candle in milliseconds that are offered. Fixed values.
@@ -23,14 +24,17 @@ def candles(trades: DataFrame, *, keys: list[str], ms: Column, base: str, counte
     c = F.col
     ten, wide = F.lit(10_000_000).cast("decimal(8,0)"), lambda x: x.cast("decimal(19,0)")
     rows = trades.where(c(base) > 0).select(*keys, round_down(ms, resolution, offset).alias("timestamp"), c(base).cast("long").alias("__b"), c(counter).cast("long").alias("__c"), F.struct(ms.alias("ms"), *order).alias("__o"))
-    small = c("__c").between(0, ((1 << 63) - 1) // 10_000_000)  # then 63 bits hold the product; others take 38 digits
-    short = F.when(small, F.call_function("div", c("__c") * 10_000_000, c("__b")))
-    long_ = F.when(~small, floor_div((wide(c("__c")) * ten).cast("decimal(38,0)"), wide(c("__b"))))
-    rows = rows.withColumns({"__p": short, "__w": long_})
+    most, div = ((1 << 63) - 1) // 10_000_000, lambda a, b: F.call_function("div", a, b)
+    whole_part, rest = div(c("__c"), c("__b")), c("__c") % c("__b")
+    split, parts = (c("__c") >= 0) & (rest <= most), div(rest * 10_000_000, c("__b"))  # then 63 bits hold what follows the whole part
+    small = split & (whole_part < most)  # then they hold the price; others take 38 digits
+    short = F.when(small, whole_part * 10_000_000 + parts)
+    long_ = F.when(~small, F.when(split, (wide(whole_part) * ten + parts.cast("decimal(8,0)")).cast("decimal(38,0)")).otherwise(floor_div((wide(c("__c")) * ten).cast("decimal(38,0)"), wide(c("__b")))))
+    rows = staged(rows, {"__p": short, "__w": long_})
     price = lambda p, w: F.coalesce(p.cast("decimal(38,0)"), w)
     four = [F.max("__p").alias("__hp"), F.max("__w").alias("__hw"), F.min("__p").alias("__lp"), F.min("__w").alias("__lw"), *[f(n, "__o").alias(f"__{side}{n[2:]}") for side, f in (("open", F.min_by), ("close", F.max_by)) for n in ("__p", "__w")]]
     if rationals:
-        rows = rows.withColumns({"__k": price_order(wide(c("__c")), wide(c("__b"))), "__r": F.struct(c("__c").alias("n"), c("__b").alias("d"))})
+        rows = staged(rows, {"__k": price_order(c("__c"), c("__b"))}).withColumn("__r", F.struct(c("__c").alias("n"), c("__b").alias("d")))
         four += [F.max_by("__r", "__k").alias("high_r"), F.min_by("__r", "__k").alias("low_r"), F.min_by("__r", "__o").alias("open_r"), F.max_by("__r", "__o").alias("close_r")]
     halves = [f(n).alias(f"__{k}{n}") for n in ("__b", "__c") for k, f in (("hi", lambda n: F.sum(F.shiftright(n, 32))), ("lo", lambda n: F.sum(F.col(n).bitwiseAND(F.lit((1 << 32) - 1)))))]
     whole = lambda n: (c(f"__hi{n}").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + c(f"__lo{n}").cast("decimal(19,0)")).cast("decimal(29,0)")
@@ -46,7 +50,7 @@ def candles(trades: DataFrame, *, keys: list[str], ms: Column, base: str, counte
 
 def _whole(a: Column, b: Column) -> Column:
     """a / b of longs where b divides a."""
-    return floor_div(a.cast("decimal(38,0)"), b.cast("decimal(19,0)")).cast("long")
+    return F.call_function("div", a, b)
 
 
 def order_book(offers: DataFrame, *, side: str, n: str, d: str, amount: str, keys: list[str] | None = None, depth: int = 20) -> DataFrame:

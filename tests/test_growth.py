@@ -78,3 +78,54 @@ def test_envelopes_are_moved_as_bytes(spark):
     made = ht.set_hashes(envelopes, headers)
     assert "hex(body" not in made._jdf.queryExecution().analyzed().toString()
     assert made.first().hash == spark.sql("select sha2(concat(unhex(sha2('x', 256)), cast('a' as binary)), 256)").first()[0]
+
+
+def test_fractions_sort_and_shorten_exactly(spark):
+    import random
+    from fractions import Fraction
+    from math import gcd
+
+    from tallyloom.functions import money
+
+    rng = random.Random(5)
+    top = 2**63 - 1
+    pairs = [(top, top - 1), (top - 1, top - 2), (1, top), (1, top - 1), (0, 7), (0, top), (1, 2), (2, 4), (top, 1), (2**31, 2**31), (2**31 - 1, 2**31), (832040, 514229)]
+    pairs += [(7540113804746346429, 4660046610375530309), (4660046610375530309, 7540113804746346429)]  # Fibonacci numbers take the most steps
+    pairs += [(rng.randrange(1 << rng.randrange(1, 63)), 1 + rng.randrange(1 << rng.randrange(1, 63))) for _ in range(300)]
+    pairs += [(n * 3 + 1, d * 3) for n, d in pairs if max(n, d) < top // 4]
+    rows = spark.createDataFrame(pairs, "n long, d long")
+    got = rows.select("n", "d", money.price_order(F.col("n"), F.col("d")).alias("k"), money.gcd(F.col("n"), F.col("d")).alias("g")).collect()
+    assert all(r.g == gcd(r.n, r.d) for r in got)
+    by_key, by_value = {}, {}
+    for r in got:
+        by_key.setdefault(tuple(r.k), set()).add(Fraction(r.n, r.d))
+        by_value.setdefault(Fraction(r.n, r.d), set()).add(tuple(r.k))
+    assert all(len(v) == 1 for v in (*by_key.values(), *by_value.values()))
+    assert [next(iter(by_key[k])) for k in sorted(by_key)] == sorted(by_value)
+
+
+def _largest_method(df):
+    import re
+
+    session = df.sparkSession
+    mode = session._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode)))
+
+
+def test_fractions_and_candles_compile_to_small_methods(spark):
+    """The JVM interprets methods above 8,000 bytes of code, which took 62 microseconds a row."""
+    from tallyloom.functions import money
+    from tallyloom.operators import markets
+
+    rows = spark.range(100).selectExpr("id as amount", "id + 5 as needed", "id + 1 as n", "id % 7 + 1 as d", "1 as part", "id as ms")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        taken = money.with_buying_units(rows)
+        assert _largest_method(taken) < 8000
+        bars = markets.candles(rows, keys=["part"], ms=F.col("ms"), base="d", counter="amount", order=["ms"], resolution=60_000, rationals=True)
+        assert _largest_method(bars) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    c = F.col
+    assert sorted(taken.select("n", "d", "bought", "sold").collect()) == sorted(rows.select("n", "d", *[x.alias(n) for x, n in zip(money.buying_units(c("amount"), c("needed"), c("n"), c("d")), ("bought", "sold"), strict=True)]).collect())
