@@ -129,3 +129,25 @@ def test_fractions_and_candles_compile_to_small_methods(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     c = F.col
     assert sorted(taken.select("n", "d", "bought", "sold").collect()) == sorted(rows.select("n", "d", *[x.alias(n) for x, n in zip(money.buying_units(c("amount"), c("needed"), c("n"), c("d")), ("bought", "sold"), strict=True)]).collect())
+
+
+def test_sums_of_a_book_beyond_63_bits(spark):
+    from tallyloom.operators import paths
+
+    top = 2**63 - 1
+    offers = spark.createDataFrame([(1, "a", "b", top, 1, 4), (2, "a", "b", top, 1, 2), (3, "a", "b", 5, 1, 1), (4, "c", "b", top, 2, 1), (5, "c", "b", 5, 3, 1), (6, "d", "b", top, 2**31 - 1, 1)], "offer_id long, selling string, buying string, amount long, n long, d long")
+    rows = paths.levels(offers)
+    assert {f.dataType.simpleString() for f in rows.schema.fields[2:]} == {"bigint"}
+    quarter, half = -(-top // 4), -(-top // 2)
+    got = {(r.selling, r.n, r.d): (r.amount_before, r.cost, r.cost_before) for r in rows.collect()}
+    assert got == {("a", 1, 4): (0, quarter, 0), ("a", 1, 2): (top, half, quarter), ("a", 1, 1): (None, 5, quarter + half), ("c", 2, 1): (0, top, 0), ("d", 2**31 - 1, 1): (0, top, 0)}
+
+
+def test_few_wanted_amounts_leave_the_book_where_it_is(spark):
+    from tallyloom.operators import paths
+    from tallyloom.sinks.scratch import written
+
+    offers = spark.range(3000).selectExpr("id as offer_id", "concat('a', id % 3) as selling", "concat('a', (id + 1) % 3) as buying", "id % 50 + 1 as amount", "id % 7 + 1 as n", "id % 5 + 1 as d")
+    level = written(paths.levels(offers), "levels")
+    wants = spark.createDataFrame([("a0", 40)], "asset string, amount long")
+    assert "Exchange hashpartitioning" not in plan_of(paths.bought(wants, level))
