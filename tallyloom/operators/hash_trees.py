@@ -18,14 +18,14 @@ def digest(hexed: Column) -> Column:
 
 def level_hash(curr: Column, snap: Column) -> Column:
     """Digest of a level's two hashes; an empty or null one adds no byte, one that is not of 32 bytes makes it null."""
-    part = lambda h: F.when(F.coalesce(h, F.lit("")) == "", "").when(h.rlike("^[0-9a-fA-F]{64}$"), h)
-    return digest(F.concat(part(curr), part(snap)))
+    part = lambda h: F.when(F.coalesce(h, F.lit("")) == "", F.lit(b"")).when(F.octet_length(h) == 64, F.unhex(h))
+    return F.sha2(F.concat(part(curr), part(snap)), 256)
 
 
 def bucket_list_hash(levels: Column) -> Column:
     """Digest over the digests of all levels (structs of ``curr`` and ``snap``) in their order; null if one of them is."""
     each = F.transform(levels, lambda level: level_hash(level["curr"], level["snap"]))
-    return F.when(~F.exists(each, lambda h: h.isNull()), digest(F.array_join(each, "")))
+    return F.sha2(F.unhex(F.array_join(each, "", "no hex")), 256)
 
 
 def set_hashes(envelopes: DataFrame, headers: DataFrame, *, sequence: str = "sequence", body: str = "body", previous: str = "prev_hash") -> DataFrame:

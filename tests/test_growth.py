@@ -151,3 +151,15 @@ def test_few_wanted_amounts_leave_the_book_where_it_is(spark):
     level = written(paths.levels(offers), "levels")
     wants = spark.createDataFrame([("a0", 40)], "asset string, amount long")
     assert "Exchange hashpartitioning" not in plan_of(paths.bought(wants, level))
+
+
+def test_digests_of_lists_are_made_by_many_tasks(spark):
+    from tallyloom.plans import archive_queries
+
+    class Few:
+        customer = spark.range(0, 500, 1, 1).select(F.col("id").alias("c_custkey"))
+
+    report = archive_queries.q95d(Few())
+    assert "bucket_list_hash" in report._jdf.queryExecution().toString() and report.count() == sum(k % 13 == 0 or k % 17 == 0 for k in range(500))
+    plan = plan_of(report)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 2
