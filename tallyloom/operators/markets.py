@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.money import floor_div, gcd, price_order
 from tallyloom.functions.staged import staged
 from tallyloom.functions.timing import round_down
+from tallyloom.sinks.scratch import written
 
 #: Lengths of a candle in milliseconds that are offered. Fixed values.
 RESOLUTIONS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "1d": 86_400_000, "1w": 604_800_000}
@@ -57,12 +60,22 @@ def order_book(offers: DataFrame, *, side: str, n: str, d: str, amount: str, key
     """Amounts by price level, the best ``depth`` levels of each side: asks from the least price, bids from the greatest.
 
     A level is a price as written: 1/2 and 2/4 are two levels, one after the other. Prices are compared as decimals, which
-    is exact for numerators and denominators of 31 bits, as prices have.
+    is exact for numerators and denominators of 31 bits, as prices have. ``offers`` are read twice: first for a bound that at
+    least ``depth`` levels of a side reach, then for the levels up to it, so that only about as many are gathered and sorted.
     """
     keys = keys or []
-    levels = offers.groupBy(*keys, side, n, d).agg(F.sum(amount).alias("amount"))
     price = F.col(n).cast("decimal(19,0)") / F.col(d).cast("decimal(19,0)")
-    w = Window.partitionBy(*keys, side).orderBy(F.when(F.col(side) == "ask", price).otherwise(-price), F.col(n), F.col(d))
+    best = F.when(F.col(side) == "ask", price).otherwise(-price)
+    # Prices are dealt to buckets by hash. The bests of ``depth`` buckets are as many levels, so none beyond the last of them is among the first.
+    groups = [*keys, side]
+    bests = offers.groupBy(*groups, F.pmod(F.xxhash64(n, d), F.lit(4 * depth)).alias("__bucket")).agg(F.min(best).alias("__bound"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col("__bound").asc_nulls_last()))
+    bounds = bests.withColumn("__place", place).where(F.col("__place") == depth).select(*[F.col(g).alias(f"__of_{i}") for i, g in enumerate(groups)], "__bound")
+    bounds = written(bounds, "bounds")  # so its size is known, and few bounds go to the offers
+    same = functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"__of_{i}")) for i, g in enumerate(groups)])
+    near = offers.join(bounds, same, "left").where(F.coalesce(best <= F.col("__bound"), F.lit(True))).select(*offers.columns)
+    levels = near.groupBy(*groups, n, d).agg(F.sum(amount).alias("amount"))
+    w = Window.partitionBy(*groups).orderBy(best, F.col(n), F.col(d))
     return levels.withColumn("level", F.row_number().over(w).cast("long")).where(F.col("level") <= depth)
 
 

@@ -153,6 +153,31 @@ def test_few_wanted_amounts_leave_the_book_where_it_is(spark):
     assert "Exchange hashpartitioning" not in plan_of(paths.bought(wants, level))
 
 
+def test_order_books_keep_what_a_sort_of_all_levels_keeps(spark):
+    from tallyloom.operators.markets import order_book
+
+    rows = spark.range(4000).selectExpr("if(id % 5 = 0, null, id % 3) as market", "if(id % 2 = 0, 'ask', if(id % 7 = 0, null, 'bid')) as side", "id * 7919 % 401 as n", "id % 11 + 1 as d", "id as amount")
+    rows = rows.unionByName(spark.createDataFrame([(9, "ask", None, 2, 5), (9, "ask", 3, 2, 5), (9, "ask", 6, 4, 5)], "market long, side string, n long, d long, amount long"))
+    got = order_book(rows, keys=["market"], side="side", n="n", d="d", amount="amount", depth=4).collect()
+    books = {}
+    for r in rows.collect():
+        book = books.setdefault((r.market, r.side), {})
+        book[r.n, r.d] = book.get((r.n, r.d), 0) + r.amount
+    want = set()
+    for (market, side), book in books.items():
+        order = sorted(book, key=lambda x: (x[0] is not None, 0 if x[0] is None else x[0] / x[1] if side == "ask" else -x[0] / x[1], x[0] or 0, x[1]))
+        want |= {(market, side, n, d, book[n, d], i + 1) for i, (n, d) in enumerate(order[:4])}
+    assert {(r.market, r.side, r.n, r.d, r.amount, r.level) for r in got} == want and len(got) == len(want)
+
+
+def test_order_books_sort_few_levels(spark):
+    from tallyloom.operators.markets import order_book
+
+    rows = spark.range(50000).selectExpr("id % 2 as market", "'ask' as side", "id as n", "1 as d", "id as amount")
+    book = order_book(rows, keys=["market"], side="side", n="n", d="d", amount="amount", depth=5)
+    assert "__bound" in book._jdf.queryExecution().toString() and book.count() == 10
+
+
 def test_digests_of_lists_are_made_by_many_tasks(spark):
     from tallyloom.plans import archive_queries
 
