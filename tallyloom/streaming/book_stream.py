@@ -7,14 +7,15 @@ from contextlib import contextmanager
 from decimal import Decimal
 from math import gcd
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.streaming.ledger_stream import ordered_table, run_into
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "selling string, buying string, part int, n long, d long, offers long, amount decimal(38,0), reserve_a long, reserve_b long, first_ledger long, ledger long"
-_Change = Row(*[x.split()[0] for x in CHANGES.split(", ")])
+_NAMES = [x.split()[0] for x in CHANGES.split(", ")]
 
 
 @contextmanager
@@ -38,55 +39,62 @@ class _Book(StatefulProcessor):
         self.pool = handle.getValueState("pool", "reserve_a long, reserve_b long")
         self.last = handle.getValueState("last", "ledger long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict[tuple[str, int | None], Row] = {}
-        first = high = None
-        for r in rows:
-            first = r.ledger if first is None else min(first, r.ledger)
-            high = r.ledger if high is None else max(high, r.ledger)
-            at = (r.what, r.id if r.what == "offer" else None)
-            if at not in newest or (newest[at].ledger, newest[at].place) <= (r.ledger, r.place):
-                newest[at] = r
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = first = high = None
+        for some in rows:
+            if some["ledger"].isna().any():
+                raise ValueError(f"a row of {key[0]}, {key[1]} without a ledger")
+            if len(some):
+                low, top = int(some["ledger"].min()), int(some["ledger"].max())
+                first, high = (low, top) if first is None else (min(first, low), max(high, top))
+                some = some if newest is None else pd.concat([newest, some])
+                newest = some.sort_values(["ledger", "place"], kind="stable").drop_duplicates("at", keep="last")
         if first is None:
             return
-        last = self.last.get() if self.last.exists() else None
+        fresh = not self.last.exists()  # then nothing is held, and nothing need be looked for
+        last = None if fresh else self.last.get()
         if last is not None and first <= last[0]:
             raise ValueError(f"ledger {first} of {key[0]}, {key[1]} comes after {last[0]}")
         self.last.update((high,))
+        changes: list[tuple] = []
         touched: dict[tuple[int, int], list] = {}
 
         def level(n: int, d: int) -> list:
             g = gcd(n, d) or 1
             at = (n // g, d // g)
             if at not in touched:
-                held = self.levels.getValue(at) if self.levels.containsKey(at) else None
+                held = self.levels.getValue(at) if not fresh and self.levels.containsKey(at) else None
                 touched[at] = list(held) if held else [0, Decimal(0)]
             return touched[at]
 
-        for (what, id_), r in newest.items():
+        for removed, text in zip(newest["removed"].tolist(), newest["numbers"].tolist(), strict=True):
+            what, *numbers = text.split(",")
+            numbers = [int(x) if x else None for x in numbers]
             if what == "pool":
-                if r.removed:
+                if removed:
                     self.pool.clear()
                 else:
-                    self.pool.update((r.reserve_a, r.reserve_b))
-                yield _Change(*key, None, None, None, None, None if r.removed else r.reserve_a, None if r.removed else r.reserve_b, first, high)
+                    self.pool.update(tuple(numbers))
+                changes.append((*key, None, None, None, None, *((None, None) if removed else numbers), first, high))
                 continue
-            if self.offers.containsKey((id_,)):
+            id_, new_amount, new_n, new_d = numbers
+            if not fresh and self.offers.containsKey((id_,)):
                 amount, n, d = self.offers.getValue((id_,))
                 held = level(n, d)
                 held[0], held[1] = held[0] - 1, held[1] - amount
-                if r.removed:
+                if removed:
                     self.offers.removeKey((id_,))
-            if not r.removed:
-                self.offers.updateValue((id_,), (r.amount, r.n, r.d))
-                held = level(r.n, r.d)
-                held[0], held[1] = held[0] + 1, held[1] + r.amount
+            if not removed:
+                self.offers.updateValue((id_,), (new_amount, new_n, new_d))
+                held = level(new_n, new_d)
+                held[0], held[1] = held[0] + 1, held[1] + new_amount
         for at, (count, amount) in touched.items():
             if count:
                 self.levels.updateValue(at, (count, amount))
-            elif self.levels.containsKey(at):
+            elif not fresh and self.levels.containsKey(at):
                 self.levels.removeKey(at)
-            yield _Change(*key, *at, count, amount, None, None, first, high)
+            changes.append((*key, *at, count, amount, None, None, first, high))
+        yield pd.DataFrame(changes, columns=_NAMES, dtype=object)
 
     def close(self) -> None:
         pass
@@ -101,12 +109,20 @@ def book_changes(stream: DataFrame, *, parts: int = 8) -> DataFrame:
     as a removal there and an offer here. Ledgers must rise from batch to batch: a row that does not come after what its
     pair has seen ends the stream with an error, and ``run_book`` checks this for all pairs together.
 
+    Of a batch's rows the newest by id are found in whole Arrow batches, and a key without state looks for none.
     State is kept by pair and ``parts`` of the ids, so a pair that many offers trade is not one key; each batch costs what it
     changes, however large the book. Removed offers leave the state. Start within ``rocksdb``.
     """
     part = F.when(F.col("what") == "offer", F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(0).cast("int")
-    rows = stream.withColumn("part", part)
-    return rows.groupBy("selling", "buying", "part").transformWithState(_Book(), CHANGES, "append", "none")
+    c = F.col
+    # Numbers go as one text, as pandas would turn longs with nulls into doubles.
+    text = lambda *names: F.concat(*[x for n in names for x in (F.lit(","), F.coalesce(c(n).cast("string"), F.lit("")))])
+    is_offer: Column = c("what") == "offer"
+    numbers = F.when(is_offer, F.concat("what", text("id", "amount", "n", "d"))).otherwise(F.concat("what", text("reserve_a", "reserve_b")))
+    at = F.when(is_offer, F.coalesce(c("id").cast("string"), F.lit("none"))).otherwise(c("what"))
+    place = F.coalesce(c("place").cast("long"), F.lit(-(1 << 63)))
+    rows = stream.select("selling", "buying", part.alias("part"), c("ledger").cast("long").alias("ledger"), place.alias("place"), F.coalesce("removed", F.lit(False)).alias("removed"), at.alias("at"), numbers.alias("numbers"))
+    return rows.groupBy("selling", "buying", "part").transformWithStateInPandas(_Book(), CHANGES, "append", "none")
 
 
 def run_book(stream: DataFrame, *, path: str, checkpoint: str, parts: int = 8) -> None:

@@ -188,3 +188,18 @@ def test_digests_of_lists_are_made_by_many_tasks(spark):
     assert "bucket_list_hash" in report._jdf.queryExecution().toString() and report.count() == sum(k % 13 == 0 or k % 17 == 0 for k in range(500))
     plan = plan_of(report)
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_a_book_keeps_63_bits_and_nulls(spark, tmp_path):
+    from tallyloom.streaming import book_stream
+
+    top, schema = 2**63 - 1, "ledger long, place int, what string, removed boolean, selling string, buying string, id long, amount long, n long, d long, reserve_a long, reserve_b long"
+    rows = [(1, 0, "offer", False, "x", "y", top, 5, 1, 2, None, None), (2, 0, "offer", False, "x", "y", top, top, 1, 3, None, None), (2, 1, "offer", False, "x", "y", top - 1, top - 2, 2, 6, None, None)]
+    rows += [(3, 0, "offer", True, "x", "y", 7, None, None, None, None, None), (3, 1, "pool", False, "x", "y", None, None, None, None, top, None)]
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    changes = book_stream.book_changes(spark.readStream.schema(schema).parquet(folder), parts=1)
+    assert "numbers#" in changes._jdf.queryExecution().logical().toString()
+    book_stream.run_book(spark.readStream.schema(schema).parquet(folder), path=str(tmp_path / "out"), checkpoint=checkpoint, parts=1)
+    assert [tuple(r)[2:] for r in book_stream.book_levels(spark, checkpoint).collect()] == [(1, 3, 2, 2 * top - 2)]
+    assert [tuple(r)[2:] for r in book_stream.book_pools(spark, checkpoint).collect()] == [(top, None)]
