@@ -22,6 +22,11 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def at(value: Column, path: str, kind: str = "variant") -> Column:
+    """What is at a path of a value; null where nothing is, or nothing of that type."""
+    return F.try_variant_get(value, path, kind)
+
+
 def has(value: Column, kind: str) -> Column:
     """Is the value of this kind? False for null."""
     return F.coalesce(F.try_variant_get(value, f"$.{kind}", "variant").isNotNull(), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import address, contract_values as cv, derived_ids as ids
@@ -19,8 +21,7 @@ def is_asset_key(key: Column, durability: Column) -> Column:
 
 def is_balance_key(key: Column, durability: Column) -> Column:
     """Could an entry of this key be a balance? Only a persistent one whose key is a vec of the symbol ``Balance`` and one more."""
-    parts = cv.items(key)
-    named = (F.size(parts) == 2) & (cv.text_of(F.get(parts, F.lit(0)), "symbol") == BALANCE)
+    named = (cv.at(key, "$.vec[0].symbol", "string") == BALANCE) & cv.at(key, "$.vec[1]").isNotNull() & cv.at(key, "$.vec[2]").isNull()
     return F.coalesce((durability == "persistent") & named, F.lit(False))
 
 
@@ -50,7 +51,7 @@ def asset_rows(entries: DataFrame, *, network: Column) -> DataFrame:
 
 
 def balance_rows(entries: DataFrame, *, network: Column) -> DataFrame:
-    """``entries`` that are a contract's balance of an asset, with ``holder`` (the address) and ``amount`` (decimal text, as wide as 128 bits).
+    """``entries`` that are a contract's balance of an asset, with ``holder`` (the address), ``holder_key`` and ``amount`` (decimal text, as wide as 128 bits).
 
     The key must be a persistent ``[Balance, address]`` whose address is a contract's, and the value a map of exactly ``amount``
     (a 128-bit number of 0 or more), ``authorized`` and ``clawback`` (both bool), in this order. Balances of the native asset are
@@ -58,9 +59,12 @@ def balance_rows(entries: DataFrame, *, network: Column) -> DataFrame:
     """
     c = F.col
     rows = entries.where(is_balance_key(c("key"), c("durability")) & (c("contract") != _native(network)))
-    rows = staged(rows, {"holder": cv.text_of(cv.items(c("key"))[1], "address"), "__map": cv.entries(c("val"))}).where(F.size("__map") == 3)
-    names = F.transform("__map", lambda e: cv.text_of(e["key"], "symbol"))
-    flags = [cv.flag(c("__map")[i]["val"]).isNotNull() for i in (1, 2)]
-    rows = rows.where((names == F.array(F.lit("amount"), F.lit("authorized"), F.lit("clawback"))) & flags[0] & flags[1])
-    rows = staged(rows, {"amount": cv.whole(c("__map")[0]["val"])}).where(~c("amount").startswith("-"))
-    return rows.where(address.decode(c("holder"))["kind"] == "contract").drop("__map")
+    rows = staged(rows, {"holder": cv.at(c("key"), "$.vec[1].address", "string")}).where(address.kind_of(c("holder")) == "contract")
+    # By path, as the map's entries as values of their own would each be written anew.
+    named = [cv.at(c("val"), f"$.map[{i}].key.symbol", "string") == name for i, name in enumerate(("amount", "authorized", "clawback"))]
+    flags = [cv.at(c("val"), f"$.map[{i}].val.bool", "boolean").isNotNull() for i in (1, 2)]
+    rows = rows.where(functools.reduce(lambda x, y: x & y, [*named, *flags, cv.at(c("val"), "$.map[3]").isNull()]))
+    rows = staged(rows, {"amount": cv.whole(cv.at(c("val"), "$.map[0].val"))}).where(~c("amount").startswith("-"))
+    # Last and once, as addresses are read in Python and rows wait for it: of those that are left, without what was looked at before.
+    rows = staged(rows, {"__holder": address.decode(c("holder"))}).where(c("__holder.kind") == "contract")
+    return rows.withColumn("holder_key", c("__holder.key")).drop("__holder")

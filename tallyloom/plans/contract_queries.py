@@ -66,14 +66,15 @@ def q90(t: Tables) -> DataFrame:
 def q90b(t: Tables) -> DataFrame:
     """Balances of contracts beyond 64 bits; lines from the fifth on are held by accounts, every 5th order's are negative, every 9th part's lack a flag."""
     part, supp = c("l_partkey"), c("l_suppkey")
-    holder = F.when(c("l_linenumber") < 5, address.encode("contract", _key("h", supp))).otherwise(address.encode("account", _key("h", supp)))
+    by_contract = c("l_linenumber") < 5
+    holder = F.coalesce(address.encode("contract", F.when(by_contract, _key("h", supp))), address.encode("account", F.when(~by_contract, _key("h", supp))))
     amount = F.concat(F.when(c("l_orderkey") % 5 == 0, "-").otherwise(""), (part.cast("decimal(38,0)") * F.expr("1000000000000000000000bd") + supp).cast("decimal(38,0)").cast("string"))
     last = F.when(part % 9 == 0, '{"u32":1}').otherwise('{"bool":false}')
     value = _json('{"map":[{"key":{"symbol":"amount"},"val":{"i128":"%s"}},{"key":{"symbol":"authorized"},"val":{"bool":true}},{"key":{"symbol":"clawback"},"val":%s}]}', amount, last)
     key = cv.parsed(_json('{"vec":[{"symbol":"Balance"},{"address":"%s"}]}', holder))
     rows = staged(t.lineitem, {"o": c("l_orderkey"), "n": c("l_linenumber"), "contract": _key("x", part), "durability": F.lit("persistent"), "key": key, "val": cv.parsed(value)})
     out = contract_data.balance_rows(rows, network=_net())
-    return out.select("o", "n", _low(c("contract")).alias("contract"), _low(address.decode(c("holder"))["key"]).alias("holder"), "amount")
+    return out.select("o", "n", _low(c("contract")).alias("contract"), _low(c("holder_key")).alias("holder"), "amount")
 
 
 # ---- events

@@ -203,3 +203,17 @@ def test_a_book_keeps_63_bits_and_nulls(spark, tmp_path):
     book_stream.run_book(spark.readStream.schema(schema).parquet(folder), path=str(tmp_path / "out"), checkpoint=checkpoint, parts=1)
     assert [tuple(r)[2:] for r in book_stream.book_levels(spark, checkpoint).collect()] == [(1, 3, 2, 2 * top - 2)]
     assert [tuple(r)[2:] for r in book_stream.book_pools(spark, checkpoint).collect()] == [(top, None)]
+
+
+def test_balances_read_few_addresses_once(spark):
+    from tallyloom.functions import address, contract_values as cv
+    from tallyloom.operators.contract_data import balance_rows
+
+    rows = spark.range(1).select(F.lit(b"c" * 32).alias("contract"), F.lit("persistent").alias("durability"), *[cv.parsed(F.concat(F.lit(x), F.col("id").cast("string"))).alias(n) for n, x in (("key", "{}"), ("val", "{}"))])
+    found = balance_rows(rows, network=F.lit(b"n" * 32)).select("contract", "holder", "holder_key", "amount")
+    assert plan_of(found).count("ArrowEvalPython") == 1
+    text = lambda n: "[" + ",".join(['{"symbol":"Balance"}', '{"address":"%s"}' % address.encode_all(16, [b"h" * 32])[0], "null"][:n]) + "]"
+    entries = lambda n: "[" + ",".join('{"key":{"symbol":"%s"},"val":%s}' % x for x in [("amount", '{"i128":"5"}'), ("authorized", '{"bool":true}'), ("clawback", '{"bool":false}'), ("more", "null")][:n]) + "]"
+    made = spark.createDataFrame([(k, v, '{"vec":%s}' % text(k), '{"map":%s}' % entries(v)) for k in (1, 2, 3) for v in (2, 3, 4)], "k int, v int, key string, val string")
+    made = made.select("k", "v", F.lit(b"c" * 32).alias("contract"), F.lit("persistent").alias("durability"), cv.parsed(F.col("key")).alias("key"), cv.parsed(F.col("val")).alias("val"))
+    assert [(r.k, r.v, r.amount, bytes(r.holder_key)) for r in balance_rows(made, network=F.lit(b"n" * 32)).collect()] == [(2, 3, "5", b"h" * 32)]
