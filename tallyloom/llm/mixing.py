@@ -62,9 +62,9 @@ def tilt(sizes: DataFrame, targets: DataFrame, *, cap: float, rounds: int = 60,
         middle = F.when(F.col("lo") < -1e4, F.least(F.col("hi"), F.lit(0.0)) * 2 - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         moved = F.when(F.col("off") <= near, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), step).otherwise(middle)
         state = written(state.withColumn("tilt", F.when(F.col("tilt").isNotNull(), moved)).drop("got", "slope"), "tilt")
+        tidy(state.sparkSession)
         if state.where(F.col("off") > near).isEmpty():
             break
-    tidy(state.sparkSession)
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
@@ -169,10 +169,11 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
     found = written(goals.select("source", "target", F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("inside")), "shift")
     for _ in range(12):
         section = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * sections).cast("int")
-        within = _with(steps, found.select("source", "lo", "hi"), "inner", many=many).where("at >= lo and at < hi").withColumn("bin", F.least(section, F.lit(sections - 1)))
-        sums = within.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        # a source's state rides along as keys
+        within = _with(steps, found.select("source", "target", "lo", "hi", "base"), "inner", many=many).where("at >= lo and at < hi").withColumn("bin", F.least(section, F.lit(sections - 1)))
+        sums = within.groupBy("source", "target", "base", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         total = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-        cross = _with(sums, found, "inner", many=many).withColumn("total", total).where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
+        cross = sums.withColumn("total", total).where("total >= target").groupBy("source").agg(F.min_by(F.struct("bin", "total", "words", "n"), "bin").alias("c"))
         width = (F.col("hi") - F.col("lo")) / sections
         none = F.col("c").isNull()
         nxt = _with(found, cross, many=many).select(
@@ -184,9 +185,9 @@ def _nearest_shift(steps: DataFrame, goals: DataFrame, *, cap: int, sections: in
             F.when(none, F.lit(0)).otherwise(F.col("c.n")).alias("inside"),
         )
         found = written(nxt, "shift")
+        tidy(found.sparkSession)
         if found.where("inside > 1").isEmpty():
             break
-    tidy(found.sparkSession)
     # the steps left within [lo, hi) are taken if that comes nearer to the target
     last = _with(steps, found.select("source", "lo", "hi"), "inner", many=many).where("at >= lo and at < hi").groupBy("source").agg(F.sum("size").alias("words"))
     nearer = F.coalesce(F.abs(F.col("base") + F.col("words") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.lit(False))
@@ -200,17 +201,22 @@ def _last_moves(rounded: DataFrame, *, cap: int, many: bool, rounds: int = 3) ->
     """
     off = rounded.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"))
     off = written(off, "off")
-    moves = written(rounded.where("false").select(F.col("row").alias("__row"), F.lit(1).alias("__by")), "moves")
+    moves = None
     for _ in range(rounds):
-        used = moves.select(F.col("__row").alias("row"))
-        left = _with(rounded.where("size > 0"), off, "inner", many=many).join(used if many else F.broadcast(used), "row", "left_anti")
+        left = _with(rounded.where("size > 0"), off, "inner", many=many)
+        if moves is not None:
+            used = moves.select(F.col("__row").alias("row"))
+            left = left.join(used if many else F.broadcast(used), "row", "left_anti")
         way = F.when(F.col("off") > 0, 1).otherwise(-1)
         after = F.abs(F.abs("off") - F.col("size"))
-        fit = left.where(((F.col("off") > 0) & (F.col("copies") < cap)) | ((F.col("off") < 0) & (F.col("copies") > 0))).where(after < F.abs("off"))
-        best = written(fit.groupBy("source").agg(F.min_by(F.struct("row", way.alias("by"), "size"), F.struct(after.alias("after"), F.col("id").cast("string").alias("id"), "row")).alias("m")), "best")
-        moves = written(moves.unionByName(best.select(F.col("m.row").alias("__row"), F.col("m.by").alias("__by"))), "moves")
-        off = written(_with(off, best, many=many).select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off")), "off")
-    tidy(moves.sparkSession)
+        fit = (((F.col("off") > 0) & (F.col("copies") < cap)) | ((F.col("off") < 0) & (F.col("copies") > 0))) & (after < F.abs("off"))
+        best = left.groupBy("source", "off").agg(F.min_by(F.struct("row", way.alias("by"), "size"), F.when(fit, F.struct(after.alias("after"), F.col("id").cast("string").alias("id"), "row"))).alias("m"))
+        # what is left open goes along, so a round is one table; sources whose rows are all moved need no more
+        best = written(best.select("source", (F.col("off") - F.coalesce(F.col("m.by") * F.col("m.size"), F.lit(0))).alias("off"), "m"), "best")
+        off = best.select("source", "off")
+        found = best.where("m is not null").select(F.col("m.row").alias("__row"), F.col("m.by").alias("__by"))
+        moves = found if moves is None else moves.unionByName(found)
+        tidy(moves.sparkSession)
     return moves
 
 

@@ -116,9 +116,21 @@ class QualityModel:
         return self.words, self.looks, self.shift, self.scale, self.layers, self.temperature
 
 
-def _logits(pooled: np.ndarray, shift: np.ndarray, scale: np.ndarray, layers: tuple) -> np.ndarray:
+def _output(scaled_rows: np.ndarray, layers: tuple) -> np.ndarray:
     first, bias, second, last = layers
-    return np.tanh((pooled - shift) / scale @ first + bias) @ second + last
+    return np.tanh(scaled_rows @ first + bias) @ second + last
+
+
+def _logits(pooled: np.ndarray, shift: np.ndarray, scale: np.ndarray, layers: tuple) -> np.ndarray:
+    return _output((pooled - shift) / scale, layers)
+
+
+def _in_order(pooled: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and vectors (in doubles) of rows (doc, y, x), by doc, then by the vector's bytes. Held once as bytes and once as doubles."""
+    width = 2 * DIMS + 1
+    raw, _ = text_bytes(pooled.column("x").combine_chunks())
+    order = np.lexsort((raw.view(f"S{4 * width}"), pooled.column("doc").to_numpy()))
+    return pooled.column("y").to_numpy()[order], raw.view(np.float32).reshape(-1, width)[order].astype(np.float64)
 
 
 def _scores(pooled: np.ndarray, parts: tuple) -> np.ndarray:
@@ -202,6 +214,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     look_sum = np.frombuffer(total.looks, np.float32).reshape(LOOKS, DIMS).astype(np.float64) if total else np.zeros((LOOKS, DIMS))
     del total
     words, looks = _vectors(word_sum, word_index), _vectors(look_sum, look_index)
+    del word_sum, look_sum, word_index, look_index
+    release()  # the driver's heap is full of what vectors were made of
     held = spark.sparkContext.broadcast((words, looks))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,22 +224,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 pooled = _pooled(part.column("text"), *held.value)
                 yield pa.RecordBatch.from_arrays([part.column("__doc"), part.column("__y"), pa.array([x.tobytes() for x in pooled], pa.binary())], ["doc", "y", "x"])
 
-    got = sorted(((r.doc, r.x, r.y) for r in rows.mapInArrow(pool, "doc long, y int, x binary").collect()), key=lambda r: r[:2])  # the sample, pooled
-    y = np.array([r[2] for r in got])
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), 2 * DIMS + 1).astype(np.float64)
+    y, x = _in_order(rows.mapInArrow(pool, "doc long, y int, x binary").toArrow())  # the sample, pooled
+    held.destroy()
     if len(set(y.tolist())) < 2:
         width = 2 * DIMS + 1
         return QualityModel(words, looks, np.zeros(width), np.ones(width), (np.zeros((width, 1)), np.zeros(1), np.zeros(1), -9.0 if len(y) and y[0] == 0 else 9.0), 1.0)
     shift, scale = x.mean(0), x.std(0) + 1e-6
-    z = (x - shift) / scale
-    back = np.arange(len(z)) % 5 == 4  # held back for the temperature
+    x -= shift
+    x /= scale
+    back = np.arange(len(x)) % 5 == 4  # held back for the temperature
     if len(set(y[back].tolist())) < 2 or len(set(y[~back].tolist())) < 2:
-        back = np.zeros(len(z), bool)
-    model = QualityModel(words, looks, shift, scale, train_network(z[~back], y[~back]), 1.0)
-    use = back if back.any() else ~back
+        back = np.zeros(len(x), bool)
     tidy(spark)
-    model.temperature = fit_temperature(_logits(x[use], shift, scale, model.layers), y[use])
-    return model
+    release()  # what came with the rows, before training takes memory of its own
+    layers = train_network(x[~back], y[~back])
+    use = back if back.any() else ~back
+    return QualityModel(words, looks, shift, scale, layers, fit_temperature(_output(x[use], layers), y[use]))
 
 
 def scored(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

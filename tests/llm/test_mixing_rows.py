@@ -47,3 +47,14 @@ def test_clashing_names(spark):
 def test_ids_of_a_dotted_name(spark):
     df = spark.createDataFrame([(1, "a b", "s")], "`doc.id` long, text string, source string")
     assert mixing.mixed(df, id_col="doc.id").columns[0] == "doc.id"
+
+
+def test_rounds_are_few_small_jobs(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "concat('s', id % 4) as source")
+    spark.sparkContext.setJobGroup("mix", "what the driver holds grows with jobs")
+    try:
+        assert mixing.mixed(docs).count() == 400
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mix"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 105  # 115 when each round wrote its moves, rows and rests by themselves

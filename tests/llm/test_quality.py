@@ -50,3 +50,21 @@ def test_temperature_undoes_overconfidence():
     z = rng.normal(size=4000) * 2
     y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(int)
     assert 2.5 < q.fit_temperature(3 * z, y) < 3.6
+
+
+def test_the_sample_is_ordered_in_place():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(0, 1, (6000, 2 * q.DIMS + 1)).astype(np.float32)
+    docs = np.random.default_rng(6).integers(0, 5000, 6000)
+    table = pa.table({"doc": docs, "y": pa.array(docs % 2, pa.int32()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+    want = sorted(range(6000), key=lambda k: (docs[k], x[k].tobytes()))
+    tracemalloc.start()
+    y, got = q._in_order(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == x[want]).all() and (y == docs[want] % 2).all() and got.dtype == np.float64
+    assert peak < 2.2 * got.nbytes  # not an object a row
+    assert [len(v) for v in q._in_order(table.slice(0, 0))] == [0, 0]
