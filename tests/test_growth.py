@@ -217,3 +217,10 @@ def test_balances_read_few_addresses_once(spark):
     made = spark.createDataFrame([(k, v, '{"vec":%s}' % text(k), '{"map":%s}' % entries(v)) for k in (1, 2, 3) for v in (2, 3, 4)], "k int, v int, key string, val string")
     made = made.select("k", "v", F.lit(b"c" * 32).alias("contract"), F.lit("persistent").alias("durability"), cv.parsed(F.col("key")).alias("key"), cv.parsed(F.col("val")).alias("val"))
     assert [(r.k, r.v, r.amount, bytes(r.holder_key)) for r in balance_rows(made, network=F.lit(b"n" * 32)).collect()] == [(2, 3, "5", b"h" * 32)]
+
+
+def test_texts_of_long_ranges_are_made_by_all_tasks(spark):
+    from tallyloom.plans import projection_queries, registry  # noqa: F401  the import registers the queries
+
+    rows = registry.QUERIES["q88e_prefixes_and_ranges"](spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
