@@ -1,5 +1,7 @@
 """What queries move, hold and compute as tables grow, by their plans and on odd tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -16,6 +18,25 @@ def test_revocations_move_their_inputs_once(spark):
     assert plan_of(revocation_movements(pools, created, txs)).count("Exchange ") <= 1
 
 
+def test_revocations_leave_inputs_where_they_are_dealt_alike(spark):
+    from tallyloom.operators.revocations import revocation_movements
+
+    ledgers = lambda n: spark.range(0).withColumnRenamed("id", "ledger").repartition(n, "ledger")
+    pools = ledgers(4).selectExpr("ledger", "1 as tx_index", "1 as op_index", "cast('p' as binary) as pool", "cast('a' as binary) as asset_a", "cast('b' as binary) as asset_b", "2L as amount_a", "3L as amount_b")
+    created = ledgers(4).selectExpr("ledger", "1 as tx_index", "1 as op_index", "cast('p' as binary) as balance_id", "cast('a' as binary) as asset", "2L as amount")
+    txs = lambda n: ledgers(n).selectExpr("ledger", "1 as tx_index", "cast('p' as binary) as account", "ledger as sequence")
+    assert "ENSURE_REQUIREMENTS" not in (alike := plan_of(revocation_movements(pools, created, txs(4)))) and "REPARTITION_BY_COL" not in alike
+    assert plan_of(revocation_movements(pools, created, txs(3))).count("ENSURE_REQUIREMENTS") == 1
+
+
+def test_revoked_lines_are_dealt_before_their_digests_are_made(spark):
+    from tallyloom.plans import contract_queries, registry  # noqa: F401  the import registers the queries
+
+    plan = plan_of(registry.QUERIES["q94_revoked_trust_lines"](spark, "/root/testdata/sf0.001"))
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, \d+\), (\w+)", plan)
+    assert len(moved) == plan.count("Exchange ") and set(moved) == {(key, "REPARTITION_BY_NUM") for key in ("o_orderkey", "l_orderkey")}
+
+
 def test_long_ranges_of_folders_are_whole_texts(spark):
     from tallyloom.functions import ids
 
